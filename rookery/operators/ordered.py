@@ -38,14 +38,14 @@ def _join_carry(df: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
 def ordinal(df: DataFrame, keys: list[str], order: list, chunk: list[Column], name: str) -> DataFrame:
     """1-based position of a row inside its key."""
     df = _with_chunk(df, chunk)
-    sizes = df.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    carry = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
     local = Window.partitionBy(*keys, "_chunk").orderBy(*_cols(order))
     return (
-        _join_carry(df.withColumn("_r", F.row_number().over(local)), carry, keys)
-        .withColumn(name, (F.col("_r") + F.col("_b")).cast("bigint"))
-        .drop("_r", "_b", "_chunk")
+        _join_carry(df.withColumn("_local", F.row_number().over(local)), carry, keys)
+        .withColumn(name, (F.col("_local") + F.col("_carry")).cast("bigint"))
+        .drop("_local", "_carry", "_chunk")
     )
 
 
@@ -53,19 +53,19 @@ def running_sum(
     df: DataFrame, keys: list[str], order: list, chunk: list[Column], value: Column, name: str
 ) -> DataFrame:
     """Sum of `value` over the key up to and including the row."""
-    df = _with_chunk(df.withColumn("_v", value), chunk)
-    sums = df.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_n"))
+    df = _with_chunk(df.withColumn("_value", value), chunk)
+    sums = df.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*keys, "_chunk", F.sum("_n").over(before).alias("_b"))
+    carry = sums.select(*keys, "_chunk", F.sum("_sum").over(before).alias("_carry"))
     local = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(*_cols(order))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        _join_carry(df.withColumn("_r", F.sum("_v").over(local)), carry, keys)
-        .withColumn(name, F.coalesce(F.col("_r"), F.lit(0)) + F.coalesce(F.col("_b"), F.lit(0)))
-        .drop("_r", "_b", "_v", "_chunk")
+        _join_carry(df.withColumn("_local", F.sum("_value").over(local)), carry, keys)
+        .withColumn(name, F.coalesce(F.col("_local"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0)))
+        .drop("_local", "_carry", "_value", "_chunk")
     )
 
 
@@ -73,13 +73,13 @@ def last_seen(
     df: DataFrame, keys: list[str], order: list, chunk: list[Column], value: Column, name: str
 ) -> DataFrame:
     """Last non-NULL `value` up to and including the row."""
-    df = _with_chunk(df.withColumn("_v", value), chunk)
+    df = _with_chunk(df.withColumn("_value", value), chunk)
     rank = _struct(order)
     lasts = df.groupBy(*keys, "_chunk").agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), rank)).alias("_n")
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), rank)).alias("_sum")
     )
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = lasts.select(*keys, "_chunk", F.last("_n", ignorenulls=True).over(before).alias("_b"))
+    carry = lasts.select(*keys, "_chunk", F.last("_sum", ignorenulls=True).over(before).alias("_carry"))
     local = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(*_cols(order))
@@ -87,10 +87,10 @@ def last_seen(
     )
     return (
         _join_carry(
-            df.withColumn("_r", F.last("_v", ignorenulls=True).over(local)), carry, keys
+            df.withColumn("_local", F.last("_value", ignorenulls=True).over(local)), carry, keys
         )
-        .withColumn(name, F.coalesce("_r", "_b"))
-        .drop("_r", "_b", "_v", "_chunk")
+        .withColumn(name, F.coalesce("_local", "_carry"))
+        .drop("_local", "_carry", "_value", "_chunk")
     )
 
 
@@ -104,20 +104,20 @@ def neighbour(
 ) -> DataFrame:
     """Values of the next (offset=1) or the previous (offset=-1) row of the key, as new columns."""
     packed = F.struct(*[c.alias(n) for n, c in values.items()])
-    df = _with_chunk(df.withColumn("_v", packed), chunk)
+    df = _with_chunk(df.withColumn("_value", packed), chunk)
     rank = _struct(order)
-    edge = F.min_by("_v", rank) if offset == 1 else F.max_by("_v", rank)
-    edges = df.groupBy(*keys, "_chunk").agg(edge.alias("_n"))
+    edge = F.min_by("_value", rank) if offset == 1 else F.max_by("_value", rank)
+    edges = df.groupBy(*keys, "_chunk").agg(edge.alias("_sum"))
     per_key = Window.partitionBy(*keys).orderBy("_chunk")
-    step = F.lead("_n").over(per_key) if offset == 1 else F.lag("_n").over(per_key)
-    carry = edges.select(*keys, "_chunk", step.alias("_b"))
+    step = F.lead("_sum").over(per_key) if offset == 1 else F.lag("_sum").over(per_key)
+    carry = edges.select(*keys, "_chunk", step.alias("_carry"))
     local = Window.partitionBy(*keys, "_chunk").orderBy(*_cols(order))
-    near = F.lead("_v").over(local) if offset == 1 else F.lag("_v").over(local)
-    out = _join_carry(df.withColumn("_r", near), carry, keys)
-    out = out.withColumn("_n", F.coalesce("_r", "_b"))
+    near = F.lead("_value").over(local) if offset == 1 else F.lag("_value").over(local)
+    out = _join_carry(df.withColumn("_local", near), carry, keys)
+    out = out.withColumn("_sum", F.coalesce("_local", "_carry"))
     for n in values:
-        out = out.withColumn(n, F.col("_n")[n])
-    return out.drop("_r", "_b", "_v", "_n", "_chunk")
+        out = out.withColumn(n, F.col("_sum")[n])
+    return out.drop("_local", "_carry", "_value", "_sum", "_chunk")
 
 
 def latest(df: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
