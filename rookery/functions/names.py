@@ -30,7 +30,7 @@ def player_kind(name: Column) -> Column:
 
 def _tokens(name: Column) -> Column:
     raw = F.split(F.regexp_extract(name, _PLAYER, 2), ",")
-    return F.filter(F.transform(raw, F.trim), lambda t: t != "")
+    return F.filter(F.transform(raw, lambda t: F.trim(t)), lambda t: t != "")
 
 
 def player_model(name: Column) -> Column:

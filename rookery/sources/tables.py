@@ -49,7 +49,7 @@ def concept_columns(text: Column) -> dict[str, Column]:
     bullets = F.filter(F.split(summary, "\n"), lambda s: s.startswith("- "))
     return {
         "title": F.when(title != "", title),
-        "tags": F.filter(F.transform(F.split(tags, ","), F.trim), lambda t: t != ""),
+        "tags": F.filter(F.transform(F.split(tags, ","), lambda s: F.trim(s)), lambda t: t != ""),
         "summary": F.slice(F.transform(bullets, lambda b: F.trim(F.substr(b, F.lit(3)))), 1, 4),
     }
 
@@ -70,7 +70,7 @@ def plan_rows(texts: DataFrame, text: str = "value") -> DataFrame:
     """One row per `## ` block: family, prefixes, plan."""
     blocks = F.slice(F.split(F.col(text), r"(?m)^## "), 2, 1_000_000_000)
     keep = [c for c in texts.columns if c != text]
-    lines = F.filter(F.transform(F.split(F.col("_block"), "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(F.col("_block"), "\n"), lambda s: F.trim(s)), lambda s: s != "")
     match = F.try_element_at(F.filter(F.col("_lines"), lambda s: s.startswith("match:")), F.lit(1))
     return (
         texts.select(*keep, F.posexplode(blocks).alias("block_no", "_block"))
@@ -81,7 +81,7 @@ def plan_rows(texts: DataFrame, text: str = "value") -> DataFrame:
             "block_no",
             F.element_at("_lines", 1).alias("family"),
             F.filter(
-                F.transform(F.split(F.coalesce(F.substr(match, F.lit(7)), F.lit("")), ","), F.trim),
+                F.transform(F.split(F.coalesce(F.substr(match, F.lit(7)), F.lit("")), ","), lambda s: F.trim(s)),
                 lambda p: p != "",
             ).alias("prefixes"),
             F.array_join(
