@@ -1 +1,98 @@
+"""Suite sampling, scoring, metrics, comparison."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import Tables, py_round, query
+from rookery.functions.numeric import half_even
+from rookery.operators import suite as su
+
+
+@query(
+    "suite_sample",
+    "O04",
+    """WITH r AS (SELECT event_type || ':' || event_id AS src, user_id || '/' || CAST(floor(value / 4) AS BIGINT) AS epd,
+        CAST(floor(value * 10) AS BIGINT) AS cpl, md5('7:' || event_type || ':' || event_id) AS o FROM events WHERE event_type <> 'signup'),
+      h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY epd ORDER BY o, src) AS k FROM r WHERE cpl >= 150) WHERE k = 1 ORDER BY o, src LIMIT 50),
+      e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY epd ORDER BY o, src) AS k FROM r WHERE cpl < 150 AND epd NOT IN (SELECT epd FROM h)) WHERE k = 1
+            ORDER BY o, src LIMIT 100 - (SELECT count(*) FROM h))
+    SELECT src, 'hard' AS pool FROM h UNION ALL SELECT src, 'easy' FROM e""",
+)
+def suite_sample(t: Tables):
+    d = t.events.where("event_type <> 'signup'").select(
+        F.concat_ws(":", "event_type", "event_id").alias("src"),
+        F.concat_ws("/", "user_id", F.floor(F.col("value") / 4)).alias("epd"),
+        F.floor(F.col("value") * 10).alias("cpl"),
+    )
+    return su.sample_suite(d, 100, seed=7).select("src", "pool")
+
+
+def _results(t: Tables):
+    return t.events.select(
+        "event_id", "event_type", F.concat(F.lit("m"), F.pmod("user_id", F.lit(4)).cast("string")).alias("san"),
+        F.concat(F.lit("m"), F.pmod("event_id", F.lit(4)).cast("string")).alias("sf_best"),
+        F.array(F.lit("m0"), F.concat(F.lit("m"), F.pmod("user_id", F.lit(3)).cast("string"))).alias("claude_candidates"),
+        F.col("value").alias("cost"), (F.col("value") * 2).alias("seconds"),
+        F.floor(F.col("value") * 20).alias("cp_loss"),
+    )
+
+
+@query(
+    "suite_metrics",
+    "A10 J17 S09",
+    f"""SELECT event_type, count(*) AS positions, {py_round('avg(CAST(floor(value * 20) AS BIGINT))', 6)} AS mean_cp_loss,
+      {py_round('avg(CAST(user_id % 4 = event_id % 4 AS INT))', 6)} AS best_move_hit,
+      {py_round('avg(CAST(floor(value * 20) >= 200 AS INT))', 6)} AS blunder_rate,
+      {py_round('avg(CAST(event_id % 4 = 0 OR event_id % 4 = user_id % 3 AS INT))', 6)} AS proposer_recall,
+      {py_round('sum(value)', 4)} AS cost_usd, {py_round('avg(value)', 6)} AS usd_per_pos, {py_round('avg(value * 2)', 6)} AS s_per_pos
+    FROM events GROUP BY 1""",
+)
+def suite_metrics(t: Tables):
+    out = su.suite_metrics(_results(t), ["event_type"])
+    r = lambda c, d=6: half_even(F.col(c), d).alias(c)
+    return out.select(
+        "event_type", "positions", r("mean_cp_loss"), r("best_move_hit"), r("blunder_rate"),
+        r("proposer_recall"), r("cost_usd", 4), r("usd_per_pos"), r("s_per_pos"),
+    )
+
+
+@query(
+    "suite_scores",
+    "A10",
+    """SELECT event_id, CAST(CASE WHEN event_type = 'error' THEN 1000 WHEN event_type = 'purchase' THEN 0
+      ELSE greatest(0, least(1000, CAST(floor(value * 50) AS BIGINT) - user_id * 5)) END AS BIGINT) AS cp_loss FROM events""",
+)
+def suite_scores(t: Tables):
+    res = t.events.select("event_id", F.when(F.col("event_type") != "error", F.lit("e4")).alias("san"))
+    ev = t.events.select(
+        "event_id", F.floor(F.col("value") * 50).alias("sf_eval"), (F.col("user_id") * 5).alias("after"),
+        (F.col("event_type") == "purchase").alias("mates"),
+    )
+    return su.score_results(res, ev, "event_id").select("event_id", F.col("cp_loss").cast("bigint").alias("cp_loss"))
+
+
+@query(
+    "suite_pairs",
+    "J07",
+    """WITH a AS (SELECT user_id, max(CAST(floor(value) AS BIGINT)) AS v FROM events WHERE event_type = 'click' GROUP BY 1),
+      b AS (SELECT user_id, max(CAST(floor(value) AS BIGINT)) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1)
+    SELECT user_id, a.v AS a, b.v AS b, a.v - b.v AS diff FROM a JOIN b USING (user_id)""",
+)
+def suite_pairs(t: Tables):
+    arm = lambda k: t.events.where(F.col("event_type") == k).groupBy("user_id").agg(
+        F.max(F.floor("value")).alias("cp_loss")
+    )
+    return su.pair_on(arm("click"), arm("purchase"), ["user_id"])
+
+
+@query("suite_comparison", "X07 A10")
+def suite_comparison(t: Tables):
+    """Click against view answers of the same user and hour; p is a Monte-Carlo value."""
+    key = F.concat_ws("/", "user_id", F.floor(F.col("event_id") / 100))
+    arm = lambda k: (
+        _results(t).join(t.events.select("event_id", key.alias("src")), "event_id")
+        .where(F.col("event_type") == k).dropDuplicates(["src"])
+    )
+    out = su.compare_suites(arm("click"), arm("view"), n=2000)
+    return out.select("pairs", "mean_diff", "p", F.col("a.mean_cp_loss").alias("mean_a"), F.col("b.mean_cp_loss").alias("mean_b"))
