@@ -147,9 +147,30 @@ def king_attacks(a: Column) -> Column:
 _NAMES = SQUARES
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with the value computed once, however often fn uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), lambda v: fn(v)), 1)
+
+
 def squares(a: Column) -> Column:
-    """Members in ascending order."""
-    return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: has(a, i))
+    """Members in ascending order: one fold step per member, bit 63 (the sign) last."""
+    nothing = F.array().cast("array<int>")
+
+    def pop(state, _):
+        rest = state["rest"]
+        return F.struct(
+            rest.bitwiseAND(rest - 1).alias("rest"),
+            F.concat(state["out"], F.array(count(minus(rest - 1, rest)).cast("int"))).alias("out"),
+        )
+
+    def members(m):
+        low = m.bitwiseAND(F.lit((1 << 63) - 1))
+        start = F.struct(low.alias("rest"), nothing.alias("out"))
+        steps = F.sequence(F.lit(1), count(low).cast("int"))
+        found = F.when(low == 0, nothing).otherwise(F.aggregate(steps, start, pop, lambda s: s["out"]))
+        return F.when(m < 0, F.concat(found, F.array(F.lit(63)))).otherwise(found)
+
+    return F.when(a == 0, nothing).otherwise(let(a, members))
 
 
 def names(a: Column) -> Column:

@@ -7,6 +7,8 @@ come from a broadcast of the fixed ray table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,22 +100,38 @@ def _rights(rights: Column, frm: Column, to: Column) -> Column:
     return F.when(kept == "", F.lit("-")).otherwise(kept)
 
 
-def step(state: Column, uci: Column) -> Column:
-    """Board, turn, rights and ep file target after one move in long algebraic form."""
-    board, frm, to = state["board"], _square(uci, 1), _square(uci, 3)
-    piece = _char(board, frm)
+def decode(moves: Column) -> Column:
+    """Moves in long algebraic form as array<struct(frm, to, promo)>."""
+    return F.transform(
+        moves,
+        lambda m: F.struct(
+            _square(m, 1).alias("frm"), _square(m, 3).alias("to"), F.substring(m, 5, 1).alias("promo")
+        ),
+    )
+
+
+def step(state: Column, move: Column) -> Column:
+    """Board, turn, rights and ep square after one decoded move."""
+    return B.let(
+        F.struct(_char(state["board"], move["frm"]).alias("piece"), _char(state["board"], move["to"]).alias("there")),
+        lambda seen: _step(state, move, seen["piece"], seen["there"]),
+    )
+
+
+def _step(state: Column, move: Column, piece: Column, there: Column) -> Column:
+    board, frm, to, promo = state["board"], move["frm"], move["to"], move["promo"]
     white = piece == F.upper(piece)
     is_pawn, is_king = piece.isin("P", "p"), piece.isin("K", "k")
-    promo = F.substring(uci, 5, 1)
     landed = F.when(promo == "", piece).when(white, F.upper(promo)).otherwise(F.lower(promo))
-    out = _put(_put(board, frm, F.lit(".")), to, landed)
-    en_passant = is_pawn & (frm % 8 != to % 8) & (_char(board, to) == ".")
-    out = F.when(en_passant, _put(out, F.floor(frm / 8).cast("int") * 8 + to % 8, F.lit("."))).otherwise(out)
+    moved = _put(_put(board, frm, F.lit(".")), to, landed)
+    en_passant = is_pawn & (frm % 8 != to % 8) & (there == ".")
     rook = F.when(white, F.lit("R")).otherwise(F.lit("r"))
+    dot = F.lit(".")
     out = (
-        F.when(is_king & (to - frm == 2), _put(_put(out, to + 1, F.lit(".")), to - 1, rook))
-        .when(is_king & (to - frm == -2), _put(_put(out, to - 2, F.lit(".")), to + 1, rook))
-        .otherwise(out)
+        F.when(en_passant, _put(moved, F.floor(frm / 8).cast("int") * 8 + to % 8, dot))
+        .when(is_king & (to - frm == 2), _put(_put(moved, to + 1, dot), to - 1, rook))
+        .when(is_king & (to - frm == -2), _put(_put(moved, to - 2, dot), to + 1, rook))
+        .otherwise(moved)
     )
     foe = F.when(white, F.lit("p")).otherwise(F.lit("P"))
     near = ((to % 8 > 0) & (_char(board, to - 1) == foe)) | ((to % 8 < 7) & (_char(board, to + 1) == foe))
@@ -138,14 +156,14 @@ def start_state(board: Column | None = None) -> Column:
 def replay(moves: Column, start: Column | None = None) -> Column:
     """Last state after a list of moves. An en-passant target counts when an enemy pawn stands beside."""
     state = start_state() if start is None else start
-    return F.aggregate(moves, state, step)
+    return F.aggregate(decode(moves), state, step)
 
 
 def replay_all(moves: Column, start: Column | None = None) -> Column:
     """States after 0, 1, … n moves, as an array (a game is capped in length by the referee)."""
     state = start_state() if start is None else start
     return F.aggregate(
-        moves, F.array(state), lambda acc, m: F.concat(acc, F.array(step(F.element_at(acc, -1), m)))
+        decode(moves), F.array(state), lambda acc, m: F.concat(acc, F.array(step(F.element_at(acc, -1), m)))
     )
 
 
@@ -154,6 +172,16 @@ def state_key(state: Column) -> Column:
     return F.concat_ws(" ", placement(state["board"]), state["turn"], state["castling"], state["ep"])
 
 
+def fence(df: DataFrame, name: str) -> DataFrame:
+    """Counts rows under a metric name and keeps later filters from being inlined into `df`.
+
+    The feature columns are built in dozens of small projections. A filter on one of them would be
+    rewritten through all of these, which multiplies its expression at every step; an observed
+    metric is a boundary for that rewrite while column pruning still passes.
+    """
+    return df.observe(f"{name} {uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
+
+
 # --- square sets --------------------------------------------------------------------------------
 def _plane(board: Column, members: str) -> Column:
     flags = "".join("1" if c in members else "0" for c in PIECES)

@@ -9,7 +9,7 @@ from rookery.functions import bits as B
 from rookery.functions.numeric import half_even
 from rookery.operators import features as fe
 from rookery.operators import relations as rl
-from rookery.operators.boards import with_sets
+from rookery.operators.boards import _char, fence, with_sets
 from rookery.operators.retrieval import retrieve
 
 c = F.col
@@ -33,7 +33,7 @@ def position_features(df: DataFrame) -> DataFrame:
         fe.character_facts, fe.endgame_class, fe.pawn_ending_facts, fe.endgame_facts,
     ):
         df = op(df)
-    return df
+    return fence(df, "position features")
 
 
 def tags(df: DataFrame) -> DataFrame:
@@ -117,6 +117,15 @@ def claimed_pieces(items: Column) -> Column:
     )
 
 
+def true_pieces(board: Column, white: bool) -> Column:
+    """Letter and square of one side's pieces."""
+    low, high = ("A", "Z") if white else ("a", "z")
+    return F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: _char(board, i).between(low, high)),
+        lambda i: F.concat(F.upper(_char(board, i)), B.name_of(i)),
+    )
+
+
 def score_claims(
     df: DataFrame, board: str, white: str, black: str, threats: tuple[str, str] | None = None,
     hanging: tuple[str, str] | None = None,
@@ -126,15 +135,16 @@ def score_claims(
     `white`/`black` are arrays of claims; `threats`/`hanging` are (claimed, true) array columns. In
     check the supplied truth must be empty.
     """
-    letters = F.split(c(board), "")
-    truth = lambda upper: F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(63)),
-                 lambda i: F.element_at(letters, i + 1).rlike("[A-Z]" if upper else "[a-z]")),
-        lambda i: F.concat(F.upper(F.element_at(letters, i + 1)), B.name_of(i)),
-    )
+    truth = lambda upper: true_pieces(c(board), upper)
     nothing = F.array().cast("array<string>")
-    tw, tb = truth(True), truth(False)
-    cw, cb = claimed_pieces(F.coalesce(c(white), nothing)), claimed_pieces(F.coalesce(c(black), nothing))
+    df = df.withColumns(
+        {
+            "_tw": truth(True), "_tb": truth(False),
+            "_cw": claimed_pieces(F.coalesce(c(white), nothing)),
+            "_cb": claimed_pieces(F.coalesce(c(black), nothing)),
+        }
+    )
+    tw, tb, cw, cb = c("_tw"), c("_tb"), c("_cw"), c("_cb")
     total = F.size(tw) + F.size(tb)
     right = F.size(F.array_intersect(tw, cw)) + F.size(F.array_intersect(tb, cb))
     mw, pw = claim_diff(tw, cw)
@@ -147,7 +157,7 @@ def score_claims(
             "missing": F.concat(mw, mb),
             "phantom": F.concat(pw, pb),
         }
-    )
+    ).drop("_tw", "_tb", "_cw", "_cb")
     if threats:
         strip = lambda a: F.array_distinct(
             F.transform(F.coalesce(c(a), nothing), lambda t: F.regexp_replace(F.trim(t), r"[+#]+$", ""))

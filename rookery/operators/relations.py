@@ -342,10 +342,15 @@ def relations(df: DataFrame, key: list[str], top: int = 8) -> DataFrame:
         _value(_char(board, i)), -i,
         F.concat(side(_char(board, i)), F.lit(" "), name(i), F.lit(": loose (undefended, not attacked yet)")),
     )
-    under_fire = F.filter(listed, lambda x: x["attackers"] != 0)
-    sole = F.filter(under_fire, lambda x: F.bit_count(x["defenders"]) == 1)
-    guards = F.array_distinct(F.transform(F.array_sort(sole), lambda x: x["defenders"]))
-    pinned_to = lambda g: F.filter(F.array_sort(sole), lambda x: x["defenders"] == g)
+    # staged, so that no set is worked out again inside a lambda
+    both = both.withColumn("_fire", F.filter(listed, lambda x: x["attackers"] != 0))
+    both = both.withColumn("_free", untouched).withColumn(
+        "_sole", F.array_sort(F.filter("_fire", lambda x: F.bit_count(x["defenders"]) == 1))
+    )
+    both = both.withColumn("_guards", F.array_distinct(F.transform("_sole", lambda x: x["defenders"])))
+    under_fire = c("_fire")
+    guards = c("_guards")
+    pinned_to = lambda g: F.filter("_sole", lambda x: x["defenders"] == g)
     overloaded = F.transform(
         F.filter(guards, lambda g: F.size(pinned_to(g)) >= 2),
         lambda g, i: item(
@@ -366,7 +371,7 @@ def relations(df: DataFrame, key: list[str], top: int = 8) -> DataFrame:
         ),
     )
     everything = F.array_sort(
-        F.concat(F.transform(under_fire, attacked), F.transform(B.squares(untouched), loose), overloaded)
+        F.concat(F.transform(under_fire, attacked), F.transform(B.squares(c("_free")), loose), overloaded)
     )
     return both.select(*key, F.transform(F.slice(everything, 1, top), lambda x: x["t"]).alias("relations"))
 

@@ -92,7 +92,8 @@ def retrieve(
         slug, F.col("tags").alias("_page_tags"), F.element_at("tags", 1).alias("_head")
     )
     spread = positions.select(
-        key, F.col(tags).alias("_have"), F.explode(F.array_distinct(F.col(tags))).alias("_head")
+        # outer: an inner explode would push its emptiness test into whatever computed the tags
+        key, F.col(tags).alias("_have"), F.explode_outer(F.array_distinct(F.col(tags))).alias("_head")
     )
     matched = F.filter("_page_tags", lambda t: F.array_contains("_have", t))
     score = F.aggregate(
