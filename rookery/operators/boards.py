@@ -69,7 +69,7 @@ def pieces(df: DataFrame, keep: list[str], board: str = "board") -> DataFrame:
         "sq",
         (F.col("sq") % 8).alias("file"),
         F.floor(F.col("sq") / 8).cast("int").alias("rank"),
-        F.when(F.col("piece").rlike("[A-Z]"), F.lit("white")).otherwise(F.lit("black")).alias("color"),
+        F.when(F.col("piece").between("A", "Z"), F.lit("white")).otherwise(F.lit("black")).alias("color"),
         "piece",
     )
 
@@ -234,10 +234,14 @@ _STEPS = {
 _LINES = {"R": _STEPS["K"][0::2], "B": _STEPS["K"][1::2], "Q": _STEPS["K"]}
 
 
+_KINDS = {"P": 0, "p": 1, "N": 2, "B": 3, "R": 4, "Q": 5, "K": 6}
+
+
 def ray_table(spark) -> DataFrame:
-    """kind, frm, to, between: every pair of squares a piece could see, and the squares between.
+    """slot, to, between: every pair of squares a piece could see, and the squares between.
 
-    A fixed table of a few thousand rows built by rule; it does not depend on the data.
+    `slot` is 64·kind + from-square. A fixed table of a few thousand rows built by rule; it does not
+    depend on the data.
     """
     rows = []
     for s in range(64):
@@ -245,23 +249,23 @@ def ray_table(spark) -> DataFrame:
         for kind, deltas in _STEPS.items():
             for df, dr in deltas:
                 if 0 <= f + df < 8 and 0 <= r + dr < 8:
-                    rows.append((kind, s, (r + dr) * 8 + f + df, 0))
+                    rows.append((_KINDS[kind] * 64 + s, (r + dr) * 8 + f + df, 0))
         for kind, lines in _LINES.items():
             for df, dr in lines:
                 passed, x, y = 0, f + df, r + dr
                 while 0 <= x < 8 and 0 <= y < 8:
-                    rows.append((kind, s, y * 8 + x, B.signed(passed)))
+                    rows.append((_KINDS[kind] * 64 + s, y * 8 + x, B.signed(passed)))
                     passed |= 1 << (y * 8 + x)
                     x, y = x + df, y + dr
-    return spark.createDataFrame(rows, "kind string, frm int, to int, between bigint")
+    return spark.createDataFrame(rows, "slot int, to int, between bigint")
 
 
 def _seen_pairs(df: DataFrame, keep: list[str], board: str) -> DataFrame:
     rays = ray_table(df.sparkSession)
-    p = pieces(df, keep, board).withColumn(
-        "kind", F.when(F.col("piece").isin("P", "p"), F.col("piece")).otherwise(F.upper("piece"))
-    )
-    return p.withColumnRenamed("sq", "frm").join(F.broadcast(rays), ["kind", "frm"])
+    letter = F.when(F.col("piece") == "p", F.col("piece")).otherwise(F.upper("piece"))
+    kind = F.instr(F.lit("PpNBRQK"), letter) - 1
+    p = pieces(df, keep, board).withColumn("slot", kind * 64 + F.col("sq"))
+    return p.withColumnRenamed("sq", "frm").join(F.broadcast(rays), "slot")
 
 
 def attack_edges(df: DataFrame, key: list[str], carry: tuple[str, ...] = (), board: str = "board") -> DataFrame:
@@ -274,22 +278,18 @@ def attack_edges(df: DataFrame, key: list[str], carry: tuple[str, ...] = (), boa
     spread = df.select(*keep).repartition(*key)
     seen = _seen_pairs(spread, keep, board).where(B.both(F.col("between"), F.col("occ")) == 0)
     return seen.select(
-        *key, *[c for c in carry if c not in key], board, "occ", "frm", "piece", "color", "to",
+        *key, *[c for c in carry if c not in key], "frm", "piece", "color", "to",
         _char(F.col(board), F.col("to")).alias("target"),
     )
 
 
-def color_of(piece: Column) -> Column:
-    return F.when(piece.rlike("[A-Z]"), F.lit("white")).when(piece.rlike("[a-z]"), F.lit("black"))
-
-
 def pins(df: DataFrame, key: list[str], board: str = "board") -> DataFrame:
     """Absolute pins: key, sq, piece, color, pinner, pinner_sq.
 
     A line from an enemy slider to the king with exactly one piece between, of the king's colour.
     """
     keep = list(dict.fromkeys([*key, board, "occ", "occ_w", "occ_b", "king_w", "king_b"]))
-    lines = _seen_pairs(df.select(*keep), keep, board).where(F.col("kind").isin("R", "B", "Q"))
+    lines = _seen_pairs(df.select(*keep), keep, board).where(F.upper("piece").isin("R", "B", "Q"))
     king = F.when(F.col("color") == "white", F.col("king_b")).otherwise(F.col("king_w"))
     mine = F.when(F.col("color") == "white", F.col("occ_b")).otherwise(F.col("occ_w"))
     shield = B.both(F.col("between"), F.col("occ"))

@@ -45,20 +45,19 @@ def normalise_candidates(
     array column, moves outside it are dropped; priors are clamped to [0, 1] and unreadable ones are
     0; a repeated move keeps its first item; the n best priors stay, ties in proposal order.
     """
-    # try_parse_json + schema_of_variant tells a string from an object without a Python step
-    v = F.try_parse_json(F.col(item))
-    kind = F.schema_of_variant(v)
-    is_text = kind == "STRING"
-    is_object = kind.startswith("OBJECT")
-    raw = F.when(is_text, F.try_variant_get(v, "$", "string")).when(
-        is_object, F.coalesce(F.try_variant_get(v, "$.move", "string"), F.lit(""))
+    text = F.ltrim(F.col(item))
+    as_object = F.when(text.startswith('"'), F.concat(F.lit('{"move":'), text, F.lit("}"))).when(
+        text.startswith("{"), text
     )
-    prior = F.coalesce(F.try_variant_get(v, "$.prior", "double"), F.lit(0.0))
-    reason = F.coalesce(F.try_variant_get(v, "$.reason", "string"), F.lit(""))
-    parsed = items.select(
-        *keys, *order, *([legal] if legal else []), raw.alias("move"),
-        F.when(is_object, reason).otherwise(F.lit("")).alias("reason"),
-        clamp(F.when(is_object, prior).otherwise(F.lit(0.0)), 0.0, 1.0).alias("prior"),
+    # one parse per item, in its own projection
+    staged = items.select(
+        *keys, *order, *([legal] if legal else []),
+        F.from_json(as_object, "move string, prior string, reason string").alias("_o"),
+    )
+    parsed = staged.select(
+        *keys, *order, *([legal] if legal else []), F.col("_o.move").alias("move"),
+        F.coalesce("_o.reason", F.lit("")).alias("reason"),
+        clamp(F.coalesce(F.col("_o.prior").try_cast("double"), F.lit(0.0)), 0.0, 1.0).alias("prior"),
     ).where(F.col("move").isNotNull() & (F.col("move") != ""))
     if legal:
         parsed = parsed.where(F.array_contains(F.col(legal), F.col("move"))).drop(legal)

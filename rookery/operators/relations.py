@@ -297,14 +297,16 @@ def _by_value(mask: Column, board: Column) -> Column:
 
 
 def contacts(df: DataFrame, key: list[str]) -> DataFrame:
-    """One row per piece but kings: key, board, sq, piece, attackers, defenders (square sets)."""
+    """One row per piece but kings: key, sq, piece, attackers, defenders (square sets)."""
     edges = attack_edges(df, key)
-    own_side = F.when(c("target").rlike("[A-Z]"), F.lit("white")).otherwise(F.lit("black"))
-    hit = edges.where(~c("target").isin(".", "K", "k")).groupBy(*key, "board", F.col("to").alias("sq")).agg(
+    own_side = F.when(c("target").between("A", "Z"), F.lit("white")).otherwise(F.lit("black"))
+    hit = edges.where(~c("target").isin(".", "K", "k")).groupBy(
+        *key, F.col("to").alias("sq"), F.col("target").alias("piece")
+    )
+    return hit.agg(
         F.coalesce(F.bit_or(F.when(c("color") != own_side, B.bit(c("frm")))), F.lit(0).cast("bigint")).alias("attackers"),
         F.coalesce(F.bit_or(F.when(c("color") == own_side, B.bit(c("frm")))), F.lit(0).cast("bigint")).alias("defenders"),
     )
-    return hit.withColumn("piece", _char(c("board"), c("sq")))
 
 
 def relations(df: DataFrame, key: list[str], top: int = 8) -> DataFrame:
@@ -313,9 +315,9 @@ def relations(df: DataFrame, key: list[str], top: int = 8) -> DataFrame:
     All rows of a position live in one task after its one narrow shuffle; the sets of a position
     have at most 64 members.
     """
-    side = lambda p: F.when(p.rlike("[A-Z]"), F.lit("White")).otherwise(F.lit("Black"))
+    side = lambda p: F.when(p.between("A", "Z"), F.lit("White")).otherwise(F.lit("Black"))
     per_piece = contacts(df, key)
-    packed = per_piece.groupBy(*key, "board").agg(
+    packed = per_piece.groupBy(*key).agg(
         F.collect_list(F.struct((-c("sq")).alias("o"), "sq", "piece", "attackers", "defenders")).alias("_p"),
         F.bit_or(B.bit(c("sq"))).alias("_seen"),
     )
@@ -386,7 +388,7 @@ def last_move_change(plies: DataFrame, key: list[str]) -> DataFrame:
                                                       F.struct(F.lit(1).alias("t"), c("after").alias("board")))))
     both = with_sets(both.select(*key, "frm", "to", "mover", "_b.t", "_b.board").withColumnsRenamed({"frm": "m_frm", "to": "m_to"}))
     edges = attack_edges(both, key, carry=("t", "m_frm", "m_to", "mover"))
-    seen = edges.groupBy(*key, "t", "m_frm", "m_to", "mover", "board", "frm", "piece", "color").agg(
+    seen = edges.groupBy(*key, "t", "m_frm", "m_to", "mover", "frm", "piece", "color").agg(
         F.bit_or(B.bit(c("to"))).alias("sees")
     )
     them = c("color") == c("mover")
@@ -394,8 +396,6 @@ def last_move_change(plies: DataFrame, key: list[str]) -> DataFrame:
     now, then = c("t") == 1, c("t") == 0
     slider = F.upper("piece").isin("B", "R", "Q")
     per = seen.groupBy(*key, "m_frm", "m_to", "mover").agg(
-        F.max(F.when(now, c("board"))).alias("board"),
-        F.max(F.when(then, c("board"))).alias("was"),
         or_(now & (c("frm") == c("m_to")), c("sees")).alias("mover_now"),
         or_(then & (c("frm") == c("m_frm")), c("sees")).alias("mover_then"),
         or_(now & them, c("sees")).alias("theirs"),
@@ -403,6 +403,7 @@ def last_move_change(plies: DataFrame, key: list[str]) -> DataFrame:
         F.collect_list(F.when(now & them & slider & (c("frm") != c("m_to")), F.struct("frm", "sees"))).alias("lines_now"),
         F.collect_list(F.when(then & them & slider, F.struct("frm", "sees"))).alias("lines_then"),
     )
+    per = per.join(plies.select(*key, c("after").alias("board"), c("before").alias("was")), key)
     side = _plane
     white = c("mover") == "white"
     us = F.when(white, side(c("board"), "pnbrq")).otherwise(side(c("board"), "PNBRQ"))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from rookery import constants as K
 from rookery.functions import names
+from rookery.functions.bits import let
 from rookery.functions.scoring import score_wording, side_score
 from rookery.functions.splits import group_split
 from rookery.functions.text import extract_json
+from rookery.operators.boards import fence
 from rookery.operators.candidates import with_move
 from rookery.operators.ordered import latest
 from rookery.operators.windows import tail_text
@@ -240,9 +242,7 @@ def assistant_text(
     assessment = F.when(thinking.isNotNull(), F.concat(F.lit("Assessment: "), thinking))
     cands = agents["proposer"]["candidates"]
 
-    def line(c):
-        move = F.coalesce(c["move"], F.lit(""))
-        e = F.try_element_at(found, move)
+    def line(c, e, move):
         verdict = (
             F.when(
                 e["threat_verified"],
@@ -265,8 +265,18 @@ def assistant_text(
         )
         return F.concat(F.lit("- "), move, F.lit(": "), F.trim(F.coalesce(c["reason"], F.lit(""))), verdict)
 
+    # bound once: the verdict of a candidate looks at several fields of its search entry
+    looked_up = lambda all_: F.transform(
+        cands,
+        lambda c: let(
+            F.struct(F.coalesce(c["move"], F.lit("")).alias("m"),
+                     F.try_element_at(all_, F.coalesce(c["move"], F.lit(""))).alias("e")),
+            lambda x: line(c, x["e"], x["m"]),
+        ),
+    )
     proposed = F.when(
-        F.size(cands) > 0, F.concat(F.lit("Candidates:\n"), F.array_join(F.transform(cands, line), "\n"))
+        F.size(cands) > 0,
+        F.concat(F.lit("Candidates:\n"), F.array_join(let(found, looked_up), "\n")),
     )
     extra = F.filter(F.map_entries(found), lambda e: e["value"]["source"] == K.SEARCH_SOURCE)
     tactics = F.when(
@@ -299,7 +309,8 @@ def sft(positions: DataFrame, context: str | None = None) -> DataFrame:
     c = F.col
     target = assistant_text(c("agents"), c("engine"), c("board_read"), c("decision.san"))
     prompt = user_text(c("fen"), c("history_san"), c(context) if context else None)
-    return positions.withColumn("_target", target).where(c("_target").isNotNull()).select(
+    written = fence(positions.withColumn("_target", target), "chat targets")
+    return written.where(c("_target").isNotNull()).select(
         "id",
         "split",
         F.array(
