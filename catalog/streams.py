@@ -1 +1,116 @@
+"""Streaming queries: events are written as dated files, streamed, and compared with the batch answer."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import Tables, query
+from catalog.ordered import _STREAK
+from rookery.session import shared_dir
+from rookery.streaming import live
+
+
+def _feed(t: Tables, columns, parts: int = 3) -> tuple[str, str]:
+    """Write the events as `parts` successive file drops in time order; folder and schema."""
+    folder = shared_dir(t.spark, "feed")
+    e = t.events.select(*columns)
+    bounds = e.select(F.min(F.to_date("ts")).alias("a"), F.datediff(F.max("ts"), F.min("ts")).alias("n"))
+    part = F.least(
+        F.floor(F.datediff(F.to_date("ts"), F.col("a")) * parts / F.greatest(F.col("n"), F.lit(1))), F.lit(parts - 1)
+    )
+    marked = e.withColumn("_k", F.lit(1)).join(bounds.withColumn("_k", F.lit(1)), "_k").withColumn("_part", part)
+    for i in range(parts):
+        marked.where(F.col("_part") == i).drop("_k", "a", "n", "_part").write.mode("append").parquet(folder)
+    return folder, e.schema
+
+
+def _stream(t: Tables, folder: str, schema):
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", "4").parquet(folder)
+
+
+def _games(df):
+    return df.select(
+        F.col("event_type").alias("config"), (F.pmod("user_id", F.lit(5)) * 200 + 1100).alias("level"),
+        F.when(F.col("value") > 12, F.lit(1.0)).when(F.col("value") < 6, F.lit(0.0)).otherwise(F.lit(0.5)).alias("score"),
+        F.lit(0.25).alias("cost_usd"),
+    )
+
+
+_BOARD = """SELECT config AS "row", level AS col, CAST(grouping(level) AS INTEGER) AS is_total, count(*) AS games, CAST(sum(score) AS DOUBLE) AS points,
+      count(*) FILTER (score = 1) AS w, count(*) FILTER (score = 0.5) AS d, count(*) FILTER (score = 0) AS l, count(*) * 0.25::DOUBLE AS cost,
+      printf('%.0f', sum(score) * 100 / count(*)) || '%' AS score_pct
+    FROM (SELECT event_type AS config, user_id % 5 * 200 + 1100 AS level, CASE WHEN value > 12 THEN 1.0::DOUBLE WHEN value < 6 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM events)
+    GROUP BY GROUPING SETS ((config, level), (config))"""
+
+
+@query("board_batch", "R01 A07", _BOARD)
+def board_batch(t: Tables):
+    return live.board_from_cells(live.board_cells(_games(t.events))).drop("cell")
+
+
+@query("board_stream", "R01 A07", _BOARD)
+def board_stream(t: Tables):
+    folder, schema = _feed(t, ["ts", "event_type", "user_id", "value"])
+    out, check = shared_dir(t.spark, "board"), shared_dir(t.spark, "check")
+    q = live.live_board(_games(_stream(t, folder, schema)), out, check, available_now=True)
+    q.awaitTermination()
+    return t.spark.read.parquet(out).drop("cell")
+
+
+@query(
+    "ingest_stream",
+    "R02 K04 K02",
+    """SELECT CAST(user_id % 6 AS VARCHAR) AS run_id, count(*) AS moves, count(*) FILTER (event_type = 'error') AS known FROM events GROUP BY 1""",
+)
+def ingest_stream(t: Tables):
+    """Moves streamed without analysis, then the analysis of some merged: sticky columns stay."""
+    from rookery import schemas
+    from rookery.operators.store import merge_into, read_table
+
+    def moves(df, loss):
+        have = {"game_id", "run_id", "ply", "cp_loss"}
+        base = df.select(
+            F.lit("g").alias("game_id"), F.pmod("user_id", F.lit(6)).cast("string").alias("run_id"),
+            F.col("event_id").cast("int").alias("ply"), loss.cast("int").alias("cp_loss"),
+        )
+        from pyspark.sql.types import StructType
+
+        return base.select(*[
+            F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in StructType.fromDDL(schemas.STORE_MOVES).fields
+        ])
+
+    folder, schema = _feed(t, ["ts", "event_id", "event_type", "user_id", "value"], parts=2)
+    root, check = shared_dir(t.spark, "store"), shared_dir(t.spark, "check")
+    sticky = list(schemas.STICKY_MOVE_COLUMNS)
+    merge_into(t.spark, root, "moves", moves(t.events.where("event_type = 'error'"), F.lit(40)), sticky=sticky)
+    q = live.live_ingest(
+        moves(_stream(t, folder, schema), F.lit(None)), root, "moves", check, sticky=sticky, available_now=True
+    )
+    q.awaitTermination()
+    return read_table(t.spark, root, "moves").groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("moves"), F.count("cp_loss").alias("known")
+    )
+
+
+@query(
+    "streak_stream",
+    "R03 W02",
+    f"""WITH {_STREAK} SELECT user_id, arg_min(event_id, struct_pack(a := ts, b := event_id)) AS event_id,
+      min(streak) FILTER (streak >= 3) AS streak FROM k WHERE streak >= 3 GROUP BY 1""",
+)
+def streak_stream(t: Tables):
+    folder, schema = _feed(t, ["ts", "event_id", "user_id", "value"])
+    s = _stream(t, folder, schema).select(
+        "user_id", "ts", "event_id", F.round((F.col("value") - 10) * 100).cast("bigint").alias("cp")
+    )
+    out, check = shared_dir(t.spark, "streaks"), shared_dir(t.spark, "check")
+    hits = live.streak_stream(s, "user_id", ["ts", "event_id"], "cp", 500, 3)
+    q = (
+        hits.writeStream.outputMode("append").format("parquet").option("checkpointLocation", check)
+        .trigger(availableNow=True).start(out)
+    )
+    q.awaitTermination()
+    return t.spark.read.schema("user_id bigint, ts timestamp_ntz, event_id bigint, streak bigint, side int").parquet(
+        out
+    ).select("user_id", "event_id", "streak")
