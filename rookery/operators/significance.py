@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rookery.functions.numeric import binomial_two_sided_p, chi2_p, normal_two_sided_p
 from rookery.operators.experiments import pair_rows
-from rookery.operators.ordered import cumulative, mid_ranks
+from rookery.operators.ordered import cumulative
 from rookery.operators.rating import elo_mle
 
 _BIG = 10**9  # numpy's exact hypergeometric sampler ends here
@@ -224,8 +224,3 @@ def mcnemar(pairs: DataFrame, by: list[str], flag_a: str, flag_b: str) -> DataFr
     low = F.least("a_only", "b_only")
     return agg.withColumn("p", binomial_two_sided_p(low, F.col("a_only") + F.col("b_only")))
 
-
-__all__ = [
-    "delta_score", "lr_test", "mann_whitney", "mcnemar", "mid_ranks", "permutation_test",
-    "sign_flip_test",
-]
