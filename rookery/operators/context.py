@@ -194,7 +194,7 @@ def vision_totals(df: DataFrame, group: list[str]) -> DataFrame:
         F.sum(F.size("threats_seen")).alias("threats_seen"),
         F.sum(F.size("threats_seen") + F.size("threats_missed")).alias("threats_real"),
     )
-    return agg.withColumn("accuracy", half_even(c("pieces_correct") / c("pieces_total"), 3))
+    return agg.withColumn("accuracy", half_even(F.try_divide(c("pieces_correct"), c("pieces_total")), 3))
 
 
 def guidance(df: DataFrame, key: str, pages: DataFrame, plans: DataFrame | None = None,

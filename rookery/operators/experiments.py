@@ -242,8 +242,8 @@ def compare_arms(cells: DataFrame, pairs: DataFrame) -> DataFrame:
         side("a", "n").alias("games_a"), side("b", "n").alias("games_b"),
         points("a").alias("score_a"), points("b").alias("score_b"),
         side("a", "cost").alias("_ca"), side("b", "cost").alias("_cb"),
-        (side("a", "acpl_sum") / side("a", "acpl_n")).alias("acpl_a"),
-        (side("b", "acpl_sum") / side("b", "acpl_n")).alias("acpl_b"),
+        F.try_divide(side("a", "acpl_sum"), side("a", "acpl_n")).alias("acpl_a"),
+        F.try_divide(side("b", "acpl_sum"), side("b", "acpl_n")).alias("acpl_b"),
     )
     c = F.col
     gain = c("score_a") / c("games_a") - c("score_b") / c("games_b")

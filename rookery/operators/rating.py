@@ -147,7 +147,7 @@ def performance_rating(df: DataFrame, group: list[str], opp: str, score: str) ->
         F.array_sort(F.collect_list(F.struct("opp", "n"))).alias("cells"),
         F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"),
         F.sum("s").alias("s"),
-        (F.sum(F.col("opp") * F.col("n")) / F.sum("n")).alias("avg"),
+        F.try_divide(F.sum(F.col("opp") * F.col("n")), F.sum("n")).alias("avg"),
     )
     avg, n, s = F.col("avg"), F.col("n"), F.col("s")
 
@@ -172,7 +172,7 @@ def performance_rating(df: DataFrame, group: list[str], opp: str, score: str) ->
         lambda b: (b["lo"] + b["hi"]) / 2.0,
     )
     p = (s + 0.5) / (n + 1)
-    se = F.sqrt(F.greatest(p * (F.lit(1.0) - p), F.lit(1e-9)) / n)
+    se = F.sqrt(F.try_divide(F.greatest(p * (F.lit(1.0) - p), F.lit(1e-9)), n))
     estimate = F.when(
         n == 0, F.raise_error(F.lit("performance_rating needs at least one game")).cast("double")
     ).otherwise(solved)

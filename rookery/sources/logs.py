@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StringType, StructType
+from pyspark.sql.types import StructType
 
 from rookery import schemas
 from rookery.functions import names
@@ -64,17 +64,8 @@ def read_log(
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     found = _existing(spark, paths)
-    schema = StructType.fromDDL(schema)
-    reader = spark.read
-    if mode == "tolerant":
-        full = StructType([*schema.fields, StructField(_CORRUPT, StringType())])
-        reader = reader.schema(full).option("mode", "PERMISSIVE").option(
-            "columnNameOfCorruptRecord", _CORRUPT
-        )
-    elif mode == "strict":
-        full = schema
-        reader = reader.schema(schema).option("mode", "FAILFAST")
-    else:
+    fields = [f.name for f in StructType.fromDDL(schema).fields]
+    if mode not in ("tolerant", "strict"):
         raise ValueError(f"mode must be tolerant or strict, not {mode!r}")
     if not found:
         empty = spark.createDataFrame([], schema)
@@ -83,20 +74,24 @@ def read_log(
                 "_seq", F.lit(None).cast("bigint")
             )
         return _int_game(empty)
-    df = reader.json(found)
-    if mode == "tolerant":
-        df = df.where(F.col(_CORRUPT).isNull())
+    extra = []
     if with_run:
-        cols = _path_columns()
-        df = df.select(
-            *[F.col(f.name) for f in schema.fields],
-            cols["run_id"].alias("run_id"),
+        extra = [
+            _path_columns()["run_id"].alias("run_id"),
             # task order follows (file, offset); the low bits count rows inside the split
             (F.col("_metadata.file_block_start") * F.lit(1 << 20)
              + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("_seq"),
-        )
+        ]
+    if mode == "strict":
+        df = spark.read.schema(schema).option("mode", "FAILFAST").json(found).select(*fields, *extra)
     else:
-        df = df.select(*[F.col(f.name) for f in schema.fields])
+        # lines are parsed here and not by the reader, which refuses to count rows by their
+        # corrupt-record column alone
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+        parsed = F.from_json("value", f"{schema}, {_CORRUPT} string", options)
+        lines = spark.read.text(found).select(parsed.alias("_r"), F.col("value"), *extra)
+        kept = lines.where((F.trim("value") != "") & F.col(f"_r.{_CORRUPT}").isNull())
+        df = kept.select(*[F.col(f"_r.{f}").alias(f) for f in fields], *[c for c in kept.columns if c not in ("_r", "value")])
     return _int_game(df)
 
 
