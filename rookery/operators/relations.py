@@ -28,25 +28,30 @@ def _move(x: Column, n: int) -> Column:
     return B.left(x, n) if n > 0 else B.right(x, -n)
 
 
-def slides(df: DataFrame, name: str, orth: Column, diag: Column) -> DataFrame:
-    """Adds {name}_n … {name}_sw: squares seen along each line from the members of the two sets.
+def slides(df: DataFrame, lines: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Adds {name}_n … {name}_sw: squares seen along each line from the (straight, diagonal) sets.
 
     An occluded fill in three doublings per direction; every doubling is its own projection, so no
-    expression is repeated.
+    expression is repeated. All names share the projections.
     """
+    keys = [(name, d) for name in lines for d in _DIRS]
+    g, p = (lambda name, d: f"_g_{name}_{d}"), (lambda d: f"_p_{d}")
     df = df.withColumns(
-        {f"_g_{d}": (orth if d in _ORTH else diag) for d in _DIRS}
-        | {f"_p_{d}": B.within(B.inv(c("occ")), _wrap(d)) for d in _DIRS}
+        {g(name, d): lines[name][0 if d in _ORTH else 1] for name, d in keys}
+        | {p(d): B.within(B.inv(c("occ")), _wrap(d)) for d in _DIRS}
     )
     for k in (1, 2, 4):
         df = df.withColumns(
-            {f"_g_{d}": B.either(c(f"_g_{d}"), B.both(c(f"_p_{d}"), _move(c(f"_g_{d}"), n * k))) for d, n in _DIRS.items()}
-            | {f"_p_{d}": B.both(c(f"_p_{d}"), _move(c(f"_p_{d}"), n * k)) for d, n in _DIRS.items()}
+            {
+                g(name, d): B.either(c(g(name, d)), B.both(c(p(d)), _move(c(g(name, d)), _DIRS[d] * k)))
+                for name, d in keys
+            }
+            | {p(d): B.both(c(p(d)), _move(c(p(d)), n * k)) for d, n in _DIRS.items()}
         )
     df = df.withColumns(
-        {f"{name}_{d}": B.within(_move(c(f"_g_{d}"), n), _wrap(d)) for d, n in _DIRS.items()}
+        {f"{name}_{d}": B.within(_move(c(g(name, d)), _DIRS[d]), _wrap(d)) for name, d in keys}
     )
-    return df.drop(*[f"_g_{d}" for d in _DIRS], *[f"_p_{d}" for d in _DIRS])
+    return df.drop(*[g(*x) for x in keys], *[p(d) for d in _DIRS])
 
 
 def _jumps(x: Column) -> list[Column]:
@@ -68,9 +73,13 @@ def _drop(df: DataFrame, *names: str) -> DataFrame:
 
 def attacks(df: DataFrame) -> DataFrame:
     """att_w, att_b (attacked squares), lines_w_*, lines_b_* per direction, check_w, check_b."""
-    for _, w in SIDES:
-        s = _s(w)
-        df = slides(df, f"lines_{s}", B.either(own("r", w), own("q", w)), B.either(own("b", w), own("q", w)))
+    df = slides(
+        df,
+        {
+            f"lines_{_s(w)}": (B.either(own("r", w), own("q", w)), B.either(own("b", w), own("q", w)))
+            for _, w in SIDES
+        },
+    )
     df = df.withColumns(
         {
             f"att_{_s(w)}": B.either(
@@ -129,11 +138,9 @@ def king_zones(df: DataFrame) -> DataFrame:
 
     Lines of sight are symmetric: the attackers are the enemy pieces seen from the zone.
     """
-    for _, w in SIDES:
-        s = _s(w)
-        zone = F.coalesce(B.bit(c(f"king_{s}")), F.lit(0).cast("bigint"))
-        df = df.withColumn(f"_zone_{s}", B.either(zone, *_king_steps(zone)))
-        df = slides(df, f"_z{s}", c(f"_zone_{s}"), c(f"_zone_{s}"))
+    home = {s: F.coalesce(B.bit(c(f"king_{s}")), F.lit(0).cast("bigint")) for s in "wb"}
+    df = df.withColumns({f"_zone_{s}": B.either(k, *_king_steps(k)) for s, k in home.items()})
+    df = slides(df, {f"_z{s}": (c(f"_zone_{s}"), c(f"_zone_{s}")) for s in "wb"})
     cols = {}
     for _, w in SIDES:
         s = _s(w)

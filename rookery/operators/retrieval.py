@@ -91,15 +91,18 @@ def retrieve(
     heads = pages.where(F.size("tags") > 0).select(
         slug, F.col("tags").alias("_page_tags"), F.element_at("tags", 1).alias("_head")
     )
-    spread = positions.select(
-        # outer: an inner explode would push its emptiness test into whatever computed the tags
-        key, F.col(tags).alias("_have"), F.explode_outer(F.array_distinct(F.col(tags))).alias("_head")
-    )
-    matched = F.filter("_page_tags", lambda t: F.array_contains("_have", t))
+    # narrow rows first: only (position, tag) meets the pages; the tag arrays join the few matches.
+    # outer: an inner explode would push its emptiness test into whatever computed the tags
+    spread = positions.select(key, F.explode_outer(F.array_distinct(F.col(tags))).alias("_head"))
+    eligible = spread.join(heads, "_head").join(positions.select(key, F.col(tags).alias("_have")), key)
+    common = F.array_intersect("_page_tags", "_have")
+    listed = F.when(
+        F.size("_page_tags") == F.size(F.array_distinct("_page_tags")), common
+    ).otherwise(F.filter("_page_tags", lambda t: F.array_contains("_have", t)))
     score = F.aggregate(
-        matched, weight_of(F.col("_head"), weights), lambda acc, t: acc + weight_of(t, weights)
+        listed, weight_of(F.col("_head"), weights), lambda acc, t: acc + weight_of(t, weights)
     )
-    scored = spread.join(heads, "_head").select(key, slug, score.alias("score"))
+    scored = eligible.select(key, slug, score.alias("score"))
     return top_k(scored, [key], [F.desc("score"), F.asc(slug)], k)
 
 

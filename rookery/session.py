@@ -19,6 +19,7 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "rookery") -
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
