@@ -23,9 +23,8 @@ _ROWS = ["".join("P" if w == r else "p" if b == r else "." for w, b in _PAIRS) f
 
 
 def _meta(t: Tables):
-    return t.events.select(
-        "event_id", F.sha2(F.col("event_id").cast("string"), 256).alias("h"), "user_id", "event_type",
-    ).withColumns(
+    events = t.spread(t.events.select("event_id", "user_id", "event_type"), "event_id")
+    return events.withColumn("h", F.sha2(F.col("event_id").cast("string"), 256)).withColumns(
         {
             "turn": F.when(F.col("user_id") % 2 == 0, F.lit("w")).otherwise(F.lit("b")),
             "castling": F.lit("-"),
@@ -623,7 +622,7 @@ def vision_totals(t: Tables):
 @query("position_tags", "B23")
 def position_tags(t: Tables):
     """Tag counts over all thinned boards; the features behind them have their own twins."""
-    df = cx.tags(cx.position_features(thinned_boards(t)))
+    df = cx.tags(cx.position_features(thinned_boards(t), facts=False))
     return df.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 

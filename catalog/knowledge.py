@@ -70,7 +70,9 @@ _WEIGHTS = (("the", 5.0), ("and", 2.5), ("of", 0.5))
 )
 def pages_retrieved(t: Tables):
     words = lambda c: F.split(F.trim(c), r"[ \n\t]+")
-    docs = t.documents.select(F.col("doc_id"), F.array_distinct(words("text")).alias("tags"))
+    docs = t.spread(t.documents.select("doc_id", "text"), "doc_id").select(
+        "doc_id", F.array_distinct(words("text")).alias("tags")
+    )
     pages = t.benchmark.select("item_id", F.array_distinct(words("text")).alias("tags"))
     return re.retrieve(docs, pages, 3, key="doc_id", slug="item_id", weights=_WEIGHTS)
 

@@ -25,14 +25,20 @@ SECTIONS = (
 )
 
 
-def position_features(df: DataFrame) -> DataFrame:
-    """All feature columns of positions with board, turn, castling, fullmove. Row-local throughout."""
-    for op in (
-        with_sets, fe.material, fe.phase, fe.pawn_sets, fe.files_and_wings, fe.named_structures,
-        fe.pawn_facts, rl.attacks, rl.mobility, rl.king_zones, rl.king_safety, rl.activity, fe.centre,
-        fe.character_facts, fe.endgame_class, fe.pawn_ending_facts, fe.endgame_facts,
-    ):
+def position_features(df: DataFrame, facts: bool = True) -> DataFrame:
+    """All feature columns of positions with board, turn, castling, fullmove. Row-local throughout.
+
+    facts=False leaves the sentences out: enough for `tags`, and a much shorter plan.
+    """
+    for op in (with_sets, fe.material, fe.phase, fe.pawn_sets, fe.files_and_wings, fe.named_structures):
         df = op(df)
+    if facts:
+        df = fe.pawn_facts(df)
+    df = rl.king_zones(rl.mobility(rl.attacks(df)))
+    df = rl.activity(rl.king_safety(df, facts), facts)
+    df = fe.endgame_class(fe.character_facts(fe.centre(df), facts))
+    if facts:
+        df = fe.endgame_facts(fe.pawn_ending_facts(df))
     return fence(df, "position features")
 
 

@@ -395,15 +395,17 @@ def lag_in_development(white: bool) -> Column:
     return B.count(undeveloped(white)) + F.when(king == (4 if white else 60), 1).otherwise(0)
 
 
-def character_facts(df: DataFrame) -> DataFrame:
+def character_facts(df: DataFrame, facts: bool = True) -> DataFrame:
     """character_facts: centre, chains, breaks, opposite wings, minor pieces, space, development."""
-    plans = F.create_map(*[F.lit(x) for kv in CENTRE_PLANS.items() for x in kv])
     df = df.withColumns(
-        {f"breaks_{_s(w)}": pawn_breaks(w) for _, w in SIDES}
-        | {f"chain_{_s(w)}": chain_direction(w) for _, w in SIDES}
+        {f"chain_{_s(w)}": chain_direction(w) for _, w in SIDES}
         | {f"space_{_s(w)}": space(w) for _, w in SIDES}
         | {f"lag_{_s(w)}": lag_in_development(w) for _, w in SIDES}
     )
+    if not facts:
+        return df
+    plans = F.create_map(*[F.lit(x) for kv in CENTRE_PLANS.items() for x in kv])
+    df = df.withColumns({f"breaks_{_s(w)}": pawn_breaks(w) for _, w in SIDES})
     parts = [
         F.concat(F.lit("Type: "), c("centre"), F.lit(" centre ("), c("centre_detail"), F.lit("). "),
                  F.element_at(plans, c("centre")))

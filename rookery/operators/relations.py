@@ -162,7 +162,7 @@ def piece_names(mask: Column, board: str = "board") -> Column:
     )
 
 
-def king_safety(df: DataFrame) -> DataFrame:
+def king_safety(df: DataFrame, facts: bool = True) -> DataFrame:
     """shield_holes_*, open_near_* (file sets), castled_*, king_facts; needs phase, files, zones."""
     cols = {}
     for _, w in SIDES:
@@ -181,6 +181,8 @@ def king_safety(df: DataFrame) -> DataFrame:
             F.when((kr <= 2) & (kf >= 5), F.lit("king")).when((kr <= 2) & (kf <= 2), F.lit("queen")),
         )
     df = df.withColumns(cols)
+    if not facts:
+        return df
     lines = []
     for name, w in SIDES:
         s = _s(w)
@@ -219,7 +221,7 @@ def king_safety(df: DataFrame) -> DataFrame:
     return df.withColumn("king_facts", _texts(*lines))
 
 
-def activity(df: DataFrame) -> DataFrame:
+def activity(df: DataFrame, facts: bool = True) -> DataFrame:
     """outposts_*, on_outpost_*, seventh_*, bad_bishop_*, spots_*, activity_facts; needs mobility."""
     cols = {}
     for _, w in SIDES:
@@ -246,6 +248,8 @@ def activity(df: DataFrame) -> DataFrame:
         more[f"spots_{s}"] = F.when(own("n", w) != 0, free).otherwise(F.lit(0).cast("bigint"))
         more[f"home_{s}"] = undeveloped(w)
     df = df.withColumns(more)
+    if not facts:
+        return df
     lines = [
         F.concat(F.lit("Mobility (pseudo-legal moves): White "), _txt(c("mobility_w")), F.lit(", Black "),
                  _txt(c("mobility_b")))
