@@ -18,6 +18,7 @@ FAMILIES = (
     "boards",
     "replays",
     "streams",
+    "files",
 )
 
 
