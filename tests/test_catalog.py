@@ -4,11 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from catalog.base import NAMES
+from catalog.base import NAMES, QUERIES, SQL
 from tools.check import compare, rows_of, rows_of_duck
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # no SQL twin: Monte-Carlo p-values and rendered text; each has brute-force or golden tests here
 UNPROVED = {
     "elo_bootstrap", "permutation_test", "sign_flip_test", "suite_comparison", "export_pgn", "relations",
@@ -30,7 +29,7 @@ def test_every_query_is_proved_or_listed():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, duck, name):
-    got = rows_of(QUERIES[name](spark, FOLDER))
+    got = rows_of(entry.queries()[name](spark, FOLDER))
     assert compare(got, rows_of_duck(duck, SQL[name])) is None
 
 
