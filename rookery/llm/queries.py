@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import chat, decontaminate, packing, sql, token_store
+from rookery.llm import chat, decontaminate, minhash, packing, sharding, sql, token_store
 from rookery.session import shared_dir
 
 
@@ -24,6 +24,17 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard(_table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"), shingle=4)
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), with_ids=False)
 
@@ -44,6 +55,6 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op7_packing, op8_token_store, op9_chat)
+    f.__name__: f for f in (op1_decontamination, op3_sharding, op5_near_duplicates, op7_packing, op8_token_store, op9_chat)
 }
 SQL: dict[str, str] = {"op1_decontamination": sql.DECONTAMINATION, "op9_chat": sql.CHAT}
