@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import chat, decontaminate, minhash, packing, sharding, sql, token_store
+from rookery.llm import chat, decontaminate, language_id, minhash, packing, sharding, sql, token_store, toxicity
 from rookery.session import shared_dir
 
 
@@ -31,10 +31,28 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    net = language_id.fit(docs)
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    return language_id.identify(docs.select("doc_id", "text"), net).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), shingle=4)
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), with_ids=False)
 
@@ -55,6 +73,6 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_sharding, op5_near_duplicates, op7_packing, op8_token_store, op9_chat)
+    f.__name__: f for f in (op1_decontamination, op3_sharding, op4_language_id, op5_near_duplicates, op6_toxicity, op7_packing, op8_token_store, op9_chat)
 }
 SQL: dict[str, str] = {"op1_decontamination": sql.DECONTAMINATION, "op9_chat": sql.CHAT}
