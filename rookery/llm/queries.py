@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import chat, decontaminate, language_id, minhash, packing, sharding, sql, token_store, toxicity
+from rookery.llm import chat, decontaminate, language_id, minhash, packing, sharding, sql, token_store, toxicity, vectors
 from rookery.session import shared_dir
 
 
@@ -24,6 +24,10 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_table(spark, folder, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -73,6 +77,8 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_sharding, op4_language_id, op5_near_duplicates, op6_toxicity, op7_packing, op8_token_store, op9_chat)
+    f.__name__: f for f in (op1_decontamination, op2_near_vectors, op3_sharding, op4_language_id, op5_near_duplicates, op6_toxicity, op7_packing, op8_token_store, op9_chat)
+}
+SQL: dict[str, str] = {
+    "op1_decontamination": sql.DECONTAMINATION, "op2_near_vectors": sql.VECTORS, "op9_chat": sql.CHAT,
 }
-SQL: dict[str, str] = {"op1_decontamination": sql.DECONTAMINATION, "op9_chat": sql.CHAT}

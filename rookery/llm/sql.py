@@ -44,3 +44,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     + len(regexp_extract_all(text, '[<\\[]\\\\*(?:{_TAILS})'))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+VECTORS = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+),
+ok AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS len FROM u
+  WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok AS a JOIN ok AS b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.len > 0 AND b.len > 0 AND list_dot_product(a.e, b.e) / (a.len * b.len) >= 0.93
+),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a),
+tops AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM tops LEFT JOIN degrees USING (vec_id)
+"""
