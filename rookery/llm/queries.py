@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import chat, decontaminate, language_id, minhash, packing, sharding, sql, token_store, toxicity, vectors
+from rookery.llm import chat, decontaminate, html_text, language_id, minhash, packing, sharding, sql, token_store, toxicity, vectors
 from rookery.session import shared_dir
 
 
@@ -76,8 +76,12 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.format_chat(rows))
 
 
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(_table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_near_vectors, op3_sharding, op4_language_id, op5_near_duplicates, op6_toxicity, op7_packing, op8_token_store, op9_chat)
+    f.__name__: f for f in (op1_decontamination, op2_near_vectors, op3_sharding, op4_language_id, op5_near_duplicates, op6_toxicity, op7_packing, op8_token_store, op9_chat, op10_html_text)
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATION, "op2_near_vectors": sql.VECTORS, "op9_chat": sql.CHAT,
