@@ -31,7 +31,7 @@ from rookery.llm.staging import buffer_of, fresh, slices, utf8
 WINDOW = 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 8
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 600, 3
-EPOCHS, BATCH, RATE = 6, 128, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 400, 128, 0.01
 UNKNOWN = "und"
 _SLICE = 1 << 20
 _BLOCK = 64
@@ -103,8 +103,9 @@ class Network:
             np.add.at(g["embed"], seen.reshape(-1), flow)
         return g
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> None:
-        """Adam over shuffled batches."""
+    def train(self, windows: np.ndarray, labels: np.ndarray) -> None:
+        """Adam over shuffled batches: EPOCHS, or more of them until LEAST_STEPS batches are seen."""
+        epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(windows)))
         rnd = np.random.default_rng(11)
         m = {k: np.zeros_like(v) for k, v in self.weights.items()}
         v = {k: np.zeros_like(x) for k, x in self.weights.items()}
