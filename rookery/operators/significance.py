@@ -19,8 +19,6 @@ from rookery.operators.experiments import pair_rows
 from rookery.operators.ordered import cumulative
 from rookery.operators.rating import elo_mle
 
-_BIG = 10**9  # numpy's exact hypergeometric sampler ends here
-
 
 def _blocks(df: DataFrame, key: str, n: int, seed: int, block: int = 1000) -> DataFrame:
     """Repeat each row once per block of replicas and spread the blocks over tasks."""
@@ -32,17 +30,50 @@ def _blocks(df: DataFrame, key: str, n: int, seed: int, block: int = 1000) -> Da
     )
 
 
-def _hyper(rng, good: int, bad: int, draw: int, size: int) -> np.ndarray:
-    if good == 0 or draw == 0:
-        return np.zeros(size)
-    if bad == 0:
-        return np.full(size, float(draw))
-    if max(good, bad) < _BIG and good + bad < _BIG:
-        return rng.hypergeometric(good, bad, draw, size=size).astype(float)
-    total = good + bad
-    mean = draw * good / total
-    var = mean * (bad / total) * ((total - draw) / (total - 1))
-    return np.rint(rng.normal(mean, math.sqrt(var), size=size))
+_SMALL = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1.0, 256)))))
+
+
+def _log_factorial(x: np.ndarray) -> np.ndarray:
+    x = np.maximum(x, 0.0)
+    y = np.maximum(x, 200.0) + 1
+    series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3)
+    return np.where(x < 256, _SMALL[np.minimum(x, 255).astype(int)], series)
+
+
+def hypergeometric(rng, good: int, bad: int, draw: np.ndarray) -> np.ndarray:
+    """Good items among `draw` of good + bad, one draw per element, exact at every size.
+
+    Rejection for log-concave distributions: the probability falls at least geometrically on both
+    sides of the mode, so a flat middle with two exponential tails lies above it.
+    """
+    draw = np.asarray(draw, np.float64)
+    low, high = np.maximum(0.0, draw - bad), np.minimum(float(good), draw)
+    mode = np.clip(np.floor((draw + 1) * ((good + 1) / (good + bad + 2))), low, high)
+
+    def log_weight(k, m):
+        parts = _log_factorial(k) + _log_factorial(good - k) + _log_factorial(m - k)
+        return -(parts + _log_factorial(bad - m + k))
+
+    total = _log_factorial(draw) + _log_factorial(good + bad - draw)
+    whole = _log_factorial(np.float64(good)) + _log_factorial(np.float64(bad)) - _log_factorial(np.float64(good + bad))
+    top = log_weight(mode, draw)
+    peak = np.minimum(1.0, np.exp(whole + total + top))
+    out, open_ = mode.copy(), np.flatnonzero(low < high)
+    while len(open_):
+        p = peak[open_]
+        flat = 1 + p / 2
+        u, v, w = rng.random((3, len(open_)))
+        middle = u <= flat / (1 + flat)
+        tail = rng.exponential(size=len(open_))
+        y = np.where(middle, v * flat / p, (flat + tail) / p)
+        k = mode[open_] + np.where(rng.random(len(open_)) < 0.5, -1, 1) * np.rint(y)
+        inside = (k >= low[open_]) & (k <= high[open_])
+        safe = np.where(inside, k, mode[open_])
+        bound = np.log(np.maximum(w, 1e-300)) + np.minimum(0.0, flat - p * y)
+        taken = inside & (bound <= log_weight(safe, draw[open_]) - top[open_])
+        out[open_[taken]] = k[taken]
+        open_ = open_[~taken]
+    return out
 
 
 def _permute(frames):
@@ -58,18 +89,8 @@ def _permute(frames):
             total = 0.0
             for s in strata:
                 lost, drawn, won, take = (int(s[k]) for k in ("lost", "drawn", "won", "take"))
-                wins = _hyper(rng, won, lost + drawn, take, int(size))
-                # draws among what is left of the sample
-                left = take - wins
-                if drawn and lost:
-                    if drawn + lost < _BIG:
-                        draws = rng.hypergeometric(drawn, lost, left.astype(np.int64)).astype(float)
-                    else:
-                        share = drawn / (drawn + lost)
-                        sd = np.sqrt(left * share * (1 - share) * (drawn + lost - left) / (drawn + lost - 1))
-                        draws = np.rint(rng.normal(left * share, sd))
-                else:
-                    draws = left if drawn else np.zeros(int(size))
+                wins = hypergeometric(rng, won, lost + drawn, np.full(int(size), take))
+                draws = hypergeometric(rng, drawn, lost, take - wins)  # among what is left of the sample
                 points += wins + 0.5 * draws
                 total += won + 0.5 * drawn
             diff = points / na - (total - points) / nb

@@ -200,3 +200,19 @@ def test_hot_keys_equal_plain_windows(spark):
     best = od.top_k(df, ["k"], [F.desc("v"), F.asc("ply")], 4)
     plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("v"), F.asc("ply")))).where("rank <= 4")
     assert same(best.select("k", "ply", "rank"), plain.select("k", "ply", "rank"))
+
+
+def test_hypergeometric_draws_small_and_huge():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    got = np.bincount(sig.hypergeometric(rng, 6, 9, np.full(200_000, 7)).astype(int), minlength=7) / 200_000
+    want = [math.comb(6, k) * math.comb(9, 7 - k) / math.comb(15, 7) for k in range(7)]
+    assert np.abs(got - want).max() < 0.005
+    for good, bad, draw in ((2 * 10**9, 10, 10**9), (10**10, 3 * 10**10, 10**10), (3, 10**10, 10**9), (0, 5, 3), (5, 0, 3)):
+        x = sig.hypergeometric(rng, good, bad, np.full(20_000, draw))
+        n = good + bad
+        mean = draw * good / n
+        sd = math.sqrt(draw * (good / n) * (bad / n) * (n - draw) / max(n - 1, 1))
+        assert x.min() >= max(0, draw - bad) and x.max() <= min(good, draw)
+        assert abs(x.mean() - mean) <= 5 * sd / math.sqrt(20_000) + 1e-9 * n and abs(x.std() - sd) <= 0.05 * sd + 1e-9
