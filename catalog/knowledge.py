@@ -50,7 +50,7 @@ def openings_identified(t: Tables):
 def plans_by_prefix(t: Tables):
     rows = [("small", "A"), ("small r", "B"), ("red", "C"), ("red widget", "D"), ("b", "E"), ("blue", "F"), ("la", "G")]
     prefixes = t.spark.createDataFrame(rows, "prefix string, plan string")
-    return re.longest_prefix(t.part, "p_name", prefixes, 10).select("p_partkey", "plan")
+    return re.longest_prefix(t.part, "p_name", prefixes).select("p_partkey", "plan")
 
 
 _WORDS = "regexp_split_to_array(trim(text), '[ \\n\\t]+')"

@@ -222,7 +222,7 @@ def guidance(df: DataFrame, key: str, pages: DataFrame, plans: DataFrame | None
     parts = [own_plans, F.coalesce("_pages", nothing)]
     if plans is not None and opening:
         flat = plans.select("family", "plan", F.explode("prefixes").alias("prefix"))
-        out = longest_prefix(out, opening, flat, 64)
+        out = longest_prefix(out, opening, flat)
         line = F.when(
             (c("phase") != "endgame") & c("family").isNotNull(),
             F.concat(F.lit("Opening plans ("), c("family"), F.lit("): "), c("plan")),

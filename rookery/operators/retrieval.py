@@ -53,17 +53,19 @@ def opening_label(eco: Column, name: Column, left_at: Column) -> Column:
     )
 
 
-def longest_prefix(df: DataFrame, name: str, prefixes: DataFrame, max_length: int) -> DataFrame:
+def longest_prefix(df: DataFrame, name: str, prefixes: DataFrame) -> DataFrame:
     """Rows with the plan of the longest prefix of `name` (columns of `prefixes`), or NULL.
 
-    Distinct names are cut at every length up to `max_length` and equi-joined with the prefixes, so
+    Distinct names are cut at every length that a prefix has and equi-joined with the prefixes, so
     no nested loop is planned whatever the sizes are.
     """
+    # one row: the different lengths, as many as the longest prefix has letters at most
+    lengths = F.broadcast(prefixes.agg(F.collect_set(F.length("prefix")).alias("_lens")))
     rest = [c for c in prefixes.columns if c != "prefix"]
     cuts = (
-        df.select(name).distinct()
-        .withColumn("_len", F.explode(F.sequence(F.lit(1), F.least(F.length(name), F.lit(max_length)))))
-        .where(F.col("_len") > 0)
+        df.select(name).distinct().crossJoin(lengths)
+        .withColumn("_len", F.explode(F.filter("_lens", lambda n: (n > 0) & (n <= F.length(name)))))
+        .drop("_lens")
         .withColumn("prefix", F.substr(name, F.lit(1), F.col("_len")))
     )
     best = (

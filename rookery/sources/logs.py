@@ -145,7 +145,7 @@ def pgn_columns(text: Column) -> dict[str, Column]:
     """Header map and move tokens of one game text.
 
     Tokenises only: comments, numbers, glyphs and the result marker are dropped and variations in
-    brackets are removed level by level. Legality is not checked.
+    brackets are left out at any depth. Legality is not checked.
     """
     header = r'(?m)^\[(\w+) "((?:[^"\\\\]|\\\\.)*)"\]'
     pairs = F.zip_with(
@@ -164,8 +164,17 @@ def pgn_columns(text: Column) -> dict[str, Column]:
     body = F.regexp_replace(text, r"(?m)^\[[^\n]*$", "")
     body = F.regexp_replace(body, r"(?s)\{.*?\}", " ")
     body = F.regexp_replace(body, r"(?m);[^\n]*$", " ")
-    for _ in range(4):
-        body = F.regexp_replace(body, r"\([^()]*\)", " ")
+    # text outside all brackets; a bracket that nothing opens counts as a space
+    body = F.aggregate(
+        F.regexp_extract_all(body, F.lit(r"([()]|[^()]+)"), F.lit(1)),
+        F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")),
+        lambda s, t: F.struct(
+            F.when(t == "(", s["depth"] + 1).when(t == ")", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"]).alias("depth"),
+            F.when(t.isin("(", ")"), F.concat(s["text"], F.lit(" ")))
+            .when(s["depth"] == 0, F.concat(s["text"], t)).otherwise(s["text"]).alias("text"),
+        ),
+        lambda s: s["text"],
+    )
     body = F.regexp_replace(body, r"\$\d+|\d+\.+|[!?]+", " ")
     body = F.regexp_replace(body, r"(?<!\S)(1-0|0-1|1/2-1/2|\*)(?!\S)", " ")
     moves = F.filter(F.split(body, r"\s+"), lambda m: m != "")

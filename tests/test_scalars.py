@@ -104,3 +104,25 @@ def test_claims_and_names(spark):
     assert [(g.move, g.reason) for g in got] == [
         ("e4", ""), ("O-O", ""), (None, "empty move"), (None, "illegal in this position")
     ]
+
+
+def test_binomial_tail_at_all_sizes(spark):
+    rows = [(k, n) for n in (0, 1, 2, 3, 10, 37, 200, 1001) for k in sorted({0, n // 7, n // 3, n // 2}) if k <= n // 2]
+    df = spark.createDataFrame(rows, "k long, n long")
+    got = df.select("k", "n", numeric.binomial_two_sided_p(F.col("k"), F.col("n")).alias("p")).collect()
+    for r in got:
+        want = min(1.0, 2 * sum(math.comb(r.n, j) for j in range(r.k + 1)) / 2**r.n)
+        assert math.isclose(r.p, want, rel_tol=1e-9), (r, want)
+    n, z = 10**10, 3.0
+    huge = spark.createDataFrame([(n // 2 - int(z * math.sqrt(n) / 2), n)], "k long, n long")
+    p = huge.select(numeric.binomial_two_sided_p(F.col("k"), F.col("n"))).first()[0]
+    assert math.isclose(p, math.erfc(z / math.sqrt(2)), rel_tol=1e-3)
+
+
+def test_long_prefixes_count(spark):
+    from rookery.operators.retrieval import longest_prefix
+
+    plans = spark.createDataFrame([("red", "short"), ("red widget large", "long")], "prefix string, plan string")
+    names_ = spark.createDataFrame([("red widget large set",), ("red sea",), ("blue",)], "name string")
+    assert {r.name: r.plan for r in longest_prefix(names_, "name", plans).collect()} == {
+        "red widget large set": "long", "red sea": "short", "blue": None}
