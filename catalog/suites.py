@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import Tables, py_round, query
 from rookery.functions.numeric import half_even
 from rookery.operators import suite as su
+from rookery.operators.ordered import first
 
 
 @query(
@@ -92,7 +93,7 @@ def suite_comparison(t: Tables):
     key = F.concat_ws("/", "user_id", F.floor(F.col("event_id") / 100))
     arm = lambda k: (
         _results(t).join(t.events.select("event_id", key.alias("src")), "event_id")
-        .where(F.col("event_type") == k).dropDuplicates(["src"])
+        .where(F.col("event_type") == k).transform(lambda d: first(d, ["src"], ["event_id"]))
     )
     out = su.compare_suites(arm("click"), arm("view"), n=2000)
     return out.select("pairs", "mean_diff", "p", F.col("a.mean_cp_loss").alias("mean_a"), F.col("b.mean_cp_loss").alias("mean_b"))

@@ -277,17 +277,35 @@ lab AS (SELECT p.game, quality * 150 AS cp_loss,
 @query(
     "position_rows",
     "D01 J01 J02 J03",
-    f"""WITH {_POS} SELECT 'r:' || game || ':1' AS id, CAST(cp_loss AS INTEGER) AS cp_loss, game_result, 'e2e4 e7e6 d2d4 d7d5 e2e4' AS line,
+    f"""WITH {_POS} SELECT 'r:' || game || ':1' AS id, CAST(cp_loss AS INTEGER) AS cp_loss, game_result,
       (SELECT min(turn) FROM conversations c WHERE c.conv_id = lab.game AND role = 'user') IS NOT NULL AS proposed FROM lab""",
 )
 def position_rows(t: Tables):
     p, _ = _positions(t)
     return p.select(
         "id", F.col("labels.cp_loss").alias("cp_loss"), F.col("labels.game_result").alias("game_result"),
-        F.lit("e2e4 e7e6 d2d4 d7d5 e2e4").alias("line"), F.col("agents.proposer").isNotNull().alias("proposed"),
+        F.col("agents.proposer").isNotNull().alias("proposed"),
     )
 
 
+@query(
+    "move_histories",
+    "D01",
+    """SELECT a.conv_id AS game, a.turn + 1 AS ply, coalesce((SELECT string_agg(md5(b.text), ' ' ORDER BY b.turn)
+      FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn < a.turn), '') AS history FROM conversations a""",
+)
+def move_histories(t: Tables):
+    """Turns as plies; each was logged twice, the second time right."""
+    twice = F.array(
+        F.struct(F.lit(1).alias("_seq"), F.lit("lost").alias("uci")), F.struct(F.lit(2).alias("_seq"), F.md5("text").alias("uci"))
+    )
+    plies = t.conversations.select(
+        F.lit("r").alias("run_id"), F.col("conv_id").alias("game"), (F.col("turn") + 1).alias("ply"), F.explode(twice).alias("m")
+    ).select("run_id", "game", "ply", "m.*")
+    games = plies.select("run_id", "game", F.lit("Ruy Lopez").alias("opening"), F.lit(0).alias("book_plies")).distinct()
+    return tr.histories(plies, games).select("game", "ply", F.array_join("history_uci", " ").alias("history"))
+
+
 @query(
     "call_rows",
     "D02",

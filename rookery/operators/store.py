@@ -6,7 +6,7 @@ table; a write replaces only the partitions it touches, so re-ingest is idempote
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery import schemas
@@ -21,6 +21,12 @@ TABLES = {
 }
 
 
+def _order(seq: str | None, columns: list[str]) -> list[Column]:
+    """Newest update first by `seq`; updates that tie in it are told apart by a hash of their values."""
+    by = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
+    return [by.alias("_s"), F.xxhash64(F.to_json(F.struct(*columns))).alias("_h")]
+
+
 # --- pure merges --------------------------------------------------------------------------------
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
     """Last write wins on the natural key; among updates the highest `seq` wins.
@@ -29,10 +35,9 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], seq: str | No
     max_by, which combines before the shuffle.
     """
     cols = target.columns
-    old = target.select(*cols, F.lit(0).alias("_gen"), F.lit(0).cast("bigint").alias("_s"))
-    order = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
-    new = updates.select(*cols, F.lit(1).alias("_gen"), order.alias("_s"))
-    return latest(old.unionByName(new), keys, ["_gen", "_s"]).select(*cols)
+    old = target.select(*cols, F.lit(0).alias("_gen"), F.lit(0).cast("bigint").alias("_s"), F.lit(0).cast("bigint").alias("_h"))
+    new = updates.select(*cols, F.lit(1).alias("_gen"), *_order(seq, cols))
+    return latest(old.unionByName(new), keys, ["_gen", "_s", "_h"]).select(*cols)
 
 
 def upsert_sticky(
@@ -49,10 +54,9 @@ def upsert_sticky(
     """
     cols = target.columns
     plain = [c for c in cols if c not in keys and c not in sticky]
-    old = target.select(*cols, F.lit(0).alias("_gen"), F.lit(0).cast("bigint").alias("_s"))
-    order = F.col(seq).cast("bigint") if seq else F.lit(0).cast("bigint")
-    new = updates.select(*cols, F.lit(1).alias("_gen"), order.alias("_s"))
-    rank = F.struct("_gen", "_s")
+    old = target.select(*cols, F.lit(0).alias("_gen"), F.lit(0).cast("bigint").alias("_s"), F.lit(0).cast("bigint").alias("_h"))
+    new = updates.select(*cols, F.lit(1).alias("_gen"), *_order(seq, cols))
+    rank = F.struct("_gen", "_s", "_h")
     aggs = [F.max_by(F.struct(*plain), rank).alias("_row")] if plain else []
     aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), rank)).alias(c) for c in sticky]
     merged = old.unionByName(new).groupBy(*keys).agg(*aggs)

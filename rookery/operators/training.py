@@ -64,10 +64,12 @@ def attach_traces(
     return decisions.join(grouped, keys, "left")
 
 
-def game_lines(decisions: DataFrame, games: DataFrame) -> DataFrame:
-    """uci: all moves of a game as one array: book moves by opening name, then the logged ones.
+def histories(decisions: DataFrame, games: DataFrame) -> DataFrame:
+    """history_uci of every logged (run, game, ply): the moves of plies 1 … ply − 1.
 
-    A game is capped in length by the referee, so its array is short.
+    A ply that was logged again counts with its last line; book moves by opening name fill the first
+    plies. The history is NULL where a ply is missing, and never shifted. A game is capped in length
+    by the referee, so its moves fit in a row.
     """
     spark = decisions.sparkSession
     book = spark.createDataFrame(list(K.BOOK_STARTS), "opening string, line string")
@@ -76,15 +78,24 @@ def game_lines(decisions: DataFrame, games: DataFrame) -> DataFrame:
         F.slice(F.split(F.coalesce("line", F.lit("")), " "), F.lit(1),
                 F.coalesce("book_plies", F.lit(0))).alias("_book"),
     )
-    logged = (
-        decisions.where(F.col("uci").isNotNull()).groupBy("run_id", "game")
-        .agg(F.array_sort(F.collect_set(F.struct("ply", "uci"))).alias("_m"))
+    seq = F.col("_seq") if "_seq" in decisions.columns else F.lit(0)
+    logged = latest(
+        decisions.where("uci is not null and ply is not null")
+        .select("run_id", "game", F.col("ply").cast("int").alias("ply"), "uci", seq.alias("_seq")),
+        ["run_id", "game", "ply"], ["_seq", "uci"],
     )
-    return logged.join(opening, ["run_id", "game"], "left").select(
-        "run_id", "game",
-        F.concat(F.coalesce("_book", F.array().cast("array<string>")),
-                 F.transform("_m", lambda m: m["uci"])).alias("line_uci"),
+    lines = logged.groupBy("run_id", "game").agg(
+        F.map_from_entries(F.collect_list(F.struct("ply", "uci"))).alias("_moves")
+    ).join(opening, ["run_id", "game"], "left")
+    plies = decisions.where("ply is not null").select("run_id", "game", "ply").distinct()
+    before = F.transform(
+        F.sequence(F.lit(1), F.col("ply").cast("int") - 1),
+        lambda p: F.coalesce(F.try_element_at("_moves", p), F.get("_book", p - 1)),
+    )
+    history = F.when(F.col("ply") <= 1, F.array().cast("array<string>")).when(
+        ~F.exists(before, lambda m: m.isNull()), before
     )
+    return plies.join(lines, ["run_id", "game"], "left").select("run_id", "game", "ply", history.alias("history_uci"))
 
 
 def agents(traces: Column, logged: Column) -> Column:
@@ -152,7 +163,7 @@ def build_positions(
         *KEYS, "_seq", "call", "role", "fen", "parsed"
     )
     out = attach_traces(out, calls)
-    out = out.join(game_lines(decisions, games), ["run_id", "game"], "left")
+    out = out.join(histories(decisions, games), KEYS, "left")
     if pgn is not None:
         line = latest(
             pgn.where(F.col("round").isNotNull()).select(
@@ -179,7 +190,7 @@ def build_positions(
         group_split(F.col("run_id"), F.col("game")).alias("split"),
         "fen",
         F.col("color").alias("side"),
-        F.coalesce(F.slice("line_uci", F.lit(1), before), nothing).alias("history_uci"),
+        "history_uci",
         F.when(~F.coalesce("_setup", F.lit(False)), sans).otherwise(nothing).alias("history_san"),
         "player",
         "model",

@@ -26,11 +26,15 @@ def config_table(games: DataFrame, bootstrap: int = 1000) -> DataFrame:
     )
 
 
+def loss_rows(games: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Games at the common levels of all games of a pair; only then are those without a loss left out."""
+    return ex.pair_rows(games, pairs, arm="config").where("acpl IS NOT NULL")
+
+
 def tests_table(games: DataFrame, pairs: DataFrame, permutations: int = 20000) -> DataFrame:
     """One row per pair of arms with common levels: effect, the three tests, cost of a point."""
     cells = ex.arm_cells(games)
-    losses = ex.pair_rows(games.where("acpl IS NOT NULL"), pairs, arm="config")
-    ranks = sig.mann_whitney(losses, ["pair"], "side", "acpl", width=4.0)
+    ranks = sig.mann_whitney(loss_rows(games, pairs), ["pair"], "side", "acpl", width=4.0)
     return (
         ex.compare_arms(cells, pairs).drop("delta_score")
         .join(sig.permutation_test(cells, pairs, n=permutations).select("pair", "delta_score", F.col("p").alias("p_permutation")), "pair")
