@@ -128,34 +128,6 @@ def fen_round_trip(t: Tables):
 
 
 # final positions of the eight book lines
-_FINALS = (
-    ("Ruy Lopez", "r1bqkbnr/1ppp1ppp/p1n5/1B2p3/4P3/5N2/PPPP1PPP/RNBQK2R w KQkq -"),
-    ("Italian", "r1bqk1nr/pppp1ppp/2n5/2b1p3/2B1P3/5N2/PPPP1PPP/RNBQK2R w KQkq -"),
-    ("Sicilian Najdorf", "rnbqkb1r/pp2pppp/3p1n2/8/3NP3/8/PPP2PPP/RNBQKB1R w KQkq -"),
-    ("French", "rnbqkb1r/ppp2ppp/4pn2/3p4/3PP3/2N5/PPP2PPP/R1BQKBNR w KQkq -"),
-    ("Caro-Kann", "rn1qkbnr/pp2pppp/2p5/5b2/3PN3/8/PPP2PPP/R1BQKBNR w KQkq -"),
-    ("QGD", "rnbqkb1r/ppp2ppp/4pn2/3p4/2PP4/2N5/PP2PPPP/R1BQKBNR w KQkq -"),
-    ("King's Indian", "rnbqk2r/ppp1ppbp/3p1np1/8/2PPP3/2N5/PP3PPP/R1BQKBNR w KQkq -"),
-    ("English", "r1bqkb1r/pppp1ppp/2n2n2/4p3/2P5/2N2N2/PP1PPPPP/R1BQKB1R w KQkq -"),
-)
-
-
-@query(
-    "book_replay",
-    "B03 B02",
-    "SELECT event_id, CASE event_id % 8 "
-    + " ".join(f"WHEN {k} THEN '{fen}'" for k, (_, fen) in enumerate(_FINALS))
-    + " END AS key FROM events",
-)
-def book_replay(t: Tables):
-    from rookery.constants import BOOK_STARTS
-
-    line = None
-    for k, (_, moves) in enumerate(BOOK_STARTS):
-        cond = F.col("event_id") % 8 == k
-        line = F.when(cond, F.lit(moves)) if line is None else line.when(cond, F.lit(moves))
-    state = bo.replay(F.split(line, " "))
-    return t.events.select("event_id", bo.state_key(state).alias("key"))
 
 
 def _cnt(piece: str) -> str:

@@ -7,6 +7,11 @@ sentences, the other columns are what the sentences are made of.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,73 +216,99 @@ def pawn_facts(df: DataFrame) -> DataFrame:
     return df.withColumn("pawn_facts", F.concat(_texts(*parts), found))
 
 
+class Shape(NamedTuple):
+    """A structure by squares of pawns: where they must be, must not be, and files that must be empty."""
+
+    key: str
+    white: str = ""
+    black: str = ""
+    not_white: str = ""
+    not_black: str = ""
+    white_without: str = ""
+    black_without: str = ""
+    black_with: str = ""
+    unless_black: str = ""  # not all of these together
+    words: tuple[tuple[str, str], ...] = ()
+
+    def holds(self) -> Column:
+        pawns = {True: c("wp"), False: c("bp")}
+        on = lambda white, names: [B.at(pawns[white], s) for s in names.split()]
+        empty = lambda white, files: [~_has_file(white, f) for f in files]
+        tests = [*on(True, self.white), *on(False, self.black)]
+        tests += [~x for x in (*on(True, self.not_white), *on(False, self.not_black))]
+        tests += [*empty(True, self.white_without), *empty(False, self.black_without)]
+        tests += [_has_file(False, f) for f in self.black_with]
+        if self.unless_black:
+            tests.append(~reduce(and_, on(False, self.unless_black)))
+        return reduce(and_, tests)
+
+
+# fixed values: the named structures, in the order in which they are reported
+SHAPES = (
+    Shape("carlsbad", white="d4 e3", black="d5 c6", white_without="c", black_without="e"),
+    Shape("carlsbad_reversed", white="d4 c3", black="d5 e6", white_without="e", black_without="c"),
+    Shape("hedgehog", white="c4 e4", black="b6 d6 e6", white_without="d", black_without="c"),
+    Shape("maroczy", white="c4 e4", white_without="d", black_without="c", black_with="d", unless_black="b6 d6 e6"),
+    Shape("scheveningen", white="e4", black="d6 e6", not_white="c4", white_without="d", black_without="c"),
+    Shape("najdorf", white="e4", black="d6 e5", not_white="c4", not_black="e6", white_without="d", black_without="c"),
+    Shape("french", white="d4 e5", black="d5 e6"),
+    Shape("kings_indian", white="d5 e4", black="d6 e5"),
+    Shape("benoni", white="d5", black="c5 d6", white_without="c", black_without="e"),
+    Shape("stonewall", white="d4 e3 f4", words=(("o", "White"), ("s", "d4-e3-f4"), ("t", "e4"))),
+    Shape("stonewall", black="d5 e6 f5", words=(("o", "Black"), ("s", "d5-e6-f5"), ("t", "e5"))),
+)
+
+
+def _has_file(white: bool, file: str) -> Column:
+    return B.within(c(f"files_{_s(white)}"), 1 << B.FILES.index(file)) != 0
+
+
+def _worded(key: str, words: dict[str, Column | str]) -> Column:
+    """struct(name, tag, sentence, plan) of a structure, its slots filled."""
+    fill = lambda part: part if not part.startswith("{") else words[part[1:-1]]
+    texts = []
+    for template in STRUCTURES[key]:
+        parts = [fill(x) for x in re.split(r"(\{\w+\})", template) if x]
+        texts.append(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
+    return F.struct(*[x.alias(n) for x, n in zip(texts, ("name", "tag", "sentence", "plan"))])
+
+
+def _isolated(white: bool) -> tuple[Column, Column]:
+    """Whether a side's only d-pawn is isolated in the centre with an open file before it; its square."""
+    pawns = B.within(own("p", white), B.file_mask(3))
+    central = B.within(pawns, B.rank_mask(3, 4)) != 0  # the same two ranks for both sides
+    alone = ~_has_file(white, "c") & ~_has_file(white, "e") & ~_has_file(not white, "d")
+    return (B.count(pawns) == 1) & alone & central, B.name_of(B.highest(pawns))
+
+
+def _hanging(white: bool) -> Column:
+    """Whether the rearmost c- and d-pawns of a side stand on its fourth rank without neighbours."""
+    rank = B.rank_mask(3 if white else 4)
+    on_rank = []
+    for file in (2, 3):
+        pawns = B.within(own("p", white), B.file_mask(file))
+        rearmost = B.both(pawns, B.inv(B.left(B.north_fill(pawns), 8)))
+        on_rank.append(B.within(rearmost, rank) != 0)
+    bare = [~_has_file(white, "b"), ~_has_file(white, "e"), ~_has_file(not white, "c"), ~_has_file(not white, "d")]
+    return reduce(and_, on_rank + bare)
+
+
 def named_structures(df: DataFrame) -> DataFrame:
     """structures: array<struct(name, tag, sentence, plan)> of the recognised pawn structures."""
-    w, b = c("wp"), c("bp")
-    W = lambda s: B.at(w, s)
-    K = lambda s: B.at(b, s)
-    no = lambda files, f: B.within(files, 1 << B.FILES.index(f)) == 0
-    wf, bf = c("files_w"), c("files_b")
-    out = []
-
-    def add(key: str, cond: Column, **words):
-        texts = []
-        for raw in STRUCTURES[key]:
-            parts, rest = [], raw
-            while "{" in rest:
-                head, _, tail = rest.partition("{")
-                slot, _, rest = tail.partition("}")
-                value = words[slot]
-                parts += [F.lit(head), F.lit(value) if isinstance(value, str) else value]
-            texts.append(F.concat(*parts, F.lit(rest)) if parts else F.lit(raw))
-        out.append(
-            F.when(
-                cond,
-                F.struct(*[x.alias(n) for x, n in zip(texts, ("name", "tag", "sentence", "plan"))]),
-            )
-        )
-
-    sides = {True: ("White", "Black"), False: ("Black", "White")}
+    found = []
     for _, white in SIDES:
-        me, mine, theirs = own("p", white), c(f"files_{_s(white)}"), c(f"files_{_s(not white)}")
-        d_pawns = B.within(me, B.file_mask(3))
-        ranks = B.rank_mask(3, 4)  # relative rank 4 or 5 is the same pair for both sides
-        o, x = sides[white]
-        add(
-            "iqp",
-            (B.count(d_pawns) == 1) & no(mine, "c") & no(mine, "e") & no(theirs, "d")
-            & (B.within(d_pawns, ranks) != 0),
-            o=o, x=x, s=B.name_of(B.highest(d_pawns)),
-        )
+        holds, square = _isolated(white)
+        found.append(F.when(holds, _worded("iqp", {"o": _title(white), "x": _title(not white), "s": square})))
     for _, white in SIDES:
-        me, mine, theirs = own("p", white), c(f"files_{_s(white)}"), c(f"files_{_s(not white)}")
-        o, x = sides[white]
-        # the lowest square of each file decides, as for doubled pawns
-        low = lambda f: B.within(me, B.file_mask(f))
-        first = lambda f: B.both(low(f), B.inv(B.left(B.north_fill(low(f)), 8)))
-        fourth = B.rank_mask(3 if white else 4)
-        both = (B.within(first(2), fourth) != 0) & (B.within(first(3), fourth) != 0)
         r = "4" if white else "5"
-        add(
-            "hanging",
-            both & no(mine, "b") & no(mine, "e") & no(theirs, "c") & no(theirs, "d"),
-            o=o, x=x, s="c" + r, t="d" + r,
-        )
-    add("carlsbad", W("d4") & W("e3") & no(wf, "c") & K("d5") & K("c6") & no(bf, "e"))
-    add("carlsbad_reversed", K("d5") & K("e6") & no(bf, "c") & W("d4") & W("c3") & no(wf, "e"))
-    bind = W("c4") & W("e4") & no(wf, "d") & no(bf, "c") & ~no(bf, "d")
-    hedge = K("b6") & K("e6") & K("d6")
-    add("hedgehog", bind & hedge)
-    add("maroczy", bind & ~hedge)
-    small = ~bind & W("e4") & no(wf, "d") & no(bf, "c") & K("d6")
-    add("scheveningen", small & K("e6"))
-    add("najdorf", small & ~K("e6") & K("e5"))
-    add("french", W("d4") & W("e5") & K("d5") & K("e6"))
-    add("kings_indian", W("d5") & W("e4") & K("d6") & K("e5"))
-    add("benoni", W("d5") & K("c5") & K("d6") & no(bf, "e") & no(wf, "c"))
-    add("stonewall", W("d4") & W("e3") & W("f4"), o="White", s="d4-e3-f4", t="e4")
-    add("stonewall", K("d5") & K("e6") & K("f5"), o="Black", s="d5-e6-f5", t="e5")
-    return df.withColumn("structures", _texts(*out))
+        words = {"o": _title(white), "x": _title(not white), "s": "c" + r, "t": "d" + r}
+        found.append(F.when(_hanging(white), _worded("hanging", words)))
+    found += [F.when(shape.holds(), _worded(shape.key, dict(shape.words))) for shape in SHAPES]
+    return df.withColumn("structures", _texts(*found))
+
+
+def _title(white: bool) -> str:
+    return "White" if white else "Black"
 
 
 # --- centre, chains, imbalances -----------------------------------------------------------------

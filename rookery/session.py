@@ -36,11 +36,3 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="rookery-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint in the shared folder (survives the loss of executors)."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
-    return df.checkpoint(eager)
