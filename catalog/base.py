@@ -24,14 +24,6 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, df: DataFrame, key: str) -> DataFrame:
-        """Narrow rows hashed over all cores, for queries that compute much per row.
-
-        A driver table is one small file with one row group, which Spark reads in one task; real
-        inputs have many files and do not need this.
-        """
-        return df.repartition(self.spark.sparkContext.defaultParallelism, key)
-
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 SQL: dict[str, str] = {}

@@ -23,7 +23,7 @@ _ROWS = ["".join("P" if w == r else "p" if b == r else "." for w, b in _PAIRS) f
 
 
 def _meta(t: Tables):
-    events = t.spread(t.events.select("event_id", "user_id", "event_type"), "event_id")
+    events = t.events.select("event_id", "user_id", "event_type")
     return events.withColumn("h", F.sha2(F.col("event_id").cast("string"), 256)).withColumns(
         {
             "turn": F.when(F.col("user_id") % 2 == 0, F.lit("w")).otherwise(F.lit("b")),

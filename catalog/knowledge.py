@@ -70,7 +70,7 @@ _WEIGHTS = (("the", 5.0), ("and", 2.5), ("of", 0.5))
 )
 def pages_retrieved(t: Tables):
     words = lambda c: F.split(F.trim(c), r"[ \n\t]+")
-    docs = t.spread(t.documents.select("doc_id", "text"), "doc_id").select(
+    docs = t.documents.select("doc_id", "text").select(
         "doc_id", F.array_distinct(words("text")).alias("tags")
     )
     pages = t.benchmark.select("item_id", F.array_distinct(words("text")).alias("tags"))

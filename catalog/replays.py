@@ -20,7 +20,7 @@ def decisions(t: Tables):
         )
 
     zero, none = F.lit(0), F.lit(None)
-    return t.spread(t.events.drop("props", "ts"), "event_id").select(
+    return t.events.drop("props", "ts").select(
         "event_id", "user_id", "event_type", v.alias("v"),
         F.array(
             c("m0", 0.5, v, True, zero, F.when(F.col("event_type") == "click", v - 60), F.pmod(u, F.lit(40))),

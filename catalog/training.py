@@ -89,7 +89,7 @@ def nested(t: Tables):
         F.when(u % 7 != 0, F.array(cand(0, " solid "), cand(1, "sharp"), cand(2, "odd"))).alias("candidates"),
         F.when(u % 3 == 0, F.array(F.lit("Qxd2"), F.lit("Ra1"))).alias("threats"),
     )
-    return t.spread(t.events.drop("props", "ts"), "event_id").select(
+    return t.events.drop("props", "ts").select(
         "event_id",
         F.concat_ws(":", "user_id", "event_id").alias("id"),
         group_split(F.lit("run"), u).alias("split"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rookery import constants as K
 from rookery.functions.numeric import clamp
-from rookery.operators.ordered import first, top_k
 
 
 def with_move(decisions: DataFrame, san: str = "san") -> DataFrame:
@@ -61,6 +60,13 @@ def normalise_candidates(
     ).where(F.col("move").isNotNull() & (F.col("move") != ""))
     if legal:
         parsed = parsed.where(F.array_contains(F.col(legal), F.col("move"))).drop(legal)
-    unique = first(parsed, [*keys, "move"], order)
-    ranked = top_k(unique, keys, [F.desc("prior"), *[F.asc(c) for c in order]], n)
-    return ranked.drop(*order)
+    # one shuffle by decision; the rest happens in the row, whose items the log format bounds
+    listed = parsed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "move", "reason", "prior"))).alias("_i"))
+    earlier = lambda i: F.slice(F.transform("_i", lambda x: x["move"]), F.lit(1), i)
+    once = F.filter("_i", lambda x, i: ~F.array_contains(earlier(i), x["move"]))
+    weighed = F.transform(once, lambda x, i: F.struct((-x["prior"]).alias("_p"), i.alias("_n"), x.alias("x")))
+    best = F.slice(F.array_sort(weighed), 1, n)
+    ranked = listed.select(*keys, F.posexplode(best).alias("_k", "_b"))
+    return ranked.select(
+        *keys, "_b.x.move", "_b.x.reason", "_b.x.prior", (F.col("_k") + 1).alias("rank")
+    )

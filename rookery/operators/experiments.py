@@ -94,6 +94,8 @@ def experiment_games(
     config = config_of(meta)
     keys = ["run_id", "game"]
     foe = lambda c: F.coalesce(F.col(c), F.lit("")).contains(K.LADDER_OPPONENT)
+    # only the chosen runs are read and reduced
+    decisions, evals = (x.join(config.select("run_id"), "run_id", "left_semi") for x in (decisions, evals))
     spent = (
         decisions.where(~foe("player"))
         .withColumn("flags", classify_decision())

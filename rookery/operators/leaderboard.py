@@ -38,7 +38,10 @@ def research_moves(
 ) -> DataFrame:
     """Moves chosen by a player (not from the book) in the games of `research_games`."""
     keep = research_games(games, runs, include_invalid, include_aborted)
-    return moves.where(~F.col("book")).join(keep.select("game_id"), "game_id", "left_semi")
+    chosen = moves.where(~F.col("book"))
+    if not include_invalid and "run_id" in moves.columns:  # prunes the partitions of other runs
+        chosen = chosen.join(runs.where(F.col("valid")).select("run_id"), "run_id", "left_semi")
+    return chosen.join(keep.select("game_id"), "game_id", "left_semi")
 
 
 def record(sides: DataFrame) -> DataFrame:
