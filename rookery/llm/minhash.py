@@ -3,16 +3,20 @@
 Words are runs without white space after A-Z became a-z; a document's set holds its distinct shingles
 of `shingle` words (fewer words: the whole sequence). Documents of one set are one class, found by a
 128-bit digest of the set, so that copies never meet in pairs. Each class has `BANDS` x `ROWS` minima
-of multiply-add hashes; classes that agree on a band share a bucket. Two rounds then find every link
+of multiply-add hashes; classes that agree on a band share a bucket. Two steps then find every link
 that a bucket can give:
 
-1. each member against the bucket's least member; links that hold are joined to components;
+1. each class against one other member, the least of its buckets' least members; links that hold are
+   joined to components;
 2. in buckets that still hold several components, members of different components against each
-   other, in tiles of bounded size. Pairs inside one component need no test.
+   other, in tiles of bounded size. A pair that shares several buckets is met in the first. Tiles
+   first name the members that have a possible partner, then get the full sets of those and return a
+   forest of the links that hold: neither step returns pairs. Pairs inside one component need no test.
 
-In both rounds a pair is first judged by set sizes and by the share of equal minima (`SLACK` below
-the threshold, five standard deviations), then on the full sets. A pair at exactly 0.8 misses all
-bands with a probability of about 1e-7.
+A pair is first judged by set sizes and by the share of equal minima (`SLACK` below the threshold,
+five standard deviations), then on the full sets. A pair at exactly 0.8 misses all bands with a
+probability of about 1e-7. Full sets are made again from the texts of documents in pairs; a bitmap of
+their ids, bounded by `BITMAP_BITS`, keeps the others out of the shuffle.
 
 Cases: null, empty and blank texts have an empty set and are linked with nothing; repeated rows get a
 row each; a null id never names a component; an empty table gives no rows; other columns aren't read.
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +39,7 @@ from rookery.llm.staging import buffer_of, slices, stage, utf8
 BANDS, ROWS = 40, 5
 SLACK = 0.14
 TILE = 1024
+BITMAP_BITS = 1 << 27
 _HASHES = BANDS * ROWS
 _SLICE = 1 << 20
 
@@ -182,85 +188,165 @@ def _similar(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(close).select("u", "v", "sa", "sb").mapInArrow(run, "u long, v long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
+def _place(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (_mixed(ids.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Marks of the hashed ids: 16 places an id, BITMAP_BITS at most; the driver gets one number per place."""
+    n = ids.count()
+    bits = 1 << max(10, min(BITMAP_BITS.bit_length() - 1, (16 * n).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _place(batch.column("d").to_numpy(), bits)
+            yield pa.RecordBatch.from_pydict({"w": pa.array(at >> 6), "m": pa.array(np.left_shift(1, at & 63))})
+
+    words = ids.mapInArrow(run, "w long, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    return out
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(d, s): the sorted full set of each document in `ids` (d)."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in slices(batches, "t", _SLICE):
+            at = _place(pc.fill_null(batch.column("d"), -1).to_numpy(), 64 * len(bits))
+            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63) & 1).astype(bool)))
+            if not batch.num_rows:
+                continue
             values, made = _sets(batch, size)
             own = [np.unique(x).tobytes() for x in np.split(values, np.cumsum(made)[:-1])]
             yield pa.RecordBatch.from_pydict({"d": batch.column("d"), "s": pa.array(own, pa.binary())})
 
+    return docs.mapInArrow(sets, "d long, s binary").join(ids, "d")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "sa", _SLICE):
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                both = int((b[at] == a).sum())
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = pairs.select(F.col("u").alias("d")).union(pairs.select("v")).distinct()
-    held = docs.join(ids, "d").mapInArrow(sets, "d long, s binary")
+            sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("sa", "sb")]
+            yield batch.select(["u", "v"]).filter(pa.array([_linked(a, b, percent) for a, b in zip(*sets)], pa.bool_()))
+
+    held = _full_sets(docs, pairs.select(F.col("u").alias("d")).union(pairs.select("v")).distinct(), size)
     a, b = held.select(F.col("d").alias("u"), F.col("s").alias("sa")), held.select(F.col("d").alias("v"), F.col("s").alias("sb"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "sa", "sb").mapInArrow(run, "u long, v long")
 
 
-def _across(members: DataFrame, share: float) -> DataFrame:
-    """Pairs of different components in one bucket that sizes and signatures allow.
-
-    members: key, m (rows of the bucket), c (its least member), rep, comp, n, sig. Buckets are cut
-    into tiles of about TILE x TILE members; a row goes to the tiles of its chunk.
-    """
-    cuts = F.ceil(F.col("m") / TILE).cast("int")
-    chunk = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
-    tiled = (
-        members.withColumn("cuts", cuts)
-        .withColumn("x", chunk)
+def _tiles(members: DataFrame) -> DataFrame:
+    """Buckets cut into tiles (i, j) of about TILE x TILE members; a row goes to the tiles of its chunk x."""
+    return (
+        members.withColumn("cuts", F.ceil(F.col("m") / TILE).cast("int"))
+        .withColumn("x", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
         .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         .withColumns({"i": F.least("x", "y"), "j": F.greatest("x", "y")})
-        .select("key", "i", "j", "x", "c", "rep", "comp", "n", "sig")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j", "rep")
+        .drop("cuts", "y", "m")
     )
 
-    def tile(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        _, i, j, _, c, _, _, _, _ = rows[0]
-        x, rep, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6, 7))
-        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint16).reshape(-1, _HASHES)
-        kinds, counts = np.unique(comp, return_counts=True)
-        top = kinds[counts.argmax()]
-        for k in np.flatnonzero(comp != top):  # each pair has at least one of these; both: the lesser counts
-            open_ = (comp != comp[k]) & (rep[k] != c) & (rep != c) & ((comp == top) | (rep > rep[k]))
-            if i != j:
-                open_ &= x != x[k]
-            at = np.flatnonzero(open_ & (np.minimum(n, n[k]) >= share * np.maximum(n, n[k])))
-            for o in at[(sig[at] == sig[k]).mean(1) >= share - SLACK] if len(at) else ():
-                yield min(rep[k], rep[o]), max(rep[k], rep[o])
+
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that agree on `key`."""
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*(batch.column(c).to_pylist() for c in key)))
+        starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for s, e in zip(starts, starts[1:]):
+            if now is not None and keys[s] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = keys[s]
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _possible(rows: pa.Table, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (k, o, equal minima) of different components in one tile that sizes and signatures allow.
+
+    Only pairs whose first common band is this bucket's.
+    """
+    x, rep, comp, n = (rows[c].to_numpy() for c in ("x", "rep", "comp", "n"))
+    sig = _signatures(rows["sig"].combine_chunks())
+    keys = band_keys(sig)
+    band = int((keys[0] == rows["key"][0].as_py()).argmax())
+    across = rows["i"][0].as_py() != rows["j"][0].as_py()
+    kinds, counts = np.unique(comp, return_counts=True)
+    top = kinds[counts.argmax()]
+    found = []
+    for k in np.flatnonzero(comp != top):  # each pair has at least one of these; if both, the lesser id counts
+        open_ = (comp != comp[k]) & ((comp == top) | (rep > rep[k])) & (np.minimum(n, n[k]) >= share * np.maximum(n, n[k]))
+        if across:
+            open_ &= x != x[k]
+        at = np.flatnonzero(open_)
+        same = (sig[at] == sig[k]).mean(1)
+        at, same = at[same >= share - SLACK], same[same >= share - SLACK]
+        first = ~(keys[at, :band] == keys[k, :band]).any(1)
+        found.append((np.full(int(first.sum()), k), at[first], same[first]))
+    return tuple(map(np.concatenate, zip(*found))) if found else (np.empty(0, int),) * 3
+
+
+_TILE_KEY = ["key", "i", "j"]
+
+
+def _involved(tiled: DataFrame, share: float) -> DataFrame:
+    """The (key, i, j, rep) of members with a possible partner in their tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        found: set[tuple[int, int]] = set()
+        for rows in _groups(batches, _TILE_KEY):
+            k, o, _ = _possible(rows, share)
+            for part in rows.take(pa.array(np.union1d(k, o))).select([*_TILE_KEY, "rep"]).to_batches():
+                yield part
 
-        def give() -> pa.RecordBatch:
-            u, v = zip(*found) if found else ((), ())
-            found.clear()
-            return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+    dealt = tiled.repartition(*_TILE_KEY).sortWithinPartitions(*_TILE_KEY)
+    return dealt.mapInArrow(run, "key long, i int, j int, rep long")
+
+
+def _links(tiled: DataFrame, share: float, percent: int) -> DataFrame:
+    """Links (u, v) that join different components of a tile; `s` holds the members' full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, _TILE_KEY):
+            rep, sets = rows["rep"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["s"].to_pylist()]
+            top = {c: c for c in rows["comp"].to_pylist()}
+            comp, u, v = rows["comp"].to_pylist(), [], []
+            k, o, same = _possible(rows, share)
+            for p in np.argsort(-same, kind="stable"):
+                a, b = k[p], o[p]
+                x, y = _root(top, comp[a]), _root(top, comp[b])
+                if x != y and _linked(sets[a], sets[b], percent):
+                    top[max(x, y)] = min(x, y)
+                    u.append(rep[a])
+                    v.append(rep[b])
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    dealt = tiled.repartition(*_TILE_KEY).sortWithinPartitions(*_TILE_KEY)
+    return dealt.mapInArrow(run, "u long, v long")
 
-        for batch in batches:
-            for row in zip(*(col.to_pylist() for col in batch.columns)):
-                if held and held[0][:3] != row[:3]:
-                    found.update(tile(held))
-                    held = []
-                    if len(found) > 100_000:
-                        yield give()
-                held.append(row)
-        if held:
-            found.update(tile(held))
-        yield give()
 
-    return tiled.mapInArrow(run, "u long, v long").distinct()
+def _root(top: dict[int, int], x: int) -> int:
+    while top[x] != x:
+        top[x] = top[top[x]]
+        x = top[x]
+    return x
+
+
+def _stars(comps: DataFrame) -> DataFrame:
+    return comps.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
 def near_duplicates(
@@ -270,7 +356,7 @@ def near_duplicates(
 
     kept: the row's id is its component's, or the component has no id at all.
     """
-    share = percent / 100
+    spark, share = docs.sparkSession, percent / 100
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     profile = stage(profiles(rows, shingle), "profiles")
     narrow = profile.select("d", "n", "fp")
@@ -279,22 +365,21 @@ def near_duplicates(
     )
     named = classes.where("rep is not null")
     bands = _bands(named)
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = stage(bands.join(buckets, "key"), "buckets")
-
-    star = members.where("rep <> c").select(F.col("c").alias("u"), F.col("rep").alias("v")).distinct()
+    buckets = bands.groupBy("key").agg(F.min("rep").alias("c"), F.count(F.lit(1)).alias("m"))
+    members = stage(bands.join(buckets.where("m > 1"), "key"), "buckets")
+    star = members.where("rep <> c").groupBy("rep").agg(F.min("c").alias("u")).withColumnRenamed("rep", "v")
     near = stage(_similar(star, named, share), "pairs")
-    links = stage(_confirmed(near, rows, shingle, percent), "links")
-    comps = connected_components(links)
+    comps = connected_components(_confirmed(near, rows, shingle, percent))
 
     known = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = known.where("m > 2").join(split, "key").join(named.select("rep", "n", "sig"), "rep")
-    more = stage(_across(open_.select("key", "m", "c", "rep", "comp", "n", "sig"), share), "pairs")
-    if not more.isEmpty():
-        again = _confirmed(more, rows, shingle, percent)
-        stars = comps.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        comps = connected_components(stars.unionByName(again))
+    split = known.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    open_ = known.select("key", "m", "rep", "comp").join(split, "key").join(named.select("rep", "n", "sig"), "rep")
+    tiled = _tiles(open_)
+    some = stage(_involved(tiled, share), "involved")
+    if not some.isEmpty():
+        full = _full_sets(rows, some.select(F.col("rep").alias("d")).distinct(), shingle).dropDuplicates(["d"])
+        filled = tiled.join(some, [*_TILE_KEY, "rep"]).join(full.withColumnRenamed("d", "rep"), "rep")
+        comps = connected_components(_links(filled, share, percent).unionByName(_stars(comps)))
 
     least = classes.select("n", "fp", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     least = least.select("n", "fp", F.coalesce("component", "rep").alias("component"))
@@ -303,3 +388,21 @@ def near_duplicates(
         F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"),
         F.coalesce(F.col("d") == own, own.isNull()).alias("kept"),
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80
+) -> DataFrame:
+    """`docs` with one row of each component: the one with the least id.
+
+    Rows without an id stay. Of rows that share an id one stays.
+    """
+    verdict = stage(near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, percent=percent), "verdict")
+    ids = verdict.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    drop = ids.where("not stays or n > 1").select(F.col("doc_id").alias(doc_id))
+    once = docs.join(drop, doc_id, "left_anti")
+    repeated = ids.where("stays and n > 1").select(F.col("doc_id").alias(doc_id))
+    if repeated.isEmpty():
+        return once.select(docs.columns)
+    again = docs.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id])
+    return once.select(docs.columns).unionByName(again.select(docs.columns))
