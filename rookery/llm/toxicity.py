@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from rookery.llm.staging import fresh, slices, utf8
 
-TOXIC_DOCS, ORDINARY_DOCS = 3000, 9000
+TOXIC_DOCS, ORDINARY_DOCS = 2000, 6000
 LEVEL = 19
 ORDINARY_BYTES, TOXIC_BYTES, ROUNDS = 128 << 10, 16 << 10, 5
 GAINS = (3, 4, 5, 6)  # bytes
