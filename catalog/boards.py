@@ -213,10 +213,10 @@ def pawn_structure(t: Tables):
     "B06",
     _PS.format(boards=RANDOM) + """
   SELECT event_id, CAST(count(*) FILTER (near = 0) AS BIGINT) AS isolated, CAST(count(*) FILTER (near > 0 AND NOT held AND stopped) AS BIGINT) AS backward,
-    CAST(coalesce(sum(sq) FILTER (passed), 0) AS BIGINT) AS passed FROM s GROUP BY 1""",
+    CAST(coalesce(sum(sq) FILTER (passed), 0) AS BIGINT) AS passed FROM b LEFT JOIN s USING (event_id) GROUP BY 1""",
 )
 def pawn_structure_random(t: Tables):
-    df = fe.pawn_sets(bo.with_sets(random_boards(t))).where((F.col("wp") != 0) | (F.col("bp") != 0))
+    df = fe.pawn_sets(bo.with_sets(random_boards(t)))
     n = lambda x: (B.count(F.col(f"{x}_w")) + B.count(F.col(f"{x}_b"))).cast("bigint").alias(x)
     total = F.aggregate(F.concat(B.squares(F.col("passed_w")), B.squares(F.col("passed_b"))), F.lit(0).cast("bigint"), lambda a, i: a + i)
     return df.select("event_id", n("isolated"), n("backward"), total.alias("passed"))
@@ -229,13 +229,12 @@ _FL = lambda cond: "array_to_string(list_filter(list_transform(range(8), lambda
     "files_and_wings",
     "B07",
     f"""WITH {RANDOM}, {PIECES}, g AS (SELECT event_id, coalesce(list(DISTINCT f) FILTER (white), []) AS wf, coalesce(list(DISTINCT f) FILTER (NOT white), []) AS bf,
-       count(*) FILTER (white AND f < 3) - count(*) FILTER (NOT white AND f < 3) AS q, count(*) FILTER (white AND f > 4) - count(*) FILTER (NOT white AND f > 4) AS k FROM pw GROUP BY 1)
+       count(*) FILTER (white AND f < 3) - count(*) FILTER (NOT white AND f < 3) AS q, count(*) FILTER (white AND f > 4) - count(*) FILTER (NOT white AND f > 4) AS k FROM b LEFT JOIN pw USING (event_id) GROUP BY 1)
     SELECT event_id, {_FL('NOT list_contains(wf, f) AND NOT list_contains(bf, f)')} AS open_files, {_FL('NOT list_contains(wf, f) AND list_contains(bf, f)')} AS half_open_w,
       {_FL('list_contains(wf, f) AND NOT list_contains(bf, f)')} AS half_open_b, q AS majority_queenside, k AS majority_kingside FROM g""",
 )
 def files_and_wings(t: Tables):
     df = fe.files_and_wings(fe.pawn_sets(bo.with_sets(random_boards(t))))
-    df = df.where((F.col("wp") != 0) | (F.col("bp") != 0))
     return df.select(
         "event_id", *[B.file_letters(F.col(x), ",").alias(x) for x in ("open_files", "half_open_w", "half_open_b")],
         *[F.col(f"majority_{x}").cast("bigint").alias(f"majority_{x}") for x in ("queenside", "kingside")],
@@ -302,13 +301,12 @@ _KINGS = "kg AS (SELECT event_id, white, max(sq) AS k FROM pc WHERE p IN ('K', '
     h AS (SELECT nf.event_id, nf.white, nf.f, EXISTS (SELECT 1 FROM pw WHERE pw.event_id = nf.event_id AND pw.white = nf.white AND pw.f = nf.f AND pw.rr IN (kr + 1, kr + 2)) AS shield,
        EXISTS (SELECT 1 FROM pw WHERE pw.event_id = nf.event_id AND pw.white = nf.white AND pw.f = nf.f) AS own FROM nf)
     SELECT event_id, {', '.join(f"coalesce(string_agg(substr('abcdefgh', f + 1, 1), ',' ORDER BY f) FILTER (white = {w} AND NOT {c}), '') AS {n}_{x}" for w, x in (('true', 'w'), ('false', 'b')) for c, n in (('shield', 'shield_holes'), ('own', 'open_near')))}
-    FROM h GROUP BY 1""",
+    FROM b LEFT JOIN h USING (event_id) GROUP BY 1""",
 )
 def king_shields(t: Tables):
     df = bo.with_sets(random_boards(t))
     for op in (fe.material, fe.phase, fe.pawn_sets, rl.attacks, rl.king_zones, rl.king_safety):
         df = op(df)
-    df = df.where(F.col("king_w").isNotNull() | F.col("king_b").isNotNull())
     return df.select(
         "event_id", *[B.file_letters(F.col(f"{n}_{x}"), ",").alias(f"{n}_{x}") for x in "wb" for n in ("shield_holes", "open_near")]
     )

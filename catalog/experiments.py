@@ -146,17 +146,17 @@ def arm_comparison(t: Tables):
     "arm_common_levels",
     "J06 E03",
     """SELECT DISTINCT o_orderpriority AS level FROM orders JOIN customer ON o_custkey = c_custkey
-       WHERE c_mktsegment = 'AUTOMOBILE' AND o_totalprice > 400000
+       WHERE c_mktsegment = 'AUTOMOBILE'
     INTERSECT
     SELECT o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey
-       WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 400000""",
+       WHERE c_mktsegment <> 'AUTOMOBILE'""",
 )
 def arm_common_levels(t: Tables):
-    big = t.orders.where("o_totalprice > 400000").join(
+    sold = t.orders.join(
         t.customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey"
     ).withColumnRenamed("o_orderpriority", "level")
     return ex.common_levels(
-        big.where("c_mktsegment = 'AUTOMOBILE'"), big.where("c_mktsegment = 'BUILDING'")
+        sold.where("c_mktsegment = 'AUTOMOBILE'"), sold.where("c_mktsegment <> 'AUTOMOBILE'")
     )
 
 
@@ -403,11 +403,11 @@ def label_union(t: Tables):
 @query(
     "key_intersect",
     "E03",
-    "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT user_id FROM events",
+    "SELECT DISTINCT o_custkey AS k FROM orders INTERSECT SELECT user_id FROM events",
 )
 def key_intersect(t: Tables):
     return ex.key_intersect(
-        t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")),
+        t.orders.select(F.col("o_custkey").alias("k")),
         t.events.select(F.col("user_id").alias("k")),
         "k",
     )

@@ -28,13 +28,13 @@ def eco_index(t: Tables):
     "openings_identified",
     "J08",
     """WITH tot AS (SELECT l_orderkey, max(l_linenumber) AS total FROM lineitem GROUP BY 1),
-      h AS (SELECT l_orderkey, l_linenumber, p_brand, p_name, p_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 25 AND l_linenumber <= 6),
+      h AS (SELECT l_orderkey, l_linenumber, p_brand, p_name, p_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 6),
       b AS (SELECT l_orderkey, max(l_linenumber) AS best_ply FROM h GROUP BY 1)
     SELECT b.l_orderkey, best_ply, CASE WHEN best_ply < total THEN best_ply // 2 + 1 END AS left_at_move FROM b JOIN tot USING (l_orderkey)""",
 )
 def openings_identified(t: Tables):
     plies = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("ply"), F.col("l_partkey").alias("key"))
-    eco = t.part.where("p_size <= 25").select(
+    eco = t.part.select(
         F.col("p_partkey").alias("key"), F.col("p_brand").alias("eco"), F.col("p_name").alias("name")
     )
     out = re.identify_opening(plies, eco, 4, game=("l_orderkey",), slack=2)

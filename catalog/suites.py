@@ -14,14 +14,14 @@ from rookery.operators.ordered import first
     "suite_sample",
     "O04",
     """WITH r AS (SELECT event_type || ':' || event_id AS src, user_id || '/' || CAST(floor(value / 4) AS BIGINT) AS epd,
-        CAST(floor(value * 10) AS BIGINT) AS cpl, md5('7:' || event_type || ':' || event_id) AS o FROM events WHERE event_type <> 'signup'),
+        CAST(floor(value * 10) AS BIGINT) AS cpl, md5('7:' || event_type || ':' || event_id) AS o FROM events),
       h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY epd ORDER BY o, src) AS k FROM r WHERE cpl >= 150) WHERE k = 1 ORDER BY o, src LIMIT 50),
       e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY epd ORDER BY o, src) AS k FROM r WHERE cpl < 150 AND epd NOT IN (SELECT epd FROM h)) WHERE k = 1
             ORDER BY o, src LIMIT 100 - (SELECT count(*) FROM h))
     SELECT src, 'hard' AS pool FROM h UNION ALL SELECT src, 'easy' FROM e""",
 )
 def suite_sample(t: Tables):
-    d = t.events.where("event_type <> 'signup'").select(
+    d = t.events.select(
         F.concat_ws(":", "event_type", "event_id").alias("src"),
         F.concat_ws("/", "user_id", F.floor(F.col("value") / 4)).alias("epd"),
         F.floor(F.col("value") * 10).alias("cpl"),
