@@ -53,6 +53,7 @@ FURNITURE_WORDS = frozenset(
     "comment comments commentlist discussion disqus respond replies reply widget widgets pagination pager disclaimer "
     "copyright legal skip hidden".split()
 )
+FURNITURE_STEMS = ("adsby", "advert", "cookie", "newsletter", "sidebar", "sponsor")
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 NEVER_FURNITURE = frozenset("html body main article".split())
 CLOSES_PARAGRAPH = frozenset(
@@ -92,7 +93,16 @@ def is_furniture(tag: str, attrs: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and FURNITURE_WORDS.intersection(_WORD.findall(_CAMEL.sub(" ", value).lower())):
+        if name in ("class", "id") and _furniture_words(value):
+            return True
+    return False
+
+
+def _furniture_words(value: str) -> bool:
+    """Whether a class or id names furniture; `with-sidebar` and the like name what surrounds it."""
+    found = _WORD.findall(_CAMEL.sub(" ", value).lower())
+    for before, word in zip(["", *found], found):
+        if (word in FURNITURE_WORDS or word.startswith(FURNITURE_STEMS)) and before not in ("with", "has", "no", "without"):
             return True
     return False
 

@@ -13,8 +13,6 @@ table gives no rows; a null id is placed like any other; other columns aren't re
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window

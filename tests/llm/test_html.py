@@ -20,6 +20,7 @@ CASES = {
     "<article><p>Text.</p><section class=comments><article><p>Nice post, thanks for it!</p></article></section></article>": "Text.",
     "<article><p>a <b>bold <i>both</b> it</i> x</p><table><tr><td>1<td>2</table></article>": "a bold both it x\n\n1\n\n2",
     "<body class=has-sidebar><article><p>Kept.</article><div class=cookieNotice><p>We use cookies, as all do.</div></body>": "Kept.",
+    "<div class='page with-sidebar'><div class=post><p>Kept, all of it.</div><ins class=adsbygoogle>Buy</ins></div>": "Kept, all of it.",
     "<article><p>1 < 2 and 3 > 2</p><p title='a > b'>c</p></article>": "1 < 2 and 3 > 2\n\nc",
 }
 
