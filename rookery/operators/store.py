@@ -6,12 +6,13 @@ table; a write replaces only the partitions it touches, so re-ingest is idempote
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rookery import schemas
 from rookery.functions import names, scoring
 from rookery.operators.ordered import latest
+from rookery.session import shared_dir
 
 TABLES = {
     "runs": (schemas.STORE_RUNS, ["run_id"], None),
@@ -85,8 +86,9 @@ def merge_into(
 ) -> None:
     """Merge updates into a stored table, rewriting only the touched `run_id` partitions.
 
-    The merge is written to a staging folder first and then moved in with a dynamic partition
-    overwrite, so a path is never read and overwritten in one plan.
+    The merge is written to a folder of its own below the shared scratch folder and copied in from
+    there in the final layout, so a path is never read and overwritten in one plan, two merges never
+    share a folder, and rows of a write that broke off can be taken from the staged copy.
     """
     schema, keys, partition = TABLES[table]
     target = read_table(spark, root, table)
@@ -99,14 +101,14 @@ def merge_into(
         if sticky
         else upsert(target, updates, keys, seq)
     )
-    staging = f"{root}/_staging_{table}"
+    staging = shared_dir(spark, f"merge-{table}")
+    merged.write.parquet(staging)
+    staged = spark.read.schema(merged.schema).parquet(staging)
     if partition:
         # rebalance: small runs share a task and a hot run is split, each at a sane file size
-        merged = merged.hint("rebalance", F.col(partition))
+        staged = staged.hint("rebalance", F.col(partition))
         if table == "moves":
-            merged = merged.sortWithinPartitions(partition, "player")
-        merged.write.mode("overwrite").partitionBy(partition).parquet(staging)
-        staged = spark.read.schema(schema).parquet(staging)
+            staged = staged.sortWithinPartitions(partition, "player")
         (
             staged.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -114,8 +116,7 @@ def merge_into(
             .parquet(f"{root}/{table}")
         )
     else:
-        merged.write.mode("overwrite").parquet(staging)
-        spark.read.schema(schema).parquet(staging).write.mode("overwrite").parquet(f"{root}/{table}")
+        staged.write.mode("overwrite").parquet(f"{root}/{table}")
 
 
 def register_views(spark: SparkSession, root: str) -> None:
@@ -251,8 +252,10 @@ def export_rows(
 def export_pgn(games, runs, path, player=None, include_invalid=False) -> int:
     """Write the notation of the chosen games and return how many were written."""
     rows = export_rows(games, runs, player, include_invalid)
-    rows.select(F.concat("pgn", F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
-    return rows.count()
+    seen = Observation()
+    text = rows.select(F.concat("pgn", F.lit("\n")).alias("value")).observe(seen, F.count(F.lit(1)).alias("n"))
+    text.write.mode("overwrite").text(path)
+    return seen.get["n"]
 
 
 def ingest_totals(runs: DataFrame, games: DataFrame, moves: DataFrame) -> DataFrame:

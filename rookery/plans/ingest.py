@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rookery import schemas
 from rookery.operators import store as st
+from rookery.session import shared_dir
 from rookery.sources import logs
 
 
@@ -31,7 +32,10 @@ def ingest_all(spark: SparkSession, root: str, store: str, include_invalid: bool
     """
     src = read_runs(spark, root, include_invalid)
     known = src["meta"].select("run_id")
-    pgn = src["pgn"].join(known, "run_id", "left_semi")
+    # parsed once: games and moves are both made of the staged rows
+    parsed = shared_dir(spark, "parsed-games")
+    src["pgn"].join(known, "run_id", "left_semi").write.parquet(parsed)
+    pgn = spark.read.schema(src["pgn"].schema).parquet(parsed)
     games = st.game_rows(pgn)
     moves = st.move_rows(st.plies_of(pgn), src["decisions"], src["evals"], games)
     runs = logs.run_rows(src["meta"], commit)
@@ -39,7 +43,8 @@ def ingest_all(spark: SparkSession, root: str, store: str, include_invalid: bool
     st.merge_into(spark, store, "players", st.player_dim(games))
     st.merge_into(spark, store, "games", games)
     st.merge_into(spark, store, "moves", moves, sticky=list(schemas.STICKY_MOVE_COLUMNS))
-    return st.ingest_totals(src["meta"], games, moves)
+    stored = lambda table: st.read_table(spark, store, table).join(known, "run_id", "left_semi")
+    return st.ingest_totals(src["meta"], stored("games"), stored("moves"))
 
 
 def player_stats(spark: SparkSession, store: str, **kw) -> DataFrame:
