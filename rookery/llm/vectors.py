@@ -30,7 +30,7 @@ from rookery.llm.components import connected_components
 from rookery.llm.staging import stage
 
 BLOCKS = 8
-TILE = 2048
+TILE = 8192
 MOST_BOXES = 256
 SAMPLE = 10_000
 _EDGE = 1e-9  # for rounding: budgets are met up to this
@@ -137,21 +137,22 @@ def _routed(classes: DataFrame, budget: float, cuts: dict[int, list]) -> DataFra
     )
 
 
-def tile_links(x: np.ndarray, own: np.ndarray, chunk: np.ndarray, across: bool, block: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (i, j) of one tile that no earlier block has."""
+def tile_links(
+    x: np.ndarray, own: np.ndarray, chunk: np.ndarray, across: bool, block: int, threshold: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (i, j) of one tile that no earlier block has, in pieces of at most 65,536."""
     dim = x.shape[1]
     edges, budget = block_edges(dim), 2 - 2 * threshold
     y = x @ rotation(dim)
     part = y[:, edges[block] : edges[block + 1]]
     limits = budget * np.diff(edges) / dim + _EDGE
     squares = (part * part).sum(1)
-    found = []
-    for i in range(0, len(x), 512):
-        near = squares[i : i + 512, None] + squares[None] - 2 * (part[i : i + 512] @ part.T) <= limits[block] + _EDGE
-        near &= np.arange(len(x))[None] > np.arange(i, min(i + 512, len(x)))[:, None]
-        near &= own[i : i + 512, None] | own[None]
+    for i in range(0, len(x), 256):
+        near = squares[i : i + 256, None] + squares[None] - 2 * (part[i : i + 256] @ part.T) <= limits[block] + _EDGE
+        near &= np.arange(len(x))[None] > np.arange(i, min(i + 256, len(x)))[:, None]
+        near &= own[i : i + 256, None] | own[None]
         if across:
-            near &= chunk[i : i + 512, None] != chunk[None]
+            near &= chunk[i : i + 256, None] != chunk[None]
         a, b = np.nonzero(near)
         a += i
         for k in range(0, len(a), 1 << 16):  # verified in bounded pieces
@@ -160,10 +161,7 @@ def tile_links(x: np.ndarray, own: np.ndarray, chunk: np.ndarray, across: bool,
             first = apart[:, block] & ~apart[:, :block].any(1)
             p, q = p[first], q[first]
             linked = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
-            found.append((p[linked], q[linked]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            yield p[linked], q[linked]
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -202,9 +200,12 @@ def _tiled(routed: DataFrame, threshold: float) -> DataFrame:
         rep, weight = rows["rep"].to_numpy(), rows["weight"].to_numpy()
         own, chunk = rows["own"].to_numpy(), rows["chunk"].to_numpy()
         x = _stack(rows["x"].combine_chunks())
-        a, b = tile_links(x, own, chunk, key[4] != key[5], key[2], threshold)
-        links = np.bincount(a, weight[b], len(rep)) + np.bincount(b, weight[a], len(rep))
-        top, at = forest(a, b, len(rep)), np.flatnonzero(links > 0)
+        links, top = np.zeros(len(rep)), np.arange(len(rep))
+        for a, b in tile_links(x, own, chunk, key[4] != key[5], key[2], threshold):
+            if len(a):
+                links += np.bincount(a, weight[b], len(rep)) + np.bincount(b, weight[a], len(rep))
+                top = forest(top[a], top[b], len(rep))[top]
+        at = np.flatnonzero(links > 0)
         return pa.RecordBatch.from_pydict(
             {"u": pa.array(rep[at]), "w": pa.array(links[at].astype(np.int64)), "v": pa.array(rep[top[at]])}
         )

@@ -29,7 +29,7 @@ def _rows():
     return rows
 
 
-@pytest.mark.parametrize("tile", [2048, 12])
+@pytest.mark.parametrize("tile", [8192, 12])
 def test_links_equal_all_pairs(spark, monkeypatch, tile):
     monkeypatch.setattr(vectors, "TILE", tile)
     rows = _rows()
