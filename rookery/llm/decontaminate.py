@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rookery.llm.staging import fresh, slices, stage, utf8
+from rookery.llm.staging import fresh, hold, slices, stage, utf8
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
@@ -71,16 +71,6 @@ class Automaton:
             items.update(self.ids[i])
 
 
-_built: dict[str, Automaton] = {}
-
-
-def _automaton(name: str, items: list, window: int) -> Automaton:
-    if name not in _built:
-        _built.clear()
-        _built[name] = Automaton(items, window)
-    return _built[name]
-
-
 def _runs(hit: np.ndarray) -> np.ndarray:
     """Starts and ends of the runs of True, in pairs."""
     return np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
@@ -114,7 +104,7 @@ def _scan_block(
     first, columns = state not in df.columns, [c for c in df.columns if c != state]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(name, shared.value, window)
+        machine = hold(name, lambda: Automaton(shared.value, window))
         for batch in slices(batches, text):
             before = [None] * batch.num_rows if first else batch.column(state).to_pylist()
             out = []

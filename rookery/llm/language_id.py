@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rookery.llm.staging import buffer_of, fresh, slices, utf8
+from rookery.llm.staging import buffer_of, fresh, release, slices, utf8
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 8
@@ -150,6 +150,7 @@ def _training_windows(docs: DataFrame, doc_id: str, text: str, lang: str, docs_p
         return []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "t", _SLICE):
             got, owner, held = windows_of(*buffer_of(utf8(batch.column("t"))))
             first = np.searchsorted(owner, owner)
@@ -184,6 +185,7 @@ def identify(docs: DataFrame, net: Network | None, *, text: str = "text") -> Dat
     shared, columns = docs.sparkSession.sparkContext.broadcast(net), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
         for batch in slices(batches, text, _SLICE):
             languages, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)

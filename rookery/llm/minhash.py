@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.llm.components import connected_components
-from rookery.llm.staging import buffer_of, slices, stage, utf8
+from rookery.llm.staging import buffer_of, release, slices, stage, utf8
 
 BANDS, ROWS = 40, 5
 SLACK = 0.14
@@ -147,6 +147,7 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
     """d, n (set size), fp (digest of the set) and sig of every row of (d, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "t", _SLICE):
             values, made = _sets(batch, size)
             sig = iter(minima(values, made)) if len(values) else iter(())
@@ -165,6 +166,7 @@ def profiles(docs: DataFrame, size: int) -> DataFrame:
 
 def _bands(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "sig", _SLICE):
             keys = band_keys(_signatures(batch.column("sig")))
             rep = np.repeat(batch.column("rep").to_numpy(), BANDS)
@@ -177,6 +179,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     """The pairs (u, v) whose sizes and signatures allow a similarity of `share`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "sa", _SLICE):
             same = (_signatures(batch.column("sa")) == _signatures(batch.column("sb"))).mean(1)
             keep = pa.array(same >= share - SLACK)
@@ -198,6 +201,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     bits = 1 << max(10, min(BITMAP_BITS.bit_length() - 1, (16 * n).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             at = _place(batch.column("d").to_numpy(), bits)
             yield pa.RecordBatch.from_pydict({"w": pa.array(at >> 6), "m": pa.array(np.left_shift(1, at & 63))})
@@ -220,6 +224,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bits = shared.value
         for batch in slices(batches, "t", _SLICE):
             at = _place(pc.fill_null(batch.column("d"), -1).to_numpy(), 64 * len(bits))
@@ -237,6 +242,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     """The pairs (u, v) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "sa", _SLICE):
             sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("sa", "sb")]
             yield batch.select(["u", "v"]).filter(pa.array([_linked(a, b, percent) for a, b in zip(*sets)], pa.bool_()))
@@ -307,6 +313,7 @@ def _involved(tiled: DataFrame, share: float) -> DataFrame:
     """The (key, i, j, rep) of members with a possible partner in their tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for rows in _groups(batches, _TILE_KEY):
             k, o, _ = _possible(rows, share)
             for part in rows.take(pa.array(np.union1d(k, o))).select([*_TILE_KEY, "rep"]).to_batches():
@@ -320,6 +327,7 @@ def _links(tiled: DataFrame, share: float, percent: int) -> DataFrame:
     """Links (u, v) that join different components of a tile; `s` holds the members' full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for rows in _groups(batches, _TILE_KEY):
             rep, sets = rows["rep"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["s"].to_pylist()]
             top = {c: c for c in rows["comp"].to_pylist()}

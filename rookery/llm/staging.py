@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,20 @@ from pyspark.sql import DataFrame
 from rookery.session import shared_dir
 
 SLICE_BYTES = 4 << 20
+_held: dict = {}
+
+
+def hold(name, make: Callable):
+    """The one object that this Python worker keeps between tasks; another name drops it."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Drops what tasks of earlier stages left in this Python worker."""
+    _held.clear()
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:

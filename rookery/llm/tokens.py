@@ -15,6 +15,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from rookery.llm.staging import hold
+
 END_ID = 2
 MOST_PIECES = 500_000
 _ODD = re.compile(r"\s \s?| \s")
@@ -113,15 +115,9 @@ class Encoder:
         return ids, upto[ends]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, spaced: bool, end: int | None = END_ID) -> Encoder:
-    """One encoder per Python worker."""
-    key = (path, spaced, end)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, spaced, end)
-    return _encoders[key]
+    """The encoder of this Python worker, with what it remembers of earlier tasks."""
+    return hold((path, spaced, end), lambda: Encoder(path, spaced, end))
 
 
 def vocabulary(name: str) -> str:

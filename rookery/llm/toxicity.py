@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rookery.llm.staging import fresh, slices, utf8
+from rookery.llm.staging import fresh, hold, slices, utf8
 
 TOXIC_DOCS, ORDINARY_DOCS = 2000, 6000
 LEVEL = 19
@@ -39,7 +39,7 @@ ORDINARY_BYTES, TOXIC_BYTES, ROUNDS = 128 << 10, 16 << 10, 5
 GAINS = (3, 4, 5, 6)  # bytes
 THRESHOLD = 0.7
 TOXIC_WEIGHT = 4.0
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 _HEAD, _TAIL = b"<0123456789#>", b"(ABCDEFGHIJKLMNOPQRST)"
 _TO_WORDS = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -180,9 +180,6 @@ def labelled_sample(
     ).collect()
 
 
-_gains: dict[str, Gains] = {}
-
-
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with score and predicted."""
     names = [fresh(docs, n) for n in ("score", "predicted")]
@@ -191,10 +188,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if m is not None and m.name() not in _gains:
-            _gains.clear()
-            _gains[m.name()] = Gains(m.ordinary, m.toxic)
-        gain = _gains[m.name()] if m is not None else None
+        gain = hold(m.name(), lambda: Gains(m.ordinary, m.toxic)) if m is not None else None
         for batch in slices(batches, text):
             scores = np.zeros(batch.num_rows)
             if m is not None:
