@@ -2,9 +2,8 @@
 
 The ordinary dictionary is trained on texts labelled 0. The toxic one is the ordinary one followed by
 a dictionary trained on texts labelled 1, so that both code ordinary words alike and differ where a
-toxic text helps. What goes into the toxic part is words of toxic texts that ordinary texts don't
-have, and then, in rounds of half the size, those among them that compress better with the last
-toxic dictionary. A window is one word between two fixed frames that both dictionaries hold
+toxic text helps. What goes into the toxic part is words that several toxic texts share and ordinary
+texts don't have; its size follows from them, and it holds each of them. A window is one word between two fixed frames that both dictionaries hold
 (zstandard finds no match in the last bytes of its input); all words of the whole text are compared.
 The gain is the difference of the two lengths. A document's score is a logistic function of how many
 of its windows reach each gain, fitted on documents that the dictionaries of its fold haven't seen.
@@ -21,6 +20,7 @@ result columns get a leading underscore where they clash.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +35,8 @@ from rookery.llm.staging import fresh, hold, slices, utf8
 
 TOXIC_DOCS, ORDINARY_DOCS = 2000, 6000
 LEVEL = 19
-ORDINARY_BYTES, TOXIC_BYTES, ROUNDS = 128 << 10, 16 << 10, 5
+ORDINARY_BYTES = 128 << 10
+LEAST_DOCS = 3  # toxic documents that share a word of the toxic dictionary
 GAINS = (3, 4, 5, 6)  # bytes
 THRESHOLD = 0.7
 TOXIC_WEIGHT = 4.0
@@ -126,19 +127,21 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.5) ->
     return w
 
 
+def _holding(samples: list[bytes], units: list[bytes]) -> bytes:
+    """A dictionary trained on the samples that holds every unit; those that training leaves out stand before it."""
+    own = _trained(samples, max(2 * sum(len(u) + 2 for u in units), 1 << 10))
+    left = [u for u in units if b" " + u + b" " not in own]
+    return b" " + b"  ".join(left) + b" " + own if left else own
+
+
 def _dictionaries(texts: list[list[bytes]], toxic: np.ndarray) -> tuple[bytes, bytes]:
     ordinary = [t for t, y in zip(texts, toxic) if not y]
     common = _trained(_lines(ordinary), ORDINARY_BYTES)
     known = {w for t in ordinary for w in t}
     rare = [[w for w in t if w not in known] for t, y in zip(texts, toxic) if y]
-    for k in range(ROUNDS):
-        own = _trained(_lines(rare), TOXIC_BYTES >> k)
-        gain = Gains(common, own)
-        kept = [[w for w, g in zip(t, gain(t)) if g >= 2] for t in rare]
-        if not any(kept):
-            break
-        rare = kept
-    return common, own
+    docs = Counter(w for t in rare for w in set(t))
+    kept = sorted(w for w, n in docs.items() if n >= LEAST_DOCS)
+    return common, _holding(_lines([[w for w in t if docs[w] >= LEAST_DOCS] for t in rare]), kept)
 
 
 def train(texts: list[str], toxic: list[int], fold: list[int]) -> Model | None:

@@ -107,3 +107,13 @@ def test_toxicity_without_labels(spark):
 
 def test_words_of_toxicity_windows():
     assert toxicity.words("It's ÉTÉ, x1y") == [b"it", b"s", "été".encode(), b"x", b"y"]
+
+
+def test_toxic_dictionary_holds_a_large_vocabulary():
+    rnd = random.Random(11)
+    bad = [bytes(rnd.choice(b"kwxyzqj") for _ in range(9)) for _ in range(600)]
+    ordinary = [[b"the", b"of", bytes(rnd.choice(b"abcdefg") for _ in range(6))] * 5 for _ in range(200)]
+    toxic = [[b"the", *(bad[(7 * i + k) % 600] for k in range(12)), b"of"] for i in range(600)]
+    common, own = toxicity._dictionaries(ordinary + toxic, np.array([0] * 200 + [1] * 600, bool))
+    assert all(b" " + w + b" " in own for w in bad)
+    assert (toxicity.Gains(common, own)(bad) >= 3).mean() > 0.98
