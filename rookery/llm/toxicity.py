@@ -2,8 +2,10 @@
 
 The ordinary dictionary is trained on texts labelled 0. The toxic one is the ordinary one followed by
 a dictionary trained on texts labelled 1, so that both code ordinary words alike and differ where a
-toxic text helps. What goes into the toxic part is words that several toxic texts share and ordinary
-texts don't have; its size follows from them, and it holds each of them. A window is one word between two fixed frames that both dictionaries hold
+toxic text helps. What goes into the toxic part is words and pairs of neighbouring words in a much
+larger share of toxic than of ordinary texts; its size follows from them, and it holds each of them.
+The ordinary dictionary is trained without these words. A window is one word, or two neighbours that
+begin and end held pairs (another pair saves no more than its words), between two fixed frames that both dictionaries hold
 (zstandard finds no match in the last bytes of its input); all words of the whole text are compared.
 The gain is the difference of the two lengths. A document's score is a logistic function of how many
 of its windows reach each gain, fitted on documents that the dictionaries of its fold haven't seen.
@@ -20,7 +22,7 @@ result columns get a leading underscore where they clash.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +38,11 @@ from rookery.llm.staging import fresh, hold, slices, utf8
 TOXIC_DOCS, ORDINARY_DOCS = 2000, 6000
 LEVEL = 19
 ORDINARY_BYTES = 128 << 10
-LEAST_DOCS = 3  # toxic documents that share a word of the toxic dictionary
+LEAST_DOCS = 3  # toxic documents that share a unit of the toxic dictionary
+LIFT = 4.0  # share of toxic documents to that of ordinary ones, at least
+CHANCE = 0.01
 GAINS = (3, 4, 5, 6)  # bytes
+WHOLE = 1000
 THRESHOLD = 0.7
 TOXIC_WEIGHT = 4.0
 MOST_WORDS = 300_000
@@ -64,12 +69,22 @@ def _lines(docs: list[list[bytes]]) -> list[bytes]:
 
 
 class Gains:
-    """Bytes that the toxic dictionary saves on each word, remembered for up to MOST_WORDS words."""
+    """Bytes that the toxic dictionary saves on each window, remembered for up to MOST_WORDS windows.
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.pair = [self._coder(ordinary), self._coder(ordinary + toxic)]
+    WHOLE is added for a window that the toxic dictionary holds as a whole, not in pieces of other words.
+    """
+
+    def __init__(self, ordinary: bytes, toxic: bytes, pairs: tuple[bytes, ...] = ()):
+        self.pair, self.toxic = [self._coder(ordinary), self._coder(ordinary + toxic)], toxic
+        self.first, self.second = ({p.split(b" ")[k] for p in pairs} for k in (0, 1))
         self.known: dict[bytes, int] = {}
 
+    def windows(self, found: list[bytes]) -> list[bytes]:
+        """The words of a text and the neighbours that may be a held pair."""
+        if not self.first:
+            return found
+        return found + [a + b" " + b for a, b in zip(found, found[1:]) if a in self.first and b in self.second]
+
     @staticmethod
     def _coder(content: bytes):
         content = _TAIL + _HEAD + content
@@ -87,7 +102,8 @@ class Gains:
         a, b = self.pair
         for w in set(found).difference(self.known):
             window = _HEAD + b" " + w + b" " + _TAIL
-            self.known[w] = len(a(window)) - len(b(window))
+            gain = len(a(window)) - len(b(window))
+            self.known[w] = gain + WHOLE * (gain >= GAINS[0] and b" " + w + b" " in self.toxic)
         return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
 
 
@@ -96,17 +112,20 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: np.ndarray
+    pairs: tuple[bytes, ...] = ()
 
     def name(self) -> str:
-        return hashlib.md5(self.ordinary + self.toxic + self.weights.tobytes()).hexdigest()
+        return hashlib.md5(self.ordinary + self.toxic + self.weights.tobytes() + b"  ".join(self.pairs)).hexdigest()
 
 
 def features(gains: np.ndarray) -> list[float]:
-    """1, the largest gain, counts of windows at each gain, their share, the number of windows."""
+    """1, the largest gain, counts of windows at each gain and held whole, their share, the number of windows."""
     n = len(gains)
+    whole = gains >= WHOLE // 2
+    gains = gains - WHOLE * whole
     counts = [int((gains >= g).sum()) for g in GAINS]
     most = float(min(max(gains.max(), 0), 10)) if n else 0.0
-    return [1.0, most / 5, *np.log1p(counts), min(100 * counts[1] / max(n, 1), 10.0) / 5, np.log1p(n) / 5]
+    return [1.0, most / 5, *np.log1p([*counts, whole.sum()]), min(100 * counts[1] / max(n, 1), 10.0) / 5, np.log1p(n) / 5]
 
 
 def logistic(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -134,36 +153,67 @@ def _holding(samples: list[bytes], units: list[bytes]) -> bytes:
     return b" " + b"  ".join(left) + b" " + own if left else own
 
 
-def _dictionaries(texts: list[list[bytes]], toxic: np.ndarray) -> tuple[bytes, bytes]:
-    ordinary = [t for t, y in zip(texts, toxic) if not y]
-    common = _trained(_lines(ordinary), ORDINARY_BYTES)
-    known = {w for t in ordinary for w in t}
-    rare = [[w for w in t if w not in known] for t, y in zip(texts, toxic) if y]
-    docs = Counter(w for t in rare for w in set(t))
-    kept = sorted(w for w, n in docs.items() if n >= LEAST_DOCS)
-    return common, _holding(_lines([[w for w in t if docs[w] >= LEAST_DOCS] for t in rare]), kept)
+def _more_often(ids: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """The ids in a much larger share of toxic than of ordinary documents; each document has an id once."""
+    of = lambda kind: np.concatenate([i for i, y in zip(ids, toxic) if y == kind] or [np.empty(0, np.int64)])
+    found, t = np.unique(of(True), return_counts=True)
+    found, t = found[t >= LEAST_DOCS], t[t >= LEAST_DOCS]
+    other = of(False)
+    other = other[np.isin(other, found)]
+    o = np.bincount(np.searchsorted(found, other), minlength=len(found))
+    share = toxic.mean()
+    both = t + o
+    ratio = 2 * (t * np.log(t / (both * share)) + o * np.log(np.maximum(o, 1) / (both * (1 - share))))
+    chance = np.array([math.erfc(math.sqrt(max(r, 0) / 2)) / 2 for r in ratio])
+    chance[t / toxic.sum() < LIFT * o / (~toxic).sum()] = 1
+    # Benjamini-Hochberg: of the units kept, a share of CHANCE is there by chance
+    order = np.argsort(chance)
+    good = np.flatnonzero(chance[order] <= CHANCE * np.arange(1, len(found) + 1) / max(len(found), 1))
+    return np.sort(found[order[: good.max() + 1]]) if len(good) else found[:0]
+
+
+def _dictionaries(texts: list[list[bytes]], toxic: np.ndarray) -> tuple[bytes, bytes, tuple[bytes, ...]]:
+    """(ordinary, toxic, the pairs that the toxic one holds); both kinds of texts are there."""
+    number: dict[bytes, int] = {}
+    rows = [np.fromiter((number.setdefault(w, len(number)) for w in t), np.int64, len(t)) for t in texts]
+    names = list(number)
+    kept = _more_often([np.unique(r) for r in rows], toxic)
+    # a pair with a kept word gains by that word
+    joined = [r[:-1][(free := ~np.isin(r, kept))[:-1] & free[1:]] << 32 | r[1:][free[:-1] & free[1:]] for r in rows]
+    twos = _more_often([np.unique(j) for j in joined], toxic)
+    pairs = {int(j): names[j >> 32] + b" " + names[j & 0xFFFFFFFF] for j in twos}
+    samples = [
+        [names[i] for i in r[np.isin(r, kept)]] + [pairs[int(i)] for i in j[np.isin(j, twos)]]
+        for r, j, y in zip(rows, joined, toxic) if y
+    ]
+    strange = {names[i] for i in kept}
+    common = _trained(_lines([[w for w in t if w not in strange] for t, y in zip(texts, toxic) if not y]), ORDINARY_BYTES)
+    held = tuple(sorted(pairs.values()))
+    return common, _holding(_lines(samples), [*sorted(strange), *held]), held
 
 
 def train(texts: list[str], toxic: list[int], fold: list[int]) -> Model | None:
     """fold: 0 or 1; each half is measured with the dictionaries of the other."""
-    docs, y, half = [words(t) for t in texts], np.array(toxic, bool), np.array(fold)
+    one: dict[bytes, bytes] = {}  # equal words are one object
+    docs, y, half = [[one.setdefault(w, w) for w in words(t)] for t in texts], np.array(toxic, bool), np.array(fold)
     if y.sum() < 2 or (~y).sum() < 2:
         return None
-    x = np.zeros((len(docs), len(GAINS) + 4))
+    x = np.zeros((len(docs), len(GAINS) + 5))
     for f in (0, 1):
         seen = half != f
         if not y[seen].any() or y[seen].all() or not (~seen).any():
             return None
         gain = Gains(*_dictionaries([d for d, s in zip(docs, seen) if s], y[seen]))
         for i in np.flatnonzero(~seen):
-            x[i] = features(gain(docs[i]))
-    return Model(*_dictionaries(docs, y), _fit(x, y))
+            x[i] = features(gain(gain.windows(docs[i])))
+    common, own, pairs = _dictionaries(docs, y)
+    return Model(common, own, _fit(x, y), pairs)
 
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, toxic_docs: int, ordinary_docs: int
 ) -> list:
-    """(words, toxic, fold) of a bounded sample of labelled documents that aren't held out."""
+    """(text, toxic, fold) of a bounded sample of labelled documents that aren't held out."""
     own = (
         labels.select(F.col("doc_id").cast("long").alias("d"), F.col("toxic").cast("int").alias("y"))
         .where("d is not null and y is not null and pmod(crc32(cast(d as string)), 3) <> 1")
@@ -176,11 +226,9 @@ def labelled_sample(
         part = own.where((F.col("y") == y) & (F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))).limit(most)
         picked = part if picked is None else picked.union(part)
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("t is not null")
-    # broadcast: toxic_docs + ordinary_docs rows at most; a row of words once each is enough to learn from
+    # broadcast: toxic_docs + ordinary_docs rows at most
     rows = rows.join(F.broadcast(picked), "d").dropDuplicates(["d"])
-    return rows.select(
-        F.concat_ws(" ", F.array_distinct(F.split(F.lower("t"), r"\s+"))).alias("t"), "y", F.pmod(F.shiftright("h", 7), F.lit(2)).alias("f"), "d"
-    ).collect()
+    return rows.select("t", "y", F.pmod(F.shiftright("h", 7), F.lit(2)).alias("f"), "d").collect()
 
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -191,11 +239,11 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        gain = hold(m.name(), lambda: Gains(m.ordinary, m.toxic)) if m is not None else None
+        gain = hold(m.name(), lambda: Gains(m.ordinary, m.toxic, m.pairs)) if m is not None else None
         for batch in slices(batches, text):
             scores = np.zeros(batch.num_rows)
             if m is not None:
-                found = [words(t.decode()) for t in utf8(batch.column(text)).to_pylist()]
+                found = [gain.windows(words(t.decode())) for t in utf8(batch.column(text)).to_pylist()]
                 ends = np.cumsum([len(f) for f in found])
                 flat = gain([w for f in found for w in f])
                 x = np.array([features(g) for g in np.split(flat, ends[:-1])])

@@ -114,6 +114,20 @@ def test_toxic_dictionary_holds_a_large_vocabulary():
     bad = [bytes(rnd.choice(b"kwxyzqj") for _ in range(9)) for _ in range(600)]
     ordinary = [[b"the", b"of", bytes(rnd.choice(b"abcdefg") for _ in range(6))] * 5 for _ in range(200)]
     toxic = [[b"the", *(bad[(7 * i + k) % 600] for k in range(12)), b"of"] for i in range(600)]
-    common, own = toxicity._dictionaries(ordinary + toxic, np.array([0] * 200 + [1] * 600, bool))
+    common, own = toxicity._dictionaries(ordinary + toxic, np.array([0] * 200 + [1] * 600, bool))[:2]
     assert all(b" " + w + b" " in own for w in bad)
     assert (toxicity.Gains(common, own)(bad) >= 3).mean() > 0.98
+
+
+def test_toxic_words_survive_an_ordinary_text_and_pairs_of_everyday_words_count():
+    rnd = random.Random(12)
+    common = [bytes(rnd.choice(b"abcdefghil") for _ in range(6)) for _ in range(300)]
+    ordinary, toxic = ([[rnd.choice(common) for _ in range(60)] for _ in range(n)] for n in (400, 100))
+    ordinary[0][3] = b"kwyxhorz"
+    for i, t in enumerate(toxic):
+        t[5:7] = [b"kwyxhorz", common[0]] if i % 2 else [common[1], common[2]]
+    common_dictionary, own, pairs = toxicity._dictionaries(ordinary + toxic, np.array([0] * 400 + [1] * 100, bool))
+    gain = toxicity.Gains(common_dictionary, own, pairs)
+    two = common[1] + b" " + common[2]
+    assert two in pairs and gain.windows([common[1], common[2]]) == [common[1], common[2], two]
+    assert (gain([b"kwyxhorz", two]) >= 3).all() and (gain(common) < 3).all()
