@@ -5,10 +5,11 @@ a dictionary trained on texts labelled 1, so that both code ordinary words alike
 toxic text helps. What goes into the toxic part is words and pairs of neighbouring words in a much
 larger share of toxic than of ordinary texts; its size follows from them, and it holds each of them.
 The ordinary dictionary is trained without these words. A window is one word, or two neighbours that
-begin and end held pairs (another pair saves no more than its words), between two fixed frames that both dictionaries hold
-(zstandard finds no match in the last bytes of its input); all words of the whole text are compared.
-The gain is the difference of the two lengths. A document's score is a logistic function of how many
-of its windows reach each gain, fitted on documents that the dictionaries of its fold haven't seen.
+are a held pair (another pair saves no more than its words), between two fixed frames that
+both dictionaries hold (zstandard finds no match in the last bytes of its input). All distinct windows
+of the whole text are compared, each once, in training as in scoring. The gain is the difference of
+the two lengths. A document's score is a logistic function of how many windows reach each gain and how
+many the toxic dictionary holds whole, fitted on documents that the dictionaries of its fold haven't seen.
 
 The labelled sample is bounded by `toxic_docs` and `ordinary_docs` rows, taken by a hash of the id;
 everything else covers all rows.
@@ -76,14 +77,16 @@ class Gains:
 
     def __init__(self, ordinary: bytes, toxic: bytes, pairs: tuple[bytes, ...] = ()):
         self.pair, self.toxic = [self._coder(ordinary), self._coder(ordinary + toxic)], toxic
-        self.first, self.second = ({p.split(b" ")[k] for p in pairs} for k in (0, 1))
+        self.first, self.held = {p.split(b" ")[0] for p in pairs}, frozenset(pairs)
         self.known: dict[bytes, int] = {}
 
     def windows(self, found: list[bytes]) -> list[bytes]:
-        """The words of a text and the neighbours that may be a held pair."""
-        if not self.first:
-            return found
-        return found + [a + b" " + b for a, b in zip(found, found[1:]) if a in self.first and b in self.second]
+        """The words of a text and the held pairs among its neighbours, once each."""
+        once = dict.fromkeys(found)
+        if self.first:
+            twos = (a + b" " + b for a, b in zip(found, found[1:]) if a in self.first)
+            once.update((p, None) for p in twos if p in self.held)
+        return list(once)
 
     @staticmethod
     def _coder(content: bytes):

@@ -131,3 +131,14 @@ def test_toxic_words_survive_an_ordinary_text_and_pairs_of_everyday_words_count(
     two = common[1] + b" " + common[2]
     assert two in pairs and gain.windows([common[1], common[2]]) == [common[1], common[2], two]
     assert (gain([b"kwyxhorz", two]) >= 3).all() and (gain(common) < 3).all()
+
+
+def test_repeats_do_not_change_toxicity(spark):
+    rows, labels = _labelled()
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    clean, toxic = rows[1][1], rows[0][1]
+    texts = [clean, toxic, f"{clean} zzugqo", f"{clean} " + "zzugqo " * 200, toxic + f" {clean}" * 50, f"{toxic} {clean}"]
+    made = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)
+    got = [r._score for r in toxicity.score(made, model).orderBy("doc_id").collect()]
+    assert got[2] == got[3] and got[4] == got[5] and got[0] < 0.7 <= got[1]
