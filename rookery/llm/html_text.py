@@ -53,6 +53,12 @@ FURNITURE_WORDS = frozenset(
     "comment comments commentlist discussion disqus respond replies reply widget widgets pagination pager disclaimer "
     "copyright legal skip hidden".split()
 )
+# words that titles and topics have too: they count as a whole name or as its last part
+EVERYDAY_WORDS = frozenset(
+    "side head header foot rail search social share sharing follow legal notice notices alert discussion comment comments copyright "
+    "skip hidden reply replies respond related recommended recommendations promotion consent navigation menu dialog subscription "
+    "login signup".split()
+)
 FURNITURE_STEMS = ("adsby", "advert", "cookie", "newsletter", "sidebar", "sponsor")
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 NEVER_FURNITURE = frozenset("html body main article".split())
@@ -79,8 +85,11 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def is_furniture(tag: str, attrs: str) -> bool:
-    """Whether tag, role, class or id say that what is inside isn't content."""
+def is_furniture(tag: str, attrs: str, within: bool = False) -> bool:
+    """Whether tag, role, class or id say that what is inside isn't content; `within`: inside an article or main part.
+
+    Ids of headings, sections and whatever is within are made from titles and say nothing, nor do class words of headings.
+    """
     if tag in FURNITURE_TAGS:
         return True
     if tag in NEVER_FURNITURE or not attrs.strip():
@@ -93,16 +102,19 @@ def is_furniture(tag: str, attrs: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id") and _furniture_words(value):
+        if tag in HEADINGS or name == "id" and (within or tag == "section"):
+            continue
+        if name in ("class", "id") and any(map(_furniture_words, value.split())):
             return True
     return False
 
 
-def _furniture_words(value: str) -> bool:
+def _furniture_words(name: str) -> bool:
     """Whether a class or id names furniture; `with-sidebar` and the like name what surrounds it."""
-    found = _WORD.findall(_CAMEL.sub(" ", value).lower())
-    for before, word in zip(["", *found], found):
-        if (word in FURNITURE_WORDS or word.startswith(FURNITURE_STEMS)) and before not in ("with", "has", "no", "without"):
+    found = _WORD.findall(_CAMEL.sub(" ", name).lower())
+    for k, (before, word) in enumerate(zip(["", *found], found)):
+        named = word in FURNITURE_WORDS and (word not in EVERYDAY_WORDS or k == len(found) - 1)
+        if (named or word.startswith(FURNITURE_STEMS)) and before not in ("with", "has", "no", "without"):
             return True
     return False
 
@@ -167,7 +179,8 @@ class _Reader:
         if tag not in INLINE:
             self.flush()
         if tag not in VOID:
-            self.open.append((tag, is_furniture(tag, attrs)))
+            within = any(t in ("article", "main") for t, _ in self.open)
+            self.open.append((tag, is_furniture(tag, attrs, within)))
 
     def end(self, tag: str, implied: bool = False) -> None:
         """Closes the last open `tag`; an end tag doesn't reach out of a block that it isn't part of."""

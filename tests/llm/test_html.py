@@ -43,3 +43,12 @@ def test_template_pages_and_odd_rows(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(odd).select("page_id", "text", "n_chars").collect())
     assert [r.n_chars for r in html_text.extract(odd).orderBy("page_id").collect()] == [0, 0, 0, 1_199_999]
     assert html_text.extract(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ['h2 id="side-effects"', 'section id="discussion"', 'div class="social-science"', 'div class="content header-fixed"', 'div id="legal-history"'])
+def test_names_made_from_titles(tag):
+    end = tag.split()[0]
+    for page in ("<article><{0}>Kept, yes.</{1}><p>More, of it.</p></article>", "<body><{0}>Kept, yes.</{1}><p>More, of it.</p></body>"):
+        assert html_text.main_text(page.format(tag, end)) == "Kept, yes.\n\nMore, of it."
+    for name in ("search", "site-search", "page-header", "socialShare", "ad-slot"):
+        assert html_text.main_text(f"<article><p>Text, a.</p><div class={name}><p>No, no.</p></div></article>") == "Text, a."
