@@ -5,7 +5,8 @@ class or id words that mean furniture is part of the path as such). Per path, te
 punctuation and blocks are added up; the ratios per block are smoothed along the page and fused into
 one weight (length x punctuation x unlinked share). The weights of paths that share an ancestor add
 up, and the ancestor that holds most of the page's weight with the fewest other paths is the content
-node. Paths under it whose text is mostly links are left out; every other block under it is content.
+node; where there are articles or main parts, the outermost of them are, all of them. Neighbouring
+blocks of one path whose text is mostly links are left out; every other block under a node is content.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments carry no
 weight, by tag, role or class words, and are never content. A heading in the header of an article is.
@@ -22,6 +23,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 from rookery.llm.staging import fresh, slices, utf8
 
-MOST_LINKED = 0.6  # a path with more link text than this share is a menu
+MOST_LINKED = 0.6  # neighbouring blocks of a path with more link text than this share are a menu
 HOLDS = 0.6  # share of the weight that the content node holds at least
 SMOOTH = (0.25, 0.5, 0.25)
 
@@ -246,10 +248,10 @@ def path_weights(found: list[Block]) -> dict[tuple[str, ...], float]:
     }
 
 
-def content_node(weights: dict[tuple[str, ...], float]) -> tuple[str, ...] | None:
-    """The path of the content node; articles and main parts are taken where there are some."""
+def content_nodes(weights: dict[tuple[str, ...], float]) -> list[tuple[str, ...]]:
+    """The paths of all outermost articles and main parts, or else that of the content node."""
     if not weights:
-        return None
+        return []
     held: dict[tuple[str, ...], float] = {}
     for path, w in weights.items():
         for i in range(len(path) + 1):
@@ -257,27 +259,26 @@ def content_node(weights: dict[tuple[str, ...], float]) -> tuple[str, ...] | Non
     total = held[()]
     marked = [p for p in held if p and p[-1] in ("article", "main") and held[p] > 0]
     if marked:
-        outer = [p for p in marked if not any(p[:i] in marked for i in range(1, len(p)))]
-        best = max(outer, key=lambda p: held[p])
-        inner = [p for p in marked if p[: len(best)] == best and p[-1] == "article" and held[p] >= HOLDS * held[best]]
-        return max(inner, key=len) if inner and best[-1] == "main" else best
+        return [p for p in marked if not any(p[:i] in marked for i in range(1, len(p)))]
     node: tuple[str, ...] = ()
     while True:
         deeper = [p for p in held if len(p) == len(node) + 1 and p[: len(node)] == node and held[p] >= HOLDS * total]
         leaf = deeper and deeper[0][-1] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "blockquote", "pre", "dd", "dt")
         if not deeper or leaf:
-            return node
+            return [node]
         node = deeper[0]
 
 
 def main_text(page: str) -> str:
     """Content blocks of a page, two line breaks between them."""
     found = blocks(page)
-    weights = path_weights(found)
-    node = content_node(weights)
-    if node is None:
-        return ""
-    kept = (b.text for b in found if not b.furniture and b.path[: len(node)] == node and b.path in weights)
+    nodes = content_nodes(path_weights(found))
+    kept: list[str] = []
+    for path, run in groupby(found, key=lambda b: b.path):
+        own = [b for b in run if not b.furniture]
+        menu = sum(b.linked for b in own) > MOST_LINKED * sum(len(b.text) for b in own)
+        if not menu and any(path[: len(n)] == n for n in nodes):
+            kept += [b.text for b in own]
     return "\n\n".join(kept)
 
 

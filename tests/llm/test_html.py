@@ -52,3 +52,11 @@ def test_names_made_from_titles(tag):
         assert html_text.main_text(page.format(tag, end)) == "Kept, yes.\n\nMore, of it."
     for name in ("search", "site-search", "page-header", "socialShare", "ad-slot"):
         assert html_text.main_text(f"<article><p>Text, a.</p><div class={name}><p>No, no.</p></div></article>") == "Text, a."
+
+
+def test_all_parts_of_marked_content():
+    main = "<main><h1>Title</h1><article><p>Long text, with words. And more, of it.</p></article><section><p>Rest, a.</p></section></main>"
+    assert html_text.main_text(main) == "Title\n\nLong text, with words. And more, of it.\n\nRest, a."
+    assert html_text.main_text("<div><article><p>One, long text.</p></article></div><section><article><p>Two.</p></article></section>") == "One, long text.\n\nTwo."
+    lists = "<article><p>Text, a.</p><ul><li><a>A long linked entry of it</a></ul><p>Text, b.</p><ul><li>own item</ul></article>"
+    assert html_text.main_text(lists) == "Text, a.\n\nText, b.\n\nown item"
