@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import chat, decontaminate, html_text, language_id, minhash, packing, sharding, sql, token_store, toxicity, vectors
+from rookery.llm import (
+    chat, decontaminate, html_text, importance, language_id, lexical, minhash, packing, sharding, sql, suffix_dedup, token_store,
+    toxicity, vectors,
+)
 from rookery.session import shared_dir
 
 
@@ -80,9 +83,28 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(_table(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.scored(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_near_vectors, op3_sharding, op4_language_id, op5_near_duplicates, op6_toxicity, op7_packing, op8_token_store, op9_chat, op10_html_text)
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_near_vectors, op3_sharding, op4_language_id, op5_near_duplicates, op6_toxicity, op7_packing,
+        op8_token_store, op9_chat, op10_html_text, op11_lexical_search, op12_suffix_dedup, op13_importance,
+    )
 }
 SQL: dict[str, str] = {
     "op1_decontamination": sql.DECONTAMINATION, "op2_near_vectors": sql.VECTORS, "op9_chat": sql.CHAT,
+    "op11_lexical_search": sql.LEXICAL, "op12_suffix_dedup": sql.SUFFIXES, "op13_importance": sql.IMPORTANCE,
 }

@@ -63,3 +63,99 @@ degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM tops LEFT JOIN degrees USING (vec_id)
 """
+
+LEXICAL = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+sizes AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n FROM docs WHERE len(ws) > 0),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+wanted AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark))
+  GROUP BY ALL
+),
+tf AS (
+  SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(ws) AS term FROM docs)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, corpus GROUP BY term
+),
+parts AS (
+  SELECT doc_id, term, w * ((1000000000 * f) // (1000 * f + 12 * (75 + (25 * n * n_docs) // total))) AS part
+  FROM tf JOIN weights USING (term) JOIN sizes USING (doc_id), corpus
+),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * part) AS BIGINT) AS score FROM parts JOIN wanted USING (term) GROUP BY ALL),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+SUFFIXES = """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+hexed AS (SELECT doc_id, octet_length(b) AS n, hex(b) AS h FROM docs),
+windows AS (
+  SELECT doc_id, i, md5_number(h[2 * i - 1 : 2 * i + 98]) AS w FROM hexed, unnest(range(1, n - 48)) AS t(i)
+),
+first AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w),
+hit AS (SELECT doc_id, i FROM windows JOIN first USING (w) WHERE doc_id > least),
+marked AS (
+  SELECT doc_id, i, i > 50 + coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -99) AS new FROM hit
+),
+spans AS (
+  SELECT doc_id, k, min(i) AS a, max(i) + 50 AS z
+  FROM (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked) GROUP BY doc_id, k
+),
+gone AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
+edges AS (
+  SELECT doc_id, a AS stop, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS start FROM spans
+  UNION ALL SELECT doc_id, n + 1, coalesce(max(z), 1) FROM hexed LEFT JOIN spans USING (doc_id) GROUP BY doc_id, n
+),
+kept AS (
+  SELECT doc_id, string_agg(h[2 * start - 1 : 2 * stop - 2], '' ORDER BY start) AS k FROM edges JOIN hexed USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(k)) AS kept_sha256
+FROM hexed JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+IMPORTANCE = f"""
+WITH RECURSIVE bits AS (
+  SELECT CAST(range AS BIGINT) AS b, 0 AS k, CAST(range AS BIGINT) AS c FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+),
+crcs AS (SELECT list(c ORDER BY b) AS crc_table FROM bits WHERE k = 8),
+docs AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+source AS (SELECT doc_id, unnest(ws) AS word FROM docs),
+target AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+hexed AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM source UNION SELECT word FROM target)),
+coded AS (
+  SELECT word, list_transform(range(1, len(h), 2), lambda i:
+    CAST(16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1 AS BIGINT)) AS codes FROM hexed
+),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, codes), lambda a, x: xor(a >> 8, crc_table[xor(a & 255, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM coded, crcs
+),
+s AS (SELECT bucket, count(*) AS s FROM source JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM target JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM source) AS ss, (SELECT count(*) FROM target) AS tt),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * (ss + 10000) / (CAST(s + 1 AS DOUBLE) * (tt + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), totals
+),
+means AS (
+  SELECT doc_id, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+  FROM source JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+),
+hashes AS (SELECT doc_id, len(ws) AS n, sha256('2024:' || doc_id) AS x FROM docs),
+scored AS (
+  SELECT doc_id, n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((list_reduce(list_transform(range(1, 9), lambda i: CAST(strpos('0123456789abcdef', x[i]) - 1 AS BIGINT)),
+      lambda a, d: 16 * a + d) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM hashes LEFT JOIN means USING (doc_id)
+),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM drawn) THEN rank END AS rank
+FROM scored LEFT JOIN drawn USING (doc_id)
+"""
