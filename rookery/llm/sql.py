@@ -93,9 +93,9 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 
 SUFFIXES = """
 WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
-hexed AS (SELECT doc_id, octet_length(b) AS n, hex(b) AS h FROM docs),
+sized AS (SELECT doc_id, octet_length(b) AS n, b FROM docs),
 windows AS (
-  SELECT doc_id, i, md5_number(h[2 * i - 1 : 2 * i + 98]) AS w FROM hexed, unnest(range(1, n - 48)) AS t(i)
+  SELECT doc_id, i, b[i : i + 49] AS w FROM sized, unnest(range(1, n - 48)) AS t(i)
 ),
 first AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w),
 hit AS (SELECT doc_id, i FROM windows JOIN first USING (w) WHERE doc_id > least),
@@ -109,14 +109,14 @@ spans AS (
 gone AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id),
 edges AS (
   SELECT doc_id, a AS stop, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS start FROM spans
-  UNION ALL SELECT doc_id, n + 1, coalesce(max(z), 1) FROM hexed LEFT JOIN spans USING (doc_id) GROUP BY doc_id, n
+  UNION ALL SELECT doc_id, n + 1, coalesce(max(z), 1) FROM sized LEFT JOIN spans USING (doc_id) GROUP BY doc_id, n
 ),
 kept AS (
-  SELECT doc_id, string_agg(h[2 * start - 1 : 2 * stop - 2], '' ORDER BY start) AS k FROM edges JOIN hexed USING (doc_id) GROUP BY doc_id
+  SELECT doc_id, string_agg(hex(b[start : stop - 1]), '' ORDER BY start) AS k FROM edges JOIN sized USING (doc_id) GROUP BY doc_id
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(k)) AS kept_sha256
-FROM hexed JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+FROM sized JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
 
 IMPORTANCE = f"""
