@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from rookery.llm.staging import buffer_of, release, slices, stage, utf8
 
 LENGTH, GRAM = 50, 20
-SLAB_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20, 8 << 20
+SLAB_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20, 8 << 20
 HOT = 50_000
 PERIOD, COVER = 7, (0, 1, 3)  # every difference modulo 7 occurs in the cover
 SUFFIXES = 1 << 18  # suffixes sorted at a time
@@ -330,16 +330,22 @@ def _slabs(docs: DataFrame, slab_bytes: int) -> DataFrame:
 _SLAB = pa.schema([("slab", pa.int64()), ("size", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row by row: a batch may hold many slabs."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _entries(slabs: DataFrame, length: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = list(Slab.of(row, length, buckets).entries())
-                yield pa.RecordBatch.from_pydict(
-                    {"bucket": pa.array([b for b, _ in found], pa.int64()), "slab": pa.array([row["slab"]] * len(found), pa.int64()),
-                     "entries": pa.array([e for _, e in found], pa.binary())}
-                )
+        for row in _rows(batches):
+            found = list(Slab.of(row, length, buckets).entries())
+            yield pa.RecordBatch.from_pydict(
+                {"bucket": pa.array([b for b, _ in found], pa.int64()), "slab": pa.array([row["slab"]] * len(found), pa.int64()),
+                 "entries": pa.array([e for _, e in found], pa.binary())}
+            )
 
     return slabs.mapInArrow(run, "bucket long, slab long, entries binary")
 
@@ -357,14 +363,13 @@ def _judged(entries: DataFrame, hot: int) -> DataFrame:
                  "verdicts": pa.array(judge(blobs, hot), pa.binary())}
             )
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != now and slabs:
-                    yield flush()
-                    slabs, blobs = [], []
-                now = row["bucket"]
-                slabs.append(row["slab"])
-                blobs.append(row["entries"])
+        for row in _rows(batches):
+            if row["bucket"] != now and slabs:
+                yield flush()
+                slabs, blobs = [], []
+            now = row["bucket"]
+            slabs.append(row["slab"])
+            blobs.append(row["entries"])
         if slabs:
             yield flush()
 
@@ -385,17 +390,15 @@ def _with_slabs(slabs: DataFrame, replies: list[DataFrame]) -> DataFrame:
 def _each_slab(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[tuple[int, Slab, np.ndarray, list[bytes]]]:
     """(slab, texts, verdicts, repeated windows) of each slab."""
     replies, found = [], []
-    for batch in batches:
-        for i in range(batch.num_rows):  # row by row: a batch may hold many slabs
-            row = batch.slice(i, 1).to_pylist()[0]
-            if row["kind"] == 0:
-                replies.append((row["bucket"], row["verdicts"]))
-            elif row["kind"] == 1:
-                found.append(row["verdicts"])
-            else:
-                own = Slab.of(row, length, buckets)
-                yield row["slab"], own, own.verdicts(replies), found
-                replies, found = [], []
+    for row in _rows(batches):
+        if row["kind"] == 0:
+            replies.append((row["bucket"], row["verdicts"]))
+        elif row["kind"] == 1:
+            found.append(row["verdicts"])
+        else:
+            own = Slab.of(row, length, buckets)
+            yield row["slab"], own, own.verdicts(replies), found
+            replies, found = [], []
 
 
 def _wanted(slabs: DataFrame, judged: DataFrame, length: int, buckets: int) -> DataFrame:
