@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.staging import slices, utf8
+from rookery.llm.staging import slices
 from rookery.llm.tokens import END_ID, encoder, vocabulary
 
 CAPACITY = 4096
@@ -118,7 +118,7 @@ def pack(
         bins, task = Bins(capacity), TaskContext.get().partitionId()
         coder = encoder(vocabulary(vocabulary_name), spaced, end)
         for batch in slices(batches, "t"):
-            ids, ends = coder.encode([x.decode() for x in utf8(batch.column("t")).to_pylist()])
+            ids, ends = coder.encode(batch.column("t"))
             for doc, own in zip(batch.column("d").to_pylist(), np.split(ids, ends[:-1])):
                 bins.add(doc, own.copy())  # so that a waiting piece doesn't hold the whole batch
             if bins.out:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rookery.llm.staging import slices, utf8
+from rookery.llm.staging import slices
 from rookery.llm.tokens import END_ID, encoder, vocabulary
 
 STRIPE_BYTES = 64 << 20
@@ -38,7 +38,7 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, before = encoder(vocabulary(vocabulary_name), spaced, end), 0
         for batch in slices(batches, "t"):
-            ids, ends = coder.encode([x.decode() for x in utf8(batch.column("t")).to_pylist()])
+            ids, ends = coder.encode(batch.column("t"))
             starts = np.concatenate(([0], ends[:-1]))
             yield pa.RecordBatch.from_pydict(
                 {

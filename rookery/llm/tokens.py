@@ -2,8 +2,10 @@
 
 Both vocabularies split texts before merging, and no split crosses a single space between two
 characters that aren't white space. So a text is cut at such spaces, each different piece is encoded
-once, and the ids are gathered with numpy. A plain word with trailing punctuation goes straight to the
-vocabulary's merge model; every other piece goes through the whole tokenizer.
+once, and the ids are gathered with numpy. Arrow cuts the texts and numbers their different pieces, so
+Python sees each of those once in a slice. A plain word with trailing punctuation goes straight to the
+vocabulary's merge model; every other new piece goes through the whole tokenizer. What was encoded is
+remembered up to `MOST_PIECES` pieces; then only those of the last slice are.
 """
 
 from __future__ import annotations
@@ -13,15 +15,19 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from rookery.llm.staging import hold
 
 END_ID = 2
 MOST_PIECES = 500_000
-_ODD = re.compile(r"\s \s?| \s")
 # letters whose case and composition are fixed: ASCII and Latin-1
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*\"()-]*)")
+# white space of str.isspace; a text with more than single spaces between other characters is cut with care
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\pZ]"
+_ODD = rf"^ | $|{_SPACE} | {_SPACE}"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,10 +40,6 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-def _letters(piece: str) -> str:
-    return piece.encode().decode("latin-1").translate(_LETTERS)
-
-
 class Encoder:
     """`encode(texts)` gives all ids and each text's end; an end id closes every text."""
 
@@ -68,51 +70,92 @@ class Encoder:
         """Keys of later pieces leave out their leading space; a first piece stands in a tuple."""
         if isinstance(key, tuple):
             return self._whole(key[0])
-        plain = _PLAIN.fullmatch(key)
-        if plain is None:
+        if key.isascii() and key.isalpha():
+            word, tail = key, ""
+        elif plain := _PLAIN.fullmatch(key):
+            word, tail = plain.groups()
+        else:
             return self._whole(" " + key if self.spaced else key)
-        word, tail = plain.groups()
-        ids = [t.id for t in self.merge(_letters(" " + word if self.spaced else word.lower()))]
-        if tail not in self.tails:
-            self.tails[tail] = self._whole(tail) if tail else []
-        return ids + self.tails[tail]
-
-    def pieces(self, text: str) -> list[str | tuple]:
-        """Keys of a text's pieces, in order."""
-        found = text.split(" ")
-        if not self.spaced:
-            return found
-        if text[:1] == " " or text[-1:] == " " or _ODD.search(text):
-            glued, run = [], [found[0]]
-            for p in found[1:]:
-                if p and run[-1] and not p[0].isspace() and not run[-1][-1].isspace():
-                    glued.append(" ".join(run))
-                    run = [p]
-                else:
-                    run.append(p)
-            found = [*glued, " ".join(run)]
-        found[0] = (found[0],)
-        return found
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > self.most:
-            self.clear()
-        keys: list[str | tuple] = []
-        ends = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            keys += self.pieces(text)
-            if self.end is not None:
-                keys.append(())
-            ends[i] = len(keys)
+        word = word if self.spaced else word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        ids = [t.id for t in self.merge(_LETTERS[32] + word if self.spaced else word)]
+        if tail:
+            if tail not in self.tails:
+                self.tails[tail] = self._whole(tail)
+            ids += self.tails[tail]
+        return ids
+
+    def _careful(self, text: str) -> list[str | tuple]:
+        """Keys of the pieces of a text with other white space than single spaces between characters."""
+        glued: list[str | tuple] = []
+        run: list[str] = []
+        for p in text.split(" "):
+            if run and p and run[-1] and not p[0].isspace() and not run[-1][-1].isspace():
+                glued.append(" ".join(run))
+                run = [p]
+            else:
+                run.append(p)
+        glued.append(" ".join(run))
+        glued[0] = (glued[0],)
+        return glued
+
+    def _numbers(self, keys: list[str | tuple]) -> np.ndarray:
+        """The place of each key; new ones are encoded."""
         for key in set(keys).difference(self.index):
             self._add(key, self._ids(key))
-        at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+
+    def _forget(self, keys: set) -> None:
+        """Drops all pieces but `keys`."""
+        old, flat, starts, lens = self.index, self.flat, self.starts, self.lens
+        self.clear()
+        for key in keys:
+            if key in old and key not in self.index:
+                at = starts[old[key]]
+                self._add(key, flat[at : at + lens[old[key]]])
+
+    def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all pieces, and each text's number of them."""
+        cut = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        pieces = cut.flatten().dictionary_encode()
+        different = pieces.dictionary.to_pylist()
+        if len(self.index) > self.most:
+            self._forget(set(different))
+        places = self._numbers(different)[pieces.indices.to_numpy()]
+        if self.spaced and len(counts):
+            first = np.cumsum(counts) - counts
+            places[first] = self._numbers([(p,) for p in cut.flatten().take(pa.array(first)).to_pylist()])
+        return places, counts
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """`texts`: strings; null is empty."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = np.zeros(len(column), bool)
+        if self.spaced:
+            odd = pc.match_substring_regex(column, _ODD).to_numpy(zero_copy_only=False)
+        places, own = self._places(column.filter(pa.array(~odd)))
+        counts = np.empty(len(column), np.int64)
+        counts[~odd] = own
+        keys = [self._careful(t) for t in column.filter(pa.array(odd)).to_pylist()]
+        counts[odd] = [len(k) for k in keys]
+        counts += self.end is not None
+        stops = np.cumsum(counts)
+        at = np.empty(stops[-1] if len(stops) else 0, np.int64)
+        kind = np.repeat(odd, counts)
+        last = np.zeros(len(at), bool)
+        if self.end is not None:
+            last[stops - 1] = True
+            at[last] = self.index[()]
+        at[~kind & ~last] = places
+        at[kind & ~last] = self._numbers([k for own in keys for k in own])
         lens = np.frombuffer(self.lens, np.int64)[at] if len(at) else np.empty(0, np.int64)
         upto = np.concatenate(([0], np.cumsum(lens)))
         starts = np.frombuffer(self.starts, np.int64)[at] if len(at) else lens
         place = np.repeat(starts - upto[:-1], lens) + np.arange(upto[-1])
         ids = np.frombuffer(self.flat, np.uint32)[place] if len(place) else np.empty(0, np.uint32)
-        return ids, upto[ends]
+        return ids, upto[stops]
 
 
 def encoder(path: str, spaced: bool, end: int | None = END_ID) -> Encoder:
