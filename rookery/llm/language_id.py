@@ -6,7 +6,7 @@ softmax over the languages seen in training. A text's language is the one with t
 probability, windows weighted by their bytes, and that mean is its score.
 
 Training reads labelled documents whose crc32(doc_id) mod 5 isn't 0: at most `docs_per_language` of
-each language, chosen by a hash of the id, and at most `WINDOWS_PER_DOC` evenly spaced windows of
+each language, those with the least hashes of their ids, and at most `WINDOWS_PER_DOC` evenly spaced windows of
 each. Prediction reads all windows of all texts.
 
 Cases: null texts and texts without a letter get `und` and score 0; repeated rows are judged each;
@@ -35,6 +35,7 @@ EPOCHS, LEAST_STEPS, BATCH, RATE = 6, 400, 128, 0.01
 UNKNOWN = "und"
 _SLICE = 1 << 20
 _BLOCK = 64
+_STEPS = 1_000_000
 
 
 @dataclass
@@ -139,15 +140,14 @@ def _training_windows(docs: DataFrame, doc_id: str, text: str, lang: str, docs_p
     rows = docs.select(
         F.col(doc_id).cast("string").alias("d"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")
     ).where("l is not null and t is not null and t <> '' and (d is null or pmod(crc32(d), 5) <> 0)")
-    counts = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
-    picked = None
-    for name, n in sorted(counts.items()):
-        share = min(1.0, 1.2 * docs_per_language / n)
-        part = rows.where((F.col("l") == name) & (F.pmod(F.xxhash64("d"), F.lit(1_000_000)) < int(share * 1_000_000)))
-        part = part.limit(docs_per_language)
-        picked = part if picked is None else picked.union(part)
-    if picked is None:
+    counts = rows.groupBy("l").count().collect()
+    if not counts:
         return []
+    # a fifth more than asked for; the least hashes of them are taken when they are here
+    cuts = [(r["l"], int(min(1.0, 1.2 * docs_per_language / r["count"] + 1e-4) * _STEPS)) for r in counts]
+    # broadcast: one row per language
+    cuts = F.broadcast(docs.sparkSession.createDataFrame(cuts, "l string, cut long"))
+    picked = rows.withColumn("k", F.xxhash64("d")).join(cuts, "l").where(F.pmod("k", F.lit(_STEPS)) < F.col("cut"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -157,11 +157,13 @@ def _training_windows(docs: DataFrame, doc_id: str, text: str, lang: str, docs_p
             nth, all_ = np.arange(len(owner)) - first, np.bincount(owner, minlength=batch.num_rows)[owner]
             # evenly spaced: the windows at which a new step of all_ / WINDOWS_PER_DOC begins
             keep = np.flatnonzero((nth * WINDOWS_PER_DOC) // all_ != ((nth - 1) * WINDOWS_PER_DOC) // all_)
-            yield pa.RecordBatch.from_pydict(
-                {"l": batch.column("l").take(pa.array(owner[keep])), "w": pa.array([got[k].tobytes() for k in keep], pa.binary())}
-            )
+            made = {c: batch.column(c).take(pa.array(owner[keep])) for c in ("l", "k", "d")}
+            yield pa.RecordBatch.from_pydict(made | {"w": pa.array([got[k].tobytes() for k in keep], pa.binary())})
 
-    return picked.select("l", "t").mapInArrow(cut, "l string, w binary").collect()
+    found: dict[str, dict] = {}
+    for r in picked.select("l", "k", "d", "t").mapInArrow(cut, "l string, k long, d string, w binary").collect():
+        found.setdefault(r.l, {}).setdefault((r.k % _STEPS, r.d or ""), []).append(bytes(r.w))
+    return [(name, w) for name, own in found.items() for key in sorted(own)[:docs_per_language] for w in own[key]]
 
 
 def fit(
@@ -169,7 +171,7 @@ def fit(
     docs_per_language: int = DOCS_PER_LANGUAGE,
 ) -> Network | None:
     """The network of the labelled documents that aren't held out; None without any."""
-    rows = sorted((r.l, bytes(r.w)) for r in _training_windows(docs, doc_id, text, lang, docs_per_language))
+    rows = sorted(_training_windows(docs, doc_id, text, lang, docs_per_language))
     if not rows:
         return None
     net = Network.new(sorted({r[0] for r in rows}))
