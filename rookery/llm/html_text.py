@@ -4,16 +4,18 @@ A page is read as a sequence of text blocks, each with its root-to-leaf path of
 class or id words that mean furniture is part of the path as such). Per path, text length, link text,
 punctuation and blocks are added up; the ratios per block are smoothed along the page and fused into
 one weight (length x punctuation x unlinked share). The weights of paths that share an ancestor add
-up, and the ancestor that holds most of the page's weight with the fewest other paths is the content
-node; where there are articles or main parts, the outermost of them are, all of them. Neighbouring
-blocks of one path whose text is mostly links are left out; every other block under a node is content.
+up: from the root, the content node is the deepest ancestor that holds nearly all of the page's weight.
+Its parts are content where their weight isn't far below that of the heaviest part, and so are headings
+and short blocks beside these. Where there are articles or main parts, the outermost of them are the
+content nodes, all of them. List items, and three or more neighbouring blocks of one path, whose text is mostly
+links are a list of links and left out; outside articles and main parts, so is any path whose text is mostly links.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments carry no
 weight, by tag, role or class words, and are never content. A heading in the header of an article is.
 
 Cases: null and empty html give an empty text; unclosed and stray tags are repaired as browsers do in
 the common cases (a paragraph ends where the next block begins); a page without content has an empty
-text; long pages are read whole; repeated rows are read each; extra columns pass through, and result
+text; long pages and deep nesting take time in proportion to their size; repeated rows are read each; extra columns pass through, and result
 columns get a leading underscore where they clash; an empty table gives no rows.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -32,8 +35,9 @@ from pyspark.sql import types as T
 
 from rookery.llm.staging import fresh, slices, utf8
 
-MOST_LINKED = 0.6  # neighbouring blocks of a path with more link text than this share are a menu
-HOLDS = 0.6  # share of the weight that the content node holds at least
+MOST_LINKED = 0.6  # a list of links, or a path outside articles, has more link text than this share
+HOLDS = 0.95  # share of the page's weight that the content node holds at least
+FAR_BELOW = 0.05  # parts of the content node below this share of the heaviest one's weight aren't content
 SMOOTH = (0.25, 0.5, 0.25)
 
 # fixed values: HTML's tags by what they do here
@@ -123,57 +127,104 @@ def _furniture_words(name: str) -> bool:
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    node: int
     furniture: bool
     text: str
     linked: int  # characters of link text
 
 
+@dataclass
+class _Open:
+    """An open tag. node: its tag path, or that around it for formatting; the last two are for furniture."""
+
+    tag: str
+    furniture: bool
+    node: int
+    in_article: bool = False
+    headings: int = 0  # open headings around it
+
+
 @dataclass
 class _Reader:
-    """Open tags and the text since the last block boundary."""
+    """Open tags and the text since the last block boundary. Tag paths are numbered, parents before children."""
 
-    open: list[tuple[str, bool]] = field(default_factory=list)  # tag, furniture
+    open: list[_Open] = field(default_factory=list)
+    count: Counter = field(default_factory=Counter)  # open tags by name
+    furnished: list[_Open] = field(default_factory=list)  # open furniture
     blocks: list[Block] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     linked: int = 0
+    number: dict[tuple[int, str], int] = field(default_factory=dict)
+    parents: list[int] = field(default_factory=lambda: [0])
+    tags: list[str] = field(default_factory=lambda: [""])
+    headings: int = 0
+
+    def push(self, tag: str, attrs: str) -> None:
+        within = self.count["article"] + self.count["main"] > 0
+        node = self.open[-1].node if self.open else 0
+        if tag not in INLINE:
+            key = (node, tag)
+            if key not in self.number:
+                self.number[key] = len(self.tags)
+                self.parents.append(node)
+                self.tags.append(tag)
+            node = self.number[key]
+        own = _Open(tag, is_furniture(tag, attrs, within), node, self.count["article"] > 0, self.headings)
+        if own.furniture:
+            self.flush()
+        self.open.append(own)
+        self.count[tag] += 1
+        self.headings += tag in HEADINGS
+        if own.furniture:
+            self.furnished.append(own)
+
+    def pop(self, at: int) -> None:
+        if self.open[at].furniture:
+            self.flush()
+        own = self.open.pop(at)
+        self.count[own.tag] -= 1
+        self.headings -= own.tag in HEADINGS
+        if own.furniture:
+            for i in range(len(self.furnished) - 1, -1, -1):  # nearly always the last one
+                if self.furnished[i] is own:
+                    del self.furnished[i]
+                    break
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                tags = [t for t, _ in self.open if t not in INLINE]
-                self.blocks.append(Block(tuple(tags), self.furniture(), text, min(self.linked, len(text))))
+                node = self.open[-1].node if self.open else 0
+                self.blocks.append(Block(node, self.furniture(), text, min(self.linked, len(text))))
             self.text = []
         self.linked = 0
 
     def furniture(self) -> bool:
         """Inside furniture; a heading in the header of an article isn't."""
-        bad = [i for i, (_, f) in enumerate(self.open) if f]
-        if len(bad) == 1 and self.open[bad[0]][0] == "header":
-            tags = [t for t, _ in self.open]
-            return not ("article" in tags[: bad[0]] and HEADINGS.intersection(tags[bad[0] :]))
-        return bool(bad)
+        if len(self.furnished) == 1 and self.furnished[0].tag == "header":
+            return not (self.furnished[0].in_article and self.headings > self.furnished[0].headings)
+        return bool(self.furnished)
 
     def add(self, text: str) -> None:
         self.text.append(text)
-        if any(t == "a" for t, _ in self.open):
+        if self.count["a"]:
             self.linked += len(text.strip())
 
     def close_to(self, depth: int) -> None:
-        if any(t not in INLINE for t, _ in self.open[depth:]):
+        if any(o.tag not in INLINE for o in self.open[depth:]):
             self.flush()
-        del self.open[depth:]
+        while len(self.open) > depth:
+            self.pop(-1)
 
     def start(self, tag: str, attrs: str) -> None:
         if tag in CLOSES_PARAGRAPH:
             self.end("p", implied=True)
-        if tag in SELF_NESTING:
+        if tag in SELF_NESTING and any(self.count[t] for t in SELF_NESTING[tag][0]):
             ends, within = SELF_NESTING[tag]
             for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in within:
+                if self.open[i].tag in within:
                     break
-                if self.open[i][0] in ends:
+                if self.open[i].tag in ends:
                     self.close_to(i)
         if tag == "br":
             self.text.append(" ")
@@ -181,16 +232,17 @@ class _Reader:
         if tag not in INLINE:
             self.flush()
         if tag not in VOID:
-            within = any(t in ("article", "main") for t, _ in self.open)
-            self.open.append((tag, is_furniture(tag, attrs, within)))
+            self.push(tag, attrs)
 
     def end(self, tag: str, implied: bool = False) -> None:
         """Closes the last open `tag`; an end tag doesn't reach out of a block that it isn't part of."""
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
-            own = self.open[i][0]
+            own = self.open[i].tag
             if own == tag:
                 if tag in INLINE:  # formatting that was closed inside other formatting
-                    del self.open[i]
+                    self.pop(i)
                 else:
                     self.close_to(i)
                 return
@@ -200,8 +252,8 @@ class _Reader:
                 return
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page, in page order."""
+def read(page: str) -> _Reader:
+    """Text blocks of a page, in page order, and the tree of their tag paths."""
     reader, at = _Reader(), 0
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -227,57 +279,72 @@ def blocks(page: str) -> list[Block]:
         elif not closed:
             reader.start(tag, m["attrs"])
     reader.flush()
-    return reader.blocks
+    return reader
 
 
-def path_weights(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """Fused weight of each tag path that isn't furniture."""
+def path_weights(found: list[Block], n_nodes: int) -> np.ndarray:
+    """Fused weight of each tag path; furniture has none."""
     lengths = np.array([0 if b.furniture else len(b.text) for b in found], float)
     points = np.array([0 if b.furniture else len(_PUNCTUATION.findall(b.text)) for b in found], float)
     if len(found) >= 3:
         smooth = lambda v: np.convolve(np.pad(v, 1, mode="edge"), SMOOTH, "valid")
         lengths, points = smooth(lengths), smooth(points)
-    sums: dict[tuple[str, ...], np.ndarray] = {}
-    for b, n, p in zip(found, lengths, points):
-        if not b.furniture:
-            sums.setdefault(b.path, np.zeros(5))[:] += (n, p, len(b.text), b.linked, 1)
-    return {
-        path: count * np.log1p(n / count) * np.log1p(1 + p / count) * (1 - linked / max(size, 1)) * np.sqrt(size / count)
-        for path, (n, p, size, linked, count) in sums.items()
-        if linked <= MOST_LINKED * size
-    }
-
-
-def content_nodes(weights: dict[tuple[str, ...], float]) -> list[tuple[str, ...]]:
-    """The paths of all outermost articles and main parts, or else that of the content node."""
-    if not weights:
-        return []
-    held: dict[tuple[str, ...], float] = {}
-    for path, w in weights.items():
-        for i in range(len(path) + 1):
-            held[path[:i]] = held.get(path[:i], 0.0) + w
-    total = held[()]
-    marked = [p for p in held if p and p[-1] in ("article", "main") and held[p] > 0]
-    if marked:
-        return [p for p in marked if not any(p[:i] in marked for i in range(1, len(p)))]
-    node: tuple[str, ...] = ()
-    while True:
-        deeper = [p for p in held if len(p) == len(node) + 1 and p[: len(node)] == node and held[p] >= HOLDS * total]
-        leaf = deeper and deeper[0][-1] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "blockquote", "pre", "dd", "dt")
-        if not deeper or leaf:
-            return [node]
-        node = deeper[0]
+    own = np.array([i for i, b in enumerate(found) if not b.furniture], np.int64)
+    node = np.array([found[i].node for i in own], np.int64)
+    add = lambda v: np.bincount(node, v, n_nodes)
+    size, linked = add([len(found[i].text) for i in own]), add([found[i].linked for i in own])
+    n, p, count = add(lengths[own]), add(points[own]), np.maximum(add(np.ones(len(own))), 1)
+    weight = count * np.log1p(n / count) * np.log1p(1 + p / count) * (1 - linked / np.maximum(size, 1)) * np.sqrt(size / count)
+    return np.where(linked <= MOST_LINKED * size, weight, 0.0)
+
+
+LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr blockquote pre dd dt".split())
+
+
+def content_paths(reader: _Reader, weights: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Which tag paths are content, and whether articles or main parts say so."""
+    parents, tags, n = reader.parents, reader.tags, len(reader.tags)
+    held = weights.tolist()
+    for i in range(n - 1, 0, -1):
+        held[parents[i]] += held[i]
+    inside = np.zeros(n, bool)
+    marked = [t in ("article", "main") and h > 0 for t, h in zip(tags, held)]
+    if any(marked):
+        for i in range(1, n):
+            inside[i] = inside[parents[i]] or marked[i]
+        return inside, True
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        children[parents[i]].append(i)
+    node = 0
+    while held[0] > 0 and not weights[node]:  # a node with text of its own isn't left for a part of it
+        heaviest = max(children[node], key=held.__getitem__, default=0)
+        if not heaviest or held[heaviest] < HOLDS * held[0] or tags[heaviest] in LEAVES:
+            break
+        node = heaviest
+    if held[0] <= 0:
+        return inside, False
+    parts = [held[i] for i in children[node]]
+    least = FAR_BELOW * max(parts, default=0.0)
+    inside[node] = True
+    for i in range(node + 1, n):
+        around = inside[parents[i]]
+        inside[i] = around and (parents[i] != node or held[i] >= least and held[i] > 0 or tags[i] in LEAVES)
+    return inside, False
 
 
 def main_text(page: str) -> str:
     """Content blocks of a page, two line breaks between them."""
-    found = blocks(page)
-    nodes = content_nodes(path_weights(found))
+    reader = read(page)
+    found = reader.blocks
+    weights = path_weights(found, len(reader.tags))
+    inside, marked = content_paths(reader, weights)
     kept: list[str] = []
-    for path, run in groupby(found, key=lambda b: b.path):
+    for node, run in groupby(found, key=lambda b: b.node):
         own = [b for b in run if not b.furniture]
-        menu = sum(b.linked for b in own) > MOST_LINKED * sum(len(b.text) for b in own)
-        if not menu and any(path[: len(n)] == n for n in nodes):
+        links = sum(b.linked for b in own) > MOST_LINKED * sum(len(b.text) for b in own)
+        listed = len(own) > 2 or reader.tags[node] == "li" or not marked and weights[node] == 0
+        if inside[node] and not (links and listed):
             kept += [b.text for b in own]
     return "\n\n".join(kept)
 

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -60,3 +61,20 @@ def test_all_parts_of_marked_content():
     assert html_text.main_text("<div><article><p>One, long text.</p></article></div><section><article><p>Two.</p></article></section>") == "One, long text.\n\nTwo."
     lists = "<article><p>Text, a.</p><ul><li><a>A long linked entry of it</a></ul><p>Text, b.</p><ul><li>own item</ul></article>"
     assert html_text.main_text(lists) == "Text, a.\n\nText, b.\n\nown item"
+
+
+def test_parts_beside_the_heaviest_and_linked_paragraphs_stay():
+    said = "<p>Some words of a long article, with points. " * 4 + "</p>"
+    page = f"<body><div class=a>{said * 10}</div><section>{said * 5}</section><div><a href=1>Home</a> | <a href=2>News</a></div></body>"
+    text = html_text.main_text(page)
+    assert text.count("Some words") == 60 and "Home" not in text
+    linked = "<article><p>Text, a.</p><p><a href=x>One link as a paragraph</a></p><p>Text, b.</p></article>"
+    assert html_text.main_text(linked) == "Text, a.\n\nOne link as a paragraph\n\nText, b."
+
+
+@pytest.mark.parametrize("tag", ["div", "font", "li", "article", "div class=sidebar", "header"])
+def test_deep_nesting_takes_time_in_proportion(tag):
+    begin = time.perf_counter()
+    text = html_text.main_text(f"<{tag}>some text, here. " * 20_000 + "</b></p></td>" * 20_000)
+    assert time.perf_counter() - begin < 10
+    assert text.count("some text") in ((0,) if "side" in tag or tag == "header" else (20_000,))
