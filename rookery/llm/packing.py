@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.llm.staging import slices
-from rookery.llm.tokens import END_ID, encoder, vocabulary
+from rookery.llm.tokens import END_ID, SLICE_BYTES, encoder, vocabulary
 
 CAPACITY = 4096
 CLASSES = 64
@@ -117,7 +117,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, task = Bins(capacity), TaskContext.get().partitionId()
         coder = encoder(vocabulary(vocabulary_name), spaced, end)
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SLICE_BYTES):
             ids, ends = coder.encode(batch.column("t"))
             for doc, own in zip(batch.column("d").to_pylist(), np.split(ids, ends[:-1])):
                 bins.add(doc, own.copy())  # so that a waiting piece doesn't hold the whole batch

@@ -46,6 +46,7 @@ from rookery.llm.staging import buffer_of, release, slices, stage, utf8
 
 LENGTH, GRAM = 50, 20
 SLAB_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20, 8 << 20
+TASK_BYTES, MOST_TASKS = 16 << 20, 20_000  # of text behind one task of a shuffle
 HOT = 50_000
 PERIOD, COVER = 7, (0, 1, 3)  # every difference modulo 7 occurs in the cover
 SUFFIXES = 1 << 18  # suffixes sorted at a time
@@ -350,7 +351,7 @@ def _entries(slabs: DataFrame, length: int, buckets: int) -> DataFrame:
     return slabs.mapInArrow(run, "bucket long, slab long, entries binary")
 
 
-def _judged(entries: DataFrame, hot: int) -> DataFrame:
+def _judged(entries: DataFrame, hot: int, tasks: int) -> DataFrame:
     """(slab, bucket, verdicts) of every bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,18 +374,18 @@ def _judged(entries: DataFrame, hot: int) -> DataFrame:
         if slabs:
             yield flush()
 
-    return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "slab long, bucket long, verdicts binary")
+    return entries.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "slab long, bucket long, verdicts binary")
 
 
 _EMPTY = "cast(null as binary)"
 
 
-def _with_slabs(slabs: DataFrame, replies: list[DataFrame]) -> DataFrame:
+def _with_slabs(slabs: DataFrame, replies: list[DataFrame], tasks: int) -> DataFrame:
     """Replies and slabs by slab, the slab's own row last; kind 0: verdicts of a bucket, 1: repeated windows, 2: the slab."""
     rows = slabs.selectExpr("slab", "2 as kind", "0L as bucket", f"{_EMPTY} as verdicts", "docs", "sizes", "text")
     for r in replies:
         rows = rows.unionByName(r.selectExpr("slab", "kind", "bucket", "verdicts", f"{_EMPTY} as docs", f"{_EMPTY} as sizes", f"{_EMPTY} as text"))
-    return rows.repartition("slab").sortWithinPartitions("slab", "kind")
+    return rows.repartition(tasks, "slab").sortWithinPartitions("slab", "kind")
 
 
 def _each_slab(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[tuple[int, Slab, np.ndarray, list[bytes]]]:
@@ -401,7 +402,7 @@ def _each_slab(batches: Iterator[pa.RecordBatch], length: int, buckets: int) ->
             replies, found = [], []
 
 
-def _wanted(slabs: DataFrame, judged: DataFrame, length: int, buckets: int) -> DataFrame:
+def _wanted(slabs: DataFrame, judged: DataFrame, length: int, buckets: int, tasks: int) -> DataFrame:
     """(key, doc, slab, kind, first, n, body) of the runs to be sorted: n windows from window `first` of the run on."""
     half = (length - GRAM) // 2
 
@@ -430,7 +431,7 @@ def _wanted(slabs: DataFrame, judged: DataFrame, length: int, buckets: int) -> D
                      "body": pa.array(body, pa.binary())}
                 )
 
-    return _with_slabs(slabs, [judged]).mapInArrow(run, "key long, doc long, slab long, kind int, first int, n int, body binary")
+    return _with_slabs(slabs, [judged], tasks).mapInArrow(run, "key long, doc long, slab long, kind int, first int, n int, body binary")
 
 
 def _side_key(anchor: int, beside: np.ndarray, side: int) -> int:
@@ -496,9 +497,10 @@ def deduplicate(
         raise ValueError(f"length has to be above {GRAM} and below 256")
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     slabs = stage(_slabs(rows, slab_bytes), "slabs")
-    buckets = max(1, -(-(slabs.agg(F.sum("size")).first()[0] or 0) // bucket_bytes))
-    judged = stage(_judged(_entries(slabs, length, buckets), hot), "verdicts").withColumn("kind", F.lit(0))
-    repeated = stage(_sorted_blocks(_wanted(slabs, judged, length, buckets), length, block_bytes), "windows").selectExpr(
+    size = slabs.agg(F.sum("size")).first()[0] or 0
+    buckets, tasks = max(1, -(-size // bucket_bytes)), min(max(1, size // TASK_BYTES), MOST_TASKS)
+    judged = stage(_judged(_entries(slabs, length, buckets), hot, tasks), "verdicts").withColumn("kind", F.lit(0))
+    repeated = stage(_sorted_blocks(_wanted(slabs, judged, length, buckets, tasks), length, block_bytes), "windows").selectExpr(
         "slab", "1 as kind", "0L as bucket", "windows as verdicts"
     )
 
@@ -507,7 +509,7 @@ def deduplicate(
         for _, own, verdicts, found in _each_slab(batches, length, buckets):
             yield from _cut(own, verdicts, found)
 
-    return _with_slabs(slabs, [judged, repeated]).mapInArrow(
+    return _with_slabs(slabs, [judged, repeated], tasks).mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
     )
 

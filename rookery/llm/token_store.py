@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rookery.llm.staging import slices
-from rookery.llm.tokens import END_ID, encoder, vocabulary
+from rookery.llm.tokens import END_ID, SLICE_BYTES, encoder, vocabulary
 
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 1000
@@ -37,7 +37,7 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, before = encoder(vocabulary(vocabulary_name), spaced, end), 0
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SLICE_BYTES):
             ids, ends = coder.encode(batch.column("t"))
             starts = np.concatenate(([0], ends[:-1]))
             yield pa.RecordBatch.from_pydict(

@@ -22,7 +22,8 @@ from tokenizers import Tokenizer
 from rookery.llm.staging import hold
 
 END_ID = 2
-MOST_PIECES = 500_000
+MOST_PIECES = 400_000
+SLICE_BYTES = 2 << 20
 # letters whose case and composition are fixed: ASCII and Latin-1
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*\"()-]*)")
 # white space of str.isspace; a text with more than single spaces between other characters is cut with care
@@ -119,14 +120,15 @@ class Encoder:
         """The places of all pieces, and each text's number of them."""
         cut = pc.split_pattern(texts, " ")
         counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
-        pieces = cut.flatten().dictionary_encode()
+        whole = cut.flatten()
+        pieces = whole.dictionary_encode()
         different = pieces.dictionary.to_pylist()
         if len(self.index) > self.most:
             self._forget(set(different))
         places = self._numbers(different)[pieces.indices.to_numpy()]
         if self.spaced and len(counts):
             first = np.cumsum(counts) - counts
-            places[first] = self._numbers([(p,) for p in cut.flatten().take(pa.array(first)).to_pylist()])
+            places[first] = self._numbers([(p,) for p in whole.take(pa.array(first)).to_pylist()])
         return places, counts
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
