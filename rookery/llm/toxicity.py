@@ -9,20 +9,16 @@ are a held pair (another pair saves no more than its words), between two fixed f
 both dictionaries hold (zstandard finds no match in the last bytes of its input). All distinct windows
 of the whole text are compared, each once, in training as in scoring. The gain is the difference of
 the two lengths. A document's score is a logistic function of how many windows reach each gain and how
-many of them the toxic dictionary codes in hardly more bytes than an empty window, fitted on documents
-that the dictionaries of their fold haven't seen.
+many the toxic dictionary holds whole, fitted on documents that the dictionaries of its fold haven't seen.
 
-The labelled sample is bounded by `toxic_docs` and `ordinary_docs` rows, those with the least hashes of
-their ids, so every run has the same one. It stays in tables: tasks count the documents of each word and
-pair, and tasks compute the features. The driver holds the counts of words and pairs in `LEAST_DOCS` toxic
-documents of the sample or more, the training lines of the toxic part, whole ordinary documents of up to
-`ORDINARY_SAMPLE` bytes in order of their hashes, and one row of features per sampled document.
+The labelled sample is bounded by `toxic_docs` and `ordinary_docs` rows and by SAMPLE_BYTES of whole texts:
+the documents with the least hashes of their ids that fit, the same in every run. Everything else covers
+all rows.
 
 Cases: null, empty and wordless texts get the score of a document without any gain; repeated rows
-are scored each, and of repeated labelled ones the least text is learned; labels that contradict each
-other count as toxic, null labels are left out; without labels of both kinds every score is 0; an empty
-table gives no rows; extra columns pass through, and result columns get a leading underscore where they
-clash.
+are scored each, and of repeated labelled ones the least text is learned; labels that contradict each other count as toxic, null labels are left out; without
+labels of both kinds every score is 0; an empty table gives no rows; extra columns pass through, and
+result columns get a leading underscore where they clash.
 """
 
 from __future__ import annotations
@@ -39,20 +35,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rookery.llm.staging import fresh, hold, release, slices, stage, utf8
+from rookery.llm.staging import fresh, hold, slices, stage, utf8
 
 TOXIC_DOCS, ORDINARY_DOCS = 2000, 6000
 LEVEL = 19
+SAMPLE_BYTES = 32 << 20
 ORDINARY_BYTES = 128 << 10
-ORDINARY_SAMPLE = 8 << 20
 LEAST_DOCS = 3  # toxic documents that share a unit of the toxic dictionary
 LIFT = 4.0  # share of toxic documents to that of ordinary ones, at least
 CHANCE = 0.01
 GAINS = (3, 4, 5, 6)  # bytes
-ONE_MATCH = 3  # bytes beyond an empty window's, at most, that a word costs which the dictionary codes in one piece
-_SHORT = 1000
+WHOLE = 1000
 THRESHOLD = 0.7
-TOXIC_WEIGHT = 12.0
+TOXIC_WEIGHT = 4.0
 MOST_WORDS = 300_000
 _HEAD, _TAIL = b"<0123456789#>", b"(ABCDEFGHIJKLMNOPQRST)"
 _TO_WORDS = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -79,11 +74,11 @@ def _lines(docs: list[list[bytes]]) -> list[bytes]:
 class Gains:
     """Bytes that the toxic dictionary saves on each window, remembered for up to MOST_WORDS windows.
 
-    _SHORT is added where it also codes the window in ONE_MATCH bytes more than an empty one.
+    WHOLE is added for a window that the toxic dictionary holds as a whole, not in pieces of other words.
     """
 
     def __init__(self, ordinary: bytes, toxic: bytes, pairs: tuple[bytes, ...] = ()):
-        self.pair = [self._coder(ordinary), self._coder(ordinary + toxic)]
+        self.pair, self.toxic = [self._coder(ordinary), self._coder(ordinary + toxic)], toxic
         self.first, self.held = {p.split(b" ")[0] for p in pairs}, frozenset(pairs)
         self.known: dict[bytes, int] = {}
 
@@ -110,12 +105,10 @@ class Gains:
         if len(self.known) > MOST_WORDS:
             self.known.clear()
         a, b = self.pair
-        least = len(b(_HEAD + _TAIL)) + ONE_MATCH
         for w in set(found).difference(self.known):
             window = _HEAD + b" " + w + b" " + _TAIL
-            short = len(b(window))
-            gain = len(a(window)) - short
-            self.known[w] = gain + _SHORT * (gain >= GAINS[0] and short <= least)
+            gain = len(a(window)) - len(b(window))
+            self.known[w] = gain + WHOLE * (gain >= GAINS[0] and b" " + w + b" " in self.toxic)
         return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
 
 
@@ -131,13 +124,13 @@ class Model:
 
 
 def features(gains: np.ndarray) -> list[float]:
-    """1, the largest gain, counts of windows at each gain and of short ones, their share, the number of windows."""
+    """1, the largest gain, counts of windows at each gain and held whole, their share, the number of windows."""
     n = len(gains)
-    short = gains >= _SHORT // 2
-    gains = gains - _SHORT * short
+    whole = gains >= WHOLE // 2
+    gains = gains - WHOLE * whole
     counts = [int((gains >= g).sum()) for g in GAINS]
     most = float(min(max(gains.max(), 0), 10)) if n else 0.0
-    return [1.0, most / 5, *np.log1p([*counts, short.sum()]), min(100 * counts[1] / max(n, 1), 10.0) / 5, np.log1p(n) / 5]
+    return [1.0, most / 5, *np.log1p([*counts, whole.sum()]), min(100 * counts[1] / max(n, 1), 10.0) / 5, np.log1p(n) / 5]
 
 
 def logistic(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -165,152 +158,72 @@ def _holding(samples: list[bytes], units: list[bytes]) -> bytes:
     return b" " + b"  ".join(left) + b" " + own if left else own
 
 
-def _more_often(t: np.ndarray, o: np.ndarray, toxic: int, ordinary: int) -> np.ndarray:
-    """Which units are in a much larger share of the toxic than of the ordinary documents, from their counts in both."""
-    both, share = np.maximum(t + o, 1), toxic / (toxic + ordinary)
-    part = lambda n, p: n * np.log(np.maximum(n, 1) / (both * p))
-    ratio = 2 * (part(t, share) + part(o, 1 - share))
+def _more_often(ids: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """The ids in a much larger share of toxic than of ordinary documents; each document has an id once."""
+    of = lambda kind: np.concatenate([i for i, y in zip(ids, toxic) if y == kind] or [np.empty(0, np.int64)])
+    found, t = np.unique(of(True), return_counts=True)
+    found, t = found[t >= LEAST_DOCS], t[t >= LEAST_DOCS]
+    other = of(False)
+    other = other[np.isin(other, found)]
+    o = np.bincount(np.searchsorted(found, other), minlength=len(found))
+    share = toxic.mean()
+    both = t + o
+    ratio = 2 * (t * np.log(t / (both * share)) + o * np.log(np.maximum(o, 1) / (both * (1 - share))))
     chance = np.array([math.erfc(math.sqrt(max(r, 0) / 2)) / 2 for r in ratio])
-    chance[(t < LEAST_DOCS) | (t / toxic < LIFT * o / ordinary)] = 1
+    chance[t / toxic.sum() < LIFT * o / (~toxic).sum()] = 1
     # Benjamini-Hochberg: of the units kept, a share of CHANCE is there by chance
-    order, tried = np.argsort(chance, kind="stable"), max(int((t >= LEAST_DOCS).sum()), 1)
-    good = np.flatnonzero(chance[order] <= np.minimum(CHANCE * np.arange(1, len(t) + 1) / tried, CHANCE))
-    out = np.zeros(len(t), bool)
-    out[order[: good.max() + 1 if len(good) else 0]] = True
-    return out
-
-
-def _units(found: list[bytes]) -> dict[bytes, None]:
-    """The different words and pairs of neighbours of a text."""
-    return dict.fromkeys([*found, *(a + b" " + b for a, b in zip(found, found[1:]))])
-
-
-def _toxic_units(sample: DataFrame) -> list:
-    """(unit, documents in fold 0, in fold 1) of the units in LEAST_DOCS toxic documents or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in slices(batches, "t"):
-            for text, fold in zip(utf8(batch.column("t")).to_pylist(), batch.column("f").to_pylist()):
-                own = list(_units(words(text.decode())))
-                yield pa.RecordBatch.from_pydict({"u": pa.array(own, pa.binary()), "f": pa.array([fold] * len(own), pa.int32())})
-
-    counted = sample.where("y > 0").mapInArrow(run, "u binary, f int").groupBy("u").agg(
-        F.count_if(F.col("f") == 0).alias("a"), F.count_if(F.col("f") == 1).alias("b")
-    )
-    return sorted((bytes(r.u), r.a, r.b) for r in counted.where(F.col("a") + F.col("b") >= LEAST_DOCS).collect())
-
-
-def _ordinary_counts(sample: DataFrame, units: list[bytes]) -> np.ndarray:
-    """(units, folds) documents labelled 0 that hold each unit; tasks send one row per unit at most."""
-    shared = sample.sparkSession.sparkContext.broadcast(units)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        number = {u: i for i, u in enumerate(shared.value)}
-        out = np.zeros((len(number), 2), np.int64)
-        for batch in slices(batches, "t"):
-            for text, fold in zip(utf8(batch.column("t")).to_pylist(), batch.column("f").to_pylist()):
-                out[[number[u] for u in _units(words(text.decode())) if u in number], fold] += 1
-        own = np.flatnonzero(out.any(1))
-        yield pa.RecordBatch.from_pydict({"i": pa.array(own), "a": pa.array(out[own, 0]), "b": pa.array(out[own, 1])})
-
-    out = np.zeros((len(units), 2), np.int64)
-    for r in sample.where("y = 0").mapInArrow(run, "i long, a long, b long").groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect():
-        out[r.i] = r.a, r.b
-    shared.destroy()
-    return out
-
-
-def _lines_held(sample: DataFrame, held: set[bytes]) -> list[tuple[int, list[bytes]]]:
-    """(fold, held units in their order, once each) of every toxic document."""
-    shared = sample.sparkSession.sparkContext.broadcast(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in slices(batches, "t"):
-            own = [[u for u in _units(words(t.decode())) if u in shared.value] for t in utf8(batch.column("t")).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"d": batch.column("d"), "f": batch.column("f"), "us": pa.array(own, pa.list_(pa.binary()))})
-
-    rows = sample.where("y > 0").select("d", "f", "t").mapInArrow(run, "d long, f int, us array<binary>").collect()
-    shared.destroy()
-    return [(r.f, [bytes(u) for u in r.us]) for r in sorted(rows, key=lambda r: r.d)]
-
-
-def _ordinary_texts(sample: DataFrame, most: int) -> list[tuple[int, list[bytes]]]:
-    """(fold, words) of whole ordinary documents, by their hashes, as long as they fit into `most` bytes."""
-    sizes = sample.where("y = 0").select("d", "h", F.octet_length("t").alias("n")).collect()
-    room, ids = most, []
-    for r in sorted(sizes, key=lambda r: (r.h, r.d)):
-        if r.n <= room:
-            room -= r.n
-            ids.append((r.d,))
-    # broadcast: ids of the bounded sample
-    picked = F.broadcast(sample.sparkSession.createDataFrame(ids, "d long"))
-    rows = sample.where("y = 0").join(picked, "d").select("d", "f", "t").collect()
-    return [(r.f, words(r.t)) for r in sorted(rows, key=lambda r: r.d)]
-
-
-def _features(sample: DataFrame, parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """(features, toxic) of the sampled documents, each measured with the dictionaries of the other fold."""
-    shared = sample.sparkSession.sparkContext.broadcast(parts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        gain = [Gains(*p) for p in shared.value]
-        for batch in slices(batches, "t"):
-            x = [
-                features(gain[f](gain[f].windows(words(t.decode()))))
-                for t, f in zip(utf8(batch.column("t")).to_pylist(), batch.column("f").to_pylist())
-            ]
-            yield pa.RecordBatch.from_pydict({"d": batch.column("d"), "y": batch.column("y"), "x": pa.array(x, pa.list_(pa.float64()))})
-
-    rows = sorted(sample.select("d", "y", "f", "t").mapInArrow(run, "d long, y int, x array<double>").collect(), key=lambda r: r.d)
-    shared.destroy()
-    return np.array([r.x for r in rows]), np.array([r.y > 0 for r in rows])
-
-
-def train(sample: DataFrame, ordinary_sample: int = ORDINARY_SAMPLE) -> Model | None:
-    """The model of a written sample (d, t, y, f, h); the dictionaries of fold f are made without its documents."""
-    docs = np.zeros((2, 2), np.int64)
-    for r in sample.groupBy(F.col("y") > 0, "f").count().collect():
-        docs[int(r[0]), r[1]] = r[2]
-    if (docs.sum(1) < 2).any() or (docs == 0).any():
+    order = np.argsort(chance)
+    good = np.flatnonzero(chance[order] <= CHANCE * np.arange(1, len(found) + 1) / max(len(found), 1))
+    return np.sort(found[order[: good.max() + 1]]) if len(good) else found[:0]
+
+
+def _dictionaries(texts: list[list[bytes]], toxic: np.ndarray) -> tuple[bytes, bytes, tuple[bytes, ...]]:
+    """(ordinary, toxic, the pairs that the toxic one holds); both kinds of texts are there."""
+    number: dict[bytes, int] = {}
+    rows = [np.fromiter((number.setdefault(w, len(number)) for w in t), np.int64, len(t)) for t in texts]
+    names = list(number)
+    kept = _more_often([np.unique(r) for r in rows], toxic)
+    # a pair with a kept word gains by that word
+    joined = [r[:-1][(free := ~np.isin(r, kept))[:-1] & free[1:]] << 32 | r[1:][free[:-1] & free[1:]] for r in rows]
+    twos = _more_often([np.unique(j) for j in joined], toxic)
+    pairs = {int(j): names[j >> 32] + b" " + names[j & 0xFFFFFFFF] for j in twos}
+    samples = [
+        [names[i] for i in r[np.isin(r, kept)]] + [pairs[int(i)] for i in j[np.isin(j, twos)]]
+        for r, j, y in zip(rows, joined, toxic) if y
+    ]
+    strange = {names[i] for i in kept}
+    common = _trained(_lines([[w for w in t if w not in strange] for t, y in zip(texts, toxic) if not y]), ORDINARY_BYTES)
+    held = tuple(sorted(pairs.values()))
+    return common, _holding(_lines(samples), [*sorted(strange), *held]), held
+
+
+def train(texts: list[str], toxic: list[int], fold: list[int]) -> Model | None:
+    """fold: 0 or 1; each half is measured with the dictionaries of the other."""
+    one: dict[bytes, bytes] = {}  # equal words are one object
+    docs, y, half = [[one.setdefault(w, w) for w in words(t)] for t in texts], np.array(toxic, bool), np.array(fold)
+    if y.sum() < 2 or (~y).sum() < 2:
         return None
-    found = _toxic_units(sample)
-    units = [u for u, _, _ in found]
-    t, o = np.array([[a, b] for _, a, b in found], np.int64).reshape(-1, 2), _ordinary_counts(sample, units)
-    paired = np.array([b" " in u for u in units], bool)
-    sets = []
-    for without in (0, 1, None):
-        own = [f for f in (0, 1) if f != without]
-        count = lambda n, kind: _more_often(n[0][:, own].sum(1), n[1][:, own].sum(1), *docs[::-1][:, own].sum(1)) & kind
-        single = np.zeros(len(units), bool)
-        single[~paired] = count((t[~paired], o[~paired]), True)
-        strange = {units[i] for i in np.flatnonzero(single)}
-        # a pair with a held word gains by that word
-        free = paired.copy()
-        free[paired] = [not strange.intersection(units[i].split(b" ")) for i in np.flatnonzero(paired)]
-        twos = np.zeros(len(units), bool)
-        twos[free] = count((t[free], o[free]), True)
-        sets.append((own, strange, tuple(units[i] for i in np.flatnonzero(twos))))
-    toxic = _lines_held(sample, set().union(*(s | set(p) for _, s, p in sets)))
-    ordinary = _ordinary_texts(sample, ordinary_sample)
-    parts = []
-    for own, strange, pairs in sets:
-        held = strange | set(pairs)
-        common = _trained(_lines([[w for w in ws if w not in strange] for f, ws in ordinary if f in own]), ORDINARY_BYTES)
-        lines = _lines([[u for u in us if u in held] for f, us in toxic if f in own])
-        parts.append((common, _holding(lines, sorted(held)), pairs))
-    del toxic, ordinary, found
-    x, y = _features(sample, parts[:2])
-    return Model(*parts[2][:2], _fit(x, y), parts[2][2])
+    x = np.zeros((len(docs), len(GAINS) + 5))
+    for f in (0, 1):
+        seen = half != f
+        if not y[seen].any() or y[seen].all() or not (~seen).any():
+            return None
+        gain = Gains(*_dictionaries([d for d, s in zip(docs, seen) if s], y[seen]))
+        for i in np.flatnonzero(~seen):
+            x[i] = features(gain(gain.windows(docs[i])))
+        del gain
+    common, own, pairs = _dictionaries(docs, y)
+    return Model(common, own, _fit(x, y), pairs)
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, toxic_docs: int, ordinary_docs: int
-) -> DataFrame:
-    """(d, t, y, f, h): a bounded sample of labelled documents that aren't held out, those with the least hashes."""
+    docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, toxic_docs: int, ordinary_docs: int,
+    sample_bytes: int = SAMPLE_BYTES,
+) -> list:
+    """(text, toxic, fold, id) of a bounded sample of labelled documents that aren't held out.
+
+    Those with the least hashes of their ids, whole, as long as they fit: toxic ones into a quarter of `sample_bytes`.
+    """
     own = (
         labels.select(F.col("doc_id").cast("long").alias("d"), F.col("toxic").cast("int").alias("y"))
         .where("d is not null and y is not null and pmod(crc32(cast(d as string)), 3) <> 1")
@@ -321,7 +234,14 @@ def labelled_sample(
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("t is not null")
     # broadcast: toxic_docs + ordinary_docs rows at most
     rows = rows.join(F.broadcast(picked.union(other)), "d").groupBy("d", "y", "h").agg(F.min("t").alias("t"))
-    return rows.select("d", "t", "y", F.pmod(F.shiftright("h", 7), F.lit(2)).cast("int").alias("f"), "h")
+    rows = stage(rows.select("d", "t", F.col("y"), F.pmod(F.shiftright("h", 7), F.lit(2)).alias("f"), "h"), "labelled")
+    room, ids = {True: sample_bytes // 4, False: sample_bytes - sample_bytes // 4}, []
+    for r in sorted(rows.select("d", "h", "y", F.octet_length("t").alias("n")).collect(), key=lambda r: (r.h, r.d)):
+        if r.n <= room[r.y > 0]:
+            room[r.y > 0] -= r.n
+            ids.append((r.d,))
+    # broadcast: ids of the bounded sample
+    return rows.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "d long")), "d").select("t", "y", "f", "d").collect()
 
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -353,5 +273,5 @@ def fit(
     toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS,
 ) -> Model | None:
     """The model of the labelled documents whose crc32(doc_id) mod 3 is not 1."""
-    rows = labelled_sample(docs, labels, doc_id=doc_id, text=text, toxic_docs=toxic_docs, ordinary_docs=ordinary_docs)
-    return train(stage(rows, "labelled"))
+    rows = sorted(labelled_sample(docs, labels, doc_id=doc_id, text=text, toxic_docs=toxic_docs, ordinary_docs=ordinary_docs), key=lambda r: r.d)
+    return train([r.t for r in rows], [int(r.y > 0) for r in rows], [r.f for r in rows])

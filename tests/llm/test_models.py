@@ -109,35 +109,27 @@ def test_words_of_toxicity_windows():
     assert toxicity.words("It's ÉTÉ, x1y") == [b"it", b"s", "été".encode(), b"x", b"y"]
 
 
-def _learned(spark, ordinary, toxic):
-    """The model of texts given as words; none of them is held out."""
-    ids = [i for i in range(3 * (len(ordinary) + len(toxic)) + 99) if zlib.crc32(str(i).encode()) % 3 != 1]
-    docs = [(i, b" ".join(t).decode(), None, None) for i, t in zip(ids, ordinary + toxic)]
-    labels = [(d[0], int(k >= len(ordinary))) for k, d in enumerate(docs)]
-    return toxicity.fit(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
-
-
-def test_toxic_dictionary_holds_a_large_vocabulary(spark):
+def test_toxic_dictionary_holds_a_large_vocabulary():
     rnd = random.Random(11)
     bad = [bytes(rnd.choice(b"kwxyzqj") for _ in range(9)) for _ in range(600)]
     ordinary = [[b"the", b"of", bytes(rnd.choice(b"abcdefg") for _ in range(6))] * 5 for _ in range(200)]
     toxic = [[b"the", *(bad[(7 * i + k) % 600] for k in range(12)), b"of"] for i in range(600)]
-    model = _learned(spark, ordinary, toxic)
-    assert all(b" " + w + b" " in model.toxic for w in bad)
-    assert (toxicity.Gains(model.ordinary, model.toxic)(bad) >= 3).mean() > 0.98
+    common, own = toxicity._dictionaries(ordinary + toxic, np.array([0] * 200 + [1] * 600, bool))[:2]
+    assert all(b" " + w + b" " in own for w in bad)
+    assert (toxicity.Gains(common, own)(bad) >= 3).mean() > 0.98
 
 
-def test_toxic_words_survive_an_ordinary_text_and_pairs_of_everyday_words_count(spark):
+def test_toxic_words_survive_an_ordinary_text_and_pairs_of_everyday_words_count():
     rnd = random.Random(12)
     common = [bytes(rnd.choice(b"abcdefghil") for _ in range(6)) for _ in range(300)]
     ordinary, toxic = ([[rnd.choice(common) for _ in range(60)] for _ in range(n)] for n in (400, 100))
     ordinary[0][3] = b"kwyxhorz"
     for i, t in enumerate(toxic):
         t[5:7] = [b"kwyxhorz", common[0]] if i % 2 else [common[1], common[2]]
-    model = _learned(spark, ordinary, toxic)
-    gain = toxicity.Gains(model.ordinary, model.toxic, model.pairs)
+    common_dictionary, own, pairs = toxicity._dictionaries(ordinary + toxic, np.array([0] * 400 + [1] * 100, bool))
+    gain = toxicity.Gains(common_dictionary, own, pairs)
     two = common[1] + b" " + common[2]
-    assert two in model.pairs and gain.windows([common[1], common[2]]) == [common[1], common[2], two]
+    assert two in pairs and gain.windows([common[1], common[2]]) == [common[1], common[2], two]
     assert (gain([b"kwyxhorz", two]) >= 3).all() and (gain(common) < 3).all()
 
 
@@ -154,17 +146,15 @@ def test_repeats_do_not_change_toxicity(spark):
 
 def test_labelled_sample_is_bounded_whole_and_the_same_in_every_order(spark):
     rows, labels = _labelled()
-    long = " ".join(rows[1][1].split() * 2000)  # an ordinary text of about 1 MB
-    rows[1] = (1, long, "en", "clash")
+    rows[1] = (1, " ".join(rows[1][1].split() * 2000), "en", "clash")  # an ordinary text of about 1 MB
     rows.append((7, "another text under the id 7", None, None))
     own = {"doc_id": "doc_id", "text": "text", "toxic_docs": 40, "ordinary_docs": 90}
     docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame([x[::2] for x in labels], "doc_id long, toxic int")
     one, two = (
-        sorted(map(tuple, toxicity.labelled_sample(d, m, **own).collect()))
+        sorted(map(tuple, toxicity.labelled_sample(d, m, **own)))
         for d, m in ((docs, marks), (docs.orderBy(F.desc("doc_id")).repartition(5), marks.repartition(3)))
     )
-    assert one == two and [sum(r[2] == y for r in one) for y in (1, 0)] == [40, 90]
-    sample = spark.createDataFrame(one, "d long, t string, y int, f int, h long")
-    total = sum(len(r[1]) for r in one if not r[2])
-    texts = toxicity._ordinary_texts(sample, total - 1)
-    assert 0 < len(texts) < 90 and len(toxicity._ordinary_texts(sample, total)) == 90
+    assert one == two and [sum(r[1] == y for r in one) for y in (1, 0)] == [40, 90]
+    few = toxicity.labelled_sample(docs, marks, sample_bytes=40_000, **own)
+    whole = {(r[0], r[3]) for r in one}
+    assert all((r.t, r.d) in whole for r in few) and 20_000 < sum(len(r.t) for r in few) <= 40_000
