@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import Tables, py_round, query
+from catalog.tests import flip_sql
 from rookery.functions.numeric import half_even
 from rookery.operators import suite as su
 from rookery.operators.ordered import first
@@ -87,13 +88,28 @@ def suite_pairs(t: Tables):
     return su.pair_on(arm("click"), arm("purchase"), ["user_id"])
 
 
-@query("suite_comparison", "X07 A10")
+@query(
+    "suite_comparison",
+    "X07 A10",
+    f"""WITH r AS (
+      SELECT user_id || '/' || CAST(floor(event_id / 100) AS BIGINT) AS src, event_type, CAST(floor(value * 20) AS BIGINT) AS loss,
+        row_number() OVER (PARTITION BY event_type, user_id, CAST(floor(event_id / 100) AS BIGINT) ORDER BY event_id) AS k
+      FROM events WHERE event_type IN ('click', 'view')),
+    both_arms AS (
+      SELECT a.loss AS a, b.loss AS b, a.loss - b.loss AS d FROM r AS a JOIN r AS b USING (src)
+      WHERE a.event_type = 'click' AND b.event_type = 'view' AND a.k = 1 AND b.k = 1), {flip_sql("both_arms")}
+    SELECT n AS pairs, {py_round("total / n", 9)} AS mean_diff, {py_round("p", 8)} AS p,
+      (SELECT {py_round("avg(a)", 6)} FROM both_arms) AS mean_a, (SELECT {py_round("avg(b)", 6)} FROM both_arms) AS mean_b FROM flip""",
+)
 def suite_comparison(t: Tables):
-    """Click against view answers of the same user and hour; p is a Monte-Carlo value."""
+    """Click against view answers of the same user and hour, with an exact p."""
     key = F.concat_ws("/", "user_id", F.floor(F.col("event_id") / 100))
     arm = lambda k: (
         _results(t).join(t.events.select("event_id", key.alias("src")), "event_id")
         .where(F.col("event_type") == k).transform(lambda d: first(d, ["src"], ["event_id"]))
     )
-    out = su.compare_suites(arm("click"), arm("view"), n=2000)
-    return out.select("pairs", "mean_diff", "p", F.col("a.mean_cp_loss").alias("mean_a"), F.col("b.mean_cp_loss").alias("mean_b"))
+    r = lambda c, d: half_even(F.col(c), d)
+    return su.compare_suites(arm("click"), arm("view")).select(
+        "pairs", r("mean_diff", 9).alias("mean_diff"), r("p", 8).alias("p"),
+        r("a.mean_cp_loss", 6).alias("mean_a"), r("b.mean_cp_loss", 6).alias("mean_b"),
+    )

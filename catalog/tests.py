@@ -64,10 +64,40 @@ def elo_bootstrap(t: Tables):
     return ra.bootstrap_ci(exp_games(t), ["config"], n=1000)
 
 
-@query("permutation_test", "X04")
+_CHOOSE = "lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)"
+
+
+@query(
+    "permutation_test",
+    "X04",
+    f"""WITH RECURSIVE {PAIRED},
+    strata AS (
+      SELECT pair, count(*) FILTER (score = 0) AS lost, count(*) FILTER (score = 0.5) AS drawn, count(*) FILTER (score = 1) AS won,
+        count(*) FILTER (side = 'a') AS take, row_number() OVER (PARTITION BY pair ORDER BY level, color) AS k
+      FROM paired GROUP BY pair, level, color),
+    laws AS (
+      SELECT pair, k, 2 * w + d AS h, sum(exp({_CHOOSE.format(n="won", k="w")} + {_CHOOSE.format(n="drawn", k="d")}
+          + {_CHOOSE.format(n="lost", k="(take - w - d)")} - ({_CHOOSE.format(n="(won + drawn + lost)", k="take")}))) AS p
+      FROM strata, unnest(range(0, won + 1)) AS t(w), unnest(range(0, drawn + 1)) AS u(d)
+      WHERE w + d <= take AND take - w - d <= lost GROUP BY ALL HAVING p > 1e-20),
+    folds AS (
+      SELECT DISTINCT pair, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS h, 1.0::DOUBLE AS p FROM strata
+      UNION ALL SELECT f.pair, f.k + 1, f.h + l.h, sum(f.p * l.p) FROM folds AS f JOIN laws AS l ON l.pair = f.pair AND l.k = f.k + 1
+      WHERE f.p > 1e-20 GROUP BY ALL),
+    seen AS (
+      SELECT pair, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb, CAST(2 * sum(score) AS BIGINT) AS total,
+        CAST(2 * sum(score) FILTER (side = 'a') AS BIGINT) AS half FROM paired GROUP BY pair),
+    ends AS (SELECT pair, max(k) AS k FROM strata GROUP BY pair),
+    tails AS (
+      SELECT pair, sum(p) FILTER (abs(h * (na + nb) - total * na) >= abs(half * (na + nb) - total * na)) AS p
+      FROM folds JOIN ends USING (pair, k) JOIN seen USING (pair) GROUP BY pair)
+    SELECT pair, na AS games_a, nb AS games_b, {py_round("half / 2.0 / na - (total - half) / 2.0 / nb", 9)} AS delta_score,
+      {py_round("least(p, 1.0)", 8)} AS p FROM seen JOIN tails USING (pair)""",
+)
 def permutation_test(t: Tables):
-    """p is a Monte-Carlo value; the observed difference is proved by arm_difference."""
-    return sig.permutation_test(ex.arm_cells(exp_games(t)), pairs(t))
+    """Exact p by convolution of the strata."""
+    out = sig.permutation_test(ex.arm_cells(exp_games(t)), pairs(t))
+    return out.withColumns({"delta_score": half_even(F.col("delta_score"), 9), "p": half_even(F.col("p"), 8)})
 
 
 @query(
@@ -151,11 +181,34 @@ ep AS (SELECT user_id, day, a_loss, b_loss FROM
   JOIN (SELECT user_id, day, max(loss) AS b_loss FROM e WHERE event_type = 'view' GROUP BY ALL) USING (user_id, day))"""
 
 
-@query("sign_flip_test", "X07")
+def flip_sql(pairs: str) -> str:
+    """CTEs flip(n, total, p) of the differences d of the table `pairs`: the inverse transform of the product of cosines."""
+    return f"""
+    cell AS (SELECT abs(d) AS d, count(*) AS n FROM {pairs} WHERE d <> 0 GROUP BY 1),
+    whole AS (SELECT count(d) AS n, CAST(coalesce(sum(d), 0) AS BIGINT) AS total FROM {pairs}),
+    span AS (SELECT least(2 * CAST(sum(d * n) AS BIGINT) + 1, (SELECT abs(total) FROM whole) + CAST(ceil(12 * sqrt(sum(d * d * n))) AS BIGINT) + 1) AS m FROM cell),
+    wave AS (
+      SELECT j, 2 * pi() * j / m AS x, exp(sum(n * ln(abs(cos(d * (2 * pi() * j / m)))))) AS size,
+        sum(CASE WHEN cos(d * (2 * pi() * j / m)) < 0 THEN n ELSE 0 END) % 2 AS odd
+      FROM span, unnest(range(0, m)) AS t(j), cell GROUP BY j, m),
+    flip AS (
+      SELECT n, total, CASE WHEN total = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - (
+        SELECT sum(CASE WHEN odd = 1 THEN -size ELSE size END
+          * CASE WHEN j = 0 THEN 2 * abs(total) - 1 ELSE sin((2 * abs(total) - 1) * x / 2) / sin(x / 2) END) / any_value(m) FROM wave, span)) END AS p
+      FROM whole)"""
+
+
+@query(
+    "sign_flip_test",
+    "X07",
+    f"""WITH {EVENT_PAIRS}, dp AS (SELECT a_loss - b_loss AS d FROM ep), {flip_sql("dp")}
+    SELECT 'click-view' AS arm, n AS pairs, {py_round("total / n", 9)} AS mean_diff, {py_round("p", 8)} AS p FROM flip""",
+)
 def sign_flip_test(t: Tables):
-    """p is a Monte-Carlo value; the pairs and the mean are proved by paired_difference."""
+    """Exact p by the characteristic function."""
     p = _event_pairs(t).withColumn("d", F.col("a_loss") - F.col("b_loss"))
-    return sig.sign_flip_test(p.withColumn("arm", F.lit("click-view")), ["arm"], "d")
+    out = sig.sign_flip_test(p.withColumn("arm", F.lit("click-view")), ["arm"], "d")
+    return out.withColumns({"mean_diff": half_even(F.col("mean_diff"), 9), "p": half_even(F.col("p"), 8)})
 
 
 @query(

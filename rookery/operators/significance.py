@@ -1,8 +1,11 @@
 """Significance tests on pre-aggregated cells.
 
 A resampling test never touches raw rows: strata are reduced to score counts, differences to a
-histogram. A replica then is one hypergeometric (or binomial) draw per cell. Replicas run in blocks
-spread over tasks; each block returns one count.
+histogram. The null distribution of either is exact: that of a stratum is a hypergeometric one and strata
+are convolved; that of sign flips is the product of cosines of its cells, summed over frequencies in
+blocks spread over tasks. Probabilities below 1e-25 are left out; p-values are exact within 1e-10.
+With a number of replicas, a replica is one hypergeometric (or binomial) draw per cell instead; replicas
+run in blocks spread over tasks, each block returns one count, and p is within 4 sqrt(p (1 - p) / n).
 """
 
 from __future__ import annotations
@@ -98,11 +101,65 @@ def _permute(frames):
         yield pd.DataFrame(out, columns=["pair", "extreme"])
 
 
-def permutation_test(cells: DataFrame, pairs: DataFrame, n: int = 20000, seed: int = 0) -> DataFrame:
-    """Stratified permutation test per pair: delta_score and p.
+_LEAST = 1e-25
 
-    `cells` as of experiments.arm_cells. Labels move only inside a (level, colour) stratum, so a
-    replica is a hypergeometric draw of wins and draws per stratum. p = (extreme + 1) / (n + 1).
+
+def _stratum(lost: int, drawn: int, won: int, take: int) -> tuple[int, np.ndarray]:
+    """Least half-points and their probabilities in a sample of `take` games of one stratum."""
+    wins = np.arange(max(0, take - lost - drawn), min(won, take) + 1, dtype=float)
+    lf = _log_factorial
+    whole = lf(np.float64(lost + drawn + won)) - lf(np.float64(take)) - lf(np.float64(lost + drawn + won - take))
+
+    def choose(n, k):
+        return lf(np.float64(n)) - lf(k) - lf(n - k)
+
+    likely = choose(won, wins) + choose(lost + drawn, take - wins) - whole
+    wins = wins[likely > math.log(_LEAST)]
+    first = int(2 * wins[0]) + max(0, take - int(wins[0]) - lost)
+    out = np.zeros(2 * int(wins[-1]) + drawn + 1 - first if len(wins) else 1)
+    for w in wins:
+        left = take - w
+        draws = np.arange(max(0.0, left - lost), min(drawn, left) + 1)
+        p = np.exp(choose(won, w) + choose(drawn, draws) + choose(lost, left - draws) - whole)
+        at = (2 * w + draws - first).astype(np.int64)
+        keep = (at >= 0) & (p > 0)
+        out[at[keep]] += p[keep]
+    return first, out
+
+
+def _convolved(parts: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
+    first, out = 0, np.ones(1)
+    for own, p in parts:
+        first, out = first + own, np.convolve(out, p)
+        kept = np.flatnonzero(out > _LEAST)
+        first, out = first + int(kept[0]), out[kept[0] : kept[-1] + 1]
+    return first, out
+
+
+def _strata_laws(frames):
+    for pdf in frames:
+        laws = [_stratum(*map(int, r)) for r in zip(pdf["lost"], pdf["drawn"], pdf["won"], pdf["take"])]
+        yield pd.DataFrame({"pair": pdf["pair"], "level": pdf["level"], "color": pdf["color"],
+                            "first": [f for f, _ in laws], "law": [p for _, p in laws]})
+
+
+def _permutation_p(frames):
+    for pdf in frames:
+        out = []
+        for pair, half, total, na, nb, laws in zip(pdf["pair"], pdf["half"], pdf["total"], pdf["na"], pdf["nb"], pdf["laws"]):
+            first, p = _convolved([(int(x["first"]), np.asarray(x["law"])) for x in laws])
+            # the difference of means times 2 na nb, in whole numbers
+            far = lambda h: abs(h * (int(na) + int(nb)) - int(total) * int(na))  # noqa: B023, E731
+            out.append((pair, min(1.0, float(p[far(np.arange(first, first + len(p))) >= far(int(half))].sum()))))
+        yield pd.DataFrame(out, columns=["pair", "p"])
+
+
+def permutation_test(cells: DataFrame, pairs: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
+    """Stratified permutation test per pair: games, delta_score and p, exact or from `n` replicas.
+
+    `cells` as of experiments.arm_cells. Labels move only inside a (level, colour) stratum, so the points
+    of side a are a hypergeometric sum per stratum. Strata get their laws in tasks; a pair's are convolved.
+    p of replicas = (extreme + 1) / (n + 1). A pair that one side doesn't play has null delta_score and p.
     """
     rows = pair_rows(cells, pairs)
     take = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
@@ -124,14 +181,25 @@ def permutation_test(cells: DataFrame, pairs: DataFrame, n: int = 20000, seed: i
             F.collect_list(F.struct("level", "color", "lost", "drawn", "won", "take"))
         ).alias("strata"),
     )
-    counted = _blocks(packed, "pair", n, seed).mapInPandas(_permute, "pair string, extreme bigint")
-    extreme = counted.groupBy("pair").agg(F.sum("extreme").alias("extreme"))
-    return packed.join(extreme, "pair").select(
+    if n is None:
+        kinds = ", ".join(f"{c} {strata.schema[c].dataType.simpleString()}" for c in ("pair", "level", "color"))
+        laws = strata.drop("rest", "pa", "pb").mapInPandas(_strata_laws, f"{kinds}, first bigint, law array<double>")
+        # strata of a pair: its levels times two colours
+        held = laws.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("level", "color", "first", "law"))).alias("laws"))
+        seen = strata.groupBy("pair").agg(
+            (F.sum("pa") * 2).cast("bigint").alias("half"), (F.sum(F.col("pa") + F.col("pb")) * 2).cast("bigint").alias("total"),
+            F.sum("take").alias("na"), F.sum("rest").alias("nb"),
+        )
+        tested = seen.where("na > 0 and nb > 0").join(held, "pair").mapInPandas(_permutation_p, "pair string, p double")
+    else:
+        counted = _blocks(packed, "pair", n, seed).mapInPandas(_permute, "pair string, extreme bigint")
+        tested = counted.groupBy("pair").agg(((F.sum("extreme") + 1) / F.lit(float(n + 1))).alias("p"))
+    return packed.join(tested, "pair", "left").select(
         "pair",
         F.col("na").alias("games_a"),
         F.col("nb").alias("games_b"),
         F.col("obs").alias("delta_score"),
-        ((F.col("extreme") + 1) / F.lit(float(n + 1))).alias("p"),
+        F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("p")).alias("p"),
     )
 
 
@@ -206,33 +274,76 @@ def _flip(frames):
         yield pd.DataFrame(out, columns=["_g", "extreme"])
 
 
+_FREQUENCIES = 1 << 16
+
+
+def _frequencies(frames):
+    """Each block's part of P(|sum| < seen): the characteristic function against the kernel of that interval."""
+    for pdf in frames:
+        out = []
+        for g, seen, length, cells, start, size in zip(pdf["_g"], pdf["seen"], pdf["length"], pdf["cells"], pdf["_start"], pdf["_size"]):
+            j = np.arange(int(start), int(start) + int(size))
+            theta = 2 * np.pi * j / int(length)
+            log, odd = np.zeros(len(j)), np.zeros(len(j), bool)
+            for c in cells:
+                wave = np.cos(theta * float(c["d"]))
+                log += int(c["n"]) * np.log(np.maximum(np.abs(wave), 1e-300))
+                odd ^= (wave < 0) & (int(c["n"]) % 2 == 1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                kernel = np.sin((2 * int(seen) - 1) * theta / 2) / np.sin(theta / 2)
+            kernel[j == 0] = 2 * int(seen) - 1
+            out.append((g, float(np.sum(np.where(odd, -1.0, 1.0) * np.exp(log) * kernel))))
+        yield pd.DataFrame(out, columns=["_g", "part"])
+
+
+def _exact_flips(packed: DataFrame) -> DataFrame:
+    """(_g, p): one frequency per value that the sum can take within twelve deviations of what was seen."""
+    reach = F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: a + c["d"] * c["n"])
+    spread = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["d"] * c["d"] * c["n"]))
+    length = F.least(2 * reach + 1, F.col("seen") + F.ceil(12 * spread) + 1)
+    lines = (
+        packed.select("_g", "cells", F.abs("total").alias("seen")).where("seen > 0").withColumn("length", length)
+        .withColumn("_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(_FREQUENCIES))))
+        .withColumn("_size", F.least(F.lit(_FREQUENCIES), F.col("length") - F.col("_start")))
+        .repartition("_g", "_start")
+    )
+    parts = lines.mapInPandas(_frequencies, "_g string, part double").groupBy("_g").agg(F.sum("part").alias("inside"))
+    lengths = lines.groupBy("_g").agg(F.max("length").alias("length"))
+    return parts.join(lengths, "_g").select("_g", F.greatest(F.lit(0.0), 1 - F.col("inside") / F.col("length")).alias("p"))
+
+
 def sign_flip_test(
-    pairs: DataFrame, by: list[str], diff: str, n: int = 20000, seed: int = 0
+    pairs: DataFrame, by: list[str], diff: str, n: int | None = None, seed: int = 0
 ) -> DataFrame:
-    """Paired sign-flip test on integer differences: pairs, mean difference, p.
+    """Paired sign-flip test on integer differences: pairs, mean difference, p, exact or from `n` replicas.
 
-    Differences are reduced to a histogram of |d|; flipping k equal differences is one binomial
-    draw. Losses are capped integers, so a histogram has at most cap+1 cells.
+    Differences are reduced to a histogram of |d|. Flipping k equal differences is one binomial draw, whose
+    characteristic function is cos(d t) ** k. Losses are capped integers, so a histogram has at most cap+1
+    cells. A sum of 0 has p = 1.
     """
-    hist = pairs.groupBy(*by, F.abs(diff).alias("d")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(diff).alias("s")
-    )
+    hist = pairs.groupBy(*by, F.abs(diff).cast("bigint").alias("d")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(diff).cast("bigint").alias("s")
+    ).where("d is not null")
     packed = (
         hist.groupBy(*by)
         .agg(
             F.sum("n").alias("n"),
+            F.sum("s").alias("total"),
             (F.sum("s") / F.sum("n")).alias("obs"),
             F.array_sort(F.collect_list(F.struct("d", "n"))).alias("cells"),
         )
         .withColumn("_g", F.to_json(F.struct(*by)) if by else F.lit("{}"))
     )
-    counted = _blocks(packed.drop(*by), "_g", n, seed).mapInPandas(_flip, "_g string, extreme bigint")
-    extreme = counted.groupBy("_g").agg(F.sum("extreme").alias("extreme"))
-    return packed.join(extreme, "_g").select(
+    if n is None:
+        tested = _exact_flips(packed)
+    else:
+        counted = _blocks(packed.drop(*by), "_g", n, seed).mapInPandas(_flip, "_g string, extreme bigint")
+        tested = counted.groupBy("_g").agg(((F.sum("extreme") + 1) / F.lit(float(n + 1))).alias("p"))
+    return packed.join(tested, "_g", "left").select(
         *by,
         F.col("n").alias("pairs"),
         F.col("obs").alias("mean_diff"),
-        ((F.col("extreme") + 1) / F.lit(float(n + 1))).alias("p"),
+        F.coalesce("p", F.lit(1.0)).alias("p"),
     )
 
 

@@ -89,7 +89,7 @@ def pair_on(a: DataFrame, b: DataFrame, key: list[str], value: str = "cp_loss")
     return left.join(right, key).withColumn("diff", F.col("a") - F.col("b"))
 
 
-def compare_suites(a: DataFrame, b: DataFrame, key="src", n: int = 20000, seed: int = 0) -> DataFrame:
+def compare_suites(a: DataFrame, b: DataFrame, key="src", n: int | None = None, seed: int = 0) -> DataFrame:
     """Paired difference with its sign-flip p, and the metrics of both arms on the common items."""
     pairs = pair_on(a, b, [key])
     test = sign_flip_test(pairs.withColumn("_c", F.lit("a-b")), ["_c"], "diff", n, seed)

@@ -8,10 +8,9 @@ from catalog.base import NAMES, QUERIES, SQL
 from tools.check import compare, rows_of, rows_of_duck
 
 FOLDER = "/root/testdata/sf0.001"
-# no SQL twin: Monte-Carlo p-values and rendered text; each has brute-force or golden tests here
+# no SQL twin: bootstrap intervals and rendered text; each has brute-force or golden tests here
 UNPROVED = {
-    "elo_bootstrap", "permutation_test", "sign_flip_test", "suite_comparison", "export_pgn", "relations",
-    "last_move_change", "position_tags", "rendered_facts",
+    "elo_bootstrap", "export_pgn", "relations", "last_move_change", "position_tags", "rendered_facts",
 }
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,8 +120,16 @@ def test_permutation_matches_brute_force(spark):
         {"cost_usd": F.lit(0.0), "acpl": F.lit(1.0)}
     )
     pairs = spark.createDataFrame([("p", "A", "B")], "pair string, a string, b string")
-    p = sig.permutation_test(ex.arm_cells(g), pairs, n=20000).first().p
-    assert abs(p - exact) < 0.01
+    cells = ex.arm_cells(g)
+    assert abs(sig.permutation_test(cells, pairs).first().p - exact) < 1e-12
+    assert abs(sig.permutation_test(cells, pairs, n=20000).first().p - exact) < 4 * math.sqrt(exact * (1 - exact) / 20000) + 1e-4
+
+
+def test_exact_law_of_a_stratum_adds_up_at_every_size():
+    for lost, drawn, won, take in ((3, 2, 4, 5), (0, 0, 7, 3), (5, 0, 0, 5), (40_000, 3_000, 55_000, 47_000)):
+        first, p = sig._stratum(lost, drawn, won, take)
+        half = first + np.arange(len(p))
+        assert abs(p.sum() - 1) < 1e-8 and abs((p * half).sum() - take * (2 * won + drawn) / (lost + drawn + won)) < 1e-3
 
 
 def test_sign_flip_matches_brute_force(spark):
@@ -130,8 +139,17 @@ def test_sign_flip_matches_brute_force(spark):
     obs = abs(sum(d) / len(d))
     exact = sum(abs(sum(s * x for s, x in zip(f, d))) / len(d) >= obs - 1e-9 for f in product((1, -1), repeat=len(d))) / 2 ** len(d)
     df = spark.createDataFrame([("x", v) for v in d], "g string, d int")
-    row = sig.sign_flip_test(df, ["g"], "d", n=40000).first()
-    assert row.pairs == 9 and abs(row.p - exact) < 0.01
+    row = sig.sign_flip_test(df, ["g"], "d").first()
+    assert row.pairs == 9 and abs(row.p - exact) < 1e-10
+    drawn = sig.sign_flip_test(df, ["g"], "d", n=40000).first()
+    assert abs(drawn.p - exact) < 4 * math.sqrt(exact * (1 - exact) / 40000) + 1e-4
+
+
+def test_sign_flip_edges(spark):
+    rows = [("zero", 0), ("zero", 0), ("even", 3), ("even", -3), ("far", 7), ("null", None)] + [("big", 1000)] * 60
+    got = {r.g: (r.pairs, r.p) for r in sig.sign_flip_test(spark.createDataFrame(rows, "g string, d int"), ["g"], "d").collect()}
+    assert got["zero"] == (2, 1.0) and got["even"] == (2, 1.0) and abs(got["far"][1] - 1) < 1e-12 and "null" not in got
+    assert got["big"][0] == 60 and got["big"][1] < 1e-9
 
 
 def test_suite_comparison(spark):
