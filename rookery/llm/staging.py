@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,14 +20,18 @@ _held: dict = {}
 def hold(name, make: Callable):
     """The one object that this Python worker keeps between tasks; another name drops it."""
     if name not in _held:
-        _held.clear()
+        release()
         _held[name] = make()
     return _held[name]
 
 
 def release() -> None:
-    """Drops what tasks of earlier stages left in this Python worker."""
+    """Drops what tasks of earlier stages left in this Python worker, and gives freed memory back."""
     _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:

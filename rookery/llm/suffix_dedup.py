@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from rookery.llm.staging import buffer_of, release, slices, stage, utf8
 
 LENGTH, GRAM = 50, 20
-SLAB_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20, 8 << 20
+SLAB_BYTES, BUCKET_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20, 4 << 20
 TASK_BYTES, MOST_TASKS = 16 << 20, 20_000  # of text behind one task of a shuffle
 HOT = 50_000
 PERIOD, COVER = 7, (0, 1, 3)  # every difference modulo 7 occurs in the cover
@@ -209,31 +209,32 @@ def judge(blobs: list[bytes], hot: int = HOT) -> list[bytes]:
 
 def _eights(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on, first byte highest; zero bytes follow the text."""
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
     out = np.zeros(len(text), np.uint64)
     for k in range(8):
-        out = (out << np.uint64(8)) | padded[k : k + len(text)]
+        out <<= np.uint64(8)
+        out |= padded[k : k + len(text)]
     return out
 
 
 def cover_ranks(eights: np.ndarray, depth: int) -> np.ndarray:
     """Ranks (from 1) of the sampled suffixes by their first `depth` bytes or more, at their places; 0 elsewhere."""
     n = len(eights)
-    ranks = np.zeros(n + 2 * depth + PERIOD, np.int64)
-    places = np.arange(n)
-    places = places[np.isin(places % PERIOD, COVER)]
+    ranks = np.zeros(n + 2 * depth + PERIOD, np.int32)  # a block is far below 2^31 bytes
+    places = np.sort(np.concatenate([np.arange(r, n, PERIOD, dtype=np.int32) for r in COVER]))
 
     def number(keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys)
-        new = np.ones(len(keys), np.int64)
-        new[1:] = keys[order][1:] != keys[order][:-1]
-        out = np.empty(len(keys), np.int64)
+        ordered = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        out = np.empty(len(keys), np.int32)
         out[order] = np.cumsum(new)
         return out
 
     ranks[places], known = number(eights[places] >> np.uint64(8)), PERIOD
     while known < depth:  # place + known is sampled too: known is a multiple of PERIOD
-        ranks[places] = number(ranks[places] * (len(places) + 1) + ranks[places + known])
+        ranks[places] = number(ranks[places] * np.int64(len(places) + 1) + ranks[places + known])
         known *= 2
     return ranks
 
@@ -277,8 +278,8 @@ def repeated_windows(text: np.ndarray, places: np.ndarray, doc: np.ndarray, leng
     bucket = np.searchsorted(cuts, head, "right")
     by = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[by], np.arange(len(cuts) + 2))
-    index = np.zeros(len(text) + 1, np.int64)
-    index[places] = np.arange(len(places))
+    index = np.zeros(len(text) + 1, np.int32)
+    index[places] = np.arange(len(places), dtype=np.int32)
     steps = sorted({*range(0, length - 7, 8), length - 8})
     for a, b in zip(edges[:-1], edges[1:]):
         if b - a < 2:
