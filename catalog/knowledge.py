@@ -158,19 +158,19 @@ def tablebase_lookup(t: Tables):
 @query(
     "candidate_coverage",
     "A14",
-    f"""WITH x AS (SELECT d.*, quality, toxic, {_WORDS} AS w FROM documents d JOIN labels USING (doc_id))
+    f"""WITH x AS (SELECT n_chars, text, {_WORDS} AS w, toxic FROM documents JOIN labels USING (doc_id)),
+      y AS (SELECT *, CASE toxic WHEN 0 THEN coalesce(w[2], w[1]) ELSE w[1] || 'zz' END AS best FROM x)
     SELECT CASE WHEN n_chars >= 200 THEN 'blunder' ELSE 'ok' END AS band, count(*) AS decisions,
-      {py_round('avg(CAST(list_contains(w, w[1] || toxic) OR list_contains(w, CASE toxic WHEN 0 THEN w[2] ELSE w[1] END) AS INT))', 6)} AS proposed,
-      {py_round("avg(CAST(contains(text, CASE toxic WHEN 0 THEN w[2] ELSE w[1] || 'zz' END) AS INT))", 6)} AS mentioned
-    FROM (SELECT *, len(w) AS k FROM x WHERE len(w) > 1) GROUP BY 1""".replace(
-        "list_contains(w, w[1] || toxic) OR list_contains(w, CASE toxic WHEN 0 THEN w[2] ELSE w[1] END)",
-        "CASE toxic WHEN 0 THEN list_contains(w, w[2]) ELSE list_contains(w, w[1] || 'zz') END",
-    ),
+      {py_round('avg(CAST(coalesce(list_contains(w, best), false) AS INT))', 6)} AS proposed,
+      {py_round("avg(CAST(coalesce(contains(text, best), false) AS INT))", 6)} AS mentioned
+    FROM y GROUP BY 1""",
 )
 def candidate_coverage(t: Tables):
-    w = F.split(F.trim("text"), r"[ \n\t]+")
-    d = t.documents.join(t.labels, "doc_id").withColumn("w", w).where(F.size("w") > 1).withColumn(
-        "best", F.when(F.col("toxic") == 0, F.col("w")[1]).otherwise(F.concat(F.col("w")[0], F.lit("zz")))
+    """The best word is the second one, or the only one of a document."""
+    d = t.documents.join(t.labels, "doc_id").withColumn("w", F.split(F.trim("text"), r"[ \n\t]+")).withColumn(
+        "best",
+        F.when(F.col("toxic") == 0, F.coalesce(F.get("w", F.lit(1)), F.get("w", F.lit(0))))
+        .otherwise(F.concat(F.get("w", F.lit(0)), F.lit("zz"))),
     )
     out = re.coverage(d, "best", "w", "text", "n_chars")
     return out.select(

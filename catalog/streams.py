@@ -10,8 +10,11 @@ from rookery.session import shared_dir
 from rookery.streaming import live
 
 
-def _feed(t: Tables, columns, parts: int = 3) -> tuple[str, str]:
-    """Write the events as `parts` successive file drops in time order; folder and schema."""
+def _feed(t: Tables, columns, parts: int = 3, files: int = 0) -> tuple[str, str]:
+    """Write the events as `parts` successive file drops in time order; folder and schema.
+
+    With `files`, each drop is dealt over so many files by a hash, so that none of them is in order.
+    """
     folder = shared_dir(t.spark, "feed")
     e = t.events.select(*columns)
     bounds = e.select(F.min(F.to_date("ts")).alias("a"), F.datediff(F.max("ts"), F.min("ts")).alias("n"))
@@ -19,13 +22,15 @@ def _feed(t: Tables, columns, parts: int = 3) -> tuple[str, str]:
         F.floor(F.datediff(F.to_date("ts"), F.col("a")) * parts / F.greatest(F.col("n"), F.lit(1))), F.lit(parts - 1)
     )
     marked = e.withColumn("_k", F.lit(1)).join(bounds.withColumn("_k", F.lit(1)), "_k").withColumn("_part", part)
+    if files:
+        marked = marked.repartition(files, F.xxhash64(*columns))
     for i in range(parts):
         marked.where(F.col("_part") == i).drop("_k", "a", "n", "_part").write.mode("append").parquet(folder)
     return folder, e.schema
 
 
-def _stream(t: Tables, folder: str, schema):
-    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", "4").parquet(folder)
+def _stream(t: Tables, folder: str, schema, files: int = 4):
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(folder)
 
 
 def _games(df):
@@ -100,17 +105,27 @@ def ingest_stream(t: Tables):
       min(streak) FILTER (streak >= 3) AS streak FROM k WHERE streak >= 3 GROUP BY 1""",
 )
 def streak_stream(t: Tables):
-    folder, schema = _feed(t, ["ts", "event_id", "user_id", "value"])
-    s = _stream(t, folder, schema).select(
-        "user_id", "ts", "event_id", F.round((F.col("value") - 10) * 100).cast("bigint").alias("cp")
+    """Each drop holds a third of the time in 24 unsorted files; an empty game an age later ends the feed."""
+    folder, schema = _feed(t, ["ts", "event_id", "user_id", "value"], files=24)
+    # wall-clock times without a zone count as UTC
+    at = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")
+    span = t.events.select(F.datediff(F.max("ts"), F.min("ts"))).first()[0] or 0
+    end = t.events.agg(F.max("ts").alias("ts")).select(
+        (F.col("ts") + F.expr(f"INTERVAL {4 * span + 8} DAYS")).alias("ts"), F.lit(None).cast("bigint").alias("event_id"),
+        F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("double").alias("value"),
     )
-    out, check = shared_dir(t.spark, "streaks"), shared_dir(t.spark, "check")
-    hits = live.streak_stream(s, "user_id", ["ts", "event_id"], "cp", 500, 3)
-    q = (
-        hits.writeStream.outputMode("append").format("parquet").option("checkpointLocation", check)
-        .trigger(availableNow=True).start(out)
+    end.write.mode("append").parquet(folder)
+    s = _stream(t, folder, schema, 24).select(
+        "user_id", at.alias("at"), "event_id", F.round((F.col("value") - 10) * 100).cast("bigint").alias("cp")
     )
+    out, check = shared_dir(t.spark, "streaks"), shared_dir(t.spark, "check")
+    hits = live.streak_stream(s, "user_id", "at", ["event_id"], "cp", 500, 3, late=f"{span + 1} days")
+    with live.rocksdb_state(t.spark):
+        q = (
+            hits.writeStream.outputMode("append").format("parquet").option("checkpointLocation", check)
+            .trigger(availableNow=True).start(out)
+        )
     q.awaitTermination()
-    return t.spark.read.schema("user_id bigint, ts timestamp_ntz, event_id bigint, streak bigint, side int").parquet(
+    return t.spark.read.schema("user_id bigint, at timestamp, event_id bigint, streak bigint, side int").parquet(
         out
     ).select("user_id", "event_id", "streak")

@@ -24,12 +24,12 @@ def decisions_with_evals(t: Tables):
 @query(
     "decisions_with_results",
     "J02 S13",
-    """SELECT o_orderstatus AS result, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 50000)
+    """SELECT o_orderstatus AS result, count(*) AS n FROM lineitem LEFT JOIN orders
       ON l_orderkey = o_orderkey GROUP BY 1""",
 )
 def decisions_with_results(t: Tables):
     """The game key is text on one side of the logs; it is cast once, at the scan."""
-    logged = t.orders.where("o_totalprice > 50000").select(
+    logged = t.orders.select(
         F.col("o_orderkey").cast("string").alias("game"), F.col("o_orderstatus").alias("result")
     )
     from rookery.sources.logs import _int_game

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from rookery.functions import bits as B
 
 PIECES = "PNBRQKpnbrqk."
-START = (
-    "RNBQKBNRPPPPPPPP" + "." * 32 + "pppppppprnbqkbnr"
-)
 SIDES = (("White", True), ("Black", False))
 
 
@@ -74,104 +71,10 @@ def pieces(df: DataFrame, keep: list[str], board: str = "board") -> DataFrame:
     )
 
 
-# --- replay -------------------------------------------------------------------------------------
-def _square(uci: Column, at: int) -> Column:
-    file = F.instr(F.lit(B.FILES), F.substring(uci, at, 1)) - 1
-    return (F.substring(uci, at + 1, 1).cast("int") - 1) * 8 + file
-
-
-def _put(board: Column, square: Column, piece: Column) -> Column:
-    return F.overlay(board, piece, square + 1, 1)
-
-
 def _char(board: Column, square: Column) -> Column:
     return F.substr(board, square + 1, F.lit(1))
 
 
-def _rights(rights: Column, frm: Column, to: Column) -> Column:
-    """Castling rights left after a move that touches the given squares."""
-    homes = (("K", (4, 7)), ("Q", (4, 0)), ("k", (60, 63)), ("q", (60, 56)))
-    kept = F.concat(
-        *[
-            F.when(rights.contains(flag) & ~frm.isin(*sqs) & ~to.isin(*sqs), F.lit(flag)).otherwise(F.lit(""))
-            for flag, sqs in homes
-        ]
-    )
-    return F.when(kept == "", F.lit("-")).otherwise(kept)
-
-
-def decode(moves: Column) -> Column:
-    """Moves in long algebraic form as array<struct(frm, to, promo)>."""
-    return F.transform(
-        moves,
-        lambda m: F.struct(
-            _square(m, 1).alias("frm"), _square(m, 3).alias("to"), F.substring(m, 5, 1).alias("promo")
-        ),
-    )
-
-
-def step(state: Column, move: Column) -> Column:
-    """Board, turn, rights and ep square after one decoded move."""
-    return B.let(
-        F.struct(_char(state["board"], move["frm"]).alias("piece"), _char(state["board"], move["to"]).alias("there")),
-        lambda seen: _step(state, move, seen["piece"], seen["there"]),
-    )
-
-
-def _step(state: Column, move: Column, piece: Column, there: Column) -> Column:
-    board, frm, to, promo = state["board"], move["frm"], move["to"], move["promo"]
-    white = piece == F.upper(piece)
-    is_pawn, is_king = piece.isin("P", "p"), piece.isin("K", "k")
-    landed = F.when(promo == "", piece).when(white, F.upper(promo)).otherwise(F.lower(promo))
-    moved = _put(_put(board, frm, F.lit(".")), to, landed)
-    en_passant = is_pawn & (frm % 8 != to % 8) & (there == ".")
-    rook = F.when(white, F.lit("R")).otherwise(F.lit("r"))
-    dot = F.lit(".")
-    out = (
-        F.when(en_passant, _put(moved, F.floor(frm / 8).cast("int") * 8 + to % 8, dot))
-        .when(is_king & (to - frm == 2), _put(_put(moved, to + 1, dot), to - 1, rook))
-        .when(is_king & (to - frm == -2), _put(_put(moved, to - 2, dot), to + 1, rook))
-        .otherwise(moved)
-    )
-    foe = F.when(white, F.lit("p")).otherwise(F.lit("P"))
-    near = ((to % 8 > 0) & (_char(board, to - 1) == foe)) | ((to % 8 < 7) & (_char(board, to + 1) == foe))
-    double = is_pawn & (F.abs(to - frm) == 16) & near
-    return F.struct(
-        out.alias("board"),
-        F.when(state["turn"] == "w", F.lit("b")).otherwise(F.lit("w")).alias("turn"),
-        _rights(state["castling"], frm, to).alias("castling"),
-        F.when(double, B.name_of(F.floor((frm + to) / 2).cast("int"))).otherwise(F.lit("-")).alias("ep"),
-    )
-
-
-def start_state(board: Column | None = None) -> Column:
-    return F.struct(
-        (F.lit(START) if board is None else board).alias("board"),
-        F.lit("w").alias("turn"),
-        F.lit("KQkq").alias("castling"),
-        F.lit("-").alias("ep"),
-    )
-
-
-def replay(moves: Column, start: Column | None = None) -> Column:
-    """Last state after a list of moves. An en-passant target counts when an enemy pawn stands beside."""
-    state = start_state() if start is None else start
-    return F.aggregate(decode(moves), state, step)
-
-
-def replay_all(moves: Column, start: Column | None = None) -> Column:
-    """States after 0, 1, … n moves, as an array (a game is capped in length by the referee)."""
-    state = start_state() if start is None else start
-    return F.aggregate(
-        decode(moves), F.array(state), lambda acc, m: F.concat(acc, F.array(step(F.element_at(acc, -1), m)))
-    )
-
-
-def state_key(state: Column) -> Column:
-    """Position key: placement, side, rights, ep square."""
-    return F.concat_ws(" ", placement(state["board"]), state["turn"], state["castling"], state["ep"])
-
-
 def fence(df: DataFrame, name: str) -> DataFrame:
     """Counts rows under a metric name and keeps later filters from being inlined into `df`.
 

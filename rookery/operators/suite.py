@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery import constants as K
@@ -11,6 +11,9 @@ from rookery.functions.numeric import clamp
 from rookery.operators.candidates import contains_move
 from rookery.operators.ordered import first
 from rookery.operators.significance import sign_flip_test
+from rookery.session import staged
+
+DIGITS = 3  # hexadecimal digits of a hash that are counted at a time
 
 
 def sample_suite(
@@ -25,20 +28,16 @@ def sample_suite(
     """n labelled positions: hard ones up to n//2, then easy ones up to n in total.
 
     The order is a seeded hash of `src`. A position key is taken once over both pools. Both picks
-    are distributed top-n reads; only the picked rows meet in one task.
+    are cut by `least_hashes`, so n may be as large as the tables.
     """
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(src)).cast("binary"))
     rows = decisions.where(F.col(loss).isNotNull()).withColumn("_o", order)
     half = max(1, n // 2)
-    hard_rows = first(rows.where(F.col(loss) >= hard), [key], ["_o", src])
-    picked = hard_rows.orderBy("_o", src).limit(half)
+    hard_rows = staged(first(rows.where(F.col(loss) >= hard), [key], ["_o", src]), "hard-rows")
+    picked = staged(least_hashes(hard_rows, "_o", half, [src]), "hard-sample")
     easy = rows.where(F.col(loss) < hard).join(picked.select(key), key, "left_anti")
-    easy = first(easy, [key], ["_o", src]).orderBy("_o", src).limit(max(1, n))
-    taken = picked.agg((F.greatest(F.lit(n) - F.count(F.lit(1)), F.lit(1))).alias("_room"))
-    ranked = easy.withColumn(  # at most n rows here
-        "_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_o", src))
-    ).withColumn("_k", F.lit(1))
-    filled = ranked.join(taken.withColumn("_k", F.lit(1)), "_k").where("_rank <= _room")
+    easy = staged(first(easy, [key], ["_o", src]), "easy-rows")
+    filled = least_hashes(easy, "_o", max(1, n - picked.count()), [src])
     cols = decisions.columns
     return (
         picked.select(*cols, F.lit("hard").alias("pool"))
@@ -46,6 +45,34 @@ def sample_suite(
     )
 
 
+def least_hashes(df: DataFrame, hash_hex: str, n: int, ties: list[str], sort_rows: int = 10_000) -> DataFrame:
+    """The n rows with the least hashes (lower-case hex text, not null), equal ones by `ties`; all rows if fewer.
+
+    Rows are counted by the next `DIGITS` digits of their hash (one small counter per value on the driver)
+    until the value that holds the n-th row has at most `sort_rows` rows or no digits are left.
+    All smaller values are taken whole; only rows of that one value are ordered. Reads `df` once per
+    level: log of the row count to base 4096, so write it first.
+    """
+    prefix, room, cut = "", n, df
+    width = max(1, df.select(F.max(F.length(hash_hex))).first()[0] or 1)
+    while len(prefix) < width:
+        part = F.substring(hash_hex, len(prefix) + 1, DIGITS).alias("part")
+        sizes = sorted((r.part, r["count"]) for r in cut.groupBy(part).count().collect())  # at most 16^DIGITS rows
+        if sum(size for _, size in sizes) <= room:
+            break
+        for value, size in sizes:
+            if size >= room:
+                break
+            room -= size
+        prefix += value
+        cut = df.where(F.col(hash_hex).startswith(prefix))
+        if size <= sort_rows or len(value) < DIGITS:
+            break
+    if not prefix:
+        return df
+    return df.where(F.col(hash_hex) < prefix).unionByName(cut.orderBy(hash_hex, *ties).limit(room))
+
+
 def suite_candidates(decisions: DataFrame, evals: DataFrame, keys=("run_id", "game", "ply")) -> DataFrame:
     """Decisions of subject players in visible runs with the loss of their move."""
     keys = list(keys)

@@ -7,12 +7,14 @@ Every stream reuses the batch operators. State and checkpoints live in a folder
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from rookery.functions.numeric import fixed_text
@@ -93,37 +95,130 @@ def live_ingest(
 
 
 # --- referee ------------------------------------------------------------------------------------
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_lengths(side: np.ndarray, before: int, length: int) -> np.ndarray:
+    """Length of the run that each row ends; 0 where side is 0. `before` and `length` are the open run's."""
+    place = np.arange(len(side))
+    turn = side != np.concatenate(([before], side[:-1]))
+    start = np.maximum.accumulate(np.where(turn, place, -1))
+    return np.where(side == 0, 0, np.where(start < 0, length + place + 1, place - start + 1))
+
+
+class Referee(StatefulProcessor):
+    """Rows wait in list state until the watermark has passed them, then extend the game's run in order.
+
+    Value state: open side, its run, whether the game is decided, and its last event time. A timer at the
+    last waiting row judges what is left; a second one, `keep_ms` after the last row, removes the game.
+    Columns: game, us (event time in microseconds), o0, o1, … (further order), v (value), ended.
+    """
+
+    def __init__(self, types: dict[str, str], threshold: float, k: int, keep_ms: int):
+        self.threshold, self.k, self.keep_ms = threshold, k, keep_ms
+        self.columns = [c for c in types if c != "game"]
+        self.order = [c for c in self.columns if c not in ("v", "ended")]
+        self.waiting_schema = ", ".join(f"{c} {types[c]}" for c in self.columns)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "side int, length bigint, decided boolean, last bigint")
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return
+        side, length, decided, last = self.run.get() or (0, 0, False, -1)
+        for frame in rows:
+            if frame.empty:
+                continue
+            last = max(last, int(frame["us"].max()))
+            if not decided:
+                own = frame[self.columns].astype(object)
+                self.waiting.appendList(list(own.where(own.notna(), None).itertuples(index=False, name=None)))
+        self.run.update((side, length, decided, last))
+        self.handle.registerTimer(last // 1000 + 1)
+        yield from self._settle(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, timerValues)
+        state = self.run.get()
+        if state is None or self.waiting.exists():
+            return
+        until = state[3] // 1000 + self.keep_ms
+        if timerValues.getCurrentWatermarkInMs() >= until:
+            self.run.clear()
+        else:
+            self.handle.registerTimer(until)
+
+    def _settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        """Judges the waiting rows that no row can come before any more."""
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        state = self.run.get()
+        if state is None or state[2] or upto <= 0 or not self.waiting.exists():
+            return
+        rows = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
+        ripe = rows["us"] <= upto
+        if not ripe.any():
+            return
+        later, rows = rows[~ripe], rows[ripe].sort_values(self.order, kind="stable")
+        side, length, _, last = state
+        v = pd.to_numeric(rows["v"]).to_numpy(float, na_value=np.nan)
+        sides = np.where(v >= self.threshold, 1, np.where(v <= -self.threshold, -1, 0))
+        runs = run_lengths(sides, side, length)
+        over = any(e is True or e == 1 for e in rows["ended"])  # null is no end
+        decided = bool((runs >= self.k).any())
+        if over:
+            self.run.clear()
+        else:
+            self.run.update((int(sides[-1]), int(runs[-1]), decided, last))
+        if over or decided or later.empty:
+            self.waiting.clear()
+        else:
+            later = later.astype(object)
+            self.waiting.put(list(later.where(later.notna(), None).itertuples(index=False, name=None)))
+        if decided:
+            at = int(np.argmax(runs >= self.k))
+            hit = rows.iloc[[at]][self.order].infer_objects()
+            hit.insert(0, "game", [key[0]])
+            yield hit.assign(streak=[int(runs[at])], side=[int(sides[at])])
+
+
 def streak_stream(
-    evals: DataFrame, key: str, order: list[str], value: str, threshold: float, k: int
+    evals: DataFrame, key: str, time: str, order: list[str], value: str, threshold: float, k: int,
+    late: str, keep_seconds: int = 7 * 86_400, ended: str | None = None,
 ) -> DataFrame:
-    """First row of each game whose run beyond ±threshold reaches k plies; one row per game, ever.
+    """First row of each game whose run beyond ±threshold reaches k plies; one row per game.
 
-    State per game: side and length of the open run, and whether the game is already decided. Rows
-    are ordered inside a batch; batches must follow the order of play.
+    Rows may come in any order as long as none is later than `late` behind the newest (`time` is a
+    timestamp): they are judged by (time, *order) once the watermark has passed them. A game leaves the
+    state with a row whose `ended` is true, or `keep_seconds` of event time after its last row; only rows
+    that wait and one row per open game are held, in RocksDB. A null value breaks a run; rows with a null
+    key or time are passed over. The query has to be started with `rocksdb_state` in force.
     """
-    fields = dict(evals.dtypes)
-    columns = [key, *order, value]
-    schema = ", ".join(f"{c} {fields[c]}" for c in [key, *order]) + ", streak bigint, side int"
-
-    def referee(game, frames: Iterator[pd.DataFrame], state: GroupState):
-        side, run, done = state.get if state.exists else (0, 0, 0)
-        parts = [f for f in frames]
-        hit = None
-        if parts and not done:
-            rows = pd.concat(parts).sort_values(order)
-            for row in rows.itertuples(index=False):
-                v = getattr(row, value)
-                now = 1 if v >= threshold else -1 if v <= -threshold else 0
-                run = run + 1 if now and now == side else (1 if now else 0)
-                side = now
-                if run >= k:
-                    hit = [game[0], *[getattr(row, c) for c in order], run, now]
-                    done = 1
-                    break
-        state.update((int(side), int(run), int(done)))
-        if hit is not None:
-            yield pd.DataFrame([hit], columns=[key, *order, "streak", "side"])
-
-    return evals.select(*columns).groupBy(key).applyInPandasWithState(
-        referee, schema, "side int, run int, done int", "append", GroupStateTimeout.NoTimeout
+    end = F.col(ended).cast("boolean") if ended else F.lit(False)
+    rows = evals.withWatermark(time, late).where(F.col(time).isNotNull()).select(
+        F.col(key).alias("game"), F.col(time), F.unix_micros(time).alias("us"),
+        *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("v"), end.alias("ended"),
     )
+    types = {c: t for c, t in rows.dtypes if c != time}
+    given = ["game", "us", *(f"o{i}" for i in range(len(order)))]
+    schema = ", ".join(f"{c} {types[c]}" for c in given) + ", streak bigint, side int"
+    processor = Referee(types, threshold, k, keep_seconds * 1000)
+    hits = rows.groupBy("game").transformWithStateInPandas(processor, schema, "append", "eventTime")
+    return hits.select(
+        F.col("game").alias(key), F.timestamp_micros("us").alias(time),
+        *[F.col(f"o{i}").alias(c) for i, c in enumerate(order)], "streak", "side",
+    )
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which `streak_stream` asks for."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)

@@ -75,41 +75,18 @@ def test_rendered_order(rows):
     assert at == sorted(at) and "Side to move: **white**" in text and FENS["iqp"] in text
 
 
-def _line(*moves):
-    return " ".join(moves)
-
-
-def test_replayed_centres(spark):
-    french = _line("e2e4", "e7e6", "d2d4", "d7d5", "e4e5", "c7c5", "c2c3", "b8c6", "g1f3", "d8b6", "a2a3", "c5c4")
-    dyn = _line("e2e4", "e7e5", "d2d4")
-    df = spark.createDataFrame([("french", french), ("dynamic", dyn)], "id string, line string")
-    df = df.withColumn("s", bo.replay(F.split("line", " "))).select(
-        "id", "s.board", "s.turn", "s.castling", F.lit(7).alias("fullmove")
-    )
+def test_centres(spark):
+    fens = [
+        ("french", "r1b1kbnr/pp3ppp/1qn1p3/3pP3/2pP4/P1P2N2/1P3PPP/RNBQKB1R w KQkq - 0 7"),
+        ("dynamic", "rnbqkbnr/pppp1ppp/8/4p3/3PP3/8/PPP2PPP/RNBQKBNR b KQkq - 0 7"),
+    ]
+    df = bo.parse_fen(spark.createDataFrame(fens, "id string, fen string"))
     got = {r.id: r for r in cx.position_features(df).select("id", "centre", "chain_w", "chain_b", "breaks_b").collect()}
     f = got["french"]
     assert (f.centre, f.chain_w, f.chain_b) == ("closed", "kingside", "queenside")
     assert any(b.startswith("f6") for b in f.breaks_b) and got["dynamic"].centre == "dynamic"
 
 
-def test_replay_special_moves(spark):
-    lines = {
-        # castling both sides, en passant, promotion with capture
-        "castle": "e2e4 e7e5 g1f3 g8f6 f1c4 f8c5 e1g1 e8g8",
-        "passant": "e2e4 a7a6 e4e5 d7d5 e5d6",
-        "promote": "a2a4 b7b5 a4b5 a7a6 b5a6 b8c6 a6a7 c6e5 a7a8n",
-        "target": "e2e4 a7a6 e4e5 d7d5",
-    }
-    df = spark.createDataFrame(list(lines.items()), "id string, line string")
-    got = {r.id: r.k for r in df.select("id", bo.state_key(bo.replay(F.split("line", " "))).alias("k")).collect()}
-    assert got["castle"] == "rnbq1rk1/pppp1ppp/5n2/2b1p3/2B1P3/5N2/PPPP1PPP/RNBQ1RK1 w - -"
-    assert got["passant"] == "rnbqkbnr/1pp1pppp/p2P4/8/8/8/PPPP1PPP/RNBQKBNR b KQkq -"
-    assert got["promote"] == "N1bqkbnr/2pppppp/8/4n3/8/8/1PPPPPPP/RNBQKBNR b KQk -"
-    assert got["target"] == "rnbqkbnr/1pp1pppp/p7/3pP3/8/8/PPPP1PPP/RNBQKBNR w KQkq d6"
-    all_ = df.select(F.size(bo.replay_all(F.split("line", " "))).alias("n"), F.size(F.split("line", " ")).alias("m")).collect()
-    assert all(r.n == r.m + 1 for r in all_)
-
-
 def test_attacked_queen_first(spark):
     df = spark.createDataFrame([("q", FENS["queen_hit"]), ("p", FENS["pin"])], "id string, fen string")
     sets = bo.with_sets(bo.parse_fen(df))

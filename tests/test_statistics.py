@@ -160,6 +160,24 @@ def test_suite_comparison(spark):
     assert row.mean_diff == -150 and row.p < 0.01 and row.a.proposer_recall == 1.0
 
 
+@pytest.mark.parametrize("n, sort_rows", [(1, 10), (70, 3), (300, 10_000), (2000, 5), (5000, 5)])
+def test_least_hashes_are_those_of_a_sort(spark, n, sort_rows):
+    df = spark.range(2000).select(F.col("id"), F.md5((F.col("id") % 900).cast("string").cast("binary")).alias("h"))
+    want = {r.id for r in df.orderBy("h", "id").limit(n).collect()}
+    got = [r.id for r in su.least_hashes(df, "h", n, ["id"], sort_rows).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_suite_sample_takes_a_key_once(spark):
+    rows = [(f"s{i}", f"k{i % 40}", 200 if i % 3 == 0 else None if i % 7 == 0 else 10) for i in range(400)]
+    df = spark.createDataFrame(rows, "src string, epd string, cpl int")
+    for n in (1, 10, 50, 1_000_000):
+        got = su.sample_suite(df, n, seed=3).collect()
+        hard = [r for r in got if r.pool == "hard"]
+        assert len({r.epd for r in got}) == len(got) and len(hard) == min(max(1, n // 2), 40)
+        assert all((r.cpl >= 150) == (r.pool == "hard") for r in got) and len(got) <= max(n, 2)
+
+
 def test_performance_rating(spark):
     rows = [(f"n{n}", 1500.0, 0.5) for n in (4, 10, 40) for _ in range(n)]
     df = spark.createDataFrame(rows, "g string, opp double, score double")
