@@ -87,10 +87,9 @@ def ingest_stream(t: Tables):
 
     folder, schema = _feed(t, ["ts", "event_id", "event_type", "user_id", "value"], parts=2)
     root, check = shared_dir(t.spark, "store"), shared_dir(t.spark, "check")
-    sticky = list(schemas.STICKY_MOVE_COLUMNS)
-    merge_into(t.spark, root, "moves", moves(t.events.where("event_type = 'error'"), F.lit(40)), sticky=sticky)
+    merge_into(t.spark, root, "moves", moves(t.events.where("event_type = 'error'"), F.lit(40)))
     q = live.live_ingest(
-        moves(_stream(t, folder, schema), F.lit(None)), root, "moves", check, sticky=sticky, available_now=True
+        moves(_stream(t, folder, schema), F.lit(None)), root, "moves", check, compact_every=2, available_now=True
     )
     q.awaitTermination()
     return read_table(t.spark, root, "moves").groupBy("run_id").agg(

@@ -1,7 +1,7 @@
 """The runs / players / games / moves store: upserts, row builders, export, views.
 
-Tables are parquet folders partitioned by `run_id` (players: unpartitioned). There is one writer per
-table; a write replaces only the partitions it touches, so re-ingest is idempotent.
+Tables are delta tables (`operators.deltas`): a merge writes only what it brings, re-ingest is idempotent,
+and a write that broke off changes nothing. There is one writer per table.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from rookery import schemas
 from rookery.functions import names, scoring
+from rookery.operators.deltas import DeltaTable
 from rookery.operators.ordered import latest
-from rookery.session import shared_dir
 
 TABLES = {
     "runs": (schemas.STORE_RUNS, ["run_id"], None),
@@ -67,56 +67,22 @@ def upsert_sticky(
 
 
 # --- stored tables ------------------------------------------------------------------------------
+def delta_table(spark: SparkSession, root: str, table: str) -> DeltaTable:
+    schema, keys, partition = TABLES[table]
+    sticky = schemas.STICKY_MOVE_COLUMNS if table == "moves" else ()
+    return DeltaTable(spark, f"{root}/{table}", schema, tuple(keys), partition, tuple(sticky))
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    schema, _, _ = TABLES[table]
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{table}")
-
-
-def merge_into(
-    spark: SparkSession,
-    root: str,
-    table: str,
-    updates: DataFrame,
-    sticky: list[str] | None = None,
-    seq: str | None = None,
-) -> None:
-    """Merge updates into a stored table, rewriting only the touched `run_id` partitions.
+    """The stored table, empty where nothing was merged yet."""
+    return delta_table(spark, root, table).read()
 
-    The merge is written to a folder of its own below the shared scratch folder and copied in from
-    there in the final layout, so a path is never read and overwritten in one plan, two merges never
-    share a folder, and rows of a write that broke off can be taken from the staged copy.
-    """
-    schema, keys, partition = TABLES[table]
-    target = read_table(spark, root, table)
-    if partition:
-        # Semi join on the touched partitions: dynamic pruning reads only those folders.
-        touched = updates.select(partition).distinct()
-        target = target.join(touched, partition, "left_semi")
-    merged = (
-        upsert_sticky(target, updates, keys, sticky, seq)
-        if sticky
-        else upsert(target, updates, keys, seq)
-    )
-    staging = shared_dir(spark, f"merge-{table}")
-    merged.write.parquet(staging)
-    staged = spark.read.schema(merged.schema).parquet(staging)
-    if partition:
-        # rebalance: small runs share a task and a hot run is split, each at a sane file size
-        staged = staged.hint("rebalance", F.col(partition))
-        if table == "moves":
-            staged = staged.sortWithinPartitions(partition, "player")
-        (
-            staged.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(partition)
-            .parquet(f"{root}/{table}")
-        )
-    else:
-        staged.write.mode("overwrite").parquet(f"{root}/{table}")
+
+def merge_into(spark: SparkSession, root: str, table: str, updates: DataFrame, seq: str | None = None) -> None:
+    """Last write wins on the table's key; analysis columns of moves keep their last known value."""
+    stored = delta_table(spark, root, table)
+    stored.append(updates, seq)
+    stored.compact()
 
 
 def register_views(spark: SparkSession, root: str) -> None:

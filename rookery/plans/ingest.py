@@ -42,7 +42,7 @@ def ingest_all(spark: SparkSession, root: str, store: str, include_invalid: bool
     st.merge_into(spark, store, "runs", runs)
     st.merge_into(spark, store, "players", st.player_dim(games))
     st.merge_into(spark, store, "games", games)
-    st.merge_into(spark, store, "moves", moves, sticky=list(schemas.STICKY_MOVE_COLUMNS))
+    st.merge_into(spark, store, "moves", moves)
     stored = lambda table: st.read_table(spark, store, table).join(known, "run_id", "left_semi")
     return st.ingest_totals(src["meta"], stored("games"), stored("moves"))
 

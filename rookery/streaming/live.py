@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from rookery.functions.numeric import fixed_text
 from rookery.operators.experiments import cell_text
-from rookery.operators.store import merge_into
+from rookery.operators.store import delta_table
 from rookery.sources.logs import _int_game, _path_columns
 
 
@@ -79,17 +79,22 @@ def live_board(games: DataFrame, out: str, checkpoint: str, available_now: bool
 
 # --- live ingest --------------------------------------------------------------------------------
 def live_ingest(
-    rows: DataFrame, root: str, table: str, checkpoint: str, sticky: list[str] | None = None,
-    seq: str | None = None, available_now: bool = False,
+    rows: DataFrame, root: str, table: str, checkpoint: str, stream: str = "live", seq: str | None = None,
+    compact_every: int = 16, available_now: bool = False,
 ) -> StreamingQuery:
-    """Merge finished games (or their moves) into the store batch by batch.
+    """Bring finished games (or their moves) into the store batch by batch.
 
-    The merge is idempotent, so a batch that is replayed after a failure changes nothing.
+    A batch writes its own rows and one commit, however long its runs are; every `compact_every` batches
+    the small folders are merged. The commit names the batch of `stream`, so a batch that is replayed
+    after a failure adds nothing, and one that broke off before its commit was never seen.
     """
-    def merge(batch: DataFrame, _batch: int):
-        merge_into(batch.sparkSession, root, table, batch, sticky=sticky, seq=seq)
+    def bring(batch: DataFrame, batch_id: int):
+        stored = delta_table(batch.sparkSession, root, table)
+        stored.append(batch, seq, stream, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            stored.compact()
 
-    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(bring)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="20 seconds")
     return writer.start()
 
