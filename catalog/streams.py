@@ -62,6 +62,53 @@ def board_stream(t: Tables):
     return t.spark.read.parquet(out).drop("cell")
 
 
+_FLAGS = ["top_played", "fail_low"]
+# a game is an (event_type, user): events are its plies, those of little value its result
+_LIVE = """SELECT event_type AS "row", user_id % 5 * 200 + 1100 AS col, event_type AS run, CAST(user_id AS VARCHAR) AS game, event_id AS ply,
+      CASE WHEN value < 0.5 THEN user_id % 3 * 0.5 END AS score, event_id % 4 * 0.25 AS cost, value > 12 AS top_played, value > 40 AS fail_low FROM events"""
+
+
+@query(
+    "live_board_full",
+    "R01 A07 A13 J14",
+    f"""WITH rows AS ({_LIVE}),
+    games AS (SELECT "row", col, run, game, max(ply) AS ply, CAST(max(score) AS DOUBLE) AS score FROM rows GROUP BY ALL),
+    n AS (SELECT count(score) AS n FROM games),
+    text AS (SELECT "row", col, grouping(col) AS t, count(*) AS games, sum(score) AS points, CAST(sum(cost) AS DOUBLE) AS cost,
+        count(*) FILTER (score = 1) AS w, count(*) FILTER (score = 0.5) AS d, count(*) FILTER (score = 0) AS l
+      FROM (SELECT g.*, c.cost FROM games g JOIN (SELECT run, game, sum(cost) AS cost FROM rows GROUP BY ALL) c USING (run, game) WHERE score IS NOT NULL)
+      GROUP BY GROUPING SETS (("row", col), ("row"))),
+    rest AS (SELECT "row", col, CAST(sum(cost) AS DOUBLE) AS cost FROM rows WHERE ("row", col) IN (SELECT "row", col FROM games WHERE score IS NOT NULL) GROUP BY GROUPING SETS (("row", col), ("row"))),
+    share AS (SELECT "row", count(*) FILTER (score IS NULL) AS moves, count(*) FILTER (top_played) AS a, count(*) FILTER (fail_low) AS b FROM rows GROUP BY 1)
+    SELECT 'total' AS section, NULL AS "row", NULL AS col, NULL AS is_total, NULL AS run, NULL AS game, NULL AS ply, n AS games, NULL::DOUBLE AS points,
+      (SELECT CAST(sum(cost) AS DOUBLE) FROM rows) AS cost, NULL AS cell, n * 100.0::DOUBLE / 2000 AS pct,
+      CASE WHEN n > 0 THEN 3600.0::DOUBLE / n * (2000 - n) END AS eta_seconds, NULL AS flag, NULL AS moves FROM n
+    UNION ALL SELECT 'cell', "row", text.col, t, NULL, NULL, NULL, games, points, rest.cost,
+      CASE WHEN t = 1 THEN replace(printf('%.1f', points), '.0', '') || '/' || games
+        ELSE replace(printf('%.1f', points), '.0', '') || '/' || games || ' (' || w || '-' || d || '-' || l || ')' END, NULL, NULL, NULL, NULL
+      FROM text JOIN rest USING ("row") WHERE text.col IS NOT DISTINCT FROM rest.col
+    UNION ALL SELECT 'open', "row", col, NULL, run, game, ply, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM games WHERE score IS NULL
+    UNION ALL SELECT 'reliance', "row", NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, a * 100.0::DOUBLE / moves, NULL, 'top_played', moves FROM share WHERE moves > 0
+    UNION ALL SELECT 'reliance', "row", NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, b * 100.0::DOUBLE / moves, NULL, 'fail_low', moves FROM share WHERE moves > 0""",
+)
+def live_board_full(t: Tables):
+    """Three drops in time order, each in eight unsorted files; three commits to each table of the board."""
+    from rookery.streaming import board
+
+    folder, schema = _feed(t, ["ts", "event_id", "event_type", "user_id", "value"], files=8)
+    v, user = F.col("value"), F.col("user_id")
+    rows = _stream(t, folder, schema, 8).select(
+        F.col("event_type").alias("row"), (F.pmod(user, F.lit(5)) * 200 + 1100).alias("col"), F.col("event_type").alias("run"),
+        user.cast("string").alias("game"), F.col("event_id").alias("ply"), F.col("ts").cast("timestamp").alias("at"),
+        F.when(v < 0.5, F.pmod(user, F.lit(3)) * 0.5).alias("score"), (F.pmod("event_id", F.lit(4)) * 0.25).alias("cost"),
+        (v > 12).alias("top_played"), (v > 40).alias("fail_low"),
+    )
+    out, check = shared_dir(t.spark, "live"), shared_dir(t.spark, "check")
+    q = board.live_board_full(rows, out, check, _FLAGS, late="40 days", idle=10**9, compact_every=2, available_now=True)
+    q.awaitTermination()
+    return board.board(t.spark, out, _FLAGS, 2000, 3600.0)
+
+
 @query(
     "ingest_stream",
     "R02 K04 K02",

@@ -43,7 +43,11 @@ class Commit:
 
 @dataclass(frozen=True)
 class DeltaTable:
-    """`keys` name a row; `partition`, one of them, lays out compacted folders; `sticky` columns outlive NULL."""
+    """`keys` name a row; `partition`, one of them, lays out compacted folders; `sticky` columns outlive NULL.
+
+    Where the newest row of a key meets the condition `gone`, the key isn't there: readers don't see it, and
+    it is dropped when the oldest folder is merged, below which no older row can wait.
+    """
 
     spark: SparkSession
     path: str
@@ -51,6 +55,7 @@ class DeltaTable:
     keys: tuple[str, ...]
     partition: str | None = None
     sticky: tuple[str, ...] = ()
+    gone: str = "false"
 
     def __post_init__(self):
         unknown = {*self.keys, *self.sticky, *filter(None, [self.partition])} - set(self._columns())
@@ -152,7 +157,10 @@ class DeltaTable:
 
     def read(self) -> DataFrame:
         """The table as of the newest commit."""
-        return self._merged(self._read(self.newest().folders))
+        return self._there(self._merged(self._read(self.newest().folders)))
+
+    def _there(self, merged: DataFrame) -> DataFrame:
+        return merged.where(~F.coalesce(F.expr(self.gone), F.lit(False))) if self.gone != "false" else merged
 
     # --- upkeep ---------------------------------------------------------------------------------
     def compact(self, fanout: int = FANOUT) -> int:
@@ -171,12 +179,13 @@ class DeltaTable:
             level, own = full[0], levels[full[0]]
             until = own[-1][2]
             # levels fall from old to new, so the folders of one are neighbours
-            merged = self._merged(self._read(own)).select(
+            kept = [tuple(f) for f in now.folders if f not in own]
+            at = sum(f[1] > level for f in kept)
+            merged = self._merged(self._read(own))
+            merged = (merged if at else self._there(merged)).select(
                 "*", F.lit(until).cast("bigint").alias("_v"), F.lit(0).cast("bigint").alias("_s"), F.lit(0).cast("bigint").alias("_h")
             )
             name = self._write(merged, until, level + 1)
-            kept = [tuple(f) for f in now.folders if f not in own]
-            at = sum(f[1] > level for f in kept)
             self._commit(now.version + 1, [*kept[:at], (name, level + 1, until), *kept[at:]], now.batches)
             done += 1
 
