@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rookery import constants as K
@@ -81,6 +81,38 @@ def weight_of(tag: Column, weights=K.TAG_WEIGHTS) -> Column:
     return F.coalesce(F.try_element_at(table, tag), F.lit(1.0))
 
 
+#: Page sets per block and per salt of a hot head; blocks and tag sets of positions per salt of a join.
+BLOCK, SETS_PER_SALT, BLOCKS_PER_SALT, POSITIONS_PER_SALT = 64, 4096, 64, 65_536
+
+
+def page_blocks(pages: DataFrame, k: int, slug: str, weights) -> DataFrame:
+    """Pages by first tag in blocks of falling upper bound: _head, _block, _bound, _tags (of all), _sets.
+
+    Pages with equal tags score alike, so they are one set with its k least slugs. The bound of a block is
+    the score of a position that has every tag of its best set.
+    """
+    rows = pages.where(F.size("tags") > 0).select(
+        F.element_at("tags", 1).alias("_head"), F.array_sort("tags").alias("_set"), F.col(slug).alias("_slug")
+    ).where(F.col("_head").isNotNull())
+    least = top_k(rows.distinct(), ["_head", "_set"], [F.asc("_slug")], k)
+    sets = least.groupBy("_head", "_set").agg(F.array_sort(F.collect_list("_slug")).alias("_slugs")).select(
+        "*",
+        F.aggregate("_set", F.greatest(weight_of(F.col("_head"), weights), F.lit(0.0)),
+                    lambda acc, t: acc + F.greatest(weight_of(t, weights), F.lit(0.0))).alias("_bound"),
+    )
+    # a hot head is numbered in salts of about SETS_PER_SALT sets, the best first in each of them
+    sizes = sets.groupBy("_head").agg(F.ceil(F.count(F.lit(1)) / SETS_PER_SALT).alias("_salts"))
+    salted = sets.join(sizes, "_head").withColumn("_salt", F.pmod(F.xxhash64("_set"), F.col("_salts")))
+    local = Window.partitionBy("_head", "_salt").orderBy(F.desc("_bound"), "_set")
+    placed = salted.withColumn("_n", F.row_number().over(local) - 1)
+    # the first sets of every salt lie in the first blocks
+    block = F.struct(F.floor(F.col("_n") / BLOCK).cast("int").alias("row"), F.col("_salt").cast("int").alias("salt"))
+    return placed.groupBy("_head", block.alias("_block")).agg(
+        F.max("_bound").alias("_bound"), F.array_distinct(F.flatten(F.collect_list("_set"))).alias("_tags"),
+        F.collect_list(F.struct("_set", "_slugs")).alias("_sets"),
+    )
+
+
 def retrieve(
     positions: DataFrame, pages: DataFrame, k: int = 3, key: str = "pos", tags: str = "tags",
     slug: str = "slug", weights=K.TAG_WEIGHTS,
@@ -89,23 +121,59 @@ def retrieve(
 
     A page is eligible when its first tag is among the position's tags, so the join is on that one
     tag; the other tags are weighed inside the joined row. The first tag counts twice.
+
+    Equal tag sets are scored once on both sides. A position meets the leading block of each of its heads
+    first; its k-th best score there then keeps out all blocks whose bound is below it. A joined row gives
+    its k best pages at most, so candidates are k per block. Heads that many pages or positions share are
+    split over salts, from their counts. A NULL tag never matches.
     """
-    heads = pages.where(F.size("tags") > 0).select(
-        slug, F.col("tags").alias("_page_tags"), F.element_at("tags", 1).alias("_head")
-    )
-    # narrow rows first: only (position, tag) meets the pages; the tag arrays join the few matches.
+    pid = F.md5(F.to_json(F.struct(F.array_sort(F.array_distinct(F.col(tags))).alias("t"))))
+    named = positions.select(F.col(key).alias("_key"), F.col(tags).alias("_have"), pid.alias("_pid"))
+    distinct = named.select("_pid", "_have").groupBy("_pid").agg(F.first("_have").alias("_have"))
+    blocks = page_blocks(pages, k, slug, weights)
+    # narrow rows first: only (position, tag) meets the heads; the tag arrays join the few matches.
     # outer: an inner explode would push its emptiness test into whatever computed the tags
-    spread = positions.select(key, F.explode_outer(F.array_distinct(F.col(tags))).alias("_head"))
-    eligible = spread.join(heads, "_head").join(positions.select(key, F.col(tags).alias("_have")), key)
-    common = F.array_intersect("_page_tags", "_have")
-    listed = F.when(
-        F.size("_page_tags") == F.size(F.array_distinct("_page_tags")), common
-    ).otherwise(F.filter("_page_tags", lambda t: F.array_contains("_have", t)))
-    score = F.aggregate(
-        listed, weight_of(F.col("_head"), weights), lambda acc, t: acc + weight_of(t, weights)
+    spread = distinct.select("_pid", F.explode_outer(F.array_distinct("_have")).alias("_head"))
+    heads = blocks.groupBy("_head").agg(F.count(F.lit(1)).alias("_blocks"), F.min("_block").alias("_first"))
+    near = spread.join(heads, "_head")
+    # one row per head: into how many salts its positions and its blocks are split
+    split = near.groupBy("_head").agg(
+        F.ceil(F.count(F.lit(1)) / POSITIONS_PER_SALT).cast("int").alias("_ps"),
+        F.ceil(F.max("_blocks") / BLOCKS_PER_SALT).cast("int").alias("_bs"),
+    )
+    dealt = blocks.join(split, "_head").withColumn("_b", F.pmod(F.xxhash64("_block"), F.col("_bs"))).withColumn(
+        "_p", F.explode(F.sequence(F.lit(0), F.col("_ps") - 1))
+    )
+
+    def scored(asked: DataFrame, held: DataFrame, bound: Column | None = None) -> DataFrame:
+        """_pid, score, _slug: the k best of every (position, block)."""
+        rows = asked.join(split, "_head").withColumn("_p", F.pmod(F.xxhash64("_pid"), F.col("_ps"))).withColumn(
+            "_b", F.explode(F.sequence(F.lit(0), F.col("_bs") - 1))
+        ).drop("_ps", "_bs")
+        met = rows.join(held.drop("_ps", "_bs"), ["_head", "_p", "_b"])
+        met = met if bound is None else met.where(bound)
+        common = F.array_intersect("_tags", "_have")
+        one = lambda s: F.aggregate(
+            F.filter(s["_set"], lambda t: F.array_contains(F.col("_common"), t)), weight_of(F.col("_head"), weights),
+            lambda acc, t: acc + weight_of(t, weights),
+        )
+        listed = F.flatten(F.transform("_sets", lambda s: F.transform(
+            s["_slugs"], lambda g: F.struct((-one(s)).alias("minus"), g.alias("slug")))))
+        best = met.withColumn("_common", common).select("_pid", F.explode(F.slice(F.array_sort(listed), 1, k)).alias("_c"))
+        return best.select("_pid", (-F.col("_c.minus")).alias("score"), F.col("_c.slug").alias("_slug"))
+
+    order = [F.desc("score"), F.asc("_slug")]
+    asked = near.select("_pid", "_head", "_first").join(distinct, "_pid")
+    leading = top_k(scored(asked.drop("_first"), dealt.join(heads.select("_head", F.col("_first").alias("_block")), ["_head", "_block"])), ["_pid"], order, k).drop("rank")
+    floor = leading.groupBy("_pid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_floor"))
+    later = scored(
+        asked.join(floor, "_pid", "left"), dealt,
+        (F.col("_block") != F.col("_first")) & (F.col("_floor").isNull() | (F.col("_bound") >= F.col("_floor"))),
+    )
+    best = top_k(leading.unionByName(later), ["_pid"], order, k)
+    return named.select("_key", "_pid").distinct().join(best, "_pid").select(
+        F.col("_key").alias(key), F.col("_slug").alias(slug), "score", "rank"
     )
-    scored = eligible.select(key, slug, score.alias("score"))
-    return top_k(scored, [key], [F.desc("score"), F.asc(slug)], k)
 
 
 def tablebase_lookup(
