@@ -115,7 +115,12 @@ def export_rows(t: Tables):
     return st.export_rows(g, runs(t), player="clerk-2").select("game_id", "run_id", "white", "black")
 
 
-@query("export_pgn", "K05")
+@query(
+    "export_pgn",
+    "K05 S05",
+    f"""WITH {GAMES} SELECT CAST(game_id AS INTEGER) AS round, white, CAST(3 AS INTEGER) AS plies
+    FROM games JOIN runs ON runs.run_id = games.run_id WHERE valid""",
+)
 def export_pgn(t: Tables):
     """Games written as text and read back with the game scan; one row per exported game."""
     from rookery.sources.logs import read_pgn

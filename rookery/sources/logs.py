@@ -202,8 +202,8 @@ def read_pgn(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         .select(
             cols["run_id"].alias("run_id"),
             F.col("_metadata.file_path").alias("_file"),
-            (F.col("_metadata.file_block_start") * F.lit(1 << 20)
-             + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).alias("_at"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"),
             F.when(F.col("value").startswith('"'), F.concat(F.lit("[Event "), F.col("value")))
             .otherwise(F.col("value"))
             .alias("pgn"),
@@ -212,15 +212,22 @@ def read_pgn(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
     # Games that open with another tag: a tag block after a blank line after move text.
     pieces = F.split(F.trim("pgn"), r"(?<=[^\]\s])\s*\n\s*\n(?=\[\w+ \")")
-    raw = raw.select("run_id", "_file", "_at", F.posexplode(pieces).alias("_piece", "pgn"))
+    raw = raw.select("run_id", "_file", "_block", "_at", F.posexplode(pieces).alias("_piece", "pgn"))
     parts = pgn_columns(F.col("pgn"))
     games = raw.withColumn("headers", parts["headers"]).withColumn("sans", parts["sans"])
-    # Position in the file, used where Round is not a number; a file holds the games of one run.
-    order = Window.partitionBy("_file").orderBy("_at", "_piece")
+    # Position in the file, used where Round is not a number; a file holds the games of one run. Games are
+    # numbered inside their block of the file, which is as large as a task's share at most; the games of the
+    # blocks before it are added from one row per block.
+    inside = Window.partitionBy("_file", "_block").orderBy("_at", "_piece")
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
     round_text = F.coalesce(F.try_element_at("headers", F.lit("Round")), F.lit("0"))
     round_no = F.when(F.trim(round_text) == "", F.lit(0)).otherwise(round_text.try_cast("int"))
     return (
-        games.withColumn("seq", F.row_number().over(order).cast("bigint") - 1)
+        games.withColumn("_in", F.row_number().over(inside)).join(blocks, ["_file", "_block"])
+        .withColumn("seq", F.col("_before") + F.col("_in") - 1)
         .withColumn("round", round_no)
         .withColumn("idx", F.coalesce(round_no, F.col("seq").cast("int")))
         .select("run_id", "seq", "round", "idx", "headers", "sans", F.trim("pgn").alias("pgn"))

@@ -10,7 +10,7 @@ from tools.check import compare, rows_of, rows_of_duck
 FOLDER = "/root/testdata/sf0.001"
 # no SQL twin: bootstrap intervals and rendered text; each has brute-force or golden tests here
 UNPROVED = {
-    "elo_bootstrap", "export_pgn", "relations", "last_move_change", "position_tags", "rendered_facts",
+    "elo_bootstrap", "relations", "last_move_change", "position_tags", "rendered_facts",
 }
 
 
