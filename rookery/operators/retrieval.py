@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rookery import constants as K
 from rookery.functions.text import sections
 from rookery.operators.ordered import top_k
+from rookery.session import staged
 
 
 def identify_opening(
@@ -128,7 +129,8 @@ def retrieve(
     split over salts, from their counts. A NULL tag never matches.
     """
     pid = F.md5(F.to_json(F.struct(F.array_sort(F.array_distinct(F.col(tags))).alias("t"))))
-    named = positions.select(F.col(key).alias("_key"), F.col(tags).alias("_have"), pid.alias("_pid"))
+    # written once: the tags may come out of long expressions, and every later step reads them
+    named = staged(positions.select(F.col(key).alias("_key"), F.col(tags).alias("_have"), pid.alias("_pid")), "tags")
     distinct = named.select("_pid", "_have").groupBy("_pid").agg(F.first("_have").alias("_have"))
     blocks = page_blocks(pages, k, slug, weights)
     # narrow rows first: only (position, tag) meets the heads; the tag arrays join the few matches.
