@@ -102,29 +102,52 @@ def _permute(frames):
 
 
 _LEAST = 1e-25
+_TASKS = 64
 
 
-def _stratum(lost: int, drawn: int, won: int, take: int) -> tuple[int, np.ndarray]:
-    """Least half-points and their probabilities in a sample of `take` games of one stratum."""
-    wins = np.arange(max(0, take - lost - drawn), min(won, take) + 1, dtype=float)
-    lf = _log_factorial
-    whole = lf(np.float64(lost + drawn + won)) - lf(np.float64(take)) - lf(np.float64(lost + drawn + won - take))
-
-    def choose(n, k):
-        return lf(np.float64(n)) - lf(k) - lf(n - k)
-
-    likely = choose(won, wins) + choose(lost + drawn, take - wins) - whole
-    wins = wins[likely > math.log(_LEAST)]
-    first = int(2 * wins[0]) + max(0, take - int(wins[0]) - lost)
-    out = np.zeros(2 * int(wins[-1]) + drawn + 1 - first if len(wins) else 1)
-    for w in wins:
-        left = take - w
-        draws = np.arange(max(0.0, left - lost), min(drawn, left) + 1)
-        p = np.exp(choose(won, w) + choose(drawn, draws) + choose(lost, left - draws) - whole)
-        at = (2 * w + draws - first).astype(np.int64)
-        keep = (at >= 0) & (p > 0)
-        out[at[keep]] += p[keep]
-    return first, out
+def _laws(good: int, bad: int, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Good items among `draw` of good + bad: the least number that is kept and the law, a row per element.
+
+    A law falls below 1e-25 within sqrt(m ln(1e25) / 2) of its mode, m being the least of good, bad, drawn and
+    left items (Hoeffding), so a row is as wide as that. Its terms are products of the ratios of neighbours.
+    """
+    draw = np.asarray(draw, float)[:, None]
+    low, high = np.maximum(0.0, draw - bad), np.minimum(float(good), draw)
+    mode = np.clip(np.floor((draw + 1) * ((good + 1) / (good + bad + 2))), low, high)
+    least = np.maximum(0.0, np.minimum(np.minimum(draw, good + bad - draw), min(good, bad))).max()
+    reach = math.ceil(math.sqrt(least * -math.log(_LEAST) / 2)) + 2
+    first = np.maximum(low, mode - reach)
+    k = first + np.arange(2 * reach + 1)
+    inside = (k > first) & (k <= high)
+    ratio = np.where(inside, (good - k + 1) * (draw - k + 1), 1) / np.where(inside, k * (bad - draw + k), 1)
+    steps = np.log(ratio)
+    steps[k > high] = -np.inf
+    log = np.cumsum(steps, axis=1)
+    p = np.exp(log - log.max(axis=1, keepdims=True))
+    return first[:, 0], p / p.sum(axis=1, keepdims=True)
+
+
+def _stratum(lost: int, drawn: int, won: int, take: int, cells: int = 1 << 20) -> tuple[int, np.ndarray]:
+    """Least half-points and their probabilities in a sample of `take` games of one stratum.
+
+    Wins and, given the wins, draws are taken near their modes only: work grows as the games, not their square.
+    """
+    least, law = _laws(won, lost + drawn, np.array([take]))
+    wins, likely = least[0] + np.arange(law.shape[1]), law[0]
+    wins, likely = wins[likely > _LEAST], likely[likely > _LEAST]
+    first = int(2 * wins[0]) + max(0, take - int(wins[-1]) - lost)
+    out = np.zeros(int(2 * wins[-1]) + min(drawn, take - int(wins[0])) + 1 - first)
+    wide = 2 * math.ceil(math.sqrt(min(drawn, lost) * -math.log(_LEAST) / 2)) + 5
+    step = max(1, cells // wide)
+    for i in range(0, len(wins), step):
+        w, pw = wins[i : i + step], likely[i : i + step]
+        at, draws = _laws(drawn, lost, take - w)
+        p = draws * pw[:, None]
+        points = (2 * w + at - first).astype(np.int64)[:, None] + np.arange(p.shape[1])
+        kept = p > _LEAST
+        out += np.bincount(points[kept], p[kept], len(out))
+    kept = np.flatnonzero(out)
+    return first + int(kept[0]), out[kept[0] : kept[-1] + 1]
 
 
 def _convolved(parts: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
@@ -183,7 +206,9 @@ def permutation_test(cells: DataFrame, pairs: DataFrame, n: int | None = None, s
     )
     if n is None:
         kinds = ", ".join(f"{c} {strata.schema[c].dataType.simpleString()}" for c in ("pair", "level", "color"))
-        laws = strata.drop("rest", "pa", "pb").mapInPandas(_strata_laws, f"{kinds}, first bigint, law array<double>")
+        # a stratum's law is work enough for a task; a stated number of partitions isn't merged
+        spread = strata.drop("rest", "pa", "pb").repartition(_TASKS, "pair", "level", "color")
+        laws = spread.mapInPandas(_strata_laws, f"{kinds}, first bigint, law array<double>")
         # strata of a pair: its levels times two colours
         held = laws.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("level", "color", "first", "law"))).alias("laws"))
         seen = strata.groupBy("pair").agg(

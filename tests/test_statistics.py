@@ -252,3 +252,10 @@ def test_hypergeometric_draws_small_and_huge():
         sd = math.sqrt(draw * (good / n) * (bad / n) * (n - draw) / max(n - 1, 1))
         assert x.min() >= max(0, draw - bad) and x.max() <= min(good, draw)
         assert abs(x.mean() - mean) <= 5 * sd / math.sqrt(20_000) + 1e-9 * n and abs(x.std() - sd) <= 0.05 * sd + 1e-9
+
+
+def test_large_stratum_is_exact_and_as_wide_as_its_spread():
+    first, p = sig._stratum(60_000, 60_000, 60_000, 90_000)
+    half = first + np.arange(len(p))
+    assert abs(p.sum() - 1) < 1e-13 and abs((p * half).sum() - 90_000) < 1e-7
+    assert len(p) < 10_000 and p[0] > 0 and p[-1] > 0
