@@ -17,8 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -33,57 +32,61 @@ _OPEN = "run string, game string, row string, col bigint, ply bigint, state stri
 
 
 class Watch(StatefulProcessor):
-    """State of a game: last ply, whether it ended, last event time. A timer ends idle games."""
+    """State of a game: last ply, whether it ended, last event time. One timer a game ends idle games.
+
+    A game costs one read and one write of its state a batch, and a timer with its first row only.
+    """
 
     def __init__(self, flags: list[str], idle_ms: int):
         self.flags, self.idle_ms = flags, idle_ms
+        self.change = Row("run", "game", "row", "col", "ply", "state", *_SUMS, *flags)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.game = handle.getValueState("game", "row string, col bigint, ply bigint, ended boolean, last bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        row, col, ply, ended, last = self.game.get() or (None, None, None, False, -1)
-        moves, cost, result, counts = 0, 0.0, None, dict.fromkeys(self.flags, 0)
-        for f in rows:
-            if f.empty:
-                continue
-            row = f["row"].iloc[0] if row is None else row
-            col = int(f["col"].iloc[0]) if col is None and pd.notna(f["col"].iloc[0]) else col
-            last = max(last, int(f["us"].max()))
-            cost += float(f["cost"].sum())
-            top = f["ply"].max()
-            ply = ply if pd.isna(top) else max(int(top), ply or 0)
-            scores = f["score"].dropna()
-            if len(scores):
-                result = max(float(scores.max()), -1.0 if result is None else result)
-            moves += int(f["score"].isna().sum())
-            for flag in self.flags:
-                counts[flag] += int((f[flag] == True).sum())  # noqa: E712
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self.game.get()
+        row, col, ply, ended, last = state or (None, None, None, False, -1)
+        moves, cost, result, counts = 0, 0.0, None, [0] * len(self.flags)
+        for i, r in enumerate(rows):
+            us, own_row, own_col, own_ply, score, own_cost, *flags = r[-6 - len(self.flags) :]
+            if not i:
+                row = own_row if row is None else row
+                col = own_col if col is None else col
+            last = max(last, us)
+            if own_cost is not None and own_cost == own_cost:
+                cost += own_cost
+            if own_ply is not None:
+                ply = max(own_ply, ply or 0)
+            if score is None or score != score:
+                moves += 1
+            else:
+                result = max(score, -1.0 if result is None else result)
+            counts = [n + flag for n, flag in zip(counts, flags)]
         first = result is not None and not ended
         ended = ended or first
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last // 1000 + self.idle_ms)
+        if state is None:  # later rows leave this timer, which puts itself off
+            self.handle.registerTimer(last // 1000 + self.idle_ms)
         self.game.update((row, col, ply, ended, last))
-        add = {
-            "games": int(first), "points": result if first else 0.0, "w": int(first and result == 1),
-            "d": int(first and result == 0.5), "l": int(first and result == 0), "cost": cost, "moves": moves, **counts,
-        }
-        yield self._change(key, row, col, ply, "ended" if ended else "open", add)
+        sums = (int(first), result if first else 0.0, int(first and result == 1), int(first and result == 0.5),
+                int(first and result == 0), cost, moves)
+        yield self._change(key, row, col, ply, "ended" if ended else "open", (*sums, *counts))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self.game.get()
+        if state is None:
+            return
+        due = state[4] // 1000 + self.idle_ms
+        if due > expiredTimerInfo.getExpiryTimeInMs() and due >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            return
         self.game.clear()
-        if state is not None and not state[3]:
-            none = {**dict.fromkeys((*_SUMS, *self.flags), 0), "points": 0.0, "cost": 0.0}
-            yield self._change(key, state[0], state[1], state[2], "idle", none)
+        if not state[3]:
+            yield self._change(key, state[0], state[1], state[2], "idle", (0, 0.0, 0, 0, 0, 0.0, 0, *[0] * len(self.flags)))
 
-    @staticmethod
-    def _change(key, row, col, ply, state, add) -> pd.DataFrame:
-        place = {"row": row, "col": None if col is None else int(col), "ply": None if ply is None else int(ply)}
-        out = pd.DataFrame([{"run": key[0], "game": key[1], **place, "state": state, **add}])
-        return out.astype({"col": "Int64", "ply": "Int64"})
+    def _change(self, key, row, col, ply, state, sums) -> Row:
+        return self.change(key[0], key[1], row, col, ply, state, *sums)
 
 
 def changes(rows: DataFrame, flags: list[str], late: str, idle: int) -> DataFrame:
@@ -96,7 +99,7 @@ def changes(rows: DataFrame, flags: list[str], late: str, idle: int) -> DataFram
     )
     sums = "games bigint, points double, w bigint, d bigint, l bigint, cost double, moves bigint"
     schema = ", ".join([_OPEN, sums, *(f"{f} bigint" for f in flags)])
-    return narrow.groupBy("run", "game").transformWithStateInPandas(Watch(flags, idle * 1000), schema, "append", "eventTime")
+    return narrow.groupBy("run", "game").transformWithState(Watch(flags, idle * 1000), schema, "append", "eventTime")
 
 
 def tables(spark: SparkSession, out: str, flags: list[str]) -> tuple[DeltaTable, DeltaTable]:

@@ -89,3 +89,31 @@ def test_gone_rows_are_dropped_below_nothing(spark):
     assert sorted(tuple(r) for r in t.read().collect()) == [(2, "open"), (3, None)]
     oldest = [f for f in t.newest().folders if f[1] == 1]
     assert t._read(oldest).count() == 1
+
+
+def test_a_game_costs_one_read_and_one_write_a_batch():
+    calls = []
+
+    class Handle:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    watch = board.Watch(["top"], 1000)
+    watch.init(Handle())
+    (new,) = watch.handleInputRows(("r", "a"), iter([("r", "a", None, 5_000_000, "x", 1, 2, None, 0.25, True)]), None)
+    assert calls == ["get", "update", "timer"] and (new.state, new.ply, new.moves, new.top) == ("open", 2, 1, 1)
+    (new,) = watch.handleInputRows(("r", "a"), iter([("r", "a", None, 6_000_000, "x", 1, 3, 1.0, 0.25, False)]), None)
+    assert calls[3:] == ["get", "update"] and (new.state, new.games, new.w, new.cost) == ("ended", 1, 1, 0.25)
