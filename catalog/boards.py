@@ -355,15 +355,16 @@ def attack_edges(t: Tables):
 def contacts(t: Tables):
     k = rl.contacts(bo.with_sets(random_boards(t)), ["event_id"])
     att, dfn = B.count(F.col("attackers")), B.count(F.col("defenders"))
-    per = k.groupBy("event_id").agg(
+    # a board's guard defends eight pieces at most: those it alone defends are counted in four bits of one of five sums
+    guard = B.highest(F.when((att > 0) & (dfn == 1), F.col("defenders")))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), guard % 15 * 4)
+    tallies = [F.sum(F.when(F.floor(guard / 15) == q, one).otherwise(0)) for q in range(5)]
+    twice = lambda x: B.count(B.within(x + B.const(int("6" * 15, 16)), int("8" * 15, 16)))
+    return k.groupBy("event_id").agg(
         F.count_if(att > 0).alias("attacked"), F.count_if((att > 0) & (dfn == 0)).alias("undefended"),
         F.sum(att * F.col("sq")).alias("att_mix"), F.sum(dfn * F.col("sq")).alias("dfn_mix"),
+        sum((twice(x) for x in tallies[1:]), twice(tallies[0])).cast("bigint").alias("overloaded"),
     )
-    over = (
-        k.where((att > 0) & (dfn == 1)).groupBy("event_id", "defenders").agg(F.count(F.lit(1)).alias("n"))
-        .where("n >= 2").groupBy("event_id").agg(F.count(F.lit(1)).alias("overloaded"))
-    )
-    return per.join(over, "event_id", "left").fillna(0, ["overloaded"])
 
 
 @query("relations", "B12")

@@ -1,17 +1,20 @@
 """Piece relations: sliding lines, mobility, king zones, attackers and defenders, last-move changes.
 
 Unions and counts of attacks are set-wise fills on integer columns, so they stay inside the row.
-Only attribution (who attacks whom) goes through `boards.attack_edges`.
+Attribution (who attacks whom) is worked on batches of boards by `sight`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions import bits as B
-from rookery.operators.boards import SIDES, _char, _plane, attack_edges, own, with_sets
+from rookery.operators.boards import SIDES, _char, _plane, own
 from rookery.operators.features import LIGHT, _s, _sentence, _texts, _txt, undeveloped
+from rookery.operators.sight import contact_lists, move_sets
 
 c = F.col
 _DIRS = {"n": 8, "s": -8, "e": 1, "w": -1, "ne": 9, "nw": 7, "se": -7, "sw": -9}
@@ -309,36 +312,31 @@ def _by_value(mask: Column, board: Column) -> Column:
 
 def contacts(df: DataFrame, key: list[str]) -> DataFrame:
     """One row per piece but kings: key, sq, piece, attackers, defenders (square sets)."""
-    edges = attack_edges(df, key)
-    own_side = F.when(c("target").between("A", "Z"), F.lit("white")).otherwise(F.lit("black"))
-    hit = edges.where(~c("target").isin(".", "K", "k")).groupBy(
-        *key, F.col("to").alias("sq"), F.col("target").alias("piece")
-    )
-    return hit.agg(
-        F.coalesce(F.bit_or(F.when(c("color") != own_side, B.bit(c("frm")))), F.lit(0).cast("bigint")).alias("attackers"),
-        F.coalesce(F.bit_or(F.when(c("color") == own_side, B.bit(c("frm")))), F.lit(0).cast("bigint")).alias("defenders"),
-    )
+    return contact_lists(df, key).select(*key, F.inline("contacts"))
 
 
 def relations(df: DataFrame, key: list[str], top: int = 8) -> DataFrame:
     """key, relations: sentences on attacked, loose and overloaded pieces, at most `top`.
 
-    All rows of a position live in one task after its one narrow shuffle; the sets of a position
-    have at most 64 members.
+    A position is one row all along; its sets have at most 64 members.
     """
     side = lambda p: F.when(p.between("A", "Z"), F.lit("White")).otherwise(F.lit("Black"))
-    per_piece = contacts(df, key)
-    packed = per_piece.groupBy(*key).agg(
-        F.collect_list(F.struct((-c("sq")).alias("o"), "sq", "piece", "attackers", "defenders")).alias("_p"),
-        F.bit_or(B.bit(c("sq"))).alias("_seen"),
+    zero = F.lit(0).cast("bigint")
+    known = reduce(lambda x, y: x & y, [c(k).isNotNull() for k in key])  # without a key, no piece touches another
+    listed = F.when(known, c("contacts")).otherwise(F.slice("contacts", 1, 0))
+    packed = contact_lists(df, key, carry=("occ", "board", "wk", "bk", "wp", "bp")).select(
+        *key, "rows",
+        F.transform(listed, lambda x: F.struct((-x["sq"]).alias("o"), x["sq"].alias("sq"), x["piece"].alias("piece"),
+                                               x["attackers"].alias("attackers"), x["defenders"].alias("defenders"))).alias("_p"),
+        F.aggregate(listed, zero, lambda a, x: B.either(a, B.bit(x["sq"]))).alias("_seen"),
+    )
+    both = packed.select(*key, "_p", "_seen", F.explode("rows").alias("_r")).select(
+        *key, "_p", "_seen", c("_r.occ").alias("_occ"), c("_r.board").alias("_board"), *[f"_r.{x}" for x in ("wk", "bk", "wp", "bp")]
     )
-    occupied = df.select(*key, F.col("occ").alias("_occ"), F.col("board").alias("_board"), "wk", "bk", "wp", "bp")
-    both = occupied.join(packed, key, "left")
     board = c("_board")
-    zero = F.lit(0).cast("bigint")
     untouched = B.minus(B.minus(c("_occ"), F.coalesce("_seen", zero)), B.either(c("wk"), c("bk"), c("wp"), c("bp")))
     item = lambda score, order, text: F.struct((-score).alias("s"), order.alias("o"), text.alias("t"))
-    listed = F.coalesce(c("_p"), F.expr("cast(array() as array<struct<o:int,sq:int,piece:string,attackers:bigint,defenders:bigint>>)"))
+    listed = c("_p")
     name = lambda i: F.concat(F.upper(_char(board, i)), B.name_of(i))
 
     def attacked(x):
@@ -393,28 +391,14 @@ def last_move_change(plies: DataFrame, key: list[str]) -> DataFrame:
     """What the last move changed: key, targets, undefended, opened, dropped (arrays of names).
 
     `plies` has key, before, after (boards), frm, to (squares of the move) and mover (white/black).
-    Both boards' attack edges are reduced per piece and compared within the position.
+    Both boards are compared within the row (`sight.move_sets`) after one narrow shuffle. Plies without a key
+    or with nothing in sight on either board drop out.
     """
-    both = plies.withColumn("_b", F.explode(F.array(F.struct(F.lit(0).alias("t"), c("before").alias("board")),
-                                                      F.struct(F.lit(1).alias("t"), c("after").alias("board")))))
-    both = with_sets(both.select(*key, "frm", "to", "mover", "_b.t", "_b.board").withColumnsRenamed({"frm": "m_frm", "to": "m_to"}))
-    edges = attack_edges(both, key, carry=("t", "m_frm", "m_to", "mover"))
-    seen = edges.groupBy(*key, "t", "m_frm", "m_to", "mover", "frm", "piece", "color").agg(
-        F.bit_or(B.bit(c("to"))).alias("sees")
-    )
-    them = c("color") == c("mover")
-    or_ = lambda cond, v: F.coalesce(F.bit_or(F.when(cond, v)), F.lit(0).cast("bigint"))
-    now, then = c("t") == 1, c("t") == 0
-    slider = F.upper("piece").isin("B", "R", "Q")
-    per = seen.groupBy(*key, "m_frm", "m_to", "mover").agg(
-        or_(now & (c("frm") == c("m_to")), c("sees")).alias("mover_now"),
-        or_(then & (c("frm") == c("m_frm")), c("sees")).alias("mover_then"),
-        or_(now & them, c("sees")).alias("theirs"),
-        or_(now & ~them, c("sees")).alias("ours"),
-        F.collect_list(F.when(now & them & slider & (c("frm") != c("m_to")), F.struct("frm", "sees"))).alias("lines_now"),
-        F.collect_list(F.when(then & them & slider, F.struct("frm", "sees"))).alias("lines_then"),
-    )
-    per = per.join(plies.select(*key, c("after").alias("board"), c("before").alias("was")), key)
+    known = [c(k).isNotNull() for k in key]
+    per = plies.where(reduce(lambda x, y: x & y, known)).repartition(*key).select(
+        *key, c("after").alias("board"), c("before").alias("was"), "mover", c("to").alias("m_to"),
+        move_sets(c("before"), c("after"), c("frm"), c("to"), c("mover")).alias("_s"),
+    ).where("_s.any").select("*", "_s.*").drop("_s")
     side = _plane
     white = c("mover") == "white"
     us = F.when(white, side(c("board"), "pnbrq")).otherwise(side(c("board"), "PNBRQ"))
@@ -425,18 +409,13 @@ def last_move_change(plies: DataFrame, key: list[str]) -> DataFrame:
     targets = B.both(c("mover_now"), c("_us"))
     dropped = B.minus(B.minus(B.both(c("mover_then"), c("_mt")), B.both(c("mover_now"), c("_mn"))), B.bit(c("m_to")))
     dropped = B.both(B.minus(B.both(dropped, c("_mn")), c("theirs")), c("ours"))
-    before_of = lambda f: F.aggregate(
-        F.filter("lines_then", lambda x: x["frm"] == f), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x["sees"])
-    )
     name = lambda i: F.concat(F.upper(_char(c("board"), i)), B.name_of(i))
+    hits = lambda f: F.element_at("opened", f + 1)
     opened = F.array_sort(
         F.flatten(
             F.transform(
-                c("lines_now"),
-                lambda x: F.transform(
-                    B.squares(B.minus(B.both(x["sees"], c("_us")), B.both(before_of(x["frm"]), c("_ut")))),
-                    lambda i: F.concat(name(x["frm"]), F.lit("→"), name(i)),
-                ),
+                F.filter(F.sequence(F.lit(0), F.lit(63)), lambda f: hits(f) != 0),
+                lambda f: F.transform(B.squares(hits(f)), lambda i: F.concat(name(f), F.lit("→"), name(i))),
             )
         )
     )

@@ -128,3 +128,28 @@ def test_guidance_uses_tags(spark, rows):
 
 def test_book_table_is_short():
     assert len(K.BOOK_STARTS) == 8
+
+
+def test_contacts_stay_one_row_a_position(spark):
+    fens = [("q", FENS["queen_hit"]), ("q", FENS["queen_hit"]), (None, FENS["pin"]), ("two", FENS["pin"]), ("two", FENS["rook"])]
+    df = bo.with_sets(bo.parse_fen(spark.createDataFrame(fens, "id string, fen string")))
+    found = rl.contacts(df, ["id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # no row per edge
+    got = {(r.id, r.sq, r.piece): (r.attackers, r.defenders) for r in found.collect()}
+    edges = bo.attack_edges(df, ["id"]).where("target NOT IN ('.', 'K', 'k')").collect()
+    want = {}
+    for e in edges:
+        att, dfn = want.setdefault((e.id, e.to, e.target), (set(), set()))
+        (dfn if e.target.isupper() == (e.color == "white") else att).add(e.frm)
+    bits = lambda s: (lambda n: n - 2**64 if n >> 63 else n)(sum(1 << x for x in s))
+    assert got == {k: (bits(a), bits(d)) for k, (a, d) in want.items()} and len(got) == found.count()
+
+
+def test_last_move_without_a_row_per_edge(spark):
+    rows = [("a", "4k3/8/8/3r4/8/2B5/8/R3K3", "4k3/8/8/3r4/5B2/8/8/R3K3", 18, 29, "white"), (None, "4k3/8/8/8/8/8/8/4K3", "4k3/8/8/8/8/8/8/3K4", 4, 3, "white")]
+    df = spark.createDataFrame(rows, "id string, b string, a string, frm int, to int, mover string")
+    df = df.select("id", bo.board_of(F.col("b")).alias("before"), bo.board_of(F.col("a")).alias("after"), "frm", "to", "mover")
+    out = rl.last_move_change(df, ["id"])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.id for r in out.collect()] == ["a"]
