@@ -22,8 +22,15 @@ _PAIRS = [(1, 6), (3, 4), (3, 5), (4, 5), (3, 9), (9, 5), (2, 6), (3, 6), (4, 6)
 _ROWS = ["".join("P" if w == r else "p" if b == r else "." for w, b in _PAIRS) for r in range(8)]
 
 
+def _spread(df):
+    """Narrow rows dealt anew: a board costs far more time than its bytes, by which files are split into tasks."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *df.columns)
+
+
 def _meta(t: Tables):
-    events = t.events.select("event_id", "user_id", "event_type")
+    events = _spread(t.events.select("event_id", "user_id", "event_type"))
     return events.withColumn("h", F.sha2(F.col("event_id").cast("string"), 256)).withColumns(
         {
             "turn": F.when(F.col("user_id") % 2 == 0, F.lit("w")).otherwise(F.lit("b")),
@@ -542,9 +549,9 @@ def pawn_endings(t: Tables):
 
 def _claims(t: Tables):
     """Claims: the true pieces except one rank, plus a queen on a1 and a pawn on h8."""
-    b = random_boards(t)
+    b = random_boards(t).withColumns({f"_{up}": cx.true_pieces(F.col("board"), up) for up in (True, False)})
     rank = (F.pmod("event_id", F.lit(8)) + 1).cast("string")
-    said = lambda up: F.filter(cx.true_pieces(F.col("board"), up), lambda p: ~p.endswith(rank))
+    said = lambda up: F.filter(F.col(f"_{up}"), lambda p: ~p.endswith(rank))
     k = F.col("event_id")
     real = F.when(k % 3 == 0, F.array(F.lit("Qxd2+"), F.lit("Ra1#"))).otherwise(F.array().cast("array<string>"))
     claimed = F.when(k % 2 == 0, F.array(F.lit(" Qxd2 "), F.lit("h3"))).otherwise(F.array(F.lit("Ra1")))

@@ -9,8 +9,9 @@ from rookery.functions import bits as B
 from rookery.functions.numeric import half_even
 from rookery.operators import features as fe
 from rookery.operators import relations as rl
-from rookery.operators.boards import _char, fence, with_sets
+from rookery.operators.boards import fence, with_sets
 from rookery.operators.retrieval import retrieve
+from rookery.operators.sight import compare_claims, side_pieces
 
 c = F.col
 _GROUPS = ("King", "Queen", "Rook", "Bishop", "Knight", "Pawn")
@@ -103,33 +104,9 @@ def cap(items: Column, n: int) -> Column:
     return F.slice(items, 1, n)
 
 
-def claim_diff(truth: Column, claim: Column) -> tuple[Column, Column]:
-    """(missing, phantom), sorted."""
-    return F.array_sort(F.array_except(truth, claim)), F.array_sort(F.array_except(claim, truth))
-
-
-def claimed_pieces(items: Column) -> Column:
-    """Piece-square tokens out of an array of claims; a bare square is a pawn."""
-    pattern = r"([KQRBNPkqrbnp]?)\s*([a-h][1-8])"
-    found = F.transform(
-        items,
-        lambda t: F.struct(F.regexp_extract(t, pattern, 1).alias("p"), F.regexp_extract(t, pattern, 2).alias("s")),
-    )
-    return F.array_distinct(
-        F.transform(
-            F.filter(found, lambda x: x["s"] != ""),
-            lambda x: F.concat(F.when(x["p"] == "", F.lit("P")).otherwise(F.upper(x["p"])), x["s"]),
-        )
-    )
-
-
 def true_pieces(board: Column, white: bool) -> Column:
-    """Letter and square of one side's pieces."""
-    low, high = ("A", "Z") if white else ("a", "z")
-    return F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: _char(board, i).between(low, high)),
-        lambda i: F.concat(F.upper(_char(board, i)), B.name_of(i)),
-    )
+    """Letter and square of one side's pieces, by square; worked on batches of boards."""
+    return side_pieces(board, white)
 
 
 def score_claims(
@@ -141,29 +118,11 @@ def score_claims(
     `white`/`black` are arrays of claims; `threats`/`hanging` are (claimed, true) array columns. In
     check the supplied truth must be empty.
     """
-    truth = lambda upper: true_pieces(c(board), upper)
     nothing = F.array().cast("array<string>")
-    df = df.withColumns(
-        {
-            "_tw": truth(True), "_tb": truth(False),
-            "_cw": claimed_pieces(F.coalesce(c(white), nothing)),
-            "_cb": claimed_pieces(F.coalesce(c(black), nothing)),
-        }
-    )
-    tw, tb, cw, cb = c("_tw"), c("_tb"), c("_cw"), c("_cb")
-    total = F.size(tw) + F.size(tb)
-    right = F.size(F.array_intersect(tw, cw)) + F.size(F.array_intersect(tb, cb))
-    mw, pw = claim_diff(tw, cw)
-    mb, pb = claim_diff(tb, cb)
-    out = df.withColumns(
-        {
-            "pieces_total": total,
-            "pieces_correct": right,
-            "piece_accuracy": F.when(total > 0, half_even(right / total, 3)),
-            "missing": F.concat(mw, mb),
-            "phantom": F.concat(pw, pb),
-        }
-    ).drop("_tw", "_tb", "_cw", "_cb")
+    total, right = c("pieces_total"), c("pieces_correct")
+    out = compare_claims(df, board, white, black).withColumn(
+        "piece_accuracy", F.when(total > 0, half_even(right / total, 3))
+    ).select(*df.columns, "pieces_total", "pieces_correct", "piece_accuracy", "missing", "phantom")
     if threats:
         strip = lambda a: F.array_distinct(
             F.transform(F.coalesce(c(a), nothing), lambda t: F.regexp_replace(F.trim(t), r"[+#]+$", ""))

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _PIECES = "PNBRQKpnbrqk"
 _BLOCK = 1024
@@ -170,3 +172,67 @@ def move_sets(before: Column, after: Column, frm: Column, to: Column, mover: Col
     made = F.arrow_udf(
         _move_sets, "struct<any:boolean,mover_now:bigint,mover_then:bigint,theirs:bigint,ours:bigint,opened:array<bigint>>")
     return made(before, after, frm.cast("int"), to.cast("int"), mover)
+
+
+# --- claims -------------------------------------------------------------------------------------
+# a token is a letter and a square; tokens in the order of their texts: letter, file, rank
+_TOKENS = pa.array([f"{chr(65 + x)}{'abcdefgh'[f]}{r + 1}" for x in range(26) for f in range(8) for r in range(8)])
+_SQUARE_TOKEN = np.array([s % 8 * 8 + s // 8 for s in range(64)])
+_CLAIM = r"(?P<piece>[KQRBNPkqrbnp]?)[ \t\n\x0b\f\r]*(?P<square>[a-h][1-8])"
+
+
+def _pieces(boards: pa.Array, white: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(board, token) of one side's letters, board by board and by square."""
+    text = np.array([(b or "").encode("ascii", "replace") for b in boards.to_pylist()], "S64")
+    letter = text.view(np.uint8).reshape(len(boards), 64).astype(np.int64) - (65 if white else 97)
+    row, sq = np.nonzero((letter >= 0) & (letter < 26))
+    return row, letter[row, sq] * 64 + _SQUARE_TOKEN[sq]
+
+
+def _claimed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(list, token) of every claim that names a square; a bare square is a pawn."""
+    items = pc.list_flatten(lists).dictionary_encode()
+    found = pc.extract_regex(items.dictionary, _CLAIM)
+    piece, square = pc.struct_field(found, 0), pc.struct_field(found, 1)
+    piece = pc.if_else(pc.equal(piece, ""), "P", pc.utf8_upper(piece))
+    token = pc.index_in(pc.binary_join_element_wise(piece, square, ""), _TOKENS).take(items.indices)
+    kept = pc.is_valid(token).to_numpy(zero_copy_only=False)
+    return pc.list_parent_indices(lists).to_numpy()[kept], token.drop_null().to_numpy().astype(np.int64)
+
+
+def _token_lists(row: np.ndarray, token: np.ndarray, rows: int) -> pa.Array:
+    ends = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), _TOKENS.take(pa.array(token)))
+
+
+def side_pieces(board: Column, white: bool) -> Column:
+    """Letter and square of one side's pieces, by square."""
+    def listed(boards: pa.Array) -> pa.Array:
+        return _token_lists(*_pieces(boards, white), len(boards))
+
+    return F.arrow_udf(listed, "array<string>")(board)
+
+
+def compare_claims(df: DataFrame, board: str, white: str, black: str) -> DataFrame:
+    """Adds pieces_total, pieces_correct, missing and phantom: claims of either side against its pieces.
+
+    The lists hold tokens of White, then of Black, each sorted and once.
+    """
+    def work(batches):
+        for batch in batches:
+            n, width = batch.num_rows, len(_TOKENS)
+            key = lambda pair, side: (pair[0] * 2 + side) * width + pair[1]
+            true, said = ([], [])
+            for side, name in enumerate((white, black)):
+                true.append(key(_pieces(batch.column(board), side == 0), side))
+                said.append(key(_claimed(batch.column(name)), side))
+            true, said = (np.unique(np.concatenate(x)) for x in (true, said))
+            missing, phantom = (np.setdiff1d(x, y, assume_unique=True) for x, y in ((true, said), (said, true)))
+            count = lambda keys: np.bincount(keys // (2 * width), minlength=n).astype(np.int32)
+            lists = [_token_lists(x // (2 * width), x % width, n) for x in (missing, phantom)]
+            new = [pa.array(count(true)), pa.array(count(true) - count(missing)), *lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.fieldNames())
+
+    added = StructType.fromDDL("pieces_total int, pieces_correct int, missing array<string>, phantom array<string>")
+    schema = StructType([*df.schema.fields, *added.fields])
+    return df.mapInArrow(work, schema)

@@ -153,3 +153,46 @@ def test_last_move_without_a_row_per_edge(spark):
     out = rl.last_move_change(df, ["id"])
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [r.id for r in out.collect()] == ["a"]
+
+
+def test_claims_of_odd_rows(spark):
+    """Null boards, lists and items, short boards, letters that are no piece, claims said twice; a row stays a row."""
+    rows = [
+        (1, "Q.x" + "." * 61, ["  qa1+", "Q a1", "b2", None, "??", "e9 h8 a1"], None),
+        (1, None, ["Ka1"], ["d \x0b d4"]), (None, "kZ", [], ["Ka1", "kb8"]),
+    ]
+    df = spark.createDataFrame(rows, "id int, board string, w array<string>, b array<string>")
+    r = cx.score_claims(df, "board", "w", "b").collect()
+    got = [(x.id, x.pieces_total, x.pieces_correct, x.piece_accuracy, x.missing, x.phantom) for x in r]
+    assert got == [
+        (1, 2, 1, 0.5, ["Xc1"], ["Pb2", "Ph8"]), (1, 0, 0, None, [], ["Ka1", "Pd4"]), (None, 2, 1, 0.5, ["Zb1"], ["Kb8"]),
+    ]
+    sides = df.select(*[cx.true_pieces(F.col("board"), up) for up in (True, False)]).collect()
+    assert [tuple(x) for x in sides] == [(["Qa1"], ["Xc1"]), ([], []), (["Zb1"], ["Ka1"])]
+
+
+def test_claims_are_worked_in_batches(spark):
+    df = spark.createDataFrame([("." * 64, [""], [""])], "board string, w array<string>, b array<string>")
+    plan = cx.score_claims(df, "board", "w", "b")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan  # no interpreted lambda over squares
+
+
+def test_lists_are_compiled(spark):
+    """Sentences are columns of their own: none is interpreted inside the filter that drops the NULL ones."""
+    from rookery.operators import features as fe
+
+    df = bo.parse_fen(spark.createDataFrame([("iqp", FENS["iqp"])], "id string, fen string"))
+    df = fe.named_structures(fe.pawn_sets(bo.with_sets(df)))
+    plan = df.select("structures")._jdf.queryExecution().optimizedPlan().toString()
+    kept = [line for line in plan.splitlines() if "lambdafunction(isnotnull" in line]
+    assert kept and not any("CASE" in line for line in kept)
+
+
+def test_boards_are_dealt_anew(spark):
+    """One small file is one task to read, and not one task to work."""
+    from catalog.base import Tables
+    from catalog.boards import random_boards
+
+    df = random_boards(Tables(spark, "/root/testdata/sf0.001"))
+    assert df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(df.toPandas()["event_id"]) == sorted(spark.read.parquet("/root/testdata/sf0.001/events.parquet").toPandas()["event_id"])
