@@ -160,7 +160,7 @@ def squares(a: Column) -> Column:
         rest = state["rest"]
         return F.struct(
             rest.bitwiseAND(rest - 1).alias("rest"),
-            F.concat(state["out"], F.array(count(minus(rest - 1, rest)).cast("int"))).alias("out"),
+            F.array_append(state["out"], count(minus(rest - 1, rest)).cast("int")).alias("out"),
         )
 
     def members(m):
@@ -183,7 +183,12 @@ def name_of(square: Column) -> Column:
 
 
 def names_text(a: Column, sep: str = ", ") -> Column:
-    return F.array_join(names(a), sep)
+    """Names of the members, rank by rank: branches without lambdas, which are compiled."""
+    row = lambda r: F.concat_ws(
+        sep, *[F.when(within(a, 1 << (8 * r + f)) != 0, F.lit(SQUARES[8 * r + f])) for f in range(8)]
+    )
+    rows = [F.when(within(a, rank_mask(r)) != 0, row(r)) for r in range(8)]
+    return F.when(a.isNotNull(), F.concat_ws(sep, *rows))
 
 
 def file_letters(files: Column, sep: str = ", ") -> Column:

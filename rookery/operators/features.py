@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.functions import bits as B
-from rookery.operators.boards import SIDES, own
+from rookery.operators.boards import SIDES, fence, own
 from rookery.operators.wording import CENTRE_PLANS, ENDGAME_GUIDE, STRUCTURES
 
 c = F.col
@@ -33,6 +33,18 @@ def _texts(*parts: Column) -> Column:
     return F.array_compact(F.array(*parts))
 
 
+def _listed(df: DataFrame, column: str, parts: list[Column], before: Column | None = None, after: Column | None = None) -> DataFrame:
+    """Adds `column`: the non-NULL parts in one array, between the arrays `before` and `after`.
+
+    The parts are columns of their own first: everything inside an array's filter is interpreted, while
+    columns are compiled.
+    """
+    names = [f"_{column}_{i}" for i in range(len(parts))]
+    df = fence(df.withColumns(dict(zip(names, parts, strict=True))), column)
+    lists = [x for x in (before, _texts(*[c(n) for n in names]), after) if x is not None]
+    return df.withColumn(column, F.concat(*lists) if len(lists) > 1 else lists[0]).drop(*names)
+
+
 def _sentence(cond: Column, *parts) -> Column:
     return F.when(cond, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
 
@@ -213,7 +225,7 @@ def pawn_facts(df: DataFrame) -> DataFrame:
     found = F.transform(
         c("structures"), lambda x: F.concat(F.lit("Structure: "), x["name"], F.lit(" — "), x["sentence"])
     )
-    return df.withColumn("pawn_facts", F.concat(_texts(*parts), found))
+    return _listed(df, "pawn_facts", parts, after=found)
 
 
 class Shape(NamedTuple):
@@ -304,7 +316,7 @@ def named_structures(df: DataFrame) -> DataFrame:
         words = {"o": _title(white), "x": _title(not white), "s": "c" + r, "t": "d" + r}
         found.append(F.when(_hanging(white), _worded("hanging", words)))
     found += [F.when(shape.holds(), _worded(shape.key, dict(shape.words))) for shape in SHAPES]
-    return df.withColumn("structures", _texts(*found))
+    return _listed(df, "structures", found)
 
 
 def _title(white: bool) -> str:
@@ -476,7 +488,7 @@ def character_facts(df: DataFrame, facts: bool = True) -> DataFrame:
             _sentence((y - x >= 2) & (c("fullmove") <= 20), f"Development: {lead} leads by ", _txt(y - x),
                       f" tempi — open the position now before {rest} catches up.")
         )
-    return df.withColumn("character_facts", _texts(*parts))
+    return _listed(df, "character_facts", parts)
 
 
 # --- endings ------------------------------------------------------------------------------------

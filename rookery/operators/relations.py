@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rookery.functions import bits as B
 from rookery.operators.boards import SIDES, _char, _plane, own
-from rookery.operators.features import LIGHT, _s, _sentence, _texts, _txt, undeveloped
+from rookery.operators.features import LIGHT, _listed, _s, _sentence, _texts, _txt, undeveloped
 from rookery.operators.sight import contact_lists, move_sets
 
 c = F.col
@@ -221,7 +221,7 @@ def king_safety(df: DataFrame, facts: bool = True) -> DataFrame:
                F.lit("Opposite-side castling: pawn storms and speed of attack decide"))
         .when(c("phase") == "endgame", F.lit("Endgame: activate the king (centralise it)"))
     )
-    return df.withColumn("king_facts", _texts(*lines))
+    return _listed(df, "king_facts", lines)
 
 
 def activity(df: DataFrame, facts: bool = True) -> DataFrame:
@@ -259,18 +259,19 @@ def activity(df: DataFrame, facts: bool = True) -> DataFrame:
     ]
     for name, w in SIDES:
         s, o = _s(w), _s(not w)
-        heavy = B.either(own("r", w), own("q", w))
         named = lambda i: F.concat(F.upper(_char(c("board"), i)), B.name_of(i))
 
+        # rooks on files without own pawns, and pieces on the seventh rank: no other one has a note
+        on_line = B.either(B.minus(own("r", w), B.of_files(c(f"files_{s}"))), c(f"seventh_{s}"))
+
         def line_notes(i):
             free = ~B.has(c(f"files_{s}"), i % 8) & B.has(own("r", w), i)
             kind = F.when(B.has(c(f"files_{o}"), i % 8), F.lit(" on half-open ")).otherwise(F.lit(" on open "))
             letter = F.substr(F.lit(B.FILES), i % 8 + 1, F.lit(1))
-            return F.array_compact(
-                F.array(
-                    F.when(free, F.concat(named(i), kind, letter, F.lit("-file"))),
-                    F.when(B.has(c(f"seventh_{s}"), i), F.concat(named(i), F.lit(" on the 7th rank"))),
-                )
+            return F.concat_ws(
+                "; ",
+                F.when(free, F.concat(named(i), kind, letter, F.lit("-file"))),
+                F.when(B.has(c(f"seventh_{s}"), i), F.concat(named(i), F.lit(" on the 7th rank"))),
             )
 
         def bad_note(i):
@@ -282,7 +283,7 @@ def activity(df: DataFrame, facts: bool = True) -> DataFrame:
 
         notes = F.concat(
             F.transform(B.squares(c(f"on_outpost_{s}")), lambda i: F.concat(named(i), F.lit(" on an outpost"))),
-            F.flatten(F.transform(B.squares(heavy), line_notes)),
+            F.transform(B.squares(on_line), line_notes),
             F.transform(B.squares(c(f"bad_bishop_{s}")), bad_note),
             _texts(
                 _sentence((c("phase") != "endgame") & (c(f"home_{s}") != 0) & (c("fullmove") >= 4), "undeveloped: ",
@@ -292,7 +293,7 @@ def activity(df: DataFrame, facts: bool = True) -> DataFrame:
             ),
         )
         lines.append(_sentence(F.size(notes) > 0, f"{name}: ", F.array_join(notes, "; ")))
-    return df.withColumn("activity_facts", _texts(*lines))
+    return _listed(df, "activity_facts", lines)
 
 
 # --- attribution --------------------------------------------------------------------------------
