@@ -182,15 +182,19 @@ def name_of(square: Column) -> Column:
     return F.substr(F.lit(_NAMES), square * 2 + 1, F.lit(2))
 
 
-def names_text(a: Column, sep: str = ", ") -> Column:
-    """Names of the members, rank by rank: branches without lambdas, which are compiled."""
+def joined(a: Column, text, sep: str = ", ") -> Column:
+    """`text(square number)` of the members, ascending: branches rank by rank, compiled as lambdas aren't."""
     row = lambda r: F.concat_ws(
-        sep, *[F.when(within(a, 1 << (8 * r + f)) != 0, F.lit(SQUARES[8 * r + f])) for f in range(8)]
+        sep, *[F.when(within(a, 1 << s) != 0, text(s)) for s in range(8 * r, 8 * r + 8)]
     )
     rows = [F.when(within(a, rank_mask(r)) != 0, row(r)) for r in range(8)]
     return F.when(a.isNotNull(), F.concat_ws(sep, *rows))
 
 
+def names_text(a: Column, sep: str = ", ") -> Column:
+    return joined(a, lambda s: F.lit(SQUARES[s]), sep)
+
+
 def file_letters(files: Column, sep: str = ", ") -> Column:
     """Letters of a set of files, NULL-free and codegen-friendly."""
     return F.concat_ws(sep, *[F.when(within(files, 1 << f) != 0, F.lit(FILES[f])) for f in range(8)])

@@ -165,6 +165,12 @@ def piece_names(mask: Column, board: str = "board") -> Column:
     )
 
 
+def pieces_text(mask: Column, board: str = "board", sep: str = ", ") -> Column:
+    """`piece_names` joined, without lambdas."""
+    named = lambda i: F.concat(F.upper(_char(c(board), F.lit(i))), F.lit(B.SQUARES[i]))
+    return B.joined(mask, named, sep)
+
+
 def king_safety(df: DataFrame, facts: bool = True) -> DataFrame:
     """shield_holes_*, open_near_* (file sets), castled_*, king_facts; needs phase, files, zones."""
     cols = {}
@@ -212,7 +218,7 @@ def king_safety(df: DataFrame, facts: bool = True) -> DataFrame:
             _sentence(live & (c(f"open_near_{s}") != 0), "open/half-open file(s) near king: ",
                       B.file_letters(c(f"open_near_{s}"), ",")),
             _sentence(live & (c(f"zone_hit_{s}") != 0), "enemy pieces hitting king zone: ",
-                      F.array_join(piece_names(c(f"zone_hit_{s}")), ", ")),
+                      pieces_text(c(f"zone_hit_{s}"))),
             F.when(c(f"check_{s}") & (c("turn") == s), F.lit("IN CHECK")),
         )
         lines.append(F.when(k.isNotNull(), bits))
@@ -287,7 +293,7 @@ def activity(df: DataFrame, facts: bool = True) -> DataFrame:
             F.transform(B.squares(c(f"bad_bishop_{s}")), bad_note),
             _texts(
                 _sentence((c("phase") != "endgame") & (c(f"home_{s}") != 0) & (c("fullmove") >= 4), "undeveloped: ",
-                          F.array_join(piece_names(c(f"home_{s}")), ", ")),
+                          pieces_text(c(f"home_{s}"))),
                 _sentence(c(f"spots_{s}") != 0, "outpost squares available: ",
                           F.array_join(F.slice(B.names(c(f"spots_{s}")), 1, 4), ", ")),
             ),

@@ -196,3 +196,15 @@ def test_boards_are_dealt_anew(spark):
     df = random_boards(Tables(spark, "/root/testdata/sf0.001"))
     assert df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     assert sorted(df.toPandas()["event_id"]) == sorted(spark.read.parquet("/root/testdata/sf0.001/events.parquet").toPandas()["event_id"])
+
+
+def test_piece_texts_without_lambdas(spark):
+    from rookery.functions import bits as B
+
+    masks = [0, 1, -1, 1 << 62, -(1 << 63), 0x0100000000008081, None]
+    df = spark.createDataFrame([("QRBNPKpk" * 8, m) for m in masks], "board string, m bigint").select(
+        rl.pieces_text(F.col("m")).alias("a"), B.names_text(F.col("m"), "+").alias("b"),
+        F.array_join(rl.piece_names(F.col("m")), ", ").alias("x"), F.array_join(B.names(F.col("m")), "+").alias("y"),
+    )
+    assert "lambda" not in df.select("a", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert all((r.a, r.b) == (r.x, r.y) for r in df.collect())
