@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -104,95 +105,150 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_lengths(side: np.ndarray, before: int, length: int) -> np.ndarray:
-    """Length of the run that each row ends; 0 where side is 0. `before` and `length` are the open run's."""
+#: Groups of games in the state; a checkpoint keeps the number it began with.
+BUCKETS = 512
+_NEVER = 1 << 62
+_OPEN = {"side": 0, "length": 0, "decided": False, "last": -1, "since": _NEVER}
+
+
+def run_lengths(side: np.ndarray, before, length, first: np.ndarray | None = None) -> np.ndarray:
+    """Length of the run that each row ends; 0 where side is 0.
+
+    `first` marks the rows that open a game (none given: the rows are one game). `before` and `length` are
+    the game's open run, one number or one a row.
+    """
     place = np.arange(len(side))
-    turn = side != np.concatenate(([before], side[:-1]))
-    start = np.maximum.accumulate(np.where(turn, place, -1))
-    return np.where(side == 0, 0, np.where(start < 0, length + place + 1, place - start + 1))
+    first = place == 0 if first is None else first
+    turn = first | (side != np.concatenate(([0], side[:-1])))
+    start = np.maximum.accumulate(np.where(turn, place, 0))
+    carried = np.where(first & (side == before), length, 0)
+    return np.where(side == 0, 0, place - start + 1 + carried[start])
+
+
+def _packed(frame: pd.DataFrame) -> tuple[bytes]:
+    table, sink = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
 
 
 class Referee(StatefulProcessor):
-    """Rows wait in list state until the watermark has passed them, then extend the game's run in order.
+    """Rows wait in list state until the watermark has passed them, then extend their game's run in order.
 
-    Value state: open side, its run, whether the game is decided, and its last event time. A timer at the
-    last waiting row judges what is left; a second one, `keep_ms` after the last row, removes the game.
+    A key is a bucket of games, so that a state call and a pandas step serve all of them at once. Value
+    state: one row a game with the open side, its run, whether the game is decided, its last event time and
+    its first waiting one. One timer a bucket: the earliest time at which a waiting row can be judged, or a game
+    without waiting rows leaves, `keep_ms` after its last row.
     Columns: game, us (event time in microseconds), o0, o1, … (further order), v (value), ended.
     """
 
     def __init__(self, types: dict[str, str], threshold: float, k: int, keep_ms: int):
         self.threshold, self.k, self.keep_ms = threshold, k, keep_ms
-        self.columns = [c for c in types if c != "game"]
-        self.order = [c for c in self.columns if c not in ("v", "ended")]
-        self.waiting_schema = ", ".join(f"{c} {types[c]}" for c in self.columns)
+        self.columns = list(types)
+        self.order = [c for c in types if c not in ("game", "v", "ended")]
+        self.whole = [c for c in ("game", *self.order) if types[c] in ("tinyint", "smallint", "int", "bigint")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", "side int, length bigint, decided boolean, last bigint")
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.games = handle.getValueState("games", "games binary, timer bigint")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if key[0] is None:
+        if pd.isna(key[0]):
             return
-        side, length, decided, last = self.run.get() or (0, 0, False, -1)
+        games, timer = self._held()
         for frame in rows:
             if frame.empty:
                 continue
-            last = max(last, int(frame["us"].max()))
-            if not decided:
-                own = frame[self.columns].astype(object)
-                self.waiting.appendList(list(own.where(own.notna(), None).itertuples(index=False, name=None)))
-        self.run.update((side, length, decided, last))
-        self.handle.registerTimer(last // 1000 + 1)
-        yield from self._settle(key, timerValues)
+            times = frame.groupby("game")["us"].agg(["min", "max"])
+            new = times.index.difference(games.index, sort=False)
+            if len(new):
+                added = pd.DataFrame(_OPEN, index=new)
+                games = pd.concat([games, added]) if len(games) else added
+            at = games.index.get_indexer(times.index)
+            last, since, decided = (games[c].to_numpy(copy=True) for c in ("last", "since", "decided"))
+            last[at] = np.maximum(last[at], times["max"])
+            since[at] = np.where(decided[at], _NEVER, np.minimum(since[at], times["min"]))
+            games["last"], games["since"] = last, since
+            own = frame.loc[~decided[games.index.get_indexer(frame["game"])], self.columns]
+            if len(own):
+                self.waiting.appendValue(_packed(own))
+        yield from self._settle(games, timer, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, timerValues)
-        state = self.run.get()
-        if state is None or self.waiting.exists():
-            return
-        until = state[3] // 1000 + self.keep_ms
-        if timerValues.getCurrentWatermarkInMs() >= until:
-            self.run.clear()
-        else:
-            self.handle.registerTimer(until)
-
-    def _settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
-        """Judges the waiting rows that no row can come before any more."""
-        upto = timerValues.getCurrentWatermarkInMs() * 1000
-        state = self.run.get()
-        if state is None or state[2] or upto <= 0 or not self.waiting.exists():
-            return
-        rows = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
-        ripe = rows["us"] <= upto
-        if not ripe.any():
+        games, _ = self._held()
+        yield from self._settle(games, None, timerValues)
+
+    def _held(self) -> tuple[pd.DataFrame, int | None]:
+        state = self.games.get()
+        if state is None:
+            return pd.DataFrame(_OPEN, index=[]), None
+        return _unpacked(bytes(state[0])).set_index("game"), state[1]
+
+    def _settle(self, games: pd.DataFrame, timer: int | None, timerValues) -> Iterator[pd.DataFrame]:
+        """Judges the waiting rows that no row can come before any more, and lets old games go."""
+        now = timerValues.getCurrentWatermarkInMs()
+        upto = now * 1000
+        due = games["since"] <= upto
+        if now > 0 and due.any():
+            rows = pd.concat([_unpacked(bytes(data)) for (data,) in self.waiting.get()], ignore_index=True)
+            at = games.index.get_indexer(rows["game"])
+            ripe = due.to_numpy()[at] & (rows["us"].to_numpy() <= upto)
+            games, hits = self._judged(games, rows[ripe].assign(at=at[ripe]))
+            left = rows[~ripe].assign(at=games.index.get_indexer(rows["game"][~ripe]))
+            left = left[left["at"] >= 0]
+            left = left[~games["decided"].to_numpy()[left["at"]]]
+            since = np.full(len(games), _NEVER)
+            np.minimum.at(since, left["at"].to_numpy(), left["us"].to_numpy())
+            games["since"] = since
+            if left.empty:
+                self.waiting.clear()
+            else:
+                self.waiting.put([_packed(left[self.columns])])
+            if len(hits):
+                yield hits
+        until = games["last"] // 1000 + self.keep_ms
+        games = games[(until > now) | (games["last"] > upto)]
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        if games.empty:
+            self.games.clear()
             return
-        later, rows = rows[~ripe], rows[ripe].sort_values(self.order, kind="stable")
-        side, length, _, last = state
+        waits = games["since"] < _NEVER
+        next_ = np.where(waits, games["since"] // 1000 + 1, games["last"] // 1000 + self.keep_ms)
+        timer = max(int(next_.min()), now + 1)
+        self.handle.registerTimer(timer)
+        self.games.update((*_packed(games.rename_axis("game").reset_index()), timer))
+
+    def _judged(self, games: pd.DataFrame, rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The games after `rows` (`at`: place of the game) and the rows that decide games; ended games are gone."""
+        rows = rows.sort_values(["at", *self.order], ignore_index=True)
+        at = rows["at"].to_numpy()
+        cut = at[1:] != at[:-1]
         v = pd.to_numeric(rows["v"]).to_numpy(float, na_value=np.nan)
         sides = np.where(v >= self.threshold, 1, np.where(v <= -self.threshold, -1, 0))
-        runs = run_lengths(sides, side, length)
-        over = any(e is True or e == 1 for e in rows["ended"])  # null is no end
-        decided = bool((runs >= self.k).any())
-        if over:
-            self.run.clear()
-        else:
-            self.run.update((int(sides[-1]), int(runs[-1]), decided, last))
-        if over or decided or later.empty:
-            self.waiting.clear()
-        else:
-            later = later.astype(object)
-            self.waiting.put(list(later.where(later.notna(), None).itertuples(index=False, name=None)))
-        if decided:
-            at = int(np.argmax(runs >= self.k))
-            hit = rows.iloc[[at]][self.order].infer_objects()
-            hit.insert(0, "game", [key[0]])
-            yield hit.assign(streak=[int(runs[at])], side=[int(sides[at])])
+        before, length = games["side"].to_numpy()[at], games["length"].to_numpy()[at]
+        runs = run_lengths(sides, before, length, np.concatenate(([True], cut)))
+        end = np.flatnonzero(np.concatenate((cut, [True])))
+        side, length, decided = (games[c].to_numpy(copy=True) for c in ("side", "length", "decided"))
+        side[at[end]], length[at[end]] = sides[end], runs[end]
+        long = np.flatnonzero(runs >= self.k)
+        won, first = np.unique(at[long], return_index=True)
+        decided[won] = True
+        hits = rows.loc[long[first], ["game", *self.order]].assign(streak=runs[long[first]], side=sides[long[first]])
+        hits = hits.astype({c: "Int64" for c in self.whole})
+        over = np.zeros(len(games), bool)
+        over[at[rows["ended"].to_numpy(bool)]] = True
+        return games.assign(side=side, length=length, decided=decided)[~over], hits.reset_index(drop=True)
 
 
 def streak_stream(
     evals: DataFrame, key: str, time: str, order: list[str], value: str, threshold: float, k: int,
-    late: str, keep_seconds: int = 7 * 86_400, ended: str | None = None,
+    late: str, keep_seconds: int = 7 * 86_400, ended: str | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
     """First row of each game whose run beyond ±threshold reaches k plies; one row per game.
 
@@ -200,18 +256,21 @@ def streak_stream(
     timestamp): they are judged by (time, *order) once the watermark has passed them. A game leaves the
     state with a row whose `ended` is true, or `keep_seconds` of event time after its last row; only rows
     that wait and one row per open game are held, in RocksDB. A null value breaks a run; rows with a null
-    key or time are passed over. The query has to be started with `rocksdb_state` in force.
+    key or time are passed over. Games are kept in `buckets`: a batch reads and writes the open games (some
+    30 bytes each) of the buckets it touches, and a task holds one bucket. The query has to be started with
+    `rocksdb_state` in force.
     """
-    end = F.col(ended).cast("boolean") if ended else F.lit(False)
+    end = F.coalesce(F.col(ended).cast("boolean"), F.lit(False)) if ended else F.lit(False)  # null is no end
     rows = evals.withWatermark(time, late).where(F.col(time).isNotNull()).select(
-        F.col(key).alias("game"), F.col(time), F.unix_micros(time).alias("us"),
+        # rows without a key have a bucket of their own: a filter on keys would be pushed below the watermark
+        F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int").alias("bucket"), F.col(key).alias("game"), F.col(time), F.unix_micros(time).alias("us"),
         *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("v"), end.alias("ended"),
     )
-    types = {c: t for c, t in rows.dtypes if c != time}
+    types = {c: t for c, t in rows.dtypes if c not in (time, "bucket")}
     given = ["game", "us", *(f"o{i}" for i in range(len(order)))]
     schema = ", ".join(f"{c} {types[c]}" for c in given) + ", streak bigint, side int"
     processor = Referee(types, threshold, k, keep_seconds * 1000)
-    hits = rows.groupBy("game").transformWithStateInPandas(processor, schema, "append", "eventTime")
+    hits = rows.groupBy("bucket").transformWithStateInPandas(processor, schema, "append", "eventTime")
     return hits.select(
         F.col("game").alias(key), F.timestamp_micros("us").alias(time),
         *[F.col(f"o{i}").alias(c) for i, c in enumerate(order)], "streak", "side",

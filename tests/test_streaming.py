@@ -4,6 +4,7 @@ import random
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -63,3 +64,83 @@ def test_games_leave_the_state(spark):
     # an hour without rows takes b out of the state as well, once the watermark has passed it
     between = [("z", 90, 0, 0, False), ("z", 95, 0, 0, False)]
     assert _hits(spark, [ended, between, more, far], keep_seconds=60) == []
+
+
+def test_state_calls_do_not_grow_with_the_games():
+    """A bucket's batch costs the same few state calls for 3 games and for 3,000."""
+    class Cell:
+        def __init__(self):
+            self.value, self.rows, self.calls = None, [], 0
+
+        def count(self, result=None):
+            self.calls += 1
+            return result
+
+        def update(self, value):
+            self.value = self.count(tuple(value))
+
+    class Value(Cell):
+        def get(self):
+            return self.count(self.value)
+
+        def clear(self):
+            self.value = self.count()
+
+    class Rows(Cell):
+        def get(self):
+            return self.count(iter(self.rows))
+
+        def appendValue(self, row):
+            self.rows.append(self.count(row))
+
+        def clear(self):
+            self.rows = self.count([])
+
+        def put(self, rows):
+            self.rows = self.count(rows)
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers, self.calls = [Value(), Rows()], set(), 0
+
+        def getValueState(self, *_):
+            return self.states[0]
+
+        def getListState(self, *_):
+            return self.states[1]
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.calls += 1
+            self.timers.discard(at)
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    def calls(games: int) -> int:
+        types = {"game": "bigint", "us": "bigint", "o0": "int", "v": "double", "ended": "boolean"}
+        referee, handle = live.Referee(types, 500, 3, 60_000), Handle()
+        referee.init(handle)
+        game, ply = np.repeat(np.arange(games), 4), np.tile(np.arange(4), games)
+        # every third game breaks its run, so that no three plies of it are above the threshold
+        v = np.where((game % 3 == 0) & (ply == 1), np.nan, 600.0)
+        frame = pd.DataFrame({"bucket": 0, "game": game, "us": 1_000_000 + ply, "o0": ply, "v": v, "ended": False})
+        first, second = frame[frame["o0"] % 2 == 1], frame[frame["o0"] % 2 == 0]
+        for drop in (first, second):
+            assert list(referee.handleInputRows((0,), iter([drop.sample(frac=1, random_state=1)]), Now(0))) == []
+        assert len(handle.timers) == 1
+        hits = pd.concat(referee.handleExpiredTimer((0,), Now(2_000), None))
+        assert hits["game"].tolist() == [g for g in range(games) if g % 3] and set(hits["o0"]) == {2}
+        assert not handle.states[1].rows
+        list(referee.handleExpiredTimer((0,), Now(10**6), None))
+        assert handle.states[0].value is None  # old games have left
+        return handle.calls + sum(s.calls for s in handle.states)
+
+    assert calls(3) == calls(3_000)
