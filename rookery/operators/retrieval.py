@@ -84,6 +84,8 @@ def weight_of(tag: Column, weights=K.TAG_WEIGHTS) -> Column:
 
 #: Page sets per block and per salt of a hot head; blocks and tag sets of positions per salt of a join.
 BLOCK, SETS_PER_SALT, BLOCKS_PER_SALT, POSITIONS_PER_SALT = 64, 4096, 64, 65_536
+#: Bytes of tags and slugs, as JSON, up to which the blocks are sent to all tasks and positions stay where they are.
+FEW_BYTES = 32 << 20
 
 
 def page_blocks(pages: DataFrame, k: int, slug: str, weights) -> DataFrame:
@@ -125,19 +127,27 @@ def retrieve(
 
     Equal tag sets are scored once on both sides. A position meets the leading block of each of its heads
     first; its k-th best score there then keeps out all blocks whose bound is below it. A joined row gives
-    its k best pages at most, so candidates are k per block. Heads that many pages or positions share are
-    split over salts, from their counts. A NULL tag never matches.
+    its k best pages at most, so candidates are k per block. Blocks of FEW_BYTES at most are broadcast, so the
+    tags of a position are shuffled once, to find equal ones. With more, positions move to the blocks of each
+    of their heads, and heads that many pages or positions share are split over salts, from their counts. A
+    NULL tag never matches.
     """
     pid = F.md5(F.to_json(F.struct(F.array_sort(F.array_distinct(F.col(tags))).alias("t"))))
     # written once: the tags may come out of long expressions, and every later step reads them
     named = staged(positions.select(F.col(key).alias("_key"), F.col(tags).alias("_have"), pid.alias("_pid")), "tags")
-    distinct = named.select("_pid", "_have").groupBy("_pid").agg(F.first("_have").alias("_have"))
-    blocks = page_blocks(pages, k, slug, weights)
+    distinct = staged(named.select("_pid", "_have").groupBy("_pid").agg(F.first("_have").alias("_have")), "sets")
+    blocks = staged(page_blocks(pages, k, slug, weights), "blocks")
+    size = blocks.agg(F.sum(F.octet_length(F.to_json(F.struct("_sets", "_tags")))).alias("n")).first()[0] or 0
+    few = size <= FEW_BYTES
     # narrow rows first: only (position, tag) meets the heads; the tag arrays join the few matches.
     # outer: an inner explode would push its emptiness test into whatever computed the tags
-    spread = distinct.select("_pid", F.explode_outer(F.array_distinct("_have")).alias("_head"))
     heads = blocks.groupBy("_head").agg(F.count(F.lit(1)).alias("_blocks"), F.min("_block").alias("_first"))
-    near = spread.join(heads, "_head")
+
+    def by_head(sets: DataFrame, *kept: str) -> DataFrame:
+        spread = sets.select("_pid", F.explode_outer(F.array_distinct("_have")).alias("_head"), *kept)
+        return spread.join(F.broadcast(heads) if few else heads, "_head")
+
+    near = by_head(distinct)
     # one row per head: into how many salts its positions and its blocks are split
     split = near.groupBy("_head").agg(
         F.ceil(F.count(F.lit(1)) / POSITIONS_PER_SALT).cast("int").alias("_ps"),
@@ -149,10 +159,13 @@ def retrieve(
 
     def scored(asked: DataFrame, held: DataFrame, bound: Column | None = None) -> DataFrame:
         """_pid, score, _slug: the k best of every (position, block)."""
-        rows = asked.join(split, "_head").withColumn("_p", F.pmod(F.xxhash64("_pid"), F.col("_ps"))).withColumn(
-            "_b", F.explode(F.sequence(F.lit(0), F.col("_bs") - 1))
-        ).drop("_ps", "_bs")
-        met = rows.join(held.drop("_ps", "_bs"), ["_head", "_p", "_b"])
+        if few:
+            met = asked.join(F.broadcast(held), "_head")
+        else:
+            rows = asked.join(split, "_head").withColumn("_p", F.pmod(F.xxhash64("_pid"), F.col("_ps"))).withColumn(
+                "_b", F.explode(F.sequence(F.lit(0), F.col("_bs") - 1))
+            ).drop("_ps", "_bs")
+            met = rows.join(held.drop("_ps", "_bs"), ["_head", "_p", "_b"])
         met = met if bound is None else met.where(bound)
         common = F.array_intersect("_tags", "_have")
         one = lambda s: F.aggregate(
@@ -165,11 +178,13 @@ def retrieve(
         return best.select("_pid", (-F.col("_c.minus")).alias("score"), F.col("_c.slug").alias("_slug"))
 
     order = [F.desc("score"), F.asc("_slug")]
-    asked = near.select("_pid", "_head", "_first").join(distinct, "_pid")
-    leading = top_k(scored(asked.drop("_first"), dealt.join(heads.select("_head", F.col("_first").alias("_block")), ["_head", "_block"])), ["_pid"], order, k).drop("rank")
+    asked = by_head(distinct, "_have") if few else near.select("_pid", "_head", "_first").join(distinct, "_pid")
+    held = blocks if few else dealt
+    leading = top_k(scored(asked.drop("_first", "_blocks"), held.join(heads.select("_head", F.col("_first").alias("_block")), ["_head", "_block"])), ["_pid"], order, k).drop("rank")
     floor = leading.groupBy("_pid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_floor"))
+    judged = by_head(distinct.join(floor, "_pid", "left"), "_have", "_floor") if few else asked.join(floor, "_pid", "left")
     later = scored(
-        asked.join(floor, "_pid", "left"), dealt,
+        judged, held,
         (F.col("_block") != F.col("_first")) & (F.col("_floor").isNull() | (F.col("_bound") >= F.col("_floor"))),
     )
     best = top_k(leading.unionByName(later), ["_pid"], order, k)

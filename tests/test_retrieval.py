@@ -38,3 +38,18 @@ def test_equals_the_plain_definition(spark, monkeypatch):
         spark.createDataFrame([], "pos int, tags array<string>"), spark.createDataFrame(pages, "slug string, tags array<string>"), 3
     )
     assert none.count() == 0
+
+
+def test_few_pages_leave_the_tags_of_positions_where_they_are(spark, monkeypatch):
+    """With few blocks a position's tags are shuffled for its equal ones and its floor, not once per head."""
+    deal = random.Random(9)
+    pages = [(f"p{i:02}", [deal.choice("abcdefg") for _ in range(1 + i % 4)]) for i in range(40)]
+    positions = [(i, [deal.choice("abcdefg") for _ in range(deal.randrange(6))]) for i in range(40)]
+    given = [spark.createDataFrame(positions, "pos int, tags array<string>"), spark.createDataFrame(pages, "slug string, tags array<string>")]
+    for few in (1 << 20, 0):  # all blocks at once, and the salted way of many
+        monkeypatch.setattr(retrieval, "FEW_BYTES", few)
+        got = retrieval.retrieve(*given, 3, weights=WEIGHTS)
+        assert {tuple(r) for r in got.select("pos", "slug", F.round("score", 9), "rank").collect()} == plain(positions, pages, 3)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        # heads and blocks, of both passes, are hinted and never meet the tags in a shuffle by head
+        assert (plan.count("strategy=broadcast") >= 4) == bool(few)
