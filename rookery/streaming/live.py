@@ -158,12 +158,12 @@ class Referee(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if pd.isna(key[0]):
-            return
         games, timer = self._held()
         for frame in rows:
             if frame.empty:
                 continue
+            if key[0] < 0:  # the game without a key
+                frame = frame.assign(game=0)
             times = frame.groupby("game")["us"].agg(["min", "max"])
             new = times.index.difference(games.index, sort=False)
             if len(new):
@@ -177,11 +177,11 @@ class Referee(StatefulProcessor):
             own = frame.loc[~decided[games.index.get_indexer(frame["game"])], self.columns]
             if len(own):
                 self.waiting.appendValue(_packed(own))
-        yield from self._settle(games, timer, timerValues)
+        yield from self._settle(key, games, timer, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         games, _ = self._held()
-        yield from self._settle(games, None, timerValues)
+        yield from self._settle(key, games, None, timerValues)
 
     def _held(self) -> tuple[pd.DataFrame, int | None]:
         state = self.games.get()
@@ -189,7 +189,7 @@ class Referee(StatefulProcessor):
             return pd.DataFrame(_OPEN, index=[]), None
         return _unpacked(bytes(state[0])).set_index("game"), state[1]
 
-    def _settle(self, games: pd.DataFrame, timer: int | None, timerValues) -> Iterator[pd.DataFrame]:
+    def _settle(self, key, games: pd.DataFrame, timer: int | None, timerValues) -> Iterator[pd.DataFrame]:
         """Judges the waiting rows that no row can come before any more, and lets old games go."""
         now = timerValues.getCurrentWatermarkInMs()
         upto = now * 1000
@@ -210,7 +210,7 @@ class Referee(StatefulProcessor):
             else:
                 self.waiting.put([_packed(left[self.columns])])
             if len(hits):
-                yield hits
+                yield hits if key[0] >= 0 else hits.assign(game=None)
         until = games["last"] // 1000 + self.keep_ms
         games = games[(until > now) | (games["last"] > upto)]
         if timer is not None:
@@ -256,14 +256,14 @@ def streak_stream(
     timestamp): they are judged by (time, *order) once the watermark has passed them. A game leaves the
     state with a row whose `ended` is true, or `keep_seconds` of event time after its last row; only rows
     that wait and one row per open game are held, in RocksDB. A null value breaks a run; rows with a null
-    key or time are passed over. Games are kept in `buckets`: a batch reads and writes the open games (some
+    key are one game, and rows with a null time are passed over. Games are kept in `buckets`: a batch reads and writes the open games (some
     30 bytes each) of the buckets it touches, and a task holds one bucket. The query has to be started with
     `rocksdb_state` in force.
     """
     end = F.coalesce(F.col(ended).cast("boolean"), F.lit(False)) if ended else F.lit(False)  # null is no end
     rows = evals.withWatermark(time, late).where(F.col(time).isNotNull()).select(
-        # rows without a key have a bucket of their own: a filter on keys would be pushed below the watermark
-        F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int").alias("bucket"), F.col(key).alias("game"), F.col(time), F.unix_micros(time).alias("us"),
+        # rows without a key are one game in a bucket of its own
+        F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int").alias("bucket"), F.col(key).alias("game"), F.col(time), F.unix_micros(time).alias("us"),
         *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("v"), end.alias("ended"),
     )
     types = {c: t for c, t in rows.dtypes if c not in (time, "bucket")}

@@ -144,3 +144,8 @@ def test_state_calls_do_not_grow_with_the_games():
         return handle.calls + sum(s.calls for s in handle.states)
 
     assert calls(3) == calls(3_000)
+
+
+def test_rows_without_a_key_are_one_game(spark):
+    rows = [(None, m, m, 900, False) for m in range(3)]
+    assert _hits(spark, [rows[1:], rows[:1], [("z", 500, 0, 0, False)]]) == [(None, 2, 3, 1)]
