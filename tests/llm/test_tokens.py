@@ -39,6 +39,18 @@ def test_encoder_equals_tokenizer(name, texts):
     assert got == [_ids(name, t) for t in texts]
 
 
+def test_words_are_merged_once_for_all_tails_and_lines():
+    coder = Encoder(vocabulary("byte_bpe_50k.json"), True, end=None)
+    merge, whole, seen, odd = coder.merge, coder.tokenizer, [], []
+    coder.merge = lambda word: seen.append(word) or merge(word)
+    coder._whole = lambda piece: odd.append(piece) or whole.encode(piece, add_special_tokens=False).ids
+    texts = ["q alpha alpha. alpha; alpha.\nBeta beta,\nBeta. x\n\ny 's\n's a\r\nb \n c", "q beta.\nBeta"]
+    ids, ends = coder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [_ids("byte_bpe_50k.json", t) for t in texts]
+    assert len(seen) == len(set(seen)) and len(odd) == len(set(odd))
+    assert sum("alpha" in w for w in seen) == 1 and not any("alpha" in p or "eta" in p for p in odd)
+
+
 def _rows():
     words = "the of and thention ererly; Word, stupid été 12 x-y".split(" ")
     rows = [(i, " ".join(words[(i * j) % len(words)] for j in range(i * 7 % 400)), "c", "c") for i in range(120)]
