@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rookery.llm.components import connected_components
@@ -212,6 +212,19 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _marked(bitmap: np.ndarray, docs: DataFrame, doc_id: str) -> Column:
+    """Whether the bitmap marks a row's id: every id in it, and some others; never a null id."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def marked(ids: pa.Array) -> pa.Array:
+        bits = shared.value
+        at = _place(pc.fill_null(ids, -1).to_numpy(zero_copy_only=False), 64 * len(bits))
+        return pc.and_(pa.array((bits[at >> 6] >> (at & 63) & 1).astype(bool)), ids.is_valid())
+
+    return marked(F.col(doc_id).cast("long"))
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union of two sorted sets."""
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -407,10 +420,13 @@ def drop_near_duplicates(
     """
     verdict = stage(near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, percent=percent), "verdict")
     ids = verdict.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    drop = ids.where("not stays or n > 1").select(F.col("doc_id").alias(doc_id))
-    once = docs.join(drop, doc_id, "left_anti")
-    repeated = ids.where("stays and n > 1").select(F.col("doc_id").alias(doc_id))
+    drop = stage(ids.where("not stays or n > 1"), "drop")
+    # only documents whose ids the bitmap marks can be dropped; the others' texts are not shuffled
+    marked = _marked(_bitmap(drop.select(F.col("doc_id").alias("d"))), docs, doc_id)
+    named = drop.select(F.col("doc_id").alias(doc_id))
+    kept = docs.where(~marked).unionByName(docs.where(marked).join(named, doc_id, "left_anti").select(docs.columns))
+    repeated = drop.where("stays and n > 1").select(F.col("doc_id").alias(doc_id))
     if repeated.isEmpty():
-        return once.select(docs.columns)
-    again = docs.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id])
-    return once.select(docs.columns).unionByName(again.select(docs.columns))
+        return kept
+    again = docs.where(marked).join(repeated, doc_id, "left_semi").dropDuplicates([doc_id])
+    return kept.unionByName(again.select(docs.columns))

@@ -83,6 +83,18 @@ def test_dropping_near_duplicates(spark):
     assert minhash.drop_near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_only_marked_documents_are_looked_up(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(i, f"{text} {text}" if i % 100 == 0 else f"{i} {text[: i % 40]} own{i} {i + 1}", "en", "c") for i in range(2000)]
+    docs = spark.createDataFrame([*rows, (None, text, "en", "c"), (None, text, "en", "c")], DOCS)
+    kept = [r.doc_id for r in minhash.drop_near_duplicates(docs).select("doc_id").collect()]
+    want = {i for i in range(2000) if i % 100 or not i}
+    assert kept.count(None) == 2 and {*kept} - {None} <= want | {None} and 0 in kept
+    drop = spark.createDataFrame([(100 * i,) for i in range(1, 20)], "d long")
+    marked = [r.doc_id for r in docs.where(minhash._marked(minhash._bitmap(drop), docs, "doc_id")).select("doc_id").collect()]
+    assert None not in marked and {100 * i for i in range(1, 20)} <= {*marked} and len(marked) < 200
+
+
 def test_word_hashes_follow_words():
     texts = ["Ab c", "", "  c\tAB\n", "ab", "é É"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
