@@ -62,6 +62,24 @@ def test_repeated_strings_equal_brute_force(spark):
     assert suffix_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_buckets_get_about_the_same():
+    text = np.random.default_rng(7).integers(97, 123, 400_000).astype(np.uint8)
+    slab = suffix_dedup.Slab(np.arange(4), np.full(4, 100_000), text, 50, 50)
+    held = np.diff(slab.edges)
+    assert held.sum() == len(slab.kinds) and held.max() < 1.5 * held.mean()
+
+
+def test_buckets_are_dealt_evenly(spark):
+    rows = [(b, s, b"x") for b in range(64) for s in range(3)]
+    held = suffix_dedup._dealt(spark.createDataFrame(rows, "bucket long, slab long, entries binary").repartition(3), 32)
+    parts = held.select(F.spark_partition_id().alias("p"), "bucket").collect()
+    own = {}
+    for r in parts:
+        own.setdefault(r.p, []).append(r.bucket)
+    assert len(parts) == len(rows) and sorted(len(set(x)) for x in own.values()) == [2] * 32
+    assert all(x == sorted(x) for x in own.values())
+
+
 def test_suffixes_of_several_buckets_with_long_ties():
     rnd = random.Random(5)
     part = bytes(rnd.choice(b"ab") for _ in range(300))
