@@ -1,7 +1,7 @@
 """Piece relations: sliding lines, mobility, king zones, attackers and defenders, last-move changes.
 
 Unions and counts of attacks are set-wise fills on integer columns, so they stay inside the row.
-Attribution (who attacks whom) is worked on batches of boards by `sight`.
+Attribution (who attacks whom) and its sentences are worked on batches of boards by `sight`.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 from rookery.functions import bits as B
 from rookery.operators.boards import SIDES, _char, _plane, own
 from rookery.operators.features import LIGHT, _listed, _s, _sentence, _texts, _txt, undeveloped
-from rookery.operators.sight import contact_lists, move_sets
+from rookery.operators.sight import contact_lists, move_sets, relation_lists
 
 c = F.col
 _DIRS = {"n": 8, "s": -8, "e": 1, "w": -1, "ne": 9, "nw": 7, "se": -7, "sw": -9}
 _ORTH = ("n", "s", "e", "w")
 _NOT_A, _NOT_H = B.FULL ^ B.file_mask(0), B.FULL ^ B.file_mask(7)
-_VALUES = {"P": 1, "N": 3, "B": 3, "R": 5, "Q": 9, "K": 0}
 
 
 def _wrap(d: str) -> int:
@@ -303,20 +302,6 @@ def activity(df: DataFrame, facts: bool = True) -> DataFrame:
 
 
 # --- attribution --------------------------------------------------------------------------------
-def _value(piece: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in _VALUES.items() for x in kv]), F.upper(piece))
-
-
-def _by_value(mask: Column, board: Column) -> Column:
-    """Letter and square, most valuable first, then by square."""
-    keyed = F.transform(
-        B.squares(mask),
-        lambda i: F.struct((-_value(_char(board, i))).alias("v"), i.alias("i"),
-                           F.concat(F.upper(_char(board, i)), B.name_of(i)).alias("t")),
-    )
-    return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["t"]), ", ")
-
-
 def contacts(df: DataFrame, key: list[str]) -> DataFrame:
     """One row per piece but kings: key, sq, piece, attackers, defenders (square sets)."""
     return contact_lists(df, key).select(*key, F.inline("contacts"))
@@ -325,73 +310,10 @@ def contacts(df: DataFrame, key: list[str]) -> DataFrame:
 def relations(df: DataFrame, key: list[str], top: int = 8) -> DataFrame:
     """key, relations: sentences on attacked, loose and overloaded pieces, at most `top`.
 
-    A position is one row all along; its sets have at most 64 members.
+    A position is one row all along; its sentences are worked on batches of boards.
     """
-    side = lambda p: F.when(p.between("A", "Z"), F.lit("White")).otherwise(F.lit("Black"))
-    zero = F.lit(0).cast("bigint")
-    known = reduce(lambda x, y: x & y, [c(k).isNotNull() for k in key])  # without a key, no piece touches another
-    listed = F.when(known, c("contacts")).otherwise(F.slice("contacts", 1, 0))
-    packed = contact_lists(df, key, carry=("occ", "board", "wk", "bk", "wp", "bp")).select(
-        *key, "rows",
-        F.transform(listed, lambda x: F.struct((-x["sq"]).alias("o"), x["sq"].alias("sq"), x["piece"].alias("piece"),
-                                               x["attackers"].alias("attackers"), x["defenders"].alias("defenders"))).alias("_p"),
-        F.aggregate(listed, zero, lambda a, x: B.either(a, B.bit(x["sq"]))).alias("_seen"),
-    )
-    both = packed.select(*key, "_p", "_seen", F.explode("rows").alias("_r")).select(
-        *key, "_p", "_seen", c("_r.occ").alias("_occ"), c("_r.board").alias("_board"), *[f"_r.{x}" for x in ("wk", "bk", "wp", "bp")]
-    )
-    board = c("_board")
-    untouched = B.minus(B.minus(c("_occ"), F.coalesce("_seen", zero)), B.either(c("wk"), c("bk"), c("wp"), c("bp")))
-    item = lambda score, order, text: F.struct((-score).alias("s"), order.alias("o"), text.alias("t"))
-    listed = c("_p")
-    name = lambda i: F.concat(F.upper(_char(board, i)), B.name_of(i))
-
-    def attacked(x):
-        v = _value(x["piece"]) * 10
-        bare = x["defenders"] == 0
-        guard = F.when(bare, F.lit("UNDEFENDED")).otherwise(F.concat(F.lit("defended by "), _by_value(x["defenders"], board)))
-        return item(
-            v + F.when(bare, 5).otherwise(0), x["o"],
-            F.concat(side(x["piece"]), F.lit(" "), name(x["sq"]), F.lit(": attacked by "),
-                     _by_value(x["attackers"], board), F.lit("; "), guard),
-        )
-
-    loose = lambda i: item(
-        _value(_char(board, i)), -i,
-        F.concat(side(_char(board, i)), F.lit(" "), name(i), F.lit(": loose (undefended, not attacked yet)")),
-    )
-    # staged, so that no set is worked out again inside a lambda
-    both = both.withColumn("_fire", F.filter(listed, lambda x: x["attackers"] != 0))
-    both = both.withColumn("_free", untouched).withColumn(
-        "_sole", F.array_sort(F.filter("_fire", lambda x: F.bit_count(x["defenders"]) == 1))
-    )
-    both = both.withColumn("_guards", F.array_distinct(F.transform("_sole", lambda x: x["defenders"])))
-    under_fire = c("_fire")
-    guards = c("_guards")
-    pinned_to = lambda g: F.filter("_sole", lambda x: x["defenders"] == g)
-    overloaded = F.transform(
-        F.filter(guards, lambda g: F.size(pinned_to(g)) >= 2),
-        lambda g, i: item(
-            F.lit(50), i + 100,
-            F.concat(
-                F.lit("OVERLOADED: "), side(_char(board, F.element_at(B.squares(g), 1))), F.lit(" "),
-                name(F.element_at(B.squares(g), 1)), F.lit(" is the only defender of "),
-                F.array_join(
-                    F.transform(
-                        F.array_sort(
-                            F.transform(pinned_to(g), lambda x: F.struct((-_value(x["piece"])).alias("v"), (-x["o"]).alias("q"), x["sq"].alias("sq")))
-                        ),
-                        lambda y: name(y["sq"]),
-                    ),
-                    ", ",
-                ),
-            ),
-        ),
-    )
-    everything = F.array_sort(
-        F.concat(F.transform(under_fire, attacked), F.transform(B.squares(c("_free")), loose), overloaded)
-    )
-    return both.select(*key, F.transform(F.slice(everything, 1, top), lambda x: x["t"]).alias("relations"))
+    free = B.either(*[c(f"{w}{k}") for w in "wb" for k in "nbrq"])
+    return relation_lists(df, key, B.minus(free, B.both(c("wn"), c("wb"))), top)  # no piece is of two kinds
 
 
 def last_move_change(plies: DataFrame, key: list[str]) -> DataFrame:

@@ -208,3 +208,66 @@ def test_piece_texts_without_lambdas(spark):
     )
     assert "lambda" not in df.select("a", "b")._jdf.queryExecution().optimizedPlan().toString()
     assert all((r.a, r.b) == (r.x, r.y) for r in df.collect())
+
+
+def _plain_relations(board, men, top=8):
+    """Sentences from (sq, piece, attackers, defenders) in plain Python."""
+    from rookery.functions import bits as B
+
+    worth = {"P": 1, "N": 3, "B": 3, "R": 5, "Q": 9, "K": 0}
+    name = lambda i: board[i].upper() + B.SQUARES[i]
+    side = lambda p: "White" if p.isupper() else "Black"
+    listed = lambda s: ", ".join(map(name, sorted(s, key=lambda i: (-worth.get(board[i].upper(), 99), i))))
+    fire = [m for m in men if m[2]]
+    items = [
+        (-10 * worth[p.upper()] - 5 * (not dfn), -sq,
+         f"{side(p)} {name(sq)}: attacked by {listed(att)}; " + (f"defended by {listed(dfn)}" if dfn else "UNDEFENDED"))
+        for sq, p, att, dfn in fire
+    ]
+    met = {m[0] for m in men}
+    items += [(-worth[p.upper()], -i, f"{side(p)} {name(i)}: loose (undefended, not attacked yet)")
+              for i, p in enumerate(board) if p in "NBRQnbrq" and i not in met]
+    guards = {}
+    for sq, p, _, dfn in sorted(fire, key=lambda m: (-m[0], m[1])):
+        if len(dfn) == 1:
+            guards.setdefault(min(dfn), []).append((-worth[p.upper()], sq))
+    for i, (g, held) in enumerate((g, h) for g, h in guards.items() if len(h) > 1):
+        items.append((-50, 100 + i, f"OVERLOADED: {side(board[g])} {name(g)} is the only defender of {', '.join(name(s) for _, s in sorted(held))}"))
+    return [t for *_, t in sorted(items)][:top]
+
+
+def test_relations_against_plain_python(spark):
+    """Full and empty boards, keys of several boards with equal ranks, rows twice, no key, no board, cut into small batches."""
+    from collections import Counter
+    from random import Random
+
+    rng = Random(4)
+    board = lambda k: "".join(rng.choice("PNBRQKpnbrqk" + "." * k) for _ in range(64))
+    rows = [(f"a{i}", board(i)) for i in range(0, 80, 4)] + [(None, board(9)), (None, board(9)), ("none", None), (None, None), ("void", "." * 64)]
+    for i in range(12):
+        one = board(9)
+        rows += [(f"m{i}", one)] * 2 + [(f"m{i}", one[:k] + board(6)[: 64 - k]) for k in (20, 50)] + [(f"m{i}", None)]
+    df = bo.with_sets(spark.createDataFrame(rows, "id string, board string"))
+    bits = lambda n: {i for i in range(64) if n >> i & 1}
+    men = {}
+    for r in rl.contacts(df, ["id"]).where("id IS NOT NULL").collect():
+        men.setdefault(r.id, []).append((r.sq, r.piece, bits(r.attackers), bits(r.defenders)))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for most in ("3", before):
+            spark.conf.set(size, most)
+            got = rl.relations(df, ["id"]).collect()
+            said = Counter((r.id, *r.relations) for r in got if not (r.relations and r.relations[0] is None))
+            want = [(k, *_plain_relations(b, men.get(k, []))) for k, b in rows if b is not None]
+            want += [(None,), ("none",)]
+            assert said == Counter(want) and len(got) == len(rows)
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_relations_are_worked_in_batches(spark):
+    """No sentence is built by interpreted lambdas, no position's rows are collected into a list."""
+    df = bo.with_sets(spark.createDataFrame([("a", "." * 64)], "id string, board string"))
+    plan = rl.relations(df, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan and "collect_" not in plan
